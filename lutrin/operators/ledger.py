@@ -180,3 +180,22 @@ def run_totals(spark: SparkSession, sf: str) -> DataFrame:
         F.count(F.lit(1)).alias("listed"), count(F.col("was_pending"), "pending"),
         count(F.col("was_pending") & (F.col("state") == "done"), "committed"), count(F.col("state") == "pending", "returned"),
     )
+
+
+QUERIES = {"p4_found": found, "p4_runs": run_totals}
+ORACLE = {
+    "p4_found": """
+WITH RECURSIVE r AS (SELECT run_id, status, last_commit_at, row_number() OVER (ORDER BY run_id) i FROM index_runs),
+l AS (SELECT run_id, source_path p, max(size_bytes) s, max(modified_time) m, min(listed_at) t FROM listing GROUP BY ALL),
+paths AS (SELECT source_path p FROM manifest UNION SELECT source_path FROM listing),
+w AS (
+  SELECT 0::BIGINT i, p, k.source_path IS NOT NULL AS have, size_bytes s, modified_time m, false AS hit
+  FROM paths LEFT JOIN manifest k ON k.source_path = p
+  UNION ALL
+  SELECT r.i, w.p,
+    CASE WHEN l.p IS NULL THEN w.have AND r.status <> 'success' WHEN l.t <= r.last_commit_at THEN true ELSE w.have END,
+    CASE WHEN l.t <= r.last_commit_at THEN l.s ELSE w.s END, CASE WHEN l.t <= r.last_commit_at THEN l.m ELSE w.m END,
+    l.p IS NOT NULL AND (NOT w.have OR l.s <> w.s OR l.m <> w.m)
+  FROM w JOIN r ON r.i = w.i + 1 LEFT JOIN l ON l.run_id = r.run_id AND l.p = w.p)
+SELECT run_id, p AS source_path FROM w JOIN r USING (i) WHERE hit""",
+}
