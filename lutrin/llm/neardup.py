@@ -1,2 +1,252 @@
-QUERIES: dict = {}
-ORACLE: dict = {}
+"""Near-duplicate records with small edits (problem 6), by a generalised pigeonhole search on sketches.
+
+A text's set of word runs is sketched as minwise symbols of 16 bits; the bits of one symbol agree or
+differ together, so they are never parted. Symbols are grouped into partitions of unequal width: within
+a partition no symbol may differ, the symbols outside may. How many partitions of which width are probed
+is decided by dynamic programming on candidate counts estimated from all sketches: the cheapest set that
+misses a pair at the threshold with at most the stated probability (the worst case that plain
+pigeonhole counting covers would need every single symbol as a partition at this threshold). Candidates
+are then verified on the exact sets.
+"""
+
+from __future__ import annotations
+
+import functools
+import hashlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lutrin.plans.scale import written
+
+SYMBOLS = 200
+WIDTHS = range(2, 11)
+#: Probability of missing a pair exactly at the threshold; pairs above it are missed far more rarely.
+MISS = 1e-3
+#: Bits of the cheap check before the exact one, and the standard deviations it allows.
+BITS, SIGMAS = 128, 5
+LEAST_WORDS = 20
+
+
+@functools.cache
+def _hashes() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20240229)
+    return rng.integers(1, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
+
+
+class Shingler:
+    """Words to sets of runs: 64-bit numbers of the distinct runs of `run` words."""
+
+    def __init__(self, run: int):
+        self.run, self.of = run, {}
+
+    def words(self, text: str) -> list[str]:
+        """Pieces of the lower-case text between spaces and line feeds."""
+        return [w for w in text.lower().replace("\n", " ").split(" ") if w]
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        of = self.of
+        if len(of) > 500_000:
+            of.clear()
+        for w in set(words).difference(of):
+            of[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return np.fromiter(map(of.__getitem__, words), np.uint64, len(words))
+
+    def runs(self, words: list[str]) -> np.ndarray:
+        x, n = self.numbers(words), len(words) - self.run + 1
+        if n <= 0:
+            return np.empty(0, np.uint64)
+        h = np.zeros(n, np.uint64)
+        for i in range(self.run):
+            h = (h ^ x[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        return np.unique(h)
+
+
+def _symbols(runs: np.ndarray) -> bytes:
+    a, b = _hashes()
+    least = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(runs), 2048):  # a long text never becomes one large matrix
+        np.minimum(least, (runs[at : at + 2048, None] * a + b).min(axis=0), out=least)
+    least ^= least >> np.uint64(32)
+    return ((least * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)).astype("<u2").tobytes()
+
+
+def sketches(rows: DataFrame, record: str, text: str, run: int, least_words: int) -> DataFrame:
+    """(record, same, runs, symbols, bits): `same` is equal for texts of the same words in the same order."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = Shingler(run)
+        for batch in batches:
+            out: list[tuple] = []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = cut.words(t)
+                if len(words) < max(least_words, run):
+                    continue
+                s = cut.runs(words)
+                sym = _symbols(s)
+                low = np.packbits(np.frombuffer(sym, "<u2")[:BITS] & 1).tobytes()
+                same = hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass")).digest()
+                out.append((i, same, len(s), sym, int.from_bytes(low[:8], "big", signed=True), int.from_bytes(low[8:], "big", signed=True)))
+            cols = list(zip(*out)) if out else [()] * 6
+            kinds = (batch.schema.field(0).type, pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["id", "same", "runs", "symbols", "bits0", "bits1"])
+
+    kind = rows.schema[record].dataType.simpleString()
+    return rows.where(F.col(text).isNotNull() & F.col(record).isNotNull()).select(record, text).mapInArrow(make, f"id {kind}, same binary, runs int, symbols binary, bits0 long, bits1 long")
+
+
+def collisions(sketch: DataFrame) -> tuple[int, dict[int, float]]:
+    """Texts, and for each width the pairs of different texts that agree on a partition of that width.
+
+    Counted over all sketches on one partition per width; one row per width reaches the driver.
+    """
+    one = sketch.groupBy("same").agg(F.min("symbols").alias("symbols"))
+    parts = F.array(*[F.struct(F.lit(r).alias("r"), F.xxhash64(F.lit(r), F.substring("symbols", 1, 2 * r)).alias("h")) for r in WIDTHS])
+    each = one.select(F.explode(parts).alias("p")).groupBy("p.r", "p.h").agg(F.count(F.lit(1)).alias("c"))
+    rows = each.groupBy("r").agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs")).collect()
+    return max([r["n"] for r in rows], default=0), {r["r"]: float(r["pairs"]) for r in rows}
+
+
+def allocate(n: int, pairs: dict[int, float], threshold: float, miss: float = MISS, steps: int = 4000) -> list[int]:
+    """Widths of the partitions to probe: cheapest total of probes and expected candidates whose chance
+    to miss a pair at the threshold is at most `miss`. Unbounded knapsack by dynamic programming over the
+    logarithm of that chance."""
+    need = math.log(1 / miss)
+    gain = {r: math.log(1 / (1 - threshold**r)) for r in WIDTHS}
+    cost = {r: n + 2.0 * pairs.get(r, 0.0) for r in WIDTHS}
+    unit = need / steps
+    best, pick = [0.0] + [math.inf] * steps, [0] * (steps + 1)
+    for s in range(1, steps + 1):
+        for r in WIDTHS:
+            c = best[max(0, s - max(1, int(gain[r] / unit)))] + cost[r]
+            if c < best[s]:
+                best[s], pick[s] = c, r
+    out, s = [], steps
+    while s > 0:
+        out.append(pick[s])
+        s = max(0, s - max(1, int(gain[pick[s]] / unit)))
+    return sorted(out)
+
+
+def partitions(widths: list[int]) -> list[list[int]]:
+    """Symbols of each partition: disjoint while they last, then new shuffles of all symbols."""
+    rng, order, out = np.random.default_rng(7), list(range(SYMBOLS)), []
+    for r in widths:
+        if len(order) < r:
+            order = [int(x) for x in rng.permutation(SYMBOLS)]
+        out.append(order[:r])
+        order = order[r:]
+    return out
+
+
+def _probe(i: int, symbols: list[int]) -> Column:
+    if symbols == list(range(symbols[0], symbols[0] + len(symbols))):
+        value = F.substring("symbols", 2 * symbols[0] + 1, 2 * len(symbols))
+    else:
+        value = F.concat(*[F.substring("symbols", 2 * s + 1, 2) for s in symbols])
+    return F.xxhash64(F.lit(i), value)
+
+
+def similar(rows: DataFrame, threshold: float = 0.8, run: int = 5, least_words: int = 5, record: str = "id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(pairs, members) of texts whose sets of word runs have a Jaccard similarity of `threshold` or more.
+
+    members (id, rep): every text with at least `least_words` words and the smallest id among its exact
+    copies (same words in order); pairs (rep_a, rep_b, similarity), rep_a < rep_b, between different texts.
+    Copies are thus never multiplied out. Null texts and ids and shorter texts are in neither.
+    """
+    sketch = written(sketches(rows, record, text, run, least_words), "sketch")
+    reps = sketch.groupBy("same").agg(F.min("id").alias("rep"))
+    members = sketch.join(reps, "same").select("id", "rep")
+    n, counted = collisions(sketch)
+    probes = partitions(allocate(n, counted, threshold))
+    # A text's 64-bit number stands for all its copies, so that copies fold before and in the shuffle.
+    node = sketch.select(F.xxhash64("same").alias("node"), "symbols")
+    found = node.select("node", F.explode(F.array(*[_probe(i, p) for i, p in enumerate(probes)])).alias("probe")).distinct()
+    a, b = found.alias("a"), found.alias("b")
+    candidates = a.join(b, (F.col("a.probe") == F.col("b.probe")) & (F.col("a.node") < F.col("b.node"))).select(F.col("a.node").alias("na"), F.col("b.node").alias("nb")).distinct()
+    # One-bit check: differing low bits at the threshold are binomial with (1 - t) / 2.
+    p = (1 - threshold) / 2
+    most = BITS * p + SIGMAS * math.sqrt(BITS * p * (1 - p))
+    short = sketch.groupBy("same").agg(F.min("id").alias("rep"), F.min("runs").alias("runs"), F.min("bits0").alias("b0"), F.min("bits1").alias("b1")).withColumn("node", F.xxhash64("same")).drop("same")
+    side = lambda s: short.select(*[F.col(c).alias(f"{c}_{s}") for c in ("node", "rep", "runs", "b0", "b1")])
+    near = candidates.join(side("a"), F.col("na") == F.col("node_a")).join(side("b"), F.col("nb") == F.col("node_b"))
+    apart = F.bit_count(F.col("b0_a").bitwiseXOR(F.col("b0_b"))) + F.bit_count(F.col("b1_a").bitwiseXOR(F.col("b1_b")))
+    fits = F.least("runs_a", "runs_b") >= threshold * F.greatest("runs_a", "runs_b")
+    near = written(near.where((apart <= most) & fits).select(F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b")), "near")
+    return verified(rows, near, threshold, run, record, text), members
+
+
+def verified(rows: DataFrame, pairs: DataFrame, threshold: float, run: int, record: str, text: str) -> DataFrame:
+    """(rep_a, rep_b, similarity) of the pairs that reach the threshold on their exact sets."""
+    kind = rows.schema[record].dataType.simpleString()
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = Shingler(run)
+        for batch in batches:
+            sets = [cut.runs(cut.words(t)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "runs"])
+
+    wanted = pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("w")).distinct()
+    texts = rows.where(F.col(text).isNotNull()).select(F.col(record).alias("id"), F.col(text).alias("t")).join(wanted, F.col("id") == F.col("w"), "left_semi")
+    sets = texts.select("id", "t").mapInArrow(make, f"id {kind}, runs array<bigint>").groupBy("id").agg(F.first("runs").alias("runs"))
+    a, b = sets.select(F.col("id").alias("rep_a"), F.col("runs").alias("ra")), sets.select(F.col("id").alias("rep_b"), F.col("runs").alias("rb"))
+    both = F.size(F.array_intersect("ra", "rb"))
+    scored = pairs.join(a, "rep_a").join(b, "rep_b").withColumn("both", both)
+    score = F.col("both") / (F.size("ra") + F.size("rb") - F.col("both"))
+    return scored.select("rep_a", "rep_b", score.alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def classes(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, class_id, links): connected groups of similar texts; links counts the different texts that a
+    text is similar to. Labels are halved by joining each label to its own label until nothing changes,
+    so the rounds grow with the logarithm of a chain's length."""
+    edges = written(pairs.select(F.col("rep_a").alias("x"), F.col("rep_b").alias("y")).unionByName(pairs.select(F.col("rep_b").alias("x"), F.col("rep_a").alias("y"))), "edges")
+    label = written(edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("l")), "label")
+    while True:
+        near = edges.join(label.select(F.col("x").alias("y"), "l"), "y").groupBy("x").agg(F.min("l").alias("m"))
+        step = label.join(near, "x").select("x", F.least("l", "m").alias("l"), F.col("l").alias("old"))
+        jump = step.select(F.col("x").alias("l"), F.col("l").alias("ll"))
+        new = written(step.join(jump, "l", "left").select("x", F.least("l", F.coalesce("ll", "l")).alias("l"), "old"), "label")
+        changed = new.where("l <> old").limit(1).count()
+        label = new.select("x", "l")
+        if not changed:
+            break
+    degree = edges.groupBy("x").agg(F.count(F.lit(1)).alias("links"))
+    known = label.join(degree, "x")
+    return members.join(known, F.col("rep") == F.col("x"), "left").select("id", F.coalesce("l", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def _chunk_pairs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    chunks = spark.read.parquet(f"{sf}/chunks.parquet")
+    return similar(chunks, threshold=0.6, run=3, least_words=LEAST_WORDS, record="chunk_ord", text="content")
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs of chunks of at least 20 words whose runs of three words overlap by 0.6 or more."""
+    pairs, members = _chunk_pairs(spark, sf)
+    a = members.select(F.col("rep").alias("rep_a"), F.col("id").alias("ia"))
+    b = members.select(F.col("rep").alias("rep_b"), F.col("id").alias("ib"))
+    across = pairs.join(a, "rep_a").join(b, "rep_b").select("ia", "ib")
+    copies = a.join(b, F.col("rep_a") == F.col("rep_b")).where("ia < ib").select("ia", "ib")
+    return across.unionByName(copies).select(F.least("ia", "ib").alias("chunk_ord_a"), F.greatest("ia", "ib").alias("chunk_ord_b"))
+
+
+def p6_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every chunk of at least 20 words with its class and the number of different texts it is near."""
+    pairs, members = _chunk_pairs(spark, sf)
+    return classes(pairs, members).select(F.col("id").alias("chunk_ord"), "class_id", "links")
+
+
+def p6_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for whole documents, on runs of five words at a similarity of 0.8."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    return classes(*similar(docs, record="doc_id", text="text")).select(F.col("id").alias("doc_id"), "class_id", "links")
+
+
+QUERIES = {"p6_found": p6_found, "p6_classes": p6_classes, "p6_documents": p6_documents}
+ORACLE: dict[str, str] = {}
