@@ -36,7 +36,7 @@ KNOWN_WORDS = 20_000
 MOST_HEADERS = 100_000
 FLUSH = 200_000
 
-_WORD = re.compile(r"[(@]?[^\W_](?:[\w@(]|\)(?=[^\W\d_]))*")
+_WORD = re.compile(r"[\w@(]+")
 _NUM = r"[\dOlSZIB]*\d[\dOlSZIB]*"
 _NUMBER = re.compile(rf"(?<![^\W_])(?:{_NUM}|[OlSZIB])(?![^\W_])")
 _PAGE = re.compile(r"\s*(?:Page\s+([\dOlSZIB]+)\s+sur\s+[\dOlSZIB]+|\[\s*([\dOlSZIB]+)\s*\]|([\dOlSZIB]+)\s*/\s*[\dOlSZIB]+|p\.\s*([\dOlSZIB]+)|[-–—]\s+([\dOlSZIB]+)\s+[-–—])\s*", re.I)
@@ -45,8 +45,9 @@ _WITH_NUMBER = re.compile(rf"\s*(?:({_NUM})\s{{2,}}(\S.*?)|(\S.*?)\s{{2,}}({_NUM
 _BREAK = re.compile(rf"([^\W\d_]|[\w@(])([-{MARKS}])\s*\Z")
 _TABLE = re.compile(r"\s*(?:[A-Z0-9]{2,3}\s+[\dOlSZIB]{2,3}-[\dOlSZIB]+\s+[A-Z]{2}\s+[\dOlSZIB]{4}|[\dOlSZIB]{1,2}er?\s+[\dOlSZIB]+\s+\S+\s+[A-Z]{2}\s)")
 _MIXED = re.compile(rf"(?<![\w.,/])(?:[\dOlSZIB]+)(?:[.,/-][\dOlSZIB]+)*(?![\w])|(?<=[A-Z]\.)[\dOlSZIB]+(?:\.[\dOlSZIB]+)*(?!\w)")
-_INSIDE = re.compile(r"[a-zà-ÿœ][0156@(89_][a-zà-ÿœ]")
-_LETTERS = re.compile(r"[a-zà-ÿœ]{3,}")
+_INSIDE = re.compile(r"[0156@(89_](?<=[a-zà-ÿœ][0156@(89_])(?=[a-zà-ÿœ])")
+_DIGIT_BESIDE = re.compile(r"[OlSZIB](?:(?<=\d.)|(?=\d)|(?<=[A-Z]\..)(?!\w))")
+ENDS = ("-", *MARKS)
 
 
 def skeleton(word: str) -> str:
@@ -107,15 +108,18 @@ def _page_number(lines: list[str], body: list[int], k: int, page: int | None, is
     return True
 
 
+def _may_be_header(line: str) -> bool:
+    """Headers are short, begin with a capital or a number and do not end like a sentence."""
+    return len(line) <= 70 and (line[0].isupper() or line[0].isdigit() or line[0] == " " or line[:1] in "([l") and line[-1] not in ".,;"
+
+
 def furniture(lines: list[str], page: int | None, is_header) -> set[int]:
     """Numbers (from 0) of the lines that are a running header, a page number or both."""
-    body = [i for i, x in enumerate(lines) if x.strip()]
+    body = [i for i, x in enumerate(lines) if x and not x.isspace()]
     out = set()
     for k, i in enumerate(body):
         line = lines[i]
-        if len(line) > 90 or line.rstrip()[-1:] in ".,;":
-            continue
-        if is_header(line) or _page_number(lines, body, k, page, is_header):
+        if _may_be_header(line) and is_header(line) or len(line) <= 24 and _page_number(lines, body, k, page, is_header):
             out.add(i)
     return out
 
@@ -165,14 +169,16 @@ def _counts(texts: Iterable[tuple[str | None, bool]]) -> Iterator[tuple[str, str
         if "-" in whole:
             compounds.update(re.findall(r"(?<![\w-])[^\W\d_]+(?:-[^\W\d_]+)+", whole.lower()))
         body = [x for x in text.split("\n") if x and not x.isspace()]
-        for k, line in enumerate(body):
-            if len(line) > 90 or line[-1] in ".,;" or _TABLE.match(line):
+        # A line of the text is as likely on the first line of a page as on any other: four more lines
+        # of each page tell how often it stands elsewhere.
+        places = enumerate(body[:6]) if is_page else ((k, x) for k, x in enumerate(body) if k and len(body[k - 1]) <= 24 and _PAGE.fullmatch(body[k - 1]))
+        for k, line in places:
+            if k == 1 and is_page or not _may_be_header(line) or _TABLE.match(line):
                 continue
             key = masked(line)
-            top = k == 0 if is_page else k > 0 and bool(_PAGE.fullmatch(body[k - 1]))
-            if is_page or top:
-                total[key] += 1
-                edge[key] += top
+            top = k == 0 if is_page else True
+            total[key] += 1
+            edge[key] += top
         if len(words) + len(total) > FLUSH:
             yield from flush()
     yield from flush()
@@ -253,55 +259,64 @@ def _scan(texts: Iterable[tuple], known: set[str], is_header) -> Iterator[tuple]
         if not text:
             continue
         lines = text.split("\n")
-        fur = furniture(lines, page if origin == "doc_pages" else None, is_header)
+        is_page = origin == "doc_pages"
+        fur = furniture(lines, page if is_page else None, is_header)
         for i in sorted(fur):
             yield origin, row, path, page, "furniture", i + 1, None, None, None, None
-        body = [i for i, x in enumerate(lines) if i not in fur and x.strip()]
-        eaten = 0  # characters of the line that belong to a word begun on the line before
-        for k, i in enumerate(body):
-            line, start = lines[i], eaten
-            eaten = 0
-            end, broken = len(line), _BREAK.search(line)
-            if broken and not _TABLE.match(line):
-                first = re.search(r"[\w@(]+\Z", line[: broken.start(2)])
-                head = first.group(0) if first else ""
-                nxt = body[k + 1] if k + 1 < len(body) else None
-                rest = re.match(r"\s*([\w@(]+)", lines[nxt]) if nxt is not None else None
-                mark = broken.group(2)
-                if head and not head.isdigit():
-                    end = first.start()
-                    kind = "break" if mark == "-" else "hyphen"
-                    tail = rest.group(1) if rest else None
-                    left = re.search(r"([\w-]*)-\Z", line[: broken.end(2)]).group(1).lower() if mark == "-" else None
-                    yield origin, row, path, page, kind, i + 1, None if nxt is None else nxt + 1, len(head), head.lower(), tail.lower() if tail else None
-                    if nxt is None:
-                        yield origin, row, path, page, "end", i + 1, None, len(head), head.lower(), mark
-                    else:
-                        word = (head + (tail or "")).lower()
-                        if word not in known and not word.isdigit():
-                            yield origin, row, path, page, "word", i + 1, nxt + 1, len(head), word, None
-                        if _INSIDE.search(head.lower()):
-                            yield origin, row, path, page, "glyph", i + 1, None, None, head, None
-                        eaten = rest.end() if rest else 0
-                    del left
-            part = line[start:end] if start or end < len(line) else line
-            low = part.lower()
-            for w in {*_WORD.findall(low)} - known:
-                if w.isdigit():
-                    continue
-                yield origin, row, path, page, "word", i + 1, None, None, w, None
-            if start and _INSIDE.search(line[:start].lower()):
-                yield origin, row, path, page, "glyph", i + 1, None, None, line[:start].strip(), None
-            for m in _MIXED.finditer(line):
-                t = m.group(0)
-                if not t.replace(".", "").replace(",", "").replace("/", "").replace("-", "").isdigit() and any(c.isdigit() for c in t):
-                    yield origin, row, path, page, "glyph", i + 1, None, None, t, None
-            if _INSIDE.search(low):
-                yield origin, row, path, page, "glyph", i + 1, None, None, _INSIDE.search(low).group(0), None
-        if body and origin == "doc_pages" and (m := re.match(r"\s*([\w@(]+)", lines[body[0]])):
+        ends = [i for i, x in enumerate(lines) if x and (x[-1] in ENDS or x.rstrip()[-1:] in ENDS)]
+        low = text.lower()
+        joined = _JOIN.sub("", low) if ends else low
+        doubtful = {w for w in set(_WORD.findall(joined)).difference(known) if not w.isdigit()}
+        if _DIGIT_BESIDE.search(text) or _INSIDE.search(low):
+            yield from ((origin, row, path, page, "glyph", i + 1, None, None, t, None) for i, t in _plain_glyphs(lines, fur))
+        body = [i for i, x in enumerate(lines) if i not in fur and x and not x.isspace()]
+        if doubtful or ends:
+            yield from ((origin, row, path, page, *x) for x in _doubts(lines, body, set(ends), doubtful, known))
+        if is_page and body and (m := re.match(r"\s*([\w@(]+)", lines[body[0]])):
             yield origin, row, path, page, "top", body[0] + 1, None, None, m.group(1).lower(), None
 
 
+_JOIN = re.compile(rf"[-{MARKS}]\s*\n\s*")
+
+
+def _plain_glyphs(lines: list[str], fur: set[int]) -> Iterator[tuple[int, str]]:
+    """(line, characters) that no spelling has: a digit or sign between small letters, letters in a number."""
+    for i, line in enumerate(lines):
+        if i in fur:
+            continue
+        for m in _MIXED.finditer(line) if _DIGIT_BESIDE.search(line) else ():
+            t = m.group(0)
+            if any(c.isdigit() for c in t) and any(c.isalpha() for c in t):
+                yield i, t
+        if m := _INSIDE.search(line.lower()):
+            yield i, m.group(0)
+
+
+def _doubts(lines: list[str], body: list[int], ends: set[int], doubtful: set[str], known: set[str]) -> Iterator[tuple]:
+    eaten = 0  # characters of the line that belong to a word begun on the line before
+    for k, i in enumerate(body):
+        line, start = lines[i], eaten
+        eaten, end = 0, len(line)
+        if i in ends and (broken := _BREAK.search(line)) and not _TABLE.match(line):
+            first = re.search(r"[\w@(]+\Z", line[: broken.start(2)])
+            head = first.group(0) if first else ""
+            nxt = body[k + 1] if k + 1 < len(body) else None
+            rest = re.match(r"\s*([\w@(]+)", lines[nxt]) if nxt is not None else None
+            if head and not head.isdigit():
+                end = first.start()
+                tail = rest.group(1) if rest else None
+                yield "break" if broken.group(2) == "-" else "hyphen", i + 1, None if nxt is None else nxt + 1, len(head), head.lower(), tail.lower() if tail else None
+                if nxt is not None:
+                    word = (head + (tail or "")).lower()
+                    if word not in known and not word.isdigit():
+                        yield "word", i + 1, nxt + 1, len(head), word, None
+                    eaten = rest.end() if rest else 0
+        if doubtful:
+            part = line[start:end] if start or end < len(line) else line
+            for w in doubtful.intersection(_WORD.findall(part.lower())):
+                yield "word", i + 1, None, None, w, None
+
+
 _SCAN = "origin row_id path page what line_no next_line cut word rest"
 
 
