@@ -18,7 +18,7 @@ def quality(text: Column) -> Column:
     """Weight of a document in 0.05..1: its share of letters and blanks, less for very short texts."""
     n = F.length(text)
     letters = F.length(F.regexp_replace(text, r"[^\p{L}\s]+", ""))
-    return F.greatest(F.lit(0.05), F.coalesce(letters / n * (n / (n + 200)), F.lit(0.0)))
+    return F.greatest(F.lit(0.05), F.coalesce(letters / (n + 200), F.lit(0.0)))
 
 
 def _name(source: Column) -> Column:
