@@ -8,6 +8,7 @@ are put together again to paragraphs by SQL windows.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -36,7 +37,7 @@ KNOWN_WORDS = 20_000
 MOST_HEADERS = 100_000
 FLUSH = 200_000
 
-_WORD = re.compile(r"[\w@(]+")
+_WORD = re.compile(r"[\w@(]+(?:(?<=\bi)\)\w+)?")
 _NUM = r"[\dOlSZIB]*\d[\dOlSZIB]*"
 _NUMBER = re.compile(rf"(?<![^\W_])(?:{_NUM}|[OlSZIB])(?![^\W_])")
 _PAGE = re.compile(r"\s*(?:Page\s+([\dOlSZIB]+)\s+sur\s+[\dOlSZIB]+|\[\s*([\dOlSZIB]+)\s*\]|([\dOlSZIB]+)\s*/\s*[\dOlSZIB]+|p\.\s*([\dOlSZIB]+)|[-–—]\s+([\dOlSZIB]+)\s+[-–—])\s*", re.I)
@@ -141,7 +142,7 @@ def header_test(masks) -> object:
     return test
 
 
-def _counts(texts: Iterable[tuple[str | None, bool]]) -> Iterator[tuple[str, str, int, int]]:
+def _counts(texts: Iterable[tuple[str | None, int | None]]) -> Iterator[tuple[str, str, int, int]]:
     """Partial (kind, key, n, edge): words, hyphenated compounds, masked lines and how often at a page's top."""
     words, compounds, total, edge = Counter(), Counter(), Counter(), Counter()
     of: dict[str, str] = {}
@@ -161,7 +162,7 @@ def _counts(texts: Iterable[tuple[str | None, bool]]) -> Iterator[tuple[str, str
         for c in (words, compounds, total, edge):
             c.clear()
 
-    for text, is_page in texts:
+    for text, page in texts:
         if not text:
             continue
         whole = re.sub(rf"[{MARKS}]\s*\n\s*", "", text) if any(c in text for c in MARKS) else text
@@ -170,15 +171,18 @@ def _counts(texts: Iterable[tuple[str | None, bool]]) -> Iterator[tuple[str, str
             compounds.update(re.findall(r"(?<![\w-])[^\W\d_]+(?:-[^\W\d_]+)+", whole.lower()))
         body = [x for x in text.split("\n") if x and not x.isspace()]
         # A line of the text is as likely on the first line of a page as on any other: four more lines
-        # of each page tell how often it stands elsewhere.
-        places = enumerate(body[:6]) if is_page else ((k, x) for k, x in enumerate(body) if k and len(body[k - 1]) <= 24 and _PAGE.fullmatch(body[k - 1]))
-        for k, line in places:
-            if k == 1 and is_page or not _may_be_header(line) or _TABLE.match(line):
-                continue
-            key = masked(line)
-            top = k == 0 if is_page else True
-            total[key] += 1
-            edge[key] += top
+        # of each page tell how often it stands elsewhere. A file's first page may begin with a title.
+        if page is None:
+            tops = [k for k in range(1, len(body)) if len(body[k - 1]) <= 24 and _PAGE.fullmatch(body[k - 1])]
+        else:
+            tops = [0] if page != 1 else []
+        for top in tops:
+            skip = 1 if page is None else 2
+            for k in (top, *range(top + skip, top + skip + 4)):
+                if k < len(body) and _may_be_header(body[k]) and not _TABLE.match(body[k]):
+                    key = masked(body[k])
+                    total[key] += 1
+                    edge[key] += k == top
         if len(words) + len(total) > FLUSH:
             yield from flush()
     yield from flush()
@@ -200,7 +204,7 @@ def statistics(rows: DataFrame) -> DataFrame:
                 block = []
         yield _batch(block, "kind key n edge")
 
-    partial = rows.select("text", F.col("page").isNotNull().alias("is_page")).mapInArrow(run, "kind string, key string, n long, edge long")
+    partial = rows.select("text", "page").mapInArrow(run, "kind string, key string, n long, edge long")
     return partial.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("edge").alias("edge"))
 
 
@@ -249,8 +253,17 @@ def _skeleton_sql(word):
 
 
 def headers(stats: DataFrame) -> DataFrame:
-    """(key): masked lines that stand at the top of at least three pages, and there at least every second time."""
-    return stats.where("kind = 'h' AND key <> '' AND key <> '#' AND edge >= 3 AND edge * 2 >= n").select("key")
+    """(key): masked lines that stand at the top of pages more often than a line of the text would.
+
+    Of a text line's places that are counted, one in five is the top. A line counts as a header if at
+    least half of its places are and if chance would not bring that about for any of the candidate lines
+    (likelihood ratio against one in five, with the 5 % level divided by their number).
+    """
+    lines = stats.where("kind = 'h' AND key <> '' AND key <> '#' AND edge > 0")
+    candidates = lines.count()
+    n, e = F.col("n").cast("double"), F.col("edge").cast("double")
+    ratio = e * F.ln(e / (0.2 * n)) + F.when(n > e, (n - e) * F.ln((n - e) / (0.8 * n))).otherwise(F.lit(0.0))
+    return lines.where((2 * e >= n) & (ratio >= math.log(max(candidates, 1) / 0.05))).select("key")
 
 
 def _scan(texts: Iterable[tuple], known: set[str], is_header) -> Iterator[tuple]:
