@@ -1,0 +1,67 @@
+"""Language-model extension points: query expansion and answers. Nothing here is part of a Spark plan."""
+
+from __future__ import annotations
+
+import json
+import urllib.request
+from collections.abc import Callable, Iterable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lutrin.operators.reports import bracketed_strings
+
+#: prompt (system, user) to answer
+Answerer = Callable[[str, str], str]
+#: question to the raw reply that lists codes
+Expander = Callable[[str], str]
+
+
+def extractive(system: str, user: str) -> str:
+    """Offline stand-in: the first source of the context."""
+    return user.partition("Context:\n")[2].split("\n\n")[0]
+
+
+def ollama(host: str, model: str, timeout: float) -> Answerer:
+    def ask(system: str, user: str) -> str:
+        body = json.dumps({"model": model, "system": system, "prompt": user, "stream": False, "options": {"temperature": 0}}).encode()
+        request = urllib.request.Request(f"{host.rstrip('/')}/api/generate", body, {"Content-Type": "application/json"})
+        try:
+            with urllib.request.urlopen(request, timeout=timeout) as reply:
+                text = json.load(reply).get("response", "")
+        except OSError as e:
+            raise RuntimeError(f"no answer from {host}: {e}") from e
+        if not text.strip():
+            raise RuntimeError("empty answer")
+        return text
+
+    return ask
+
+
+BACKENDS: dict[str, Callable[..., Answerer]] = {"none": lambda *_: extractive, "ollama": ollama}
+
+
+def answerer(backend: str, host: str = "", model: str = "", timeout: float = 300) -> Answerer:
+    """The backend of a name, without regard to case; more are added to BACKENDS."""
+    try:
+        return BACKENDS[backend.lower()](host, model, timeout)
+    except KeyError:
+        raise RuntimeError(f"unknown backend {backend!r}; known: {', '.join(sorted(BACKENDS))}") from None
+
+
+def expanded(questions: DataFrame, expander: Expander) -> DataFrame:
+    """questions (query_id, text) with codes and expansion. The expander is called for each question on the
+    driver's side of a stated query set; an error or an unreadable reply is an empty expansion."""
+
+    def run(batches: Iterable):
+        for pdf in batches:
+            def safe(t):
+                try:
+                    return expander(t)
+                except Exception:  # noqa: BLE001 - expansion is optional
+                    return ""
+
+            yield pdf.assign(raw=[safe(t) for t in pdf["text"]])
+
+    raw = questions.select("query_id", "text").mapInPandas(run, f"query_id {questions.schema['query_id'].dataType.simpleString()}, text string, raw string")
+    return raw.withColumn("codes", bracketed_strings(F.col("raw"))).withColumn("expansion", F.array_join("codes", " ")).drop("raw")

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from lutrin.operators import ledger
-
-MODULES = (ledger,)
+from lutrin.plans import oracle
+from lutrin.plans import queries as core
 
 
 def queries() -> dict:
-    return {k: q for m in MODULES for k, q in m.QUERIES.items()}
+    return core.QUERIES | ledger.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: q.strip() for m in MODULES for k, q in m.ORACLE.items()}
+    return {k: q.strip() for k, q in (oracle.ORACLE | ledger.ORACLE).items()}
