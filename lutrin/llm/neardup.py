@@ -1,6 +1,6 @@
 """Near-duplicate records with small edits (problem 6), by a generalised pigeonhole search on sketches.
 
-A text's set of word runs is sketched as minwise symbols of 16 bits; the bits of one symbol agree or
+A text's set of word runs is sketched as minwise symbols of 8 bits; the bits of one symbol agree or
 differ together, so they are never parted. Symbols are grouped into partitions of unequal width: within
 a partition no symbol may differ, the symbols outside may. How many partitions of which width are probed
 is decided by dynamic programming on candidate counts estimated from all sketches: the cheapest set that
@@ -20,16 +20,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lutrin.plans.scale import written
 
 SYMBOLS = 200
-WIDTHS = range(2, 11)
+WIDTHS = (2, 3, 4, 5, 6, 8, 10)
 #: Probability of missing a pair exactly at the threshold; pairs above it are missed far more rarely.
 MISS = 1e-3
+#: Cost of checking a candidate pair in place, in units of sending one probe through the shuffle.
+PAIR_COST = 0.2
+#: Texts of one probe value that are compared in one place; larger sets are compared block by block.
+BLOCK = 1000
 #: Bits of the cheap check before the exact one, and the standard deviations it allows.
-BITS, SIGMAS = 128, 5
+BITS, SIGMAS = 128, 4
 LEAST_WORDS = 20
+#: Rows up to which a list of ids is broadcast (8 bytes each); longer lists are joined by a shuffle.
+MOST_IDS = 1_000_000
 
 
 @functools.cache
@@ -73,11 +80,23 @@ def _symbols(runs: np.ndarray) -> bytes:
     for at in range(0, len(runs), 2048):  # a long text never becomes one large matrix
         np.minimum(least, (runs[at : at + 2048, None] * a + b).min(axis=0), out=least)
     least ^= least >> np.uint64(32)
-    return ((least * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)).astype("<u2").tobytes()
+    return ((least * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def copies(rows: DataFrame, record: str, text: str) -> DataFrame:
+    """(id, rep): every text and the smallest id with exactly the same characters."""
+    keyed = rows.where(F.col(text).isNotNull() & F.col(record).isNotNull()).select(F.col(record).alias("id"), F.unhex(F.md5(text)).alias("same"))
+    reps = keyed.groupBy("same").agg(F.min("id").alias("rep"))
+    return keyed.join(reps, "same").select("id", "rep").distinct()
+
+
+def _listed(ids: DataFrame) -> DataFrame:
+    """ids (one column), marked for broadcast if few enough."""
+    return F.broadcast(ids) if ids.count() <= MOST_IDS else ids
 
 
 def sketches(rows: DataFrame, record: str, text: str, run: int, least_words: int) -> DataFrame:
-    """(record, same, runs, symbols, bits): `same` is equal for texts of the same words in the same order."""
+    """(id, runs, symbols, bits) of texts with at least `least_words` words."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Shingler(run)
@@ -89,15 +108,14 @@ def sketches(rows: DataFrame, record: str, text: str, run: int, least_words: int
                     continue
                 s = cut.runs(words)
                 sym = _symbols(s)
-                low = np.packbits(np.frombuffer(sym, "<u2")[:BITS] & 1).tobytes()
-                same = hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass")).digest()
-                out.append((i, same, len(s), sym, int.from_bytes(low[:8], "big", signed=True), int.from_bytes(low[8:], "big", signed=True)))
-            cols = list(zip(*out)) if out else [()] * 6
-            kinds = (batch.schema.field(0).type, pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["id", "same", "runs", "symbols", "bits0", "bits1"])
+                low = np.packbits(np.frombuffer(sym, np.uint8)[:BITS] & 1).tobytes()
+                out.append((i, len(s), sym, int.from_bytes(low[:8], "big", signed=True), int.from_bytes(low[8:], "big", signed=True)))
+            cols = list(zip(*out)) if out else [()] * 5
+            kinds = (batch.schema.field(0).type, pa.int32(), pa.binary(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["id", "runs", "symbols", "b0", "b1"])
 
     kind = rows.schema[record].dataType.simpleString()
-    return rows.where(F.col(text).isNotNull() & F.col(record).isNotNull()).select(record, text).mapInArrow(make, f"id {kind}, same binary, runs int, symbols binary, bits0 long, bits1 long")
+    return rows.where(F.col(text).isNotNull() & F.col(record).isNotNull()).select(record, text).mapInArrow(make, f"id {kind}, runs int, symbols binary, b0 long, b1 long")
 
 
 def collisions(sketch: DataFrame) -> tuple[int, dict[int, float]]:
@@ -105,9 +123,8 @@ def collisions(sketch: DataFrame) -> tuple[int, dict[int, float]]:
 
     Counted over all sketches on one partition per width; one row per width reaches the driver.
     """
-    one = sketch.groupBy("same").agg(F.min("symbols").alias("symbols"))
-    parts = F.array(*[F.struct(F.lit(r).alias("r"), F.xxhash64(F.lit(r), F.substring("symbols", 1, 2 * r)).alias("h")) for r in WIDTHS])
-    each = one.select(F.explode(parts).alias("p")).groupBy("p.r", "p.h").agg(F.count(F.lit(1)).alias("c"))
+    parts = F.array(*[F.struct(F.lit(r).alias("r"), F.xxhash64(F.lit(r), F.substring("symbols", 1, r)).alias("h")) for r in WIDTHS])
+    each = sketch.select(F.explode(parts).alias("p")).groupBy("p.r", "p.h").agg(F.count(F.lit(1)).alias("c"))
     rows = each.groupBy("r").agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs")).collect()
     return max([r["n"] for r in rows], default=0), {r["r"]: float(r["pairs"]) for r in rows}
 
@@ -118,7 +135,7 @@ def allocate(n: int, pairs: dict[int, float], threshold: float, miss: float = MI
     logarithm of that chance."""
     need = math.log(1 / miss)
     gain = {r: math.log(1 / (1 - threshold**r)) for r in WIDTHS}
-    cost = {r: n + 2.0 * pairs.get(r, 0.0) for r in WIDTHS}
+    cost = {r: n + PAIR_COST * pairs.get(r, 0.0) for r in WIDTHS}
     unit = need / steps
     best, pick = [0.0] + [math.inf] * steps, [0] * (steps + 1)
     for s in range(1, steps + 1):
@@ -146,9 +163,9 @@ def partitions(widths: list[int]) -> list[list[int]]:
 
 def _probe(i: int, symbols: list[int]) -> Column:
     if symbols == list(range(symbols[0], symbols[0] + len(symbols))):
-        value = F.substring("symbols", 2 * symbols[0] + 1, 2 * len(symbols))
+        value = F.substring("symbols", symbols[0] + 1, len(symbols))
     else:
-        value = F.concat(*[F.substring("symbols", 2 * s + 1, 2) for s in symbols])
+        value = F.concat(*[F.substring("symbols", s + 1, 1) for s in symbols])
     return F.xxhash64(F.lit(i), value)
 
 
@@ -156,29 +173,47 @@ def similar(rows: DataFrame, threshold: float = 0.8, run: int = 5, least_words:
     """(pairs, members) of texts whose sets of word runs have a Jaccard similarity of `threshold` or more.
 
     members (id, rep): every text with at least `least_words` words and the smallest id among its exact
-    copies (same words in order); pairs (rep_a, rep_b, similarity), rep_a < rep_b, between different texts.
+    copies; pairs (rep_a, rep_b, similarity), rep_a < rep_b, between different texts.
     Copies are thus never multiplied out. Null texts and ids and shorter texts are in neither.
     """
-    sketch = written(sketches(rows, record, text, run, least_words), "sketch")
-    reps = sketch.groupBy("same").agg(F.min("id").alias("rep"))
-    members = sketch.join(reps, "same").select("id", "rep")
+    members = written(copies(rows, record, text), "members")
+    extra = members.where("id <> rep").select("id")
+    single = rows.join(_listed(extra), F.col(record) == F.col("id"), "left_anti")
+    sketch = written(sketches(single, record, text, run, least_words), "sketch")
     n, counted = collisions(sketch)
     probes = partitions(allocate(n, counted, threshold))
-    # A text's 64-bit number stands for all its copies, so that copies fold before and in the shuffle.
-    node = sketch.select(F.xxhash64("same").alias("node"), "symbols")
-    found = node.select("node", F.explode(F.array(*[_probe(i, p) for i, p in enumerate(probes)])).alias("probe")).distinct()
-    a, b = found.alias("a"), found.alias("b")
-    candidates = a.join(b, (F.col("a.probe") == F.col("b.probe")) & (F.col("a.node") < F.col("b.node"))).select(F.col("a.node").alias("na"), F.col("b.node").alias("nb")).distinct()
+    near = written(candidates(sketch, probes, threshold), "near")
+    return verified(rows, near, threshold, run, record, text), members.join(sketch.select("id").withColumnRenamed("id", "rep"), "rep", "left_semi").select("id", "rep")
+
+
+def candidates(sketch: DataFrame, probes: list[list[int]], threshold: float) -> DataFrame:
+    """(rep_a, rep_b): different texts that agree on a probe and pass the cheap check.
+
+    One exchange by probe value serves everything: inside it the texts of a value are numbered and
+    gathered in blocks of bounded size; only values of several blocks meet again in a join.
+    """
+    each = sketch.select(F.struct(F.col("id").alias("rep"), "runs", "b0", "b1").alias("t"), F.explode(F.array(*[_probe(i, p) for i, p in enumerate(probes)])).alias("probe"))
+    place = F.row_number().over(W.partitionBy("probe").orderBy("t.rep")) - 1
+    blocks = each.withColumn("block", F.floor(place / BLOCK)).groupBy("probe", "block").agg(F.collect_list("t").alias("ts"))
+    blocks = blocks.where("size(ts) > 1 OR block > 0").withColumn("long", (F.size("ts") >= BLOCK) | (F.col("block") > 0))
     # One-bit check: differing low bits at the threshold are binomial with (1 - t) / 2.
     p = (1 - threshold) / 2
     most = BITS * p + SIGMAS * math.sqrt(BITS * p * (1 - p))
-    short = sketch.groupBy("same").agg(F.min("id").alias("rep"), F.min("runs").alias("runs"), F.min("bits0").alias("b0"), F.min("bits1").alias("b1")).withColumn("node", F.xxhash64("same")).drop("same")
-    side = lambda s: short.select(*[F.col(c).alias(f"{c}_{s}") for c in ("node", "rep", "runs", "b0", "b1")])
-    near = candidates.join(side("a"), F.col("na") == F.col("node_a")).join(side("b"), F.col("nb") == F.col("node_b"))
-    apart = F.bit_count(F.col("b0_a").bitwiseXOR(F.col("b0_b"))) + F.bit_count(F.col("b1_a").bitwiseXOR(F.col("b1_b")))
-    fits = F.least("runs_a", "runs_b") >= threshold * F.greatest("runs_a", "runs_b")
-    near = written(near.where((apart <= most) & fits).select(F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b")), "near")
-    return verified(rows, near, threshold, run, record, text), members
+    apart = F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0"))) + F.bit_count(F.col("x.b1").bitwiseXOR(F.col("y.b1")))
+    fits = F.least("x.runs", "y.runs") >= threshold * F.greatest("x.runs", "y.runs")
+    close = (F.col("x.rep") < F.col("y.rep")) & (apart <= most) & fits
+    ends = [F.col("x.rep").alias("rep_a"), F.col("y.rep").alias("rep_b")]
+    # One pass gives the pairs inside blocks and, as pairs of a text with itself, the texts of long sets.
+    met = blocks.select("probe", "block", "long", F.explode("ts").alias("x"), "ts").select("probe", "block", "long", "x", F.explode("ts").alias("y"))
+    itself = F.col("long") & (F.col("x.rep") == F.col("y.rep"))
+    met = written(met.where(close | itself).select(*ends, *[F.when(itself, F.col(c)).alias(c) for c in ("probe", "block", "x")]), "met")
+    inside, rest = met.where("x IS NULL").select("rep_a", "rep_b"), met.where("x IS NOT NULL").select("probe", "block", "x")
+    if rest.isEmpty():
+        return inside.distinct()
+    sets = rest.groupBy("probe", "block").agg(F.collect_list("x").alias("ts"))
+    a, b = sets.select("probe", F.col("block").alias("ba"), F.col("ts").alias("xs")), sets.select("probe", F.col("block").alias("bb"), F.col("ts").alias("ys"))
+    across = a.join(b, "probe").where("ba < bb").select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y")).where(close).select(*ends)
+    return inside.unionByName(across).distinct()
 
 
 def verified(rows: DataFrame, pairs: DataFrame, threshold: float, run: int, record: str, text: str) -> DataFrame:
@@ -192,7 +227,7 @@ def verified(rows: DataFrame, pairs: DataFrame, threshold: float, run: int, reco
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "runs"])
 
     wanted = pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("w")).distinct()
-    texts = rows.where(F.col(text).isNotNull()).select(F.col(record).alias("id"), F.col(text).alias("t")).join(wanted, F.col("id") == F.col("w"), "left_semi")
+    texts = rows.where(F.col(text).isNotNull()).select(F.col(record).alias("id"), F.col(text).alias("t")).join(_listed(wanted), F.col("id") == F.col("w"), "left_semi")
     sets = texts.select("id", "t").mapInArrow(make, f"id {kind}, runs array<bigint>").groupBy("id").agg(F.first("runs").alias("runs"))
     a, b = sets.select(F.col("id").alias("rep_a"), F.col("runs").alias("ra")), sets.select(F.col("id").alias("rep_b"), F.col("runs").alias("rb"))
     both = F.size(F.array_intersect("ra", "rb"))
