@@ -25,7 +25,7 @@ def leading(c: Column) -> Column:
 
 def bullets(c: Column) -> Column:
     """Private-use glyphs U+F000 to U+F0FF, which symbol fonts leave behind, as bullets."""
-    return F.regexp_replace(c, r"[-]", "• ")
+    return F.regexp_replace(c, r"[\uF000-\uF0FF]", "• ")
 
 
 def whitespace(c: Column) -> Column:

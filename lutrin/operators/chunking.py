@@ -41,8 +41,8 @@ def raw_chunks(pages: DataFrame, settings: Settings = Settings(), rules=RULES) -
     """
     placed = spans.layout(pages).withColumn("doc_family", family(F.col("source_path"), rules))
     structured, other = placed.where(F.col("doc_family") == STRUCTURED), placed.where(F.col("doc_family") != STRUCTURED)
-    by_article = spans.cut(structured, spans.articles(structured, settings.chunk_size))
-    annexes = spans.headers(structured, spans.ANNEXE, 0, True)
+    by_article = written(spans.cut(structured, spans.articles(structured, settings.chunk_size)), "articles")
+    annexes = written(spans.headers(structured, spans.ANNEXE, 0, True), "annexes")
     by_article = spans.asof(by_article, annexes, "off")
     # A chunk that begins after blanks still belongs to the article its span was cut from.
     in_annexe = F.coalesce(F.col("pos"), F.lit(-1)) > F.col("article_pos")
@@ -52,7 +52,7 @@ def raw_chunks(pages: DataFrame, settings: Settings = Settings(), rules=RULES) -
         F.when(in_annexe, F.concat(F.lit("[Section: "), title, F.lit("]\n"), F.col("content"))).otherwise(F.col("content")).alias("content"),
     )
     by_window = spans.cut(other, spans.windows(other, settings.chunk_size, settings.chunk_overlap)).select("source_path", "s", "off", "page", F.lit(None).cast("string").alias("section"), "content")
-    return numbered(by_article.unionByName(by_window), "s").withColumn("doc_family", family(F.col("source_path"), rules))
+    return numbered(written(by_article.unionByName(by_window), "raw"), "s").withColumn("doc_family", family(F.col("source_path"), rules))
 
 
 def chunks(pages: DataFrame, settings: Settings = Settings(), rules=RULES) -> DataFrame:

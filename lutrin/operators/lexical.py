@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lutrin.functions.text import term_counts, tokens
+from lutrin.functions.text import term_counts
+from lutrin.plans.scale import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -30,13 +31,15 @@ def index(chunks: DataFrame) -> LexicalIndex:
     a term in more than half of the chunks, which would be negative, is a quarter of the mean idf.
     """
     rows = chunks.select("chunk_ord", F.coalesce("content", F.lit("")).alias("content"))
-    postings = rows.select("chunk_ord", F.explode(term_counts(F.col("content"))).alias("t")).select("t.term", "chunk_ord", "t.tf")
-    lengths = rows.select("chunk_ord", F.size(tokens(F.col("content"))).cast("long").alias("dl"))
+    # Postings and lengths are read several times by every search: one pass over the texts writes them.
+    counted = written(rows.select("chunk_ord", term_counts(F.col("content")).alias("ts")), "postings")
+    postings = counted.select("chunk_ord", F.explode("ts").alias("t")).select("t.term", "chunk_ord", "t.tf")
+    lengths = counted.select("chunk_ord", F.aggregate("ts", F.lit(0).cast("long"), lambda a, t: a + t.tf).alias("dl"))
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = df.crossJoin(F.broadcast(stats)).withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))  # stats: one row
     mean = raw.agg(F.avg("raw").alias("mean"))
-    terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))  # mean: one row
+    terms = written(raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf")), "idf")  # mean: one row
     return LexicalIndex(postings, lengths, terms, stats)
 
 
@@ -62,7 +65,7 @@ def top(scored: DataFrame, queries: DataFrame, corpus: DataFrame, k: int) -> Dat
     k + (matched by the query) ones, so no query is joined with the whole corpus.
     """
     by_score = [F.round("bm25_score", 9).desc(), F.col("chunk_ord").desc()]
-    kept = scored.join(corpus.select("chunk_ord"), "chunk_ord", "left_semi")
+    kept = written(scored.join(corpus.select("chunk_ord"), "chunk_ord", "left_semi"), "scored")
     counts = queries.select("query_id").join(kept.groupBy("query_id").agg(F.count(F.lit(1)).alias("m"), F.sum((F.round("bm25_score", 9) > 0).cast("long")).alias("pos")), "query_id", "left").na.fill(0, ["m", "pos"])
     short = counts.where(F.col("pos") < k)
     most = short.agg(F.max("m")).first()[0]

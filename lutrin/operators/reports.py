@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from lutrin.functions import text as X
@@ -27,7 +31,7 @@ def passages(hits: DataFrame, rank: str = "rank") -> DataFrame:
 
 
 def debug_line() -> Column:
-    n = lambda c, f: F.coalesce(F.format_string(f, F.col(c)), F.lit("n/a"))
+    n = lambda c, f: F.when(F.col(c).isNull(), F.lit("n/a")).otherwise(F.format_string(f, F.col(c)))
     some = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("n/a"))
     return F.concat_ws(" | ", X.basename(F.col("source_path")), F.col("doc_family"), n("dense_score", "%.4f"), n("bm25_score", "%.4f"), F.format_string("%.5f", F.col("score")), some("page"), some("section"), F.substring("content", 1, 200))
 
@@ -44,14 +48,26 @@ def citations(hits: DataFrame, rank: str = "rank") -> DataFrame:
     return hits.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("citations"))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _strings(raw: pd.Series) -> pd.Series:
+    def parse(text: str | None) -> list[str]:
+        try:
+            items = json.loads(text or "")
+        except ValueError:
+            return []
+        return [x for x in items if isinstance(x, str) and x.strip()] if isinstance(items, list) else []
+
+    return raw.map(parse)
+
+
 def bracketed_strings(raw: Column) -> Column:
-    """Non-blank strings of the JSON list between the first [ and the last ]; an empty array otherwise."""
-    raw = X.strip(raw)
+    """Non-blank strings of the JSON list between the first [ and the last ]; an empty array otherwise.
+
+    Spark's JSON functions overlook what follows a value, so the few replies of a question set are parsed
+    in Python.
+    """
     a, b = F.locate("[", raw), F.length(raw) - F.locate("]", F.reverse(raw)) + 1
-    inner = F.when((a > 0) & (F.locate("]", raw) > 0) & (b > a), F.substring(raw, a, b - a + 1))
-    items = F.filter(F.from_json(inner, "array<variant>"), lambda v: (F.schema_of_variant(v) == "STRING"))
-    strings = F.transform(items, lambda v: F.variant_get(v, "$", "string"))
-    return F.coalesce(F.filter(strings, lambda s: X.strip(s) != ""), F.array().cast("array<string>"))
+    return _strings(F.when((a > 0) & (F.locate("]", raw) > 0) & (b > a), F.substring(raw, a, b - a + 1)))
 
 
 def missing(expected: Column, found_in: Column) -> Column:

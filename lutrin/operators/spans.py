@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lutrin.functions.text import leading, strip
-from lutrin.plans.scale import HOT_ROWS, hot_keys, running_sum
+from lutrin.plans.scale import HOT_ROWS, hot_keys, running_sum, written
 
 #: Characters of a file that meet in one join key; spans and pages fall into the blocks they touch.
 BLOCK = 8192
@@ -20,7 +20,7 @@ REACH = 400
 # Header patterns of articles (group 1 is the code) and annexes, as Java patterns.
 ARTICLE = r"(?U)(?<!\()\b((?:UG(?:SU)?|UV|N|A|P)\w*\.\d+(?:\.\d+)*)\s+[A-ZÀÂÄÉÈÊËÎÏÔÙÛÜŸÇ][a-zàâäéèêëîïôùûüÿç]"
 ANNEXE = r"(?iUd)A\s*NNEXE\s+[IVXLCDM]+\s*[:\–\-]?\s*[A-ZÀÂÄÉÈÊËÎÏÔÙÛÜŸÇ][^\n]{0,120}"
-SENTINEL = ""
+SENTINEL = "\u0001"
 
 
 def layout(pages: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -33,7 +33,8 @@ def layout(pages: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     hot = hot_keys(one, "source_path", hot_rows)
     run = running_sum(one, "source_path", "page_num", "step", "end", hot)
     run = running_sum(run.withColumn("one", F.lit(1).cast("long")), "source_path", "page_num", "one", "seq", hot)
-    return run.select("source_path", "page_num", "text", "n", (F.col("end") - F.col("step")).alias("start"), "seq")
+    # Every later step reads the pages with their offsets: they are written once.
+    return written(run.select("source_path", "page_num", "text", "n", (F.col("end") - F.col("step")).alias("start"), "seq"), "layout")
 
 
 def totals(placed: DataFrame) -> DataFrame:
@@ -85,7 +86,7 @@ def headers(placed: DataFrame, pattern: str, group: int, bracketed: bool) -> Dat
     plain = pattern[pattern.index(")") + 1 :]
     flags = pattern[: pattern.index(")") + 1]
     pieces = F.split(F.regexp_replace(whole, f"{flags}({plain})", SENTINEL + "$1"), SENTINEL, -1)
-    each = x.select("source_path", "start", "n", F.posexplode(pieces).alias("i", "piece"), pieces.alias("all"))
+    each = x.select("source_path", "start", "n", pieces.alias("all")).where(F.size("all") > 1).select("*", F.posexplode("all").alias("i", "piece"))
     at = F.aggregate(F.slice("all", F.lit(1), F.col("i")), F.lit(0), lambda acc, p: acc + F.length(p))
     found = each.where("i > 0").withColumn("at", at).where("at < n")
     if bracketed:
@@ -97,8 +98,8 @@ def articles(placed: DataFrame, size: int, hot_rows: int = HOT_ROWS) -> DataFram
     """(source_path, s, e, article_pos, code): text from each article header to the next, in spans of at
     most `size`. Text before a file's first header is left out; a file without headers is cut as a whole.
     The next header is found by its number, with a join, so a hot file needs no window of its own."""
-    heads = headers(placed, ARTICLE, 1, False).withColumn("one", F.lit(1).cast("long"))
-    heads = running_sum(heads, "source_path", "pos", "one", "k", hot_keys(heads, "source_path", hot_rows)).drop("one")
+    heads = written(headers(placed, ARTICLE, 1, False).withColumn("one", F.lit(1).cast("long")), "heads")
+    heads = written(running_sum(heads, "source_path", "pos", "one", "k", hot_keys(heads, "source_path", hot_rows)).drop("one"), "heads")
     follow = heads.select(F.col("source_path").alias("fp"), (F.col("k") - 1).alias("fk"), F.col("pos").alias("end"))
     t = totals(placed)
     spans = heads.join(follow, (F.col("source_path") == F.col("fp")) & (F.col("k") == F.col("fk")), "left").join(t, "source_path").select(
@@ -118,6 +119,7 @@ def asof(left: DataFrame, right: DataFrame, at: str, hot_rows: int = HOT_ROWS) -
     events = right.select("source_path", (F.col("pos") * 2).alias("o"), F.lit(1).cast("long").alias("w"), F.lit(None).cast("long").alias("at")).unionByName(
         left.select("source_path", (F.col(at) * 2 + 1).alias("o"), F.lit(0).cast("long").alias("w"), F.col(at).alias("at"))
     ).distinct()
+    events = written(events, "events")
     counted = running_sum(events, "source_path", "o", "w", "k", hot_keys(events, "source_path", hot_rows))
     l_num = counted.where("w = 0").select("source_path", F.col("at").alias(at), "k")
     r_num = counted.where("w = 1").select("source_path", (F.col("o") / 2).cast("long").alias("pos"), "k").join(right, ["source_path", "pos"]).groupBy("source_path", "k").agg(F.first("pos").alias("pos"), F.min("title").alias("title"))
