@@ -1,0 +1,149 @@
+import random
+
+import pytest
+
+from lutrin.llm import lookalike, personal, scans, splitting
+from pyspark.sql import functions as F
+
+CLEAN = "Règlement écrit : œuvre, m² • – ¬ λ 🏗 d'été"
+
+
+def test_fold_and_suspects(spark):
+    pairs = {"Règlеment": "Règlement", "ＬＳ　１２": "LS 12", "ﬁn": "fin", "Ⅸ b": "IX b", "été": "été", "a​b": "ab", "a b": "ab".replace("b", " b"), CLEAN: CLEAN, "": ""}
+    df = spark.createDataFrame([(k,) for k in pairs], "v string")
+    got = {r["v"]: (r["f"], r["s"]) for r in df.select("v", lookalike.fold(F.col("v")).alias("f"), lookalike.suspect(F.col("v")).alias("s")).collect()}
+    assert {k: v[0] for k, v in got.items()} == pairs
+    assert {k for k, v in got.items() if not v[1]} == {CLEAN, ""}
+
+
+def test_classes_take_the_clean_member(spark):
+    rows = [(1, "a/Été.pdf", "le mur est là"), (2, "a/Été.pdf", "le mur est là"), (3, "a/Été.pdf", "le mur est là"), (4, None, None), (5, "b/x", ""), (6, "a/été.pdf", "lе mur\nest")]
+    df = spark.createDataFrame(rows, "chunk_ord long, source_path string, content string")
+    got = {(r["chunk_ord"], r["field"]): r["canonical"] for r in lookalike.canonical(df, "chunk_ord", ["source_path"], "content").collect()}
+    assert got == {(2, "source_path"): "a/Été.pdf", (3, "content"): "le mur est là", (6, "content"): "le mur\nest"}
+    assert lookalike.canonical(df.limit(0), "chunk_ord", ["source_path"], "content").count() == 0
+
+
+def greedy(text, limit, overlap):
+    marks, at = set(), 0
+    import re
+
+    step = limit - overlap
+    for s in re.split(r"(?<=[.!?…;:])(?=\s)|(?<=\n)", text):
+        parts = [s]
+        if len(s) > step:
+            parts = [h for w in re.split(r"(?<=\s)(?=\S)", s) for h in ([w[i : i + step] for i in range(0, len(w), step)] if len(w) > step else [w])]
+        for p in parts:
+            at += len(p)
+            marks.add(at)
+    marks = {m for m in marks if m > overlap}
+    if min(marks) > limit:
+        marks.add(limit)
+    e, out = overlap, []
+    while e < len(text):
+        nxt = max(m for m in marks if e < m <= e + step)
+        out.append((max(e - overlap, 0), nxt))
+        e = nxt
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pieces_are_the_greedy_cuts(spark, seed):
+    rng = random.Random(seed)
+    texts = ["".join(rng.choices("ab c.\n" if rng.random() < 0.7 else "abcdefgh", k=rng.randint(0, 400))) for _ in range(12)] + ["é" * 300, None, "", "🏗 " * 80]
+    df = spark.createDataFrame([(i % 5, t, None, i) for i, t in enumerate(texts)], "chunk_ord long, content string, section string, page int")
+    rows = splitting.split(df, limit=60, overlap=12).collect()
+    for i, t in enumerate(texts):
+        mine = sorted((r for r in rows if r["page"] == i), key=lambda r: r["piece"])
+        if t is None:
+            assert not mine
+        elif len(t) <= 60:
+            assert [(r["piece"], r["piece_text"]) for r in mine] == [(0, t)]
+        else:
+            assert [(r["start_pos"], r["end_pos"]) for r in mine] == greedy(t, 60, 12)
+            assert all(len(r["piece_text"]) <= 60 and t[r["start_pos"] : r["end_pos"]] == r["piece_text"] for r in mine)
+            assert all(a["end_pos"] - b["start_pos"] == 12 for a, b in zip(mine, mine[1:]))
+
+
+def test_blocks_of_a_long_text(spark, monkeypatch):
+    monkeypatch.setattr(splitting, "BLOCK", 100)
+    t = " ".join(f"mot{i}." for i in range(200))
+    rows = splitting.split(spark.createDataFrame([(1, t, "s", 1)], "chunk_ord long, content string, section string, page int"), limit=60, overlap=12).orderBy("piece").collect()
+    assert [(r["start_pos"], r["end_pos"]) for r in rows] == greedy(t, 60, 12)
+
+
+TEXT = (
+    "Mme Solène de Vilpelquier habite 12 bis, rue de l'Étang Rond - 99123 Mirvaux.\nTél. +33 (0)6 39 98 12 34 ou s.v [arobase] poste [point] example. "
+    "NIR : 1 84 03 99 995 655 49, passeport 17TR20242. DUPONT Jean, riverain. Permis PC 099 340 10 00041, 2,5 pour 100 @ 2025. La rue Camille Durand est longue. Me T. Brun."
+)
+
+
+def test_details():
+    got = {(k, personal.as_value(TEXT[a:b])) for k, a, b in personal.details(TEXT)}
+    assert got == {
+        ("name", "Solène de Vilpelquier"), ("address", "12 bis, rue de l'Étang Rond - 99123 Mirvaux"), ("phone", "+33 (0)6 39 98 12 34"), ("email", "s.v [arobase] poste [point] example"),
+        ("id_number", "1 84 03 99 995 655 49"), ("id_number", "17TR20242"), ("name", "DUPONT Jean"), ("name", "T. Brun"),
+    }
+    assert personal.details("") == [] == personal.details(None)
+
+
+def test_pseudonyms_keep_format_and_links():
+    key = b"k"
+    f = [personal.feistel(key, "x", f"{i:03d}") for i in range(1000)]
+    assert sorted(f) == [f"{i:03d}" for i in range(1000)] and f != sorted(f)
+    a, b = personal.pseudonym(key, "phone", "06 39 98 12 34"), personal.pseudonym(key, "phone", "+33 6.39.98.12.34")
+    assert len(a) == 14 and a[:2] == "06" and "".join(c for c in a if c.isdigit())[-8:] == "".join(c for c in b if c.isdigit())[-8:]
+    n = personal.pseudonym(key, "id_number", "1 84 03 99 995 655 49")
+    assert personal._nir_ok(personal._NIR.fullmatch(n).groups()) and n != "1 84 03 99 995 655 49"
+    assert personal.pseudonym(key, "name", "A B") == personal.pseudonym(key, "name", "A  B".replace("  ", " "))
+
+
+def test_find_and_replace_tables(spark):
+    df = spark.createDataFrame([(1, TEXT, "x"), (2, None, "x"), (3, "", "x"), (1, TEXT, "x")], "doc_id long, text string, kind string")
+    found = personal.find(df)
+    assert found.count() == 16
+    rows = personal.replace(df, "k").collect()
+    assert [r["text"] for r in rows if r["doc_id"] > 1] == [None, ""]
+    new = rows[0]["text"]
+    assert "Vilpelquier" not in new and "[NAME " in new and "habite [ADDRESS" in new and "La rue Camille Durand" in new
+    assert personal.find(df.limit(0)).count() == 0
+
+
+def body(i):
+    return f"Le règlement de la commune fixe la hauteur des constructions numéro {i} dans le secteur et la marge du terrain."
+
+
+def pages():
+    """Pages of a scanned file with header, page number, broken words and misread characters."""
+    rows = []
+    for i in range(1, 41):
+        lines = ["Plan local de Valmorane", body(i), body(i + 1), "", body(i + 2), "la cons-", "truction du marché-", "vieux et le procès-", "verbal.", "secteur", f"Page {i} sur 40"]
+        rows.append(("doc_pages", i, "f.pdf", i, "\n".join(lines)))
+    rows += [("chunks", 1, "f.pdf", None, "Plan local de Valmorane\nLa hauteur des constructi0ns et la rnarge du secfeur numéro 7\nfixe la sur¬\nface."), ("chunks", 2, "g.pdf", None, "le marché-vieux et le procès-verbal, la construction, " * 20), ("chunks", 3, "g.pdf", None, None), ("chunks", 4, None, None, "")]
+    return rows
+
+
+ROWS = "origin string, row_id long, path string, page int, text string"
+
+
+def test_noise_of_pages(spark):
+    noise = scans.Noise(spark.createDataFrame(pages(), ROWS))
+    found = {tuple(r) for r in noise.found().collect()}
+    for i in (1, 17, 40):
+        assert {(n, k) for o, r, n, k in found if (o, r) == ("doc_pages", i)} == {(1, "furniture"), (11, "furniture"), (6, "hyphen")}
+    assert {(n, k) for o, r, n, k in found if (o, r) == ("chunks", 1)} == {(1, "furniture"), (2, "glyph"), (3, "hyphen")}
+    assert not {x for x in found if x[0] == "chunks" and x[1] > 1}
+    paras = {r["row_id"]: r["text"] for r in noise.paragraphs().where("origin = 'chunks'").collect()}
+    assert paras[1] == "La hauteur des constructions et la marge du secteur numéro 7 fixe la surface."
+    flow = [r["text"] for r in noise.paragraphs().where("origin = 'doc_pages'").collect()]
+    assert any("la construction du marché-vieux et le procès-verbal. secteur Le règlement" in t.replace("marché- vieux", "marché-vieux").replace("procès- verbal", "procès-verbal") for t in flow)
+
+
+def test_noise_of_empty_table(spark):
+    noise = scans.Noise(spark.createDataFrame([], ROWS))
+    assert noise.found().count() == 0 and noise.paragraphs().count() == 0
+
+
+def test_misread_positions():
+    assert scans.misread("rnarge", "marge") == [0] and scans.misread("secfeur", "secteur") == [3] and scans.misread("mur", "mur") is None and scans.misread("mots", "mur") is None
+    assert scans.skeleton("constriiction") == scans.skeleton("construction") and scans.mask("Secteur 12 – Notice") == scans.mask("SECTEUR 3 – NOTICE")
