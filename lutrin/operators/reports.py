@@ -15,6 +15,17 @@ from lutrin.functions import text as X
 GOLDEN = "id string, question string, expected_articles array<string>, expected_keywords array<string>, expected_answer_summary string, family string, complexity string"
 
 
+@F.pandas_udf(T.StringType())
+def _fixed(value: pd.Series, digits: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(v) else f"{v:.{d}f}" for v, d in zip(value, digits)])
+
+
+def fixed(value: Column, digits: int) -> Column:
+    """The number with so many digits, rounded on its exact binary value (Java rounds its shortest decimal
+    form). Only for the few rows of a report."""
+    return _fixed(value.cast("double"), F.lit(digits))
+
+
 def ordered_text(parts: Column, order: str, glue: str) -> Column:
     """Aggregate: the strings `parts` joined in the order of a column."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), parts.alias("t")))), lambda x: x.t), glue)
@@ -22,7 +33,7 @@ def ordered_text(parts: Column, order: str, glue: str) -> Column:
 
 def hit_line(hit: str = "") -> Column:
     c = lambda n: F.col(hit + n)
-    return F.concat(F.format_string("[score=%.3f] [", c("score")), c("doc_family"), F.lit("] "), c("source_path"), F.lit("\n"), X.excerpted(c("content")))
+    return F.concat(F.lit("[score="), fixed(c("score"), 3), F.lit("] ["), c("doc_family"), F.lit("] "), c("source_path"), F.lit("\n"), X.excerpted(c("content")))
 
 
 def passages(hits: DataFrame, rank: str = "rank") -> DataFrame:
@@ -31,9 +42,9 @@ def passages(hits: DataFrame, rank: str = "rank") -> DataFrame:
 
 
 def debug_line() -> Column:
-    n = lambda c, f: F.when(F.col(c).isNull(), F.lit("n/a")).otherwise(F.format_string(f, F.col(c)))
+    n = lambda c, d: F.coalesce(fixed(F.col(c), d), F.lit("n/a"))
     some = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("n/a"))
-    return F.concat_ws(" | ", X.basename(F.col("source_path")), F.col("doc_family"), n("dense_score", "%.4f"), n("bm25_score", "%.4f"), F.format_string("%.5f", F.col("score")), some("page"), some("section"), F.substring("content", 1, 200))
+    return F.concat_ws(" | ", X.basename(F.col("source_path")), F.col("doc_family"), n("dense_score", 4), n("bm25_score", 4), fixed(F.col("score"), 5), some("page"), some("section"), F.substring("content", 1, 200))
 
 
 def prompts(hits: DataFrame, questions: DataFrame, rank: str = "rank") -> DataFrame:
