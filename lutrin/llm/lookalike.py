@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 CYRILLIC = dict(zip("асԁеһіјӏоԛрѕԝхуѵАВЕЅІЈКМНОРСТХУԌԚԜ", "acdehijloqpswxyvABESIJKMHOPCTXYGQW"))
 GREEK = dict(zip("αινορυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aivopuABEZHIKMNOPTYX"))
 # Characters without width, and spaces other than U+0020.
-ZERO_WIDTH = "᠎​‌‍‎‏⁠⁡⁢⁣⁤﻿"
-SPACES = "               　"
+ZERO_WIDTH = "\u180e\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2063\u2064\ufeff"
+SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 # Combining accents that French, and other languages in Latin letters, put on letters.
-ACCENTS = "̧̨̣̀́̂̃̄̆̇̈̊̋̌"
+ACCENTS = "\u0300\u0301\u0302\u0303\u0304\u0306\u0307\u0308\u030a\u030b\u030c\u0323\u0327\u0328"
 
 
 def _one_to_one() -> dict[str, str]:
@@ -39,12 +39,27 @@ def _composed() -> dict[str, str]:
 
 
 ONE, MANY, PAIRS = _one_to_one(), _one_to_many(), _composed()
-SUSPECT = "[" + "".join((*ONE, *MANY)) + ZERO_WIDTH + "̀-ͯ]"
+
+
+def _ranges(chars: str) -> str:
+    """A character class in as few ranges as possible."""
+    points, out = sorted(set(map(ord, chars))), []
+    for p in points:
+        if out and p == out[-1][1] + 1:
+            out[-1][1] = p
+        else:
+            out.append([p, p])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
+
+
+SUSPECT = _ranges("".join((*ONE, *MANY)) + ZERO_WIDTH + "".join(map(chr, range(0x300, 0x370))))
+#: One wide range that holds all of them: most texts have no character in it and need no closer look.
+WIDE = r"[\x{a0}\x{300}-\x{ffff}]"
 
 
 def suspect(value: Column) -> Column:
     """Whether a value holds any character that the mapping replaces."""
-    return value.rlike(SUSPECT)
+    return value.rlike(WIDE) & value.rlike(SUSPECT)
 
 
 def _mapped(value: Column, table: dict[str, str], cut: str) -> Column:
@@ -115,10 +130,10 @@ def _by_word(rows: DataFrame, record: str, text: str) -> DataFrame:
     # Clean members are looked up among the words of clean texts, counted before the shuffle.
     wanted = odd.select("fold").distinct()
     clean = (
-        rows.where(F.col(text).isNotNull()).select(F.explode(F.array_distinct(F.regexp_extract_all(spaced, F.lit(r"[^ \n]+"), F.lit(0)))).alias("value"))
+        rows.where(~suspect(F.col(text))).select(F.explode(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " ")).alias("value"))
         .groupBy("value").agg(F.count(F.lit(1)).alias("n")).join(wanted, F.col("value") == F.col("fold"), "left_semi")
     )
-    mapped = classes(odd.select("value", "n").unionByName(clean.where(~suspect(F.col("value")))))
+    mapped = classes(odd.select("value", "n").unionByName(clean))
     joined = dirty.join(mapped, "value", "left")
     return (
         joined.groupBy("row").agg(F.first(record).alias(record), F.array_sort(F.collect_list(F.struct("pos", F.coalesce("canonical", "value").alias("v")))).alias("ws"))
