@@ -30,7 +30,7 @@ PAIRS = tuple(tuple(p.split(" ")) for p in CONFUSIONS.split(","))
 STROKES = str.maketrans(
     {c: "i" for c in "iltfrj1|"} | {c: "ii" for c in "nuhb8"} | {"m": "iii", "d": "ci"} | {c: "c" for c in "ecé(6"} | {"0": "o", "5": "s", "@": "a", "y": "v", "9": "g", "2": "z", "_": ""}
 )
-MARKS = "¬­‐‑"
+MARKS = "\u00ac\u00ad\u2010\u2011"
 #: Most frequent certain words that need no look-up; the rest is joined, so the number changes no result.
 KNOWN_WORDS = 20_000
 #: Headers handed to the Python workers; beyond it they are found by a join.
@@ -431,7 +431,7 @@ class Noise:
     def paragraphs(self) -> DataFrame:
         """(origin, path, row_id, page, paragraph, text): continuous paragraphs, reflowed by windows.
 
-        Lines of a row are joined by a space, or by nothing after a broken word; blank lines part
+        Lines of a row are joined by a space, or by nothing after a hyphen; blank lines part
         paragraphs. A page's first paragraph is added to the last of the page before (same path,
         number one less) if that ends without a closing sign; row_id and page are those of its start.
         Of a page delivered twice, the row with the smallest row_id is kept.
@@ -439,7 +439,8 @@ class Noise:
         by_line = W.partitionBy("origin", "row_id").orderBy("line_no")
         lines = self.lines().withColumn("line", F.trim(F.regexp_replace("line", r"[\s ]+", " ")))
         lines = lines.withColumn("para", F.sum((F.col("line") == "").cast("int")).over(by_line.rowsBetween(W.unboundedPreceding, W.currentRow))).where("line <> ''")
-        text = F.when(F.col("broken"), F.regexp_replace("line", rf"[-{MARKS}]$", "")).otherwise(F.concat("line", F.lit(" ")))
+        # A word that has a hyphen of its own keeps it, without a space.
+        text = F.when(F.col("broken"), F.regexp_replace("line", rf"[-{MARKS}]$", "")).when(F.col("line").rlike(r"\p{L}-$"), F.col("line")).otherwise(F.concat("line", F.lit(" ")))
         paras = lines.withColumn("text", text).groupBy("origin", "row_id", "path", "page", "para").agg(
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda s: s.text), "").alias("text"), F.max_by("broken", "line_no").alias("open"))
         paras = paras.withColumn("text", F.when(F.col("open"), F.col("text")).otherwise(F.rtrim("text")))
