@@ -159,7 +159,7 @@ SELECT query_id, chunk_ord, round(s, 6) bm25_score, br::INT bm25_rank FROM r WHE
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d DESC, chunk_ord) k FROM s) SELECT query_id, chunk_ord, round(d, 6) dense_score, k::INT dense_rank FROM r WHERE k <= 10""",
     "hybrid_search": f"WITH {_INDEX},{_ASKED},{_legs('q', 'num', 5)},{_BEST}",
     "hybrid_search_family": f"WITH {_INDEX},{_ASKED},{_legs('q', 'num', 5, chr(39) + 'annexes' + chr(39) + ',' + chr(39) + 'padd' + chr(39))},{_BEST}",
-    "hybrid_search_debug": f"WITH {_INDEX},{_ASKED},{_legs('q', 'num', 5)},{_BEST}".replace("SELECT query_id, chunk_ord, rank::INT rank, round(rrf, 9) score FROM z", "SELECT query_id, rank::INT rank, round(ds, 6) dense_score, round(bs, 6) bm25_score, dr::INT dense_rank, br::INT bm25_rank FROM z"),
+    "hybrid_search_debug": f"WITH {_INDEX},{_ASKED},{_legs('q', 'num', 5)},{_BEST}".replace("SELECT query_id, chunk_ord, rank::INT rank, round(rrf, 9) score FROM z", "SELECT query_id, rank::INT rank, coalesce(round(ds, 6), -1) dense_score, coalesce(round(bs, 6), -1) bm25_score, coalesce(dr, -1)::INT dense_rank, coalesce(br, -1)::INT bm25_rank FROM z"),
     "weighted_search": f"""WITH {_INDEX},{_ASKED},
 q1 AS (SELECT * FROM q WHERE len(expected_keywords) > 0), q2 AS (SELECT query_id, array_to_string(expected_keywords, ' ') AS text, num FROM q1), q3 AS (SELECT * FROM q WHERE coalesce(len(expected_keywords), 0) = 0),
 {_legs('q1', 'num', 5, '', 'a')},{_legs('q2', 'num', 5, '', 'b')},{_legs('q3', 'num', 5, '', 'c')},
@@ -169,7 +169,7 @@ z AS (SELECT query_id, chunk_ord, s, row_number() OVER (PARTITION BY query_id OR
 SELECT query_id, chunk_ord, rank::INT rank, round(s, 9) score FROM z WHERE rank <= 5""",
     "hit_passages": f"WITH {_lead_hits('score')} SELECT query_id, string_agg({_LINE}, chr(10) || chr(10) ORDER BY rank) AS passages FROM ld GROUP BY 1",
     "prompt_context": f"WITH {_lead_hits('score')} SELECT query_id, md5('Question: ' || any_value(question) || chr(10) || chr(10) || 'Context:' || chr(10) || string_agg('Source: ' || {_BASE} || chr(10) || 'Content: ' || substring(content, 1, 3000), chr(10) || chr(10) ORDER BY rank)) h FROM ld JOIN golden ON id = query_id GROUP BY 1",
-    "citation_rows": f"WITH {_lead_hits('score')} SELECT query_id, rank::INT rank, {_BASE} AS source, doc_family AS family, page, section FROM ld",
+    "citation_rows": f"WITH {_lead_hits('score')} SELECT query_id, rank::INT rank, {_BASE} AS source, doc_family AS family, coalesce(page, -1) AS page, section FROM ld",
     "debug_rows": f"WITH {_lead_hits('score')} SELECT query_id, rank::INT rank, concat_ws(' | ', {_BASE}, doc_family, coalesce(printf('%.4f', faiss_score), 'n/a'), coalesce(printf('%.4f', bm25_score), 'n/a'), printf('%.5f', score), coalesce(page::VARCHAR, 'n/a'), coalesce(section, 'n/a'), substring(content, 1, 200)) line FROM ld",
     "markdown_strip": r"""WITH d AS (SELECT doc_id, '**' || lang || '** *x*' || chr(10) || ' - ' || text || chr(10) || '* C:\docs\plu\REG1.pdf *fin' t FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL)
 SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\*\*(.*?)\*\*', '\1', 'g'), '\*(.*?)\*', '\1', 'g'), '(?m)^[ \t]*[*\-][ \t]+', '• ', 'g'), '[A-Za-z]:\\(?:[^\\<>:"/|?*\n]+\\)+([^\\<>:"/|?*\n]+)', '\1', 'g')) h FROM d""",

@@ -243,7 +243,9 @@ def hybrid_search_family(spark, sf):
 
 def hybrid_search_debug(spark, sf):
     hits = _searcher(spark, sf).search(_questions(spark, sf), 5)
-    return hits.select("query_id", "rank", F.round("dense_score", 6).alias("dense_score"), F.round("bm25_score", 6).alias("bm25_score"), "dense_rank", "bm25_rank")
+    # A leg that did not find the chunk shows as -1.
+    none = lambda c: F.coalesce(c, F.lit(-1)).alias
+    return hits.select("query_id", "rank", *[none(F.round(c, 6))(c) for c in ("dense_score", "bm25_score")], *[none(F.col(c))(c) for c in ("dense_rank", "bm25_rank")])
 
 
 def _expanded(spark, sf):
@@ -273,7 +275,7 @@ def prompt_context(spark, sf):
 
 def citation_rows(spark, sf):
     c = reports.citations(_lead(spark, sf))
-    return c.select("query_id", F.explode("citations").alias("c")).select("query_id", "c.rank", "c.source", "c.family", "c.page", "c.section")
+    return c.select("query_id", F.explode("citations").alias("c")).select("query_id", "c.rank", "c.source", "c.family", F.coalesce("c.page", F.lit(-1)).alias("page"), "c.section")
 
 
 def debug_rows(spark, sf):
