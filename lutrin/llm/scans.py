@@ -333,16 +333,37 @@ def _doubts(lines: list[str], body: list[int], ends: set[int], doubtful: set[str
 _SCAN = "origin row_id path page what line_no next_line cut word rest"
 
 
-def scan(rows: DataFrame, known: list[str], masks: list[str]) -> DataFrame:
-    known_set, mask_set = set(known), set(masks)
+def with_headers(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows with `masks`, the headers among their lines: the way for more headers than a worker should hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def texts():
+        for b in batches:
+            block = []
+            for origin, row, text in zip(*(c.to_pylist() for c in b.columns)):
+                for line in {x for x in (text or "").split("\n") if x and not x.isspace() and _may_be_header(x)}:
+                    m = _WITH_NUMBER.fullmatch(line)
+                    block += [(origin, row, k) for k in {mask(line), mask(m.group(2) or m.group(3)) if m else ""} if k]
+            yield _batch(block, "origin row_id key")
+
+    lines = rows.select("origin", "row_id", "text").mapInArrow(run, "origin string, row_id long, key string")
+    mine = lines.join(found, "key", "left_semi").groupBy("origin", "row_id").agg(F.collect_set("key").alias("masks"))
+    return rows.join(mine, ["origin", "row_id"], "left")
+
+
+def scan(rows: DataFrame, known: list[str], masks: list[str] | None) -> DataFrame:
+    """Noise and doubtful words of rows. masks: all headers, or None where each row has its own."""
+    known_set, mask_set = set(known), set(masks or ())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared = header_test(mask_set)
+
+        def found():
             for b in batches:
-                yield from zip(*(c.to_pylist() for c in b.columns))
+                for row in zip(*(c.to_pylist() for c in b.columns)):
+                    yield from _scan([row[:5]], known_set, shared if masks is not None else header_test(set(row[5] or ())))
 
         block: list[tuple] = []
-        for row in _scan(texts(), known_set, header_test(mask_set)):
+        for row in found():
             block.append(row)
             if len(block) >= 20_000:
                 yield _batch(block, _SCAN)
@@ -350,7 +371,7 @@ def scan(rows: DataFrame, known: list[str], masks: list[str]) -> DataFrame:
         yield _batch(block, _SCAN)
 
     schema = "origin string, row_id long, path string, page int, what string, line_no int, next_line int, cut int, word string, rest string"
-    return rows.select("origin", "row_id", "path", "page", "text").mapInArrow(run, schema)
+    return rows.select("origin", "row_id", "path", "page", "text", *(["masks"] if masks is None else [])).mapInArrow(run, schema)
 
 
 class Noise:
@@ -364,12 +385,12 @@ class Noise:
         self.rows = rows
         self.stats = written(statistics(rows), "scan-stats")
         self.readings = written(readings(self.stats), "readings")
-        head = [r[0] for r in headers(self.stats).limit(MOST_HEADERS + 1).collect()]
-        if len(head) > MOST_HEADERS:
-            raise ValueError(f"more than {MOST_HEADERS} different running headers: raise MOST_HEADERS with the workers' memory")
+        found = headers(self.stats)
+        head = [r[0] for r in found.limit(MOST_HEADERS + 1).collect()]
+        few = len(head) <= MOST_HEADERS
         certain = self.stats.where("kind = 'w'").join(self.readings, F.col("key") == F.col("read"), "left_anti")
         known = [r[0] for r in certain.orderBy(F.col("n").desc(), "key").limit(KNOWN_WORDS).select("key").collect()]
-        self.marks = written(scan(rows, known, head), "scan")
+        self.marks = written(scan(rows if few else with_headers(rows, found), known, head if few else None), "scan")
 
     def breaks(self) -> DataFrame:
         """(origin, row_id, line_no, next_line): lines that end inside a word broken to fit the line.

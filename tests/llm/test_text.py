@@ -147,3 +147,10 @@ def test_noise_of_empty_table(spark):
 def test_misread_positions():
     assert scans.misread("rnarge", "marge") == [0] and scans.misread("secfeur", "secteur") == [3] and scans.misread("mur", "mur") is None and scans.misread("mots", "mur") is None
     assert scans.skeleton("constriiction") == scans.skeleton("construction") and scans.mask("Secteur 12 – Notice") == scans.mask("SECTEUR 3 – NOTICE")
+
+
+def test_many_headers_are_joined(spark, monkeypatch):
+    df = spark.createDataFrame(pages(), ROWS)
+    want = {tuple(r) for r in scans.Noise(df).found().collect()}
+    monkeypatch.setattr(scans, "MOST_HEADERS", 0)
+    assert {tuple(r) for r in scans.Noise(df).found().collect()} == want
