@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -131,33 +132,86 @@ def collisions(sketch: DataFrame) -> tuple[int, dict[int, float]]:
 
 def allocate(n: int, pairs: dict[int, float], threshold: float, miss: float = MISS, steps: int = 4000) -> list[int]:
     """Widths of the partitions to probe: cheapest total of probes and expected candidates whose chance
-    to miss a pair at the threshold is at most `miss`. Unbounded knapsack by dynamic programming over the
-    logarithm of that chance."""
-    need = math.log(1 / miss)
-    gain = {r: math.log(1 / (1 - threshold**r)) for r in WIDTHS}
+    to miss a pair at the threshold is at most `miss`, re-used symbols counted (`missed`).
+
+    Unbounded knapsack by dynamic programming over the logarithm of the chance. Partitions of one shuffle
+    are independent, those of several are so only at a given number of agreeing symbols; where one
+    shuffle is not enough, the gains are therefore also taken at the mean number and at 1 to 3 standard
+    deviations below it, and each plan is extended until its true chance is within the bound.
+    """
     cost = {r: n + PAIR_COST * pairs.get(r, 0.0) for r in WIDTHS}
-    unit = need / steps
-    best, pick = [0.0] + [math.inf] * steps, [0] * (steps + 1)
-    for s in range(1, steps + 1):
-        for r in WIDTHS:
-            c = best[max(0, s - max(1, int(gain[r] / unit)))] + cost[r]
-            if c < best[s]:
-                best[s], pick[s] = c, r
-    out, s = [], steps
-    while s > 0:
-        out.append(pick[s])
-        s = max(0, s - max(1, int(gain[pick[s]] / unit)))
-    return sorted(out)
+    plans = [_plan({r: threshold**r for r in WIDTHS}, cost, threshold, miss, steps)]
+    if len(rounds(plans[0])) > 1:
+        mean, sd = SYMBOLS * threshold, math.sqrt(SYMBOLS * threshold * (1 - threshold))
+        for k in (int(mean - z * sd) for z in range(4)):
+            plans.append(_plan({r: math.comb(k, r) / math.comb(SYMBOLS, r) for r in WIDTHS if k >= r}, cost, threshold, miss, steps))
+    return min(plans, key=lambda p: sum(cost[r] for r in p))
+
+
+def _plan(chance: dict[int, float], cost: dict[int, float], threshold: float, miss: float, steps: int) -> list[int]:
+    """Cheapest widths by the chances to agree, with the least total gain whose true miss is within the bound."""
+    unit = math.log(1 / miss) / steps
+    gain = {r: max(1, int(-math.log1p(-q) / unit)) for r, q in chance.items()}
+    best, pick = [0.0], [0]
+
+    def widths(s: int) -> list[int]:
+        for at in range(len(best), s + 1):
+            c, r = min((best[max(0, at - g)] + cost[r], r) for r, g in gain.items())
+            best.append(c), pick.append(r)
+        out = []
+        while s > 0:
+            out.append(pick[s])
+            s = max(0, s - gain[pick[s]])
+        return sorted(out)
+
+    low, high = 0, steps
+    if missed(found := widths(steps), threshold) <= miss:
+        return found
+    while missed(found := widths(high), threshold) > miss:
+        low, high = high, high * 2
+    while high - low > steps // 100:
+        mid = (low + high) // 2
+        if missed(w := widths(mid), threshold) <= miss:
+            high, found = mid, w
+        else:
+            low = mid
+    return found
+
+
+def missed(widths: list[int], threshold: float) -> float:
+    """Chance that a pair at the threshold agrees on no partition: over the binomial number of agreeing
+    symbols, the product of every shuffle's exact chance (its partitions are disjoint)."""
+    log = [math.lgamma(SYMBOLS + 1) - math.lgamma(k + 1) - math.lgamma(SYMBOLS - k + 1) for k in range(SYMBOLS + 1)]
+    k = np.arange(SYMBOLS + 1)
+    left = np.exp(np.array(log) + k * math.log(threshold) + (SYMBOLS - k) * math.log1p(-threshold)) if threshold < 1 else (k == SYMBOLS).astype(float)
+    sets = np.array([float(math.comb(SYMBOLS, int(i))) for i in k])
+    for part, times in Counter(map(tuple, rounds(widths))).items():
+        # Choices of k agreeing symbols that leave no partition of this shuffle whole.
+        ways = np.array([float(math.comb(SYMBOLS - sum(part), i)) for i in range(SYMBOLS - sum(part) + 1)])
+        for r in part:
+            ways = np.convolve(ways, [float(math.comb(r, i)) for i in range(r)])
+        left = left * (np.pad(ways, (0, SYMBOLS + 1 - len(ways))) / sets) ** times
+    return float(left.sum())
+
+
+def rounds(widths: list[int]) -> list[list[int]]:
+    """Widths of the partitions that share one shuffle of the symbols."""
+    out: list[list[int]] = [[]]
+    for r in widths:
+        if sum(out[-1]) + r > SYMBOLS:
+            out.append([])
+        out[-1].append(r)
+    return out
 
 
 def partitions(widths: list[int]) -> list[list[int]]:
     """Symbols of each partition: disjoint while they last, then new shuffles of all symbols."""
     rng, order, out = np.random.default_rng(7), list(range(SYMBOLS)), []
-    for r in widths:
-        if len(order) < r:
+    for i, part in enumerate(rounds(widths)):
+        if i:
             order = [int(x) for x in rng.permutation(SYMBOLS)]
-        out.append(order[:r])
-        order = order[r:]
+        ends = np.cumsum([0, *part])
+        out += [order[a:b] for a, b in zip(ends, ends[1:])]
     return out
 
 

@@ -1,6 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from lutrin.llm import mixing, neardup, packing, tokens
@@ -65,6 +66,20 @@ def test_allocation_bounds_the_miss():
             assert miss <= neardup.MISS * 1.01
 
 
+@pytest.mark.parametrize("alike", [0.3, 0.4])
+def test_allocation_counts_symbols_used_again(alike):
+    # A third of the rows shares boilerplate: wide partitions, more symbols than there are.
+    n = 150_000
+    widths = neardup.allocate(n, {r: n**2 / 18 * alike**r for r in neardup.WIDTHS}, 0.6)
+    assert sum(widths) > neardup.SYMBOLS and neardup.missed(widths, 0.6) <= neardup.MISS
+    agree = np.random.default_rng(1).random((50_000, neardup.SYMBOLS)) < 0.6
+    found = np.zeros(len(agree), bool)
+    for p in neardup.partitions(widths):
+        found |= agree[:, p].all(axis=1)
+    assert 1 - found.mean() <= 1.5 * neardup.MISS  # three standard deviations of the simulation
+    assert abs(neardup.missed([3] * 9, 0.6) - (1 - 0.6**3) ** 9) < 1e-12
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], CHUNKS)
     pairs, members = neardup.similar(empty, 0.6, 3, 20, "chunk_ord", "content")
