@@ -49,12 +49,12 @@ S = r"[^\S\n]+|[^\S\n]*\n[^\S\n]*"  # white space with at most one line feed
 _MARK = re.compile(r"@\s*|[\[({<]\s*(?:a|at|arobase|arobas|chez)\s*[\])}>]\s*|a(?:robase|robas|t(?=\s+\S+\s+dot\s))(?=\s)\s+", re.I)
 _LOCAL = re.compile(r"[\w.+%-]+(?:\s*[\[(]\s*(?:point|dot)\s*[\])]\s*[\w+%-]+)*\s*\Z")
 _DOMAIN = re.compile(r"[\w-]+(?:(?:\.|\s*[\[({<]\s*(?:point|dot)\s*[\])}>]\s*|\s+(?:point|dot)\s+)[\w-]+)+", re.I)
-_NUMBER = re.compile(r"\d[\d\s.\-/()]{6,26}\d")
+_DIGIT = re.compile(r"[\d+(](?<![\w+.,/-].)")  # where a phone number may begin
 _PHONE = re.compile(
     r"(?<![\w+.,/-])(?:(?:\+|00)\s?33[\s.\-/]*(?:\(0\)[\s.\-/]*)?[1-9](?:[\s.\-/]*\d\d){4}|0[1-9](?:([\s.\-/]*)\d\d)(?:\1\d\d){3}"
     r"|\+(?!33)\d{1,3}[\s.-]?(?:\(\d{1,4}\)[\s.-]?)?\d{2,4}(?:[\s.-]?\d{2,4}){2,4}|\(\d{3}\)\s?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\d]|[.,/-]\d)"
 )
-_NIR = re.compile(r"(?<![\w+.,/-])([12])\s?(\d\d)\s?(\d\d)\s?(\d\d|2[AB])\s?(\d{3})\s?(\d{3})\s?(\d\d)(?!\w)")
+_NIR = re.compile(r"([12])(?<![\w+.,/-].)\s?(\d\d)\s?(\d\d)\s?(\d\d|2[AB])\s?(\d{3})\s?(\d{3})\s?(\d\d)(?!\w)")
 _CARD = re.compile(
     r"(?:(?:carte|pièce|papiers?)\s+(?:nationale\s+)?d[’']identité|\bCNI|\bCNIS|identity\s+(?:card|number)|\bID\s+(?:card|number))[\s:.]*(?:(?:n°|no|nº|number|numéro|num\.)[\s:.]*)?((?=[A-Z0-9]*\d)[A-Z0-9]{9}|\d{12})(?!\w)", re.I
 )
@@ -118,14 +118,15 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 
 
 def phones(text: str) -> Iterator[tuple[int, int]]:
-    for n in _NUMBER.finditer(text):
-        # A country sign or bracket may stand before the first digit; what follows decides its end.
-        yield from (m.span() for m in _PHONE.finditer(text, max(0, n.start() - 2), n.end() + 2))
+    end = 0
+    for c in _DIGIT.finditer(text):
+        if c.start() >= end and (m := _PHONE.match(text, c.start())):
+            end = m.end()
+            yield m.span()
 
 
 def identities(text: str) -> Iterator[tuple[int, int]]:
-    for n in _NUMBER.finditer(text):
-        yield from (m.span() for m in _NIR.finditer(text, n.start(), n.end() + 2) if _nir_ok(m.groups()))
+    yield from (m.span() for m in _NIR.finditer(text) if _nir_ok(m.groups()))
     if any(x in text for x in ("dentité", "dentity", "DENTIT", "CNI", "ID ", "Id ")):
         yield from (m.span(1) for m in _CARD.finditer(text))
     yield from ((m.start() - 2, m.end()) for m in _PASSPORT.finditer(text))

@@ -87,6 +87,29 @@ def test_details():
     assert personal.details("") == [] == personal.details(None)
 
 
+def key_of(body):
+    return f"{97 - int(body.replace(' ', '').replace('2A', '19').replace('2B', '18')) % 97:02d}"
+
+
+def found(text, kind):
+    return [personal.as_value(text[a:b]) for k, a, b in personal.details(text) if k == kind]
+
+
+@pytest.mark.parametrize("between", [" / ", " - ", ", ", " ou ", "\n"])
+def test_every_number_of_a_line_is_found(between):
+    numbers = ["01 23 45 67 89", "06 12 34 56 78", "+33 6 39 98 12 34", "(212) 555-0100", "01.23.45.67.80"]
+    assert found(f"Tel {between.join(numbers)}.", "phone") == numbers
+
+
+def test_corsican_numbers_are_found_and_replaced():
+    numbers = [f"{b} {key_of(b)}" for b in ("1 84 03 2A 004 123", "2 91 11 2B 033 045")]
+    text = f"NIR {numbers[0]} / {numbers[1]} et {numbers[0].replace(' ', '')}."
+    assert found(text, "id_number") == [*numbers, numbers[0].replace(" ", "")]
+    new = personal.replaced(text, b"k")
+    assert new.count("[ID_NUMBER ") == 3 and not any(n in new for n in numbers) and new.count("2A") == 2
+    assert found(text.replace(numbers[0], numbers[0][:-2] + "00"), "id_number") == [numbers[1], numbers[0].replace(" ", "")]
+
+
 def test_pseudonyms_keep_format_and_links():
     key = b"k"
     f = [personal.feistel(key, "x", f"{i:03d}") for i in range(1000)]
