@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,6 +39,43 @@ GIVEN = (
     "Monique Nadia Nathalie Nicolas Noémie Octave Odile Olivier Pascal Patrick Paul Philippe Pierre Quentin Raphaël Rémi René Robert Romain Salomé Samira Sandrine Sarah Sébastien "
     "Serge Simon Solène Sophie Stéphane Sylvie Théo Thierry Thomas Valérie Véronique Victor Vincent Virginie Wilfried Xavier Yanis Yann Yves Zélie Zoé Jean-Loup Marie-Aude"
 ).split()
+# Common French given names besides, written down from general knowledge, not from the tables; words that also open a sentence or name a place are left out.
+MORE_GIVEN = (
+    "Abdel Abdelkader Abdellah Abel Achille Adam Adama Adeline Adil Adrian Adrienne Adèle Agnès Ahmed Aimée Alan Alban Albane Alberte Alberto Aldo Alessandro Alexandra Alexis "
+    "Alfred Ali Alicia Alison Alix Alphonse Amadou Amaury Aminata Amine Amir Amira Amélie Ana Anastasia Anatole Anaëlle Andréa Andrée Angelo Angèle Angélina Anissa Anita Anna "
+    "Annabelle Annette Annick Annie Anouk Anthony Antoinette Anton Antonin Antonio Apolline Ariane Aristide Arlette Armand Armande Armel Armelle Arsène Assia Astrid Aubin Aude "
+    "Audrey Augustin Augustine Aurélia Aurélien Axel Axelle Aymeric Ayoub Aziz Aïcha Baptiste Barbara Barnabé Barthélemy Benjamin Bernadette Bernardo Berthe Bertrand Bilal "
+    "Blandine Boris Boubacar Brahim Brice Bryan Bénédicte Bérangère Bérénice Caleb Calixte Camélia Candice Carine Carla Carlos Carmen Carole Carolina Cassandra Cathy Chantal "
+    "Charline Charlène Christel Christelle Christiane Christophe Christopher Cindy Clara Clarisse Claudette Claudia Claudie Claudine Clothilde Clotilde Clovis Clément "
+    "Clémentine Cléo Colette Coline Corinne Cyprien Cyril Cyrille Cédric Célestin Célestine Célia Célian Damien Daniela Danielle Danièle Dany Daphné Dario Deborah Denise Diana "
+    "Diane Diego Dimitri Djamel Djibril Donatien Dora Dorian Doriane Dorothée Driss Dylan Edgar Edith Edmond Edmonde Edwige Eliott Elsa Elvire Emmanuelle Emmy Enzo Erika "
+    "Ernest Erwan Estelle Esther Estéban Ethan Eugène Eugénie Evan Fabian Fabien Fabienne Fabio Fadila Fanny Fanta Farid Farida Fatiha Fatima Fatoumata Faustine Ferdinand "
+    "Fernand Fernande Fernando Flavie Flavien Florent Florentin Florian Florine Francine Francis Francisco Francisque Franck Frank Fred Freddy Frédérique Félicie Félix Gabin "
+    "Gabrielle Gaston Gauthier Gautier Gaétan Gaël Gaëlle Geneviève Geoffrey Geoffroy Georgette Gervais Ghislain Ghislaine Gilbert Gilberte Gina Ginette Gisèle Giuseppe "
+    "Gontran Grégoire Grégory Guilhem Gustave Guy Guénolé Gwenaël Gwenaëlle Gwendoline Gérald Géraldine Habib Hadrien Hakim Halima Hamid Hamza Hannah Hassan Henriette Henry "
+    "Hermine Hervé Hicham Hilaire Hippolyte Honorine Honoré Hortense Hubert Hugues Huguette Hussein Héloïse Héléna Ibrahim Ibrahima Ida Idriss Igor Ilan Iliana Ilyes Imane "
+    "Imène Ingrid Irma Irène Isaac Ismaël Issa Ivan Jacky Jacqueline Jamal Jamila Janine Jannick Jason Jawad Jeanine Jeannette Jeannine Jennifer Jessica Jimmy Joachim Joanna "
+    "Joaquim Jocelyn Jocelyne Johan Johann Johanna John Jonas Jonathan Jordan Jorge Josette Josiane Josselin Josué José Josée Josépha Joséphine Joyce Joël Joëlle Juan Judith "
+    "Jules Julia Julian Juliana Julienne Juliette Justin Justine Jérémie Jérémy Kader Kamel Karima Karine Karl Katia Katy Kelly Kenza Khadija Khaled Khalid Kilian Killian Kim "
+    "Kévin Laetitia Lahcen Lamine Lana Lara Larbi Laure Laurence Laurette Laurie Laurine Laurène Laëtitia Leila Leslie Leïla Liam Lidia Lilian Liliane Lilou Lily Lina Linda "
+    "Lionel Lisa Lise Lisette Lola Lorenzo Loris Louane Louisa Louison Loïc Loïs Luc Luca Lucette Lucienne Lucile Lucille Ludivine Ludovic Luigi Luis Lydia Lydie Lylia Lyna "
+    "Lætitia Léana Léna Léon Léonard Léonce Léonie Léopold Madeleine Mady Maeva Magali Magalie Magdalena Mahdi Malik Malika Mamadou Manuel Manuela Marceau Marcel Marcelin "
+    "Marceline Marcelle Marco Margot Marguerite Maria Mariam Marianne Marielle Mariette Marilyne Marina Mario Marion Marius Marjorie Marlène Marthe Martial Martine Maryline "
+    "Maryse Maryvonne Mateo Mathias Mathieu Mathis Mathurin Mathéo Matteo Matthias Matthieu Maud Maude Maurice Maurine Maxence Maxime Maximilien Maya Maé Maël Maëlys Maëva "
+    "Maïssa Mercedes Michaël Micheline Michèle Mickaël Miguel Mike Mila Milena Milo Mina Mireille Miriam Mohammed Mona Morgan Morgane Mouhamed Mounir Moussa Moïse Muriel "
+    "Murielle Mustapha Mylène Myriam Mélanie Mélina Méline Mélissa Mélodie Mériem Nabil Nadine Nadir Nadège Nassim Natacha Natasha Nathan Nathanaël Nawel Naïm Naïma Nelly "
+    "Nicole Nicolle Nina Nino Ninon Noa Noah Noham Nolan Nolwenn Nora Norbert Nordine Nour Noé Noël Noëlle Océane Odette Olga Olivia Omar Ophélie Orane Oriane Oscar Othman "
+    "Ousmane Pablo Paola Pascale Pascaline Patrice Patricia Paula Paule Paulette Pauline Pedro Perrine Peter Philibert Philippine Philomène Pierrette Pierrick Pietro Priscilla "
+    "Rachel Rachid Rachida Rafael Raoul Raphaëlle Rayan Raymond Raymonde Renaud Renée Ricardo Richard Rita Roberte Roberto Rodolphe Roger Roland Rolande Romane Romaric Romuald "
+    "Roméo Ronan Rosalie Rose-Marie Roseline Roselyne Rosine Roxane Ruben Ryan Rébecca Régine Régis Réjane Rémy Sabine Sabrina Sacha Safia Salah Salim Salima Salomon Samantha "
+    "Sami Samia Samir Samson Samuel Samy Sandra Sandy Sara Saskia Saïd Selim Selma Sharon Sheila Sibylle Sidonie Sigrid Silvia Simona Simone Siméon Sixtine Slimane Sofia "
+    "Sofiane Solal Solange Soline Sonia Sophia Soraya Souad Soumaya Stanislas Stella Stephen Steven Stéphanie Suzanne Suzette Suzie Sylvain Sylvaine Sylvestre Sylvette "
+    "Sylviane Ségolène Séraphin Séraphine Séverin Séverine Tanguy Tania Tarek Tatiana Teddy Teresa Tessa Thaïs Thibaud Thibault Thibaut Thiphaine Théa Théodore Théophile "
+    "Thérèse Tiago Tifany Timothée Timéo Tiphaine Titouan Tom Tony Tristan Ugo Ulysse Ursule Valentin Valentine Valère Valéria Valérian Valéry Vanessa Vianney Vicente Victoria "
+    "Victorien Victorine Virgile Vivian Viviane Vladimir Véra Walid Walter Wanda Wassim Wilfrid William Willy Yacine Yannick Yannis Yasmina Yasmine Yassine Yaël Yohan Yohann "
+    "Yolande Youcef Youssef Yvan Yvette Yvon Yvonne Zacharie Zakaria Zineb Zohra Zoubida Ève Édith Élena Éliane Élias Élie Élisa Élisabeth Éloïse Éléa Éléonore Émeline Émile "
+    "Émilie Émilien Éva Évelyne"
+).split()
 
 U, L = "A-ZÀ-ÖØ-ÞŒ", "a-zß-öø-ÿœ"
 CAP = rf"[{U}][{L}]+(?:['’-][{U}][{L}]+)*"
@@ -67,7 +105,7 @@ _STEP = re.compile(rf"(?:{S})(?:((?:d[eu]s?|la|les?|aux?|à|et|sur|en)(?=\s)|[ld
 _ELISION = re.compile(rf"({CAP}|{ALL})")
 _STREET_BEFORE = re.compile(rf"(?:{_TYPES}|école|collège|lycée|stade|salle|parc|gymnase|groupe\s+scolaire|fondation|société|hôtel|théâtre|square)(?:\s+(?:de|du|des|d['’]|la|le))*\s*\Z", re.I)
 _TITLE = re.compile(rf"[MD](?<!\w[MD])(?:{'|'.join(re.escape(t[1:]) for t in sorted(TITLES, key=len, reverse=True))})(?!\w)(?:{S})")
-_GIVEN = {g.lower() for g in GIVEN}
+_GIVEN = {x for g in GIVEN + MORE_GIVEN for x in (g.lower(), "".join(c for c in unicodedata.normalize("NFD", g.lower()) if not unicodedata.combining(c)))}
 _INITIAL = re.compile(rf"[{U}](?<![\w.][{U}])\.(?:{S})(?:de\s)?({WORD})")
 _CAPITAL = re.compile(rf"[{U}][\w-]+")
 _TOKEN = re.compile(rf"(?<![\w.’'@-])({WORD})(?![\w@])")
@@ -76,6 +114,7 @@ _TITLED_INITIAL = re.compile(rf"[{U}]\.(?:{S})((?:de(?:{S})|d['’])?){WORD}")
 _TITLED = re.compile(rf"((?:de(?:{S})|d['’])?)({WORD})(?![\w@])")
 _BEFORE = re.compile(rf"(?<![\w.’'@-])({WORD})(?:{S})\Z")
 _OPEN = {w.lower() for w in OPENERS}
+_SAINT = {"saint", "sainte", "st", "ste"}  # begin the names of places
 
 
 def _nir_ok(g: tuple[str, ...]) -> bool:
@@ -87,6 +126,11 @@ def _opener(word: str) -> bool:
     return word.lower() in _OPEN or word.split("'")[0].split("’")[0].lower() in ("l", "d", "j", "qu", "n", "s") and "'" in word.replace("’", "'")
 
 
+def _given(word: str) -> bool:
+    """A given name of the lists, with or without its accents, or a compound of them."""
+    return (w := word.lower()) in _GIVEN or "-" in w and all(part in _GIVEN for part in w.split("-"))
+
+
 def _street_end(text: str, at: int) -> int:
     """End of the street name whose type ends at `at`; `at` if no name follows."""
     end, pos, seen = at, at, 0
@@ -98,7 +142,7 @@ def _street_end(text: str, at: int) -> int:
                 seen += 1
             continue
         word = m.group(2)
-        if _opener(word) or seen and ("\n" in text[end : m.start(2)] or word.lower() in _GIVEN or seen >= 4) or (word.isupper() and seen):
+        if _opener(word) or seen and ("\n" in text[end : m.start(2)] or _given(word) or seen >= 4) or (word.isupper() and seen):
             break
         nxt = text[m.end() : m.end() + 1]
         if seen and (nxt == ":" or text[m.end() : m.end() + 2] == " :"):
@@ -154,7 +198,7 @@ def names(text: str) -> Iterator[tuple[int, int]]:
         if text[m.start()] != "M" and not _opener(m.group(1)):
             spans.append(m.span())
     for c in _CAPITAL.finditer(text):
-        if c.group(0).lower() in _GIVEN and (m := _TOKEN.match(text, c.start())):
+        if _given(c.group(0)) and (m := _TOKEN.match(text, c.start())):
             spans.extend(_around_given(text, m))
     for a, b in sorted(spans, key=lambda s: (s[0], -s[1])):
         if a >= taken:
@@ -174,8 +218,8 @@ def _after_title(text: str, at: int) -> tuple[int, int] | None:
         return None
     nxt = _next_word(text, m.end())
     if nxt and "\n" not in text[m.end() : nxt.end()] and not _opener(nxt.group(2)) and text[nxt.end() : nxt.end() + 1] != "'":
-        given = m.group(2).lower() in _GIVEN
-        if given or nxt.group(2).lower() in _GIVEN and not nxt.group(1):
+        given = _given(m.group(2))
+        if given or _given(nxt.group(2)) and not nxt.group(1):
             return m.start(), nxt.end()
     return m.span()
 
@@ -184,11 +228,13 @@ def _around_given(text: str, m: re.Match) -> Iterator[tuple[int, int]]:
     if _STREET_BEFORE.search(text[max(0, m.start() - 40) : m.start()]):
         return
     nxt = _next_word(text, m.end())
-    if nxt and not _opener(nxt.group(2)) and nxt.group(2).lower() not in _GIVEN:
+    before = _BEFORE.search(text[max(0, m.start() - 50) : m.start()])
+    # A given name may be the surname of one before it; then the next line does not belong to it.
+    ends = before and _given(before.group(1)) and "\n" not in before.group(0) and nxt and "\n" in text[m.end() : nxt.end()]
+    if nxt and not ends and not _opener(nxt.group(2)) and not _given(nxt.group(2)):
         yield m.start(), nxt.end()
         return
-    before = _BEFORE.search(text[max(0, m.start() - 50) : m.start()])
-    if before and not _opener(before.group(1)) and not re.match(r"\s*['’-]", text[m.end() : m.end() + 1]):
+    if before and before.group(1).lower() not in _SAINT and not _opener(before.group(1)) and not re.match(r"\s*['’-]", text[m.end() : m.end() + 1]):
         start = m.start() - len(before.group(0))
         if not _STREET_BEFORE.search(text[max(0, start - 40) : start]):
             yield start, m.end()

@@ -110,6 +110,14 @@ def test_corsican_numbers_are_found_and_replaced():
     assert found(text.replace(numbers[0], numbers[0][:-2] + "00"), "id_number") == [numbers[1], numbers[0].replace(" ", "")]
 
 
+def test_names_outside_the_tables():
+    names = ["Jean-Pierre Durand", "Marie-Claude Petit", "Nicole Durand", "JEAN-MARC LEROY", "Helene Fabre", "Roche Ginette", "Paul Richard"]
+    for name in names:
+        assert found(f"Observation déposée par {name}, au registre.", "name") == [name]
+    assert found("Signé Paul Richard\nMairie de Valmorane", "name") == ["Paul Richard"]
+    assert found("Le secteur Saint Maurice, la commune de Sainte Geneviève et Saint-Germain.", "name") == []
+
+
 def test_pseudonyms_keep_format_and_links():
     key = b"k"
     f = [personal.feistel(key, "x", f"{i:03d}") for i in range(1000)]
