@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from lutrin.llm.tokens import sized
 from lutrin.plans.scale import HOT_ROWS, hot_keys, running_sum, written
 
+#: A total: as many tokens as the target sources hold.
+AVAILABLE = "available"
+
 
 def quality(text: Column) -> Column:
     """Weight of a document in 0.05..1: its share of letters and blanks, less for very short texts."""
@@ -25,13 +28,14 @@ def _name(source: Column) -> Column:
     return F.lower(F.trim(source))
 
 
-def mix(docs: DataFrame, targets: DataFrame, record: str, seed: int = 1, total: int | None = None, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, targets: DataFrame, record: str, seed: int = 1, total: int | str | None = None, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
     """(chosen, shares) from docs (record, source, tokens, weight) and targets (source, target_share, max_repeats).
 
     chosen (record, source, tokens, copies): documents used at least once; shares: per target source what
-    was available, wanted and taken. Without `total`, the mix is the largest in which every source that
-    has tokens keeps its share within its cap; with it, sources that cannot fill their budget are used as often
-    as allowed. Source names are compared in lower case without surrounding blanks; documents of no
+    was available, wanted and taken. total is a number of tokens, or AVAILABLE for all tokens of the target
+    sources; sources that cannot fill their budget are used as often as allowed and fall short of their share.
+    Without `total`, the mix is the largest in which every source that has tokens keeps its share within
+    its cap, so the scarcest source decides its size. Source names are compared in lower case without surrounding blanks; documents of no
     target source, or without tokens, are unused; targets without documents are reported with 0. The last
     document of a sample is taken if more than half of it fits. Repeated target rows add up their
     shares; equal keys are kept in one order by a hash of the record.
@@ -46,6 +50,8 @@ def mix(docs: DataFrame, targets: DataFrame, record: str, seed: int = 1, total:
     usable = (F.col("available") > 0) & (F.col("target_share") > 0)
     if total is None:
         total = supply.where(usable).agg(F.min(F.col("max_repeats") * F.col("available") / F.col("target_share"))).first()[0] or 0
+    elif total == AVAILABLE:
+        total = supply.where(usable).agg(F.sum("available")).first()[0] or 0  # one number
     budget = F.col("target_share") * F.lit(float(total))
     need = supply.withColumn("budget", F.when(usable, budget).otherwise(F.lit(0.0)))
     need = need.withColumn("epochs", F.when(F.col("available") > 0, F.least(F.floor(F.col("budget") / F.col("available") + F.lit(1e-9)), F.col("max_repeats").cast("long"))).otherwise(F.lit(0).cast("long")))
@@ -66,7 +72,7 @@ def mix(docs: DataFrame, targets: DataFrame, record: str, seed: int = 1, total:
 
 def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("weight", quality(F.col("text")))
-    return mix(sized(docs, "text", ["doc_id", "source", "weight"]), spark.read.parquet(f"{sf}/mix_targets.parquet"), "doc_id")
+    return mix(sized(docs, "text", ["doc_id", "source", "weight"]), spark.read.parquet(f"{sf}/mix_targets.parquet"), "doc_id", total=AVAILABLE)
 
 
 def p9_mix(spark: SparkSession, sf: str) -> DataFrame:

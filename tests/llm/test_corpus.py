@@ -143,6 +143,27 @@ def test_mix_of_nothing_and_a_fixed_total(spark):
     assert {r["copies"] for r in chosen.collect()} == {2} and shares.first()["taken"] == 100
 
 
+def test_mix_uses_the_corpus_beside_a_scarce_source(spark):
+    d, t = "doc_id long, source string, tokens long, weight double", "source string, target_share double, max_repeats int"
+    docs = [(i, "big", 10, 1.0) for i in range(399)] + [(1000 + i, "middle", 10, 1.0) for i in range(100)] + [(2000, "scarce", 10, 1.0)]
+    targets = [("big", 0.5, 1), ("middle", 0.4, 3), ("scarce", 0.1, 2), ("absent", 0.0, 2)]
+    chosen, shares = mixing.mix(spark.createDataFrame(docs, d), spark.createDataFrame(targets, t), "doc_id", total=mixing.AVAILABLE)
+    got = {r["source"]: (r["budget"], r["taken"], r["most_copies"]) for r in shares.collect()}
+    assert got == {"big": (2500, 2500, 1), "middle": (2000, 2000, 2), "scarce": (500, 20, 2), "absent": (0, 0, 0)}
+    assert sum(r["tokens"] * r["copies"] for r in chosen.collect()) == 4520
+    actual = {r["source"]: r["actual_share"] for r in shares.collect()}
+    assert actual == {"big": round(2500 / 4520, 6), "middle": round(2000 / 4520, 6), "scarce": round(20 / 4520, 6), "absent": 0}
+
+
+def test_queries_mix_the_whole_corpus(spark, tmp_path):
+    # One short document of a wanted source must not take the mix to almost nothing.
+    rows = [(i, "le mur de la commune est haut " * 20, "big") for i in range(40)] + [(99, "mot", "scarce")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("big", 0.5, 1), ("scarce", 0.5, 2)], "source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    got = {r["source"]: r for r in mixing.p9_shares(spark, str(tmp_path)).collect()}
+    assert got["big"]["taken"] >= 0.45 * got["big"]["available"] and got["scarce"]["most_copies"] == 2
+
+
 def test_long_texts_count_like_short_ones():
     text = "La règle fixe la hauteur maximale. " * 9000
     whole = tokens._encoding(tokens.VOCABULARY).encode_ordinary(text)
