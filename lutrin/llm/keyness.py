@@ -68,8 +68,7 @@ def keyness(rows: DataFrame, record: str = "chunk_ord", text: str = "content", l
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """Terms that occur at least three times in a chunk and in 2 to 8 chunks at all."""
-    scored = keyness(spark.read.parquet(f"{sf}/chunks.parquet"), least_tf=3, df_range=(2, 8))
-    return scored.where("weight > 0").select("chunk_ord", "term")
+    return keyness(spark.read.parquet(f"{sf}/chunks.parquet"), least_tf=3, df_range=(2, 8)).select("chunk_ord", "term")
 
 
 def p3_top_terms(spark: SparkSession, sf: str, k: int = 5) -> DataFrame:

@@ -78,3 +78,10 @@ def test_common_words_are_low(spark):
     rows = [(i, "commune urbain zone habitat " * 3 + ("vleziredru " * 3 if i < 3 else "projet " * 3)) for i in range(30)]
     w = {(r["chunk_ord"], r["term"]): r["weight"] for r in keyness.keyness(spark.createDataFrame(rows, "chunk_ord long, content string")).collect()}
     assert w[0, "vleziredru"] > 5 and abs(w[0, "commune"]) < 1
+
+
+def test_cases_are_decided_by_counts_alone(spark, tmp_path):
+    # Three mentions in a long chunk, hundreds in another: rarer here than elsewhere, yet a case.
+    rows = [(1, "vleziredru " * 3 + "commune " * 3000), (2, "vleziredru " * 300)]
+    spark.createDataFrame(rows, "chunk_ord long, content string").write.parquet(f"{tmp_path}/chunks.parquet")
+    assert {tuple(r) for r in keyness.p3_found(spark, str(tmp_path)).collect()} == {(1, "vleziredru"), (2, "vleziredru")}
