@@ -102,6 +102,8 @@ _HOUSE = re.compile(rf"\d(?<![\w.,/-]\d)\d{{0,3}}(?:(?:{S})?(?:[Bb]is|[Tt]er|[Qq
 _TYPE = {t.lower() for t in STREETS} | {t.rstrip(".").lower() for t in STREETS}
 _TAIL = re.compile(rf"(?:(?:{S})?[,–-]?(?:{S}))(\d{{5}})(?:{S})({CAP}(?:-(?:sur|sous|en|lès|le|la|les|de|du|des|d['’]|{CAP})+)*(?:-{CAP})*)")
 _STEP = re.compile(rf"(?:{S})(?:((?:d[eu]s?|la|les?|aux?|à|et|sur|en)(?=\s)|[ldLD]['’](?=[{U}]))|({CAP}|{ALL}|\d{{1,2}}(?=\s+[a-zà-ÿ]{{3,9}}\s+\d{{4}})))")
+_LOWER = re.compile(rf"(?:{S})(?:(de(?:{S})la(?:{S})|de(?:{S})l['’]|du(?:{S})|des(?:{S}))|de(?:{S})|d['’])[{L}]{{3,}}(?:['’-][{L}]+)*(?![{U}\w])")
+_LOWER_MORE = re.compile(rf"(?:{S})[{L}]+(?:['’-][{L}]+)*(?![{U}\w])")
 _ELISION = re.compile(rf"({CAP}|{ALL})")
 _STREET_BEFORE = re.compile(rf"(?:{_TYPES}|école|collège|lycée|stade|salle|parc|gymnase|groupe\s+scolaire|fondation|société|hôtel|théâtre|square)(?:\s+(?:de|du|des|d['’]|la|le))*\s*\Z", re.I)
 _TITLE = re.compile(rf"[MD](?<!\w[MD])(?:{'|'.join(re.escape(t[1:]) for t in sorted(TITLES, key=len, reverse=True))})(?!\w)(?:{S})")
@@ -136,13 +138,15 @@ def _street_end(text: str, at: int) -> int:
     end, pos, seen = at, at, 0
     while m := _STEP.match(text, pos):
         if m.group(1):
+            if seen and m.group(1)[0].isupper():  # opens a sentence or line
+                break
             pos = m.end()
             if m.group(1)[-1] in "'’" and (w := _ELISION.match(text, pos)):
                 pos = end = w.end()
                 seen += 1
             continue
         word = m.group(2)
-        if _opener(word) or seen and ("\n" in text[end : m.start(2)] or _given(word) or seen >= 4) or (word.isupper() and seen):
+        if _opener(word) or seen and "\n" in text[end : m.start(2)] or (word.isupper() and seen):
             break
         nxt = text[m.end() : m.end() + 1]
         if seen and (nxt == ":" or text[m.end() : m.end() + 2] == " :"):
@@ -152,6 +156,21 @@ def _street_end(text: str, at: int) -> int:
     return end
 
 
+def _lower_end(text: str, at: int) -> int:
+    """End of a street name in small letters after `at`, `at` if there is none. After a bare "de" (place de
+    stationnement) and for more than one word, postal code and town must follow."""
+    if not (m := _LOWER.match(text, at)):
+        return at
+    end = m.end()
+    for _ in range(5):
+        if _TAIL.match(text, end):
+            return end
+        if not (more := _LOWER_MORE.match(text, end)):
+            break
+        end = more.end()
+    return m.end() if m.group(1) else at
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     if "@" not in text and not any(x in text for x in (")", "]", "}", ">", "arobas", "AROBAS", " dot ")):
         return
@@ -181,7 +200,7 @@ def addresses(text: str) -> Iterator[tuple[int, int]]:
         if (kind := m.group(1).lower()) not in _TYPE and kind.rstrip(".") not in _TYPE:
             continue
         end = _street_end(text, m.end())
-        if end == m.end():
+        if end == m.end() and (end := _lower_end(text, m.end())) == m.end():
             continue
         tail = _TAIL.match(text, end)
         yield m.start(), tail.end() if tail else end

@@ -118,6 +118,16 @@ def test_names_outside_the_tables():
     assert found("Le secteur Saint Maurice, la commune de Sainte Geneviève et Saint-Germain.", "name") == []
 
 
+@pytest.mark.parametrize("street", ["rue Victor Hugo", "rue Saint Martin", "rue de la gare", "place du marché couvert", "rue de l'église", "rue d'alger", "avenue du Maréchal Jean de Lattre de Tassigny Prolongée Nord"])
+def test_streets_end_where_they_end(street):
+    assert found(f"Il habite 12 {street}, 75001 Valmorane, depuis mai.", "address") == [f"12 {street}, 75001 Valmorane"]
+
+
+def test_streets_without_a_town():
+    assert found("Vu au 3 rue de la gare hier, et au 12 rue Victor Hugo.\nJean Dupont", "address") == ["3 rue de la gare", "12 rue Victor Hugo"]
+    assert found("Une règle : 4 place de stationnement par logement.", "address") == []
+
+
 def test_pseudonyms_keep_format_and_links():
     key = b"k"
     f = [personal.feistel(key, "x", f"{i:03d}") for i in range(1000)]
