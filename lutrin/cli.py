@@ -61,10 +61,11 @@ class Engine:
 
     def __init__(self, spark: SparkSession, store: Store, settings: config.Settings, encoder=None):
         self.spark, self.settings, self.encoder = spark, settings, encoder or encoders.HashedWords()
-        ix = stored_index(store)
-        for df in (ix.postings, ix.lengths, ix.terms, ix.stats):
+        version = store.current()
+        ix = stored_index(store, version)
+        for df in (ix.docs, ix.terms, ix.stats):
             df.persist()
-        self.searcher = Searcher(store.table("chunks", True).persist(), store.table("vectors", True).persist(), settings, ix)
+        self.searcher = Searcher(store.table("chunks", True, version).persist(), store.table("vectors", True, version).persist(), settings, ix)
 
     def questions(self, rows: list[tuple[str, str, str]]) -> DataFrame:
         q = self.spark.createDataFrame(rows, "query_id string, text string, expansion string")
@@ -122,7 +123,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(f"#{r['chunk_ord']} {r['chunk_id']} page {r['page']} {r['section'] or ''}\n{r['t']}\n")
     elif args.command == "patch-families":
         for r in patch_families(store).collect():
-            print(r["doc_family"], r["count"])
+            print(r["doc_family"], r["before"], "->", r["after"])
     elif args.command == "ask":
         engine = Engine(spark, store, settings)
         hits = engine.hits(args.question, args.top_k, args.family, args.expansion, args.alpha).persist()

@@ -50,6 +50,13 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
+def word_pattern():
+    """The same words as a Python pattern, for texts that a worker counts."""
+    import regex
+
+    return regex.compile(r"[\p{L}\p{N}_]+")
+
+
 def basename(c: Column) -> Column:
     return F.element_at(F.split(c, "/"), -1)
 

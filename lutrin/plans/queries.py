@@ -213,7 +213,7 @@ def bm25_scores(spark, sf):
 
 def bm25_topk(spark, sf):
     chunks, q = _chunks(spark, sf), _questions(spark, sf)
-    return lexical.top(lexical.scores(lexical.index(chunks), q), q, chunks, 10).select("query_id", "chunk_ord", F.round("bm25_score", 6).alias("bm25_score"), "bm25_rank")
+    return lexical.top(lexical.index(chunks), q, 10).select("query_id", "chunk_ord", F.round("bm25_score", 6).alias("bm25_score"), "bm25_rank")
 
 
 def vector_normalize(spark, sf):

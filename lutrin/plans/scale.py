@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import getpass
 import tempfile
 import uuid
 
@@ -11,64 +13,91 @@ from pyspark.sql import Window as W
 
 #: Rows of one key beyond which its window is cut into value ranges instead of going to one task.
 HOT_ROWS = 2_000_000
-#: Value ranges a hot key is cut into.
-HOT_BUCKETS = 256
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir.
 
     Only a local master, where driver and executors are one process, may fall back to a temporary
-    folder; a cluster without the setting is an error.
+    folder, which the session's settings do not learn of; a cluster without the setting is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="lutrin-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return f"{tempfile.gettempdir()}/lutrin-{getpass.getuser()}"
+
+
+def _owned(spark: SparkSession, name: str):
+    """A path under the application's own directory in the shared folder, deleted when the driver ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/lutrin-{spark.sparkContext.applicationId}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return fs, spark._jvm.org.apache.hadoop.fs.Path(path, name) if name else path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df as a compressed table in the shared folder and read it back.
 
-    Unlike a local checkpoint the table outlives any executor.
+    Unlike a local checkpoint the table outlives any executor. It belongs to the innermost `scratch` around
+    the call, else to the application: it is deleted when the driver ends, or by `release`.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lutrin-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = _owned(spark, f"{name}-{uuid.uuid4().hex}")[1]
+    for names in _OPEN[-1:]:
+        names.append(path.getName())
+    df.write.option("compression", "zstd").parquet(path.toString())
+    return spark.read.schema(df.schema).parquet(path.toString())
 
 
-def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list:
-    """Keys with more than hot_rows rows; there are at most rows / hot_rows of them."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    return [r[0] for r in counts.where(F.col("__n") > hot_rows).select(key).collect()]
+_OPEN: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables written inside are deleted at its end; nothing that reads them may be used after it."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for name in _OPEN.pop():
+            fs, path = _owned(spark, name)
+            fs.delete(path, True)
+
 
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this application wrote by `written`."""
+    fs, path = _owned(spark, "")
+    fs.delete(path, True)
 
-def _ranges(df: DataFrame, key: str, value: str, buckets: int) -> DataFrame:
-    """(key, __bounds): ascending cut points of value per key."""
-    at = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    return df.groupBy(key).agg(F.percentile_approx(value, at, F.lit(100 * buckets)).alias("__bounds"))
+
+def buckets_for(rows: int, per: int = HOT_ROWS // 2, least: int = 8) -> int:
+    """Parts for so many rows: it grows with them, so that a part does not."""
+    return max(least, -(-rows // per))
+
+
+def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> dict:
+    """Keys with more than hot_rows rows, and their rows; there are at most rows / hot_rows of them."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    return {r[0]: r[1] for r in counts.where(F.col("__n") > hot_rows).select(key, "__n").collect()}
 
 
 def _with_range(df: DataFrame, key: str, value: str, buckets: int) -> DataFrame:
-    """df with __range, the number of cut points below value: a bounded slice of the key's rows."""
-    bounds = _ranges(df.where(F.col(value).isNotNull()), key, value, buckets)
-    below = F.size(F.filter("__bounds", lambda x: x < F.col(value)))
-    return df.join(F.broadcast(bounds), key, "left").withColumn(  # hot keys only: a few rows of `buckets` numbers
-        "__range", F.coalesce(F.when(F.col(value).isNotNull(), below), F.lit(-1))
-    ).drop("__bounds")
+    """df, written in `buckets` ranges of (key, value), with the number of its range as __range."""
+    return written(df.repartitionByRange(buckets, key, value).withColumn("__range", F.spark_partition_id()), "ranges")
 
 
-def rank_in_key(df: DataFrame, key: str, value: str, out: str, ties: str, hot: list, buckets: int = HOT_BUCKETS) -> DataFrame:
+def rank_in_key(df: DataFrame, key: str, value: str, out: str, ties: str, hot: dict, buckets: int | None = None) -> DataFrame:
     """Descending competition rank of value inside key (1 + rows strictly higher) and its tie count.
 
-    Null values get null rank. Keys in `hot` never enter one window: equal values are counted first,
-    the counts are ranked inside value ranges and the totals of the higher ranges are added.
+    Null values get null rank. Keys in `hot` (with their rows) never enter one window: equal values are
+    counted first, the counts are ranked inside value ranges, as many as the rows ask for, and the totals
+    of the higher ranges are added.
     """
+    buckets, hot = buckets or buckets_for(sum(hot.values())), list(hot)
     w = W.partitionBy(key)
     plain = df.where(~F.col(key).isin(hot) | F.col(key).isNull()) if hot else df
     present = F.col(value).isNotNull()
@@ -84,18 +113,20 @@ def rank_in_key(df: DataFrame, key: str, value: str, out: str, ties: str, hot: l
     higher = W.partitionBy(key).orderBy(F.col("__range").desc()).rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select(key, "__range", F.coalesce(F.sum("__total").over(higher), F.lit(0)).alias("__before"))
     inside = W.partitionBy(key, "__range").orderBy(F.col(value).desc()).rowsBetween(W.unboundedPreceding, -1)
-    ranked = ranged.join(F.broadcast(totals), [key, "__range"]).select(  # at most `buckets` rows a hot key
+    ranked = ranged.join(F.broadcast(totals), [key, "__range"]).select(  # a row a range, a key more in few of them
         key, value, ties, (F.lit(1) + F.col("__before") + F.coalesce(F.sum(ties).over(inside), F.lit(0))).cast("int").alias(out)
     )
     left = rows.alias("l").join(ranked.alias("r"), (F.col(f"l.{key}") == F.col(f"r.{key}")) & (F.col(f"l.{value}") == F.col(f"r.{value}")), "left")
     return plain.unionByName(left.select("l.*", f"r.{out}", f"r.{ties}"))
 
 
-def running_sum(df: DataFrame, key: str, order: str, value: str, out: str, hot: list, buckets: int = HOT_BUCKETS) -> DataFrame:
+def running_sum(df: DataFrame, key: str, order: str, value: str, out: str, hot: dict, buckets: int | None = None) -> DataFrame:
     """Inclusive running sum of value inside key by the numeric column `order` (unique inside a key).
 
     Hot keys are summed range by range, as in rank_in_key.
     """
+    buckets, hot = buckets or buckets_for(sum(hot.values())), list(hot)
+
     def inside(*part: str) -> W:
         return W.partitionBy(*part).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
 
@@ -107,7 +138,7 @@ def running_sum(df: DataFrame, key: str, order: str, value: str, out: str, hot:
     totals = ranged.groupBy(key, "__range").agg(F.sum(value).alias("__total"))
     before = W.partitionBy(key).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select(key, "__range", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__before"))
-    done = ranged.join(F.broadcast(totals), [key, "__range"]).withColumn(  # at most `buckets` rows a hot key
+    done = ranged.join(F.broadcast(totals), [key, "__range"]).withColumn(  # a row a range, a key more in few of them
         out, F.col("__before") + F.sum(value).over(inside(key, "__range"))
     )
     return plain.unionByName(done.select(*df.columns, out))

@@ -33,7 +33,7 @@ class Searcher:
 
             again = F.row_number().over(W.partitionBy("query_id").orderBy("dense_rank"))
             d = d.join(allowed, "chunk_ord", "left_semi").withColumn("dense_rank", again)
-        b = lexical.top(lexical.scores(self.index, queries), queries, allowed, depth) if depth else self._none(queries)
+        b = lexical.top(self.index, queries, depth, allowed if families else None) if depth else self._none(queries)
         return allowed, d, b
 
     def _none(self, queries: DataFrame) -> DataFrame:
@@ -52,13 +52,18 @@ class Searcher:
         """Queries (query_id, text, embedding, expansion, expansion_embedding): both texts are searched and
         their fused scores weighted; a query with a blank expansion is searched plainly."""
         k, a = self._k(top_k), self.settings.alpha if alpha is None else alpha
+        # Both texts of all queries are one set, searched once: the passes over index and vectors are shared.
         blank = F.trim(F.coalesce("expansion", F.lit(""))) == ""
-        plain, two = queries.where(blank), queries.where(~blank)
-        first = self.fused(two.select("query_id", "text", "embedding"), k, families)
-        second = self.fused(two.select("query_id", F.col("expansion").alias("text"), F.col("expansion_embedding").alias("embedding")), k, families)
-        both = fusion.best(fusion.weighted(first, second, a), "combined", k, ties=()).select("query_id", "chunk_ord", "combined", "rank")
-        alone = fusion.best(self.fused(plain.select("query_id", "text", "embedding"), k, families), "rrf", k).select("query_id", "chunk_ord", F.col("rrf").alias("combined"), "rank")
-        return self._hits(both.unionByName(alone), "combined")
+        one = F.struct(F.lit(1).alias("part"), "text", "embedding")
+        two = F.struct(F.lit(2).alias("part"), F.col("expansion").alias("text"), F.col("expansion_embedding").alias("embedding"))
+        asked = queries.select(F.col("query_id").alias("q"), blank.alias("alone"), F.explode(F.when(blank, F.array(one)).otherwise(F.array(one, two))).alias("x"))
+        names = asked.select(F.struct("q", "alone", "x.part").alias("n"), "x.text", "x.embedding").withColumn("query_id", F.to_json("n"))
+        schema = names.schema["n"].dataType
+        fused = self.fused(names.select("query_id", "text", "embedding"), k, families).withColumn("n", F.from_json("query_id", schema))
+        weight = F.when(F.col("n.alone"), F.lit(1.0)).when(F.col("n.part") == 1, F.lit(float(a))).otherwise(F.lit(float(1 - a)))
+        ranks = [F.min(F.when(F.col("n.alone"), F.col(c))).alias(c) for c in ("dense_rank", "bm25_rank")]  # ties of plain searches only
+        both = fused.groupBy(F.col("n.q").alias("query_id"), "chunk_ord").agg(F.sum(weight * F.col("rrf")).alias("combined"), *ranks)
+        return self._hits(fusion.best(both, "combined", k).drop("dense_rank", "bm25_rank"), "combined")
 
     def _k(self, top_k: int | None) -> int:
         if top_k is not None and top_k < 0:

@@ -1,14 +1,15 @@
+import os
 import random
 
-from lutrin.plans.scale import rank_in_key, running_sum
+from lutrin.plans.scale import buckets_for, rank_in_key, release, running_sum, scratch, written
 
 
 def test_hot_keys_rank_like_plain_ones(spark):
     rng = random.Random(1)
     rows = [(rng.choice("aab"), i, float(rng.randint(0, 9)) if rng.random() > 0.1 else None) for i in range(300)]
     df = spark.createDataFrame(rows, "k string, i long, v double")
-    plain = {tuple(r) for r in rank_in_key(df, "k", "v", "r", "t", []).select("i", "r", "t").collect()}
-    hot = {tuple(r) for r in rank_in_key(df, "k", "v", "r", "t", ["a"], buckets=5).select("i", "r", "t").collect()}
+    plain = {tuple(r) for r in rank_in_key(df, "k", "v", "r", "t", {}).select("i", "r", "t").collect()}
+    hot = {tuple(r) for r in rank_in_key(df, "k", "v", "r", "t", {"a": 200}, buckets=5).select("i", "r", "t").collect()}
     assert plain == hot
     for i, r, t in plain:
         k, _, v = rows[i]
@@ -19,6 +20,21 @@ def test_hot_keys_rank_like_plain_ones(spark):
 def test_hot_running_sum(spark):
     rows = [("a", i, i % 7) for i in range(100)] + [("b", i, 1) for i in range(3)] + [(None, 1, 5)]
     df = spark.createDataFrame(rows, "k string, o long, v long")
-    plain = {tuple(r) for r in running_sum(df, "k", "o", "v", "s", []).collect()}
-    assert plain == {tuple(r) for r in running_sum(df, "k", "o", "v", "s", ["a"], buckets=7).collect()}
+    plain = {tuple(r) for r in running_sum(df, "k", "o", "v", "s", {}).collect()}
+    assert plain == {tuple(r) for r in running_sum(df, "k", "o", "v", "s", {"a": 100}, buckets=7).collect()}
     assert ("a", 99, 1, sum(i % 7 for i in range(100))) in plain
+
+
+def test_written_tables_have_an_owner(spark):
+    kept = written(spark.range(3).toDF("i"), "kept")
+    with scratch(spark):
+        inner = written(spark.range(3).toDF("i"), "inner")
+        paths = [p.removeprefix("file:") for df in (kept, inner) for p in df.inputFiles()]
+        assert inner.count() == 3 and all(map(os.path.exists, paths))
+    assert [os.path.exists(p) for p in paths] == [True] * (len(paths) - len(paths) // 2) + [False] * (len(paths) // 2)
+    release(spark)
+    assert not any(map(os.path.exists, paths))
+
+
+def test_ranges_grow_with_the_rows():
+    assert buckets_for(10) == 8 and buckets_for(10**12) == 10**6

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lutrin.operators import dense, fusion, lexical, reports
@@ -24,8 +25,8 @@ def test_bm25_with_repeats_unknown_words_and_zero_fill(spark):
     docs = {0: "a b b c", 1: "a c d", 2: "a e", 3: "f g h i"}
     chunks = spark.createDataFrame(list(docs.items()), "chunk_ord long, content string")
     queries = spark.createDataFrame([("q1", "b b a zz"), ("q2", "zz"), ("q3", None)], Q)
-    scored = lexical.scores(lexical.index(chunks), queries)
-    rows = lexical.top(scored, queries, chunks, 3).collect()
+    ix = lexical.index(chunks)
+    rows = lexical.top(ix, queries, 3).collect()
     want = bm25(docs, "b b a zz")
     order = sorted(docs, key=lambda i: (-round(want[i], 9), -i))[:3]
     assert [r["chunk_ord"] for r in sorted((r for r in rows if r["query_id"] == "q1"), key=lambda r: r["bm25_rank"])] == order
@@ -35,9 +36,28 @@ def test_bm25_with_repeats_unknown_words_and_zero_fill(spark):
         else:
             assert r["bm25_score"] == 0
     assert [r["chunk_ord"] for r in sorted((r for r in rows if r["query_id"] == "q2"), key=lambda r: r["bm25_rank"])] == [3, 2, 1]
+    some = lexical.scores(ix, queries).collect()
+    assert {(r["query_id"], r["chunk_ord"]): round(r["bm25_score"], 9) for r in some} == {("q1", i): round(want[i], 9) for i in (0, 1, 2)}
+    assert lexical.top(ix, queries.limit(0), 3).count() == 0
+    empty = lexical.index(chunks.limit(0))
+    assert lexical.top(empty, queries, 3).count() == 0
 
 
-def test_dense_top_is_brute_force(spark):
+def test_blocks_of_queries_and_cells_change_nothing(spark, monkeypatch):
+    rng = random.Random(5)
+    docs = [(i, " ".join(rng.choices("abcdefghij", k=rng.randint(0, 12)))) for i in range(80)]
+    ix = lexical.index(spark.createDataFrame(docs, "chunk_ord long, content string"))
+    queries = spark.createDataFrame([(f"q{i}", " ".join(rng.choices("abcdefghijxyz", k=3))) for i in range(11)], Q)
+    run = lambda: ({tuple(r) for r in lexical.top(ix, queries, 7).collect()}, {tuple(r) for r in lexical.scores(ix, queries).collect()})
+    want = run()
+    monkeypatch.setattr(lexical, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(lexical, "CELLS", 25)
+    assert run() == want and len(want[0]) == 77
+
+
+@pytest.mark.parametrize("bytes_", [64 << 20, 64])
+def test_dense_top_is_brute_force(spark, monkeypatch, bytes_):
+    monkeypatch.setattr(dense, "QUERY_BYTES", bytes_)
     rng = np.random.default_rng(0)
     vs = rng.normal(size=(60, 8)).astype(np.float32)
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(vs)] + [(99, None), (98, [1.0])]
