@@ -10,7 +10,7 @@ from lutrin.config import Settings
 from lutrin.functions.text import alpha_ratio, shortened, stem
 from lutrin.operators import spans
 from lutrin.operators.families import RULES, family
-from lutrin.plans.scale import hot_keys, running_sum, written
+from lutrin.plans.scale import HOT_ROWS, buckets_for, hot_keys, running_sum, written
 
 # Rows of reservation tables and of address lists, which are few letters but wanted.
 TABLE_ROW = r"(?U)\b(?:LS|BRS)\s+\d{2,3}-\d{2,3}\b"
@@ -26,33 +26,43 @@ def worth_keeping(content: Column, least: float) -> Column:
     return (alpha_ratio(content) >= least) | content.rlike(TABLE_ROW) | content.rlike(ADDRESS_ROW)
 
 
-def numbered(chunks: DataFrame, order: str = "off") -> DataFrame:
+def numbered(chunks: DataFrame, order: str = "off", hot: dict | None = None) -> DataFrame:
     """chunks with raw_idx: their number inside the file, before anything is filtered."""
     one = chunks.withColumn("one", F.lit(1).cast("long"))
-    return running_sum(one, "source_path", order, "one", "n1", hot_keys(one, "source_path")).withColumn("raw_idx", F.col("n1") - 1).drop("one", "n1")
+    hot = hot_keys(one, "source_path") if hot is None else hot
+    return running_sum(one, "source_path", order, "one", "n1", hot).withColumn("raw_idx", F.col("n1") - 1).drop("one", "n1")
+
+
+def under_section(rows: DataFrame) -> DataFrame:
+    """rows (content, article_pos, code, annexe struct<pos, title>) with section and, under an annexe, its title
+    put before the content. A section is the last article or annexe header at or before the chunk, whichever
+    is later; a tie goes to the article. A chunk that begins after blanks still belongs to its span's article."""
+    inside = F.coalesce(F.col("annexe.pos"), F.lit(-1)) > F.col("article_pos")
+    title = shortened(F.col("annexe.title"))
+    return rows.withColumns({
+        "section": F.when(inside, title).otherwise(F.col("code")),
+        "content": F.when(inside, F.concat(F.lit("[Section: "), title, F.lit("]\n"), F.col("content"))).otherwise(F.col("content")),
+    })
 
 
 def raw_chunks(pages: DataFrame, settings: Settings = Settings(), rules=RULES) -> DataFrame:
     """(source_path, doc_family, s, raw_idx, off, content, page, section) before the quality filter.
 
-    Files of the structured family are cut at article headers, others by sliding windows. A chunk's
-    section is the last article or annexe header at or before it, whichever is later (a tie goes to the
-    article); under an annexe its title is put before the content.
+    Files of the structured family are cut at article headers, others by sliding windows.
     """
-    placed = spans.layout(pages).withColumn("doc_family", family(F.col("source_path"), rules))
+    placed = spans.layout(pages, headed=True).withColumn("doc_family", family(F.col("source_path"), rules))
     structured, other = placed.where(F.col("doc_family") == STRUCTURED), placed.where(F.col("doc_family") != STRUCTURED)
-    by_article = written(spans.cut(structured, spans.articles(structured, settings.chunk_size)), "articles")
-    annexes = written(spans.headers(structured, spans.ANNEXE, 0, True), "annexes")
-    by_article = spans.asof(by_article, annexes, "off")
-    # A chunk that begins after blanks still belongs to the article its span was cut from.
-    in_annexe = F.coalesce(F.col("pos"), F.lit(-1)) > F.col("article_pos")
-    title = shortened(F.col("title"))
-    by_article = by_article.select(
-        "source_path", "s", "off", "page", F.when(in_annexe, title).otherwise(F.col("code")).alias("section"),
-        F.when(in_annexe, F.concat(F.lit("[Section: "), title, F.lit("]\n"), F.col("content"))).otherwise(F.col("content")).alias("content"),
-    )
+    heads = written(spans.headers(structured), "heads")
+    by_article = spans.cut(structured, spans.articles(structured, heads, settings.chunk_size))
+    # Between a span's start and its first letter there are only blanks: no annexe, unless one begins there.
+    by_article = by_article.withColumn("annexe", F.when(F.col("after.pos") <= F.col("off"), F.col("after")).otherwise(F.col("before")))
+    by_article = under_section(by_article).select("source_path", "s", "off", "page", "section", "content")
     by_window = spans.cut(other, spans.windows(other, settings.chunk_size, settings.chunk_overlap)).select("source_path", "s", "off", "page", F.lit(None).cast("string").alias("section"), "content")
-    return numbered(written(by_article.unionByName(by_window), "raw"), "s").withColumn("doc_family", family(F.col("source_path"), rules))
+    # No file has more chunks than spans: files whose characters or headers could make too many are the hot ones.
+    most = placed.groupBy("source_path").agg((F.sum("n") / (settings.chunk_size - settings.chunk_overlap) + F.count(F.lit(1))).alias("n")).unionByName(
+        heads.groupBy("source_path").agg(F.count(F.lit(1)).cast("double").alias("n"))).groupBy("source_path").agg(F.sum("n").cast("long").alias("n"))
+    hot = {r[0]: r[1] for r in most.where(F.col("n") > HOT_ROWS).collect()}  # at most all spans / HOT_ROWS files
+    return numbered(by_article.unionByName(by_window), "s", hot).withColumn("doc_family", family(F.col("source_path"), rules))
 
 
 def chunks(pages: DataFrame, settings: Settings = Settings(), rules=RULES) -> DataFrame:
@@ -62,25 +72,27 @@ def chunks(pages: DataFrame, settings: Settings = Settings(), rules=RULES) -> Da
 
 
 def distinct_contents(rows: DataFrame, order: tuple[str, ...] = ("source_path", "raw_idx")) -> DataFrame:
-    """One row per content, the first in `order`: partial minima before the shuffle, no window over copies.
+    """One row per content, the first in `order` (then by chunk_id or chunk_ord where there are such columns).
 
-    Null contents count as one content.
+    The first row itself is what the aggregation carries, combined before the shuffle: a text repeated in a
+    third of all rows reaches its one place as a row per task. Null contents count as one content.
     """
-    rest = [c for c in rows.columns if c not in order and c != "content"]
-    first = F.min(F.struct(*order, *[c for c in rest if c in ("chunk_id", "chunk_ord")])).alias("o")
-    best = rows.groupBy(F.md5("content").alias("h")).agg(first)
-    keys = [*order, *[c for c in rest if c in ("chunk_id", "chunk_ord")]]
-    return rows.withColumn("h", F.md5("content")).alias("r").join(best.alias("b"), F.col("r.h").eqNullSafe(F.col("b.h")) & F.struct(*[F.col(f"r.{k}") for k in keys]).eqNullSafe(F.col("b.o"))).select(*[F.col(f"r.{c}") for c in rows.columns])
+    last = [c for c in ("chunk_id", "chunk_ord") if c in rows.columns and c not in order]
+    first = F.min_by(F.struct(*rows.columns), F.struct(*order, *last))
+    return rows.groupBy(F.md5("content").alias("h")).agg(first.alias("r")).select("r.*")
 
 
-def with_ordinal(rows: DataFrame, ranges: int = 64) -> DataFrame:
+def with_ordinal(rows: DataFrame, ranges: int | None = None) -> DataFrame:
     """rows with chunk_ord: place in the order of (source_path, chunk_id), from 0.
 
-    The rows are written once in ranges of that order; each range is numbered by itself and begins after
-    the sizes of the ranges before it. A file with a third of all chunks just fills several ranges.
+    The rows are written in ranges of that order, as many as their number asks for; each range is numbered
+    by itself and begins after the sizes of the ranges before it. A file with a third of all chunks just
+    fills several ranges.
     """
     order = ["source_path", "chunk_id"]
-    parts = written(rows.repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id()), "ordinal")
+    rows = written(rows, "unordered")  # finding the ranges reads the rows once more
+    ranges = ranges or buckets_for(rows.count(), per=200_000)
+    parts = written(rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "ordinal")
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row a range
     ahead = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
     place = F.row_number().over(W.partitionBy("part").orderBy(*order)) - 1

@@ -1,40 +1,52 @@
 """Texts that reach over the pages of a file, cut into spans without ever gathering a file in one task.
 
-A file's text is its pages joined by line feeds. Pages get their offsets by a running sum that splits
-hot files; everything else works on (file, offset) rows, and only the characters of one span meet.
+A file's text is its pages joined by line feeds. Pages get their offsets by running sums that split hot
+files; everything else works on (file, offset) rows, and only the characters of one span meet.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lutrin.functions.text import leading, strip
-from lutrin.plans.scale import HOT_ROWS, hot_keys, running_sum, written
+from lutrin.plans.scale import HOT_ROWS, hot_keys, running, written
 
 #: Characters of a file that meet in one join key; spans and pages fall into the blocks they touch.
 BLOCK = 8192
-#: Characters of the next page that a header may reach into.
-REACH = 400
 
-# Header patterns of articles (group 1 is the code) and annexes, as Java patterns.
-ARTICLE = r"(?U)(?<!\()\b((?:UG(?:SU)?|UV|N|A|P)\w*\.\d+(?:\.\d+)*)\s+[A-ZÀÂÄÉÈÊËÎÏÔÙÛÜŸÇ][a-zàâäéèêëîïôùûüÿç]"
-ANNEXE = r"(?iUd)A\s*NNEXE\s+[IVXLCDM]+\s*[:\–\-]?\s*[A-ZÀÂÄÉÈÊËÎÏÔÙÛÜŸÇ][^\n]{0,120}"
-SENTINEL = "\u0001"
+# Header patterns of articles (group 1 is the code) and annexes.
+ARTICLE = r"(?<!\()\b((?:UG(?:SU)?|UV|N|A|P)\w*\.\d+(?:\.\d+)*)\s+[A-ZÀÂÄÉÈÊËÎÏÔÙÛÜŸÇ][a-zàâäéèêëîïôùûüÿç]"
+ANNEXE = r"A\s*NNEXE\s+[IVXLCDM]+\s*[:\–\-]?\s*[A-ZÀÂÄÉÈÊËÎÏÔÙÛÜŸÇ][^\n]{0,120}"
+#: Ends of a page in which such a header may have begun (Java).
+BEGUN = r"(?iU)(?:\.\d+|A|A\s*NNEXE|NNEXE\s+[IVXLCDM]+\s*[:–-]?)\s*\z"
 
 
-def layout(pages: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(source_path, page_num, text, n, start, seq): offset of each page in its file, counted from 0.
+def layout(pages: DataFrame, hot_rows: int = HOT_ROWS, headed: bool = False) -> DataFrame:
+    """(source_path, page_num, text, n, start): offset of each page in its file, counted from 0.
 
-    Blank and null pages are dropped, a page delivered twice counts once (smallest text).
+    Blank and null pages are dropped, a page delivered twice counts once (smallest text). headed: with
+    `follow`, the text of the next page where a header may have begun at the end of this one, and
+    `bracket`, whether the page before ends with an open bracket (pages of white space do not count).
     """
     kept = pages.where(F.col("text").isNotNull() & (F.col("text") != "") & F.col("source_path").isNotNull() & F.col("page_num").isNotNull())
-    one = kept.groupBy("source_path", "page_num").agg(F.min(F.translate("text", SENTINEL, "")).alias("text")).withColumn("n", F.length("text")).withColumn("step", (F.col("n") + 1).cast("long"))
-    hot = hot_keys(one, "source_path", hot_rows)
-    run = running_sum(one, "source_path", "page_num", "step", "end", hot)
-    run = running_sum(run.withColumn("one", F.lit(1).cast("long")), "source_path", "page_num", "one", "seq", hot)
+    hot = hot_keys(kept, "source_path", hot_rows)
+    one = kept.groupBy("source_path", "page_num").agg(F.min("text").alias("text")).withColumn("n", F.length("text")).withColumn("step", (F.col("n") + 1).cast("long"))
+    columns = ["source_path", "page_num", "text", "n", (F.col("end") - F.col("step")).alias("start")]
+    if not headed:
+        run = running(one, "source_path", "page_num", hot, {"end": "step"})
+    else:
+        full = F.col("text").rlike(r"(?U)\S")
+        one = one.withColumn("closing", F.when(full, F.col("text").rlike(r"(?U)\(\s*\z"))).withColumn("words", F.when(full, F.col("text")))
+        run = running(one, "source_path", "page_num", hot, {"end": "step"}, {"bracket": "closing"})
+        run = running(run, "source_path", "page_num", hot, lasts={"follow": "words"}, descending=True)
+        columns += [F.when(F.col("text").rlike(BEGUN), F.col("follow")).alias("follow"), F.coalesce("bracket", F.lit(False)).alias("bracket")]
     # Every later step reads the pages with their offsets: they are written once.
-    return written(run.select("source_path", "page_num", "text", "n", (F.col("end") - F.col("step")).alias("start"), "seq"), "layout")
+    return written(run.select(*columns), "layout")
 
 
 def totals(placed: DataFrame) -> DataFrame:
@@ -75,52 +87,53 @@ def cut(placed: DataFrame, spans: DataFrame) -> DataFrame:
     return out.where("content <> ''").select("source_path", "s", *names, "off", "content", page.alias("page"))
 
 
-def headers(placed: DataFrame, pattern: str, group: int, bracketed: bool) -> DataFrame:
-    """(source_path, pos, title): matches of a header pattern in text order, by their offset in the file.
+def headers(placed: DataFrame) -> DataFrame:
+    """(source_path, pos, title, article): article headers with their code and annexe headers with their line, by
+    offset in the file. placed is a headed layout.
 
-    Pages are searched with the beginning of the next one. bracketed drops matches after an open bracket.
+    A header may begin on one page and end on the next that has any text. Annexes after an open bracket, which
+    may end the page before, are references and left out.
     """
-    nxt = placed.select(F.col("source_path").alias("np"), (F.col("seq") - 1).alias("ns"), F.substring("text", 1, REACH).alias("nt"))
-    x = placed.join(nxt, (F.col("source_path") == F.col("np")) & (F.col("seq") == F.col("ns")), "left")
-    whole = F.concat("text", F.coalesce(F.concat(F.lit("\n"), F.col("nt")), F.lit("")))
-    plain = pattern[pattern.index(")") + 1 :]
-    flags = pattern[: pattern.index(")") + 1]
-    pieces = F.split(F.regexp_replace(whole, f"{flags}({plain})", SENTINEL + "$1"), SENTINEL, -1)
-    each = x.select("source_path", "start", "n", pieces.alias("all")).where(F.size("all") > 1).select("*", F.posexplode("all").alias("i", "piece"))
-    at = F.aggregate(F.slice("all", F.lit(1), F.col("i")), F.lit(0), lambda acc, p: acc + F.length(p))
-    found = each.where("i > 0").withColumn("at", at).where("at < n")
-    if bracketed:
-        found = found.where(~F.element_at("all", F.col("i")).rlike(r"\(\s*\z"))
-    return found.select("source_path", (F.col("start") + F.col("at")).alias("pos"), strip(F.regexp_extract("piece", pattern, group)).alias("title"))
-
-
-def articles(placed: DataFrame, size: int, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(source_path, s, e, article_pos, code): text from each article header to the next, in spans of at
-    most `size`. Text before a file's first header is left out; a file without headers is cut as a whole.
-    The next header is found by its number, with a join, so a hot file needs no window of its own."""
-    heads = written(headers(placed, ARTICLE, 1, False).withColumn("one", F.lit(1).cast("long")), "heads")
-    heads = written(running_sum(heads, "source_path", "pos", "one", "k", hot_keys(heads, "source_path", hot_rows)).drop("one"), "heads")
-    follow = heads.select(F.col("source_path").alias("fp"), (F.col("k") - 1).alias("fk"), F.col("pos").alias("end"))
+    article, annexe = re.compile(ARTICLE), re.compile(ANNEXE, re.I)
+
+    def found(text: str, n: int, bracket: bool) -> Iterator[tuple[int, str, bool]]:
+        if "." in text:
+            yield from ((m.start(), m.group(1), True) for m in article.finditer(text) if m.start() < n)
+        for m in annexe.finditer(text):
+            before = text[: m.start()].rstrip()
+            if m.start() < n and not (before.endswith("(") if before else bracket):
+                yield m.start(), m.group(0).strip(), False
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            paths, at, titles, kinds = [], [], [], []
+            for path, text, n, start, follow, bracket in zip(*(c.to_pylist() for c in b.columns)):
+                for pos, title, kind in found(text if follow is None else f"{text}\n{follow}", n, bracket):
+                    paths.append(path), at.append(start + pos), titles.append(title), kinds.append(kind)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(at, pa.int64()), pa.array(titles, pa.string()), pa.array(kinds, pa.bool_())], ["source_path", "pos", "title", "article"])
+
+    return placed.select("source_path", "text", "n", "start", "follow", "bracket").mapInArrow(run, "source_path string, pos long, title string, article boolean")
+
+
+def articles(placed: DataFrame, heads: DataFrame, size: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(source_path, s, e, article_pos, code, before, after): text from each article header to the next, in spans
+    of at most `size`, with the last annexe (pos, title) at or before their start and the first one after it.
+
+    Text before a file's first header is left out; a file without headers is cut as a whole. Headers and
+    spans are one sequence of positions per file, worked by running values; no text takes part.
+    """
+    own = heads.where("article").select("source_path", "pos", F.col("title").alias("code"))
+    hot = hot_keys(heads, "source_path", hot_rows)
     t = totals(placed)
-    spans = heads.join(follow, (F.col("source_path") == F.col("fp")) & (F.col("k") == F.col("fk")), "left").join(t, "source_path").select(
-        "source_path", F.col("pos").alias("article_pos"), F.col("title").alias("code"), F.coalesce("end", "total").alias("stop")
-    )
-    bare = t.join(heads, "source_path", "left_anti").select("source_path", F.lit(0).cast("long").alias("article_pos"), F.lit(None).cast("string").alias("code"), F.col("total").alias("stop"))
-    both = spans.unionByName(bare).where("stop > article_pos")
+    follow = running(own, "source_path", "pos", hot, lasts={"end": "pos"}, descending=True).join(t, "source_path")
+    spans = follow.select("source_path", F.col("pos").alias("article_pos"), "code", F.coalesce("end", "total").alias("stop"))
+    bare = t.join(own, "source_path", "left_anti").select("source_path", F.lit(0).cast("long").alias("article_pos"), F.lit(None).cast("string").alias("code"), F.col("total").alias("stop"))
     starts = F.sequence(F.col("article_pos"), F.col("stop") - 1, F.lit(size).cast("long"))
-    return both.select("source_path", F.explode(starts).alias("s"), "stop", "article_pos", "code").select(
+    pieces = spans.unionByName(bare).where("stop > article_pos").select("source_path", F.explode(starts).alias("s"), "stop", "article_pos", "code").select(
         "source_path", "s", F.least(F.col("s") + size, F.col("stop")).alias("e"), F.when(F.col("code").isNotNull(), F.col("article_pos")).otherwise(-1).alias("article_pos"), "code"
     )
-
-
-def asof(left: DataFrame, right: DataFrame, at: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """left (source_path, `at`, ...) with pos and title of the last row of right (source_path, pos, title)
-    whose pos is not larger: both sides are counted in one order, then joined by that number."""
-    events = right.select("source_path", (F.col("pos") * 2).alias("o"), F.lit(1).cast("long").alias("w"), F.lit(None).cast("long").alias("at")).unionByName(
-        left.select("source_path", (F.col(at) * 2 + 1).alias("o"), F.lit(0).cast("long").alias("w"), F.col(at).alias("at"))
-    ).distinct()
-    events = written(events, "events")
-    counted = running_sum(events, "source_path", "o", "w", "k", hot_keys(events, "source_path", hot_rows))
-    l_num = counted.where("w = 0").select("source_path", F.col("at").alias(at), "k")
-    r_num = counted.where("w = 1").select("source_path", (F.col("o") / 2).cast("long").alias("pos"), "k").join(right, ["source_path", "pos"]).groupBy("source_path", "k").agg(F.first("pos").alias("pos"), F.min("title").alias("title"))
-    return left.join(l_num, ["source_path", at], "left").join(r_num, ["source_path", "k"], "left").drop("k")
+    annexes = heads.where("NOT article").select("source_path", (F.col("pos") * 2).alias("o"), F.struct("pos", "title").alias("mark"))
+    events = written(pieces.withColumn("o", F.col("s") * 2 + 1).unionByName(annexes, allowMissingColumns=True), "events")
+    hot = hot_keys(events, "source_path", hot_rows)
+    both = running(running(events, "source_path", "o", hot, lasts={"before": "mark"}), "source_path", "o", hot, lasts={"after": "mark"}, descending=True)
+    return both.where("mark IS NULL").select(*pieces.columns, "before", "after")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from lutrin.operators.families import RULES
+from lutrin.operators.spans import ARTICLE
 
 _SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
@@ -24,7 +27,8 @@ _LAYOUT = """
 p0 AS (SELECT source_path, page_num, min(text) AS text FROM doc_pages WHERE text <> '' AND source_path IS NOT NULL AND page_num IS NOT NULL GROUP BY ALL),
 p AS (SELECT *, length(text) n, coalesce(sum(length(text) + 1) OVER (PARTITION BY source_path ORDER BY page_num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM p0),
 f AS (SELECT source_path, string_agg(text, chr(10) ORDER BY page_num) AS t FROM p0 GROUP BY 1)"""
-_UPPER, _LOWER = "A-ZÀÂÄÉÈÊËÎÏÔÙÛÜŸÇ", "a-zàâäéèêëîïôùûüÿç"
+# Fixed values, as in spans.ARTICLE and ANNEXE; DuckDB has no look-behind, so the patterns are said again.
+_UPPER, _LOWER = (re.search(r"\[(%s[^\]]*)\]" % x, ARTICLE).group(1) for x in ("A-ZÀ", "a-zà"))
 _HEAD = rf"(?:UG(?:SU)?|UV|N|A|P)[\p{{L}}\p{{N}}_]*\.[0-9]+(?:\.[0-9]+)*[\s]+[{_UPPER}][{_LOWER}]"
 # Pieces of the text from each header on, with their offsets.
 _HEADS = _LAYOUT + rf""",
@@ -33,6 +37,14 @@ e AS (SELECT source_path, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i F
 h AS (SELECT source_path, i, piece, coalesce(sum(length(piece)) OVER (PARTITION BY source_path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM e),
 hs AS (SELECT source_path, pos, piece, regexp_extract(piece, '^([\p{{L}}\p{{N}}_]+\.[0-9]+(?:\.[0-9]+)*)', 1) AS code FROM h WHERE i > 1)"""
 
+_ANNEXE = rf"(?i)A\s*NNEXE\s+[IVXLCDM]+\s*[:–-]?\s*[{_UPPER}][^\n]{{0,120}}"
+# Annexe headers of f(source_path, t) by their offsets, without references after an open bracket.
+_ANNEXES = rf"""
+as0 AS (SELECT source_path, t, string_split(regexp_replace(t, '({_ANNEXE})', chr(2) || '\1', 'g'), chr(2)) AS ps FROM f),
+as1 AS (SELECT source_path, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i FROM as0),
+as2 AS (SELECT *, lag(piece) OVER w AS prior, coalesce(sum(length(piece)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM as1 WINDOW w AS (PARTITION BY source_path ORDER BY i)),
+an AS (SELECT source_path, pos, {_strip(f"regexp_extract(piece, '^{_ANNEXE}')")} AS title FROM as2 WHERE i > 1 AND NOT regexp_matches(prior, '\([\s]*\z'))"""
+
 _ASKED = """
 q AS (SELECT id AS query_id, question AS text, expected_keywords, regexp_extract(id, '(\\d+)$', 1)::BIGINT AS num FROM golden WHERE regexp_extract(id, '(\\d+)$', 1)::BIGINT % 20 = 0)"""
 
@@ -109,6 +121,32 @@ def _clean(c: str) -> str:
 
 _DIRTY = r"'  ' || chr(61623) || replace(coalesce(content, ''), ' ', ' ' || chr(9) || ' ') || chr(13) || chr(10) || chr(13) || chr(10) || chr(13) || chr(13) || ' x'"
 
+_TABLE_ROW = r"regexp_matches(content, '(?:^|[^\p{L}\p{N}_])(?:LS|BRS)[\s]+[0-9]{2,3}-[0-9]{2,3}(?:[^\p{L}\p{N}_]|$)')"
+_ADDRESS_ROW = r"regexp_matches(content, '(?m)^[\s]*[0-9]{1,2}(?:er|e)?[\s]+.{0,40}?(?:[Rr]ue|[Aa]venue|[Bb]oulevard|[Pp]lace|[Ii]mpasse|[Qq]uai|[Aa]llée|[Ss]quare|[Vv]illa|[Vv]oie|[Cc]ité|[Pp]assage)(?:[^\p{L}\p{N}_]|$)')"
+
+# Annexe headers, some of them over a page's end, and references in brackets, put into the pages.
+_PUT_ANNEXES = """(CASE WHEN page_num % 5 = 2 THEN 'Annexe VI des lieux ' ELSE '' END || text || CASE WHEN page_num % 5 = 1 THEN ' (voir (' WHEN page_num % 3 = 0 THEN chr(10) || 'A NNEXE IV :' WHEN page_num % 7 = 4 THEN chr(10) || 'ANNEXE X : ' || repeat('Liste des terrains ', 9) ELSE '' END)"""
+
+
+def _corpus(text: str) -> str:
+    return f"""WITH cp AS (SELECT source_path, page_num, text FROM (SELECT source_path, page_num, {_clean(text)} AS text FROM doc_pages) WHERE text <> ''),
+{_LAYOUT.replace('FROM doc_pages', 'FROM cp')}, fa AS (SELECT source_path, t, {_FAMILY} AS fam FROM f),
+{_HEADS.replace(_LAYOUT, '').lstrip().lstrip(',').replace('FROM f)', "FROM fa WHERE fam = 'reglement_ecrit')")},
+{_ANNEXES.replace('FROM f)', "FROM fa WHERE fam = 'reglement_ecrit')")},
+a AS (SELECT source_path, pos, piece, code FROM hs UNION ALL SELECT source_path, 0, t, NULL FROM fa WHERE fam = 'reglement_ecrit' AND source_path NOT IN (SELECT source_path FROM hs)),
+w AS (SELECT source_path, pos AS ap, code, pos + s AS s, substring(piece, s + 1, 1200) raw FROM (SELECT *, unnest(range(0, length(piece), 1200)) s FROM a)
+ UNION ALL SELECT source_path, NULL, NULL, s, substring(t, s + 1, 1200) FROM (SELECT source_path, t, unnest(range(0, greatest(0, ceil((length(t) - 1200) / 1000.0))::BIGINT * 1000 + 1, 1000)) s FROM fa WHERE fam <> 'reglement_ecrit')),
+c AS (SELECT source_path, ap, code, s, s + {_lead('raw')} off, {_strip('raw')} x FROM w),
+n AS (SELECT *, row_number() OVER (PARTITION BY source_path ORDER BY s) - 1 AS idx FROM c WHERE x <> ''),
+g AS (SELECT n.*, page_num, an.pos AS npos, CASE WHEN length(title) > 100 THEN substring(title, 1, 97) || '...' ELSE title END AS nt
+ FROM n ASOF JOIN p ON n.source_path = p.source_path AND n.off >= p.start ASOF LEFT JOIN an ON n.source_path = an.source_path AND n.off >= an.pos),
+k AS (SELECT source_path, idx, page_num, CASE WHEN npos > coalesce(CASE WHEN code IS NULL THEN -1 ELSE ap END, -1) AND ap IS NOT NULL THEN nt ELSE code END AS section,
+ CASE WHEN npos > coalesce(CASE WHEN code IS NULL THEN -1 ELSE ap END, -1) AND ap IS NOT NULL THEN '[Section: ' || nt || ']' || chr(10) || x ELSE x END AS content FROM g),
+q AS (SELECT * FROM k WHERE CASE WHEN length(content) > 0 THEN length(regexp_replace(content, '[^\\p{{L}}]', '', 'g'))::DOUBLE / length(content) ELSE 0 END >= 0.55 OR {_TABLE_ROW} OR {_ADDRESS_ROW}),
+d AS (SELECT *, {_STEM} || '-' || idx AS chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY source_path, idx) AS r FROM q) WHERE r = 1)
+SELECT (row_number() OVER (ORDER BY source_path, chunk_id) - 1)::BIGINT AS chunk_ord, chunk_id, source_path, {_FAMILY} AS doc_family, page_num AS page, section, md5(content) AS h FROM d"""
+
+
 ORACLE = {
     "family_inference": f"SELECT DISTINCT source_path, {_FAMILY} AS family FROM chunks WHERE source_path IS NOT NULL",
     "family_counts": "SELECT doc_family, count(*) n FROM chunks GROUP BY 1",
@@ -117,10 +155,8 @@ ORACLE = {
     "page_drop": f"SELECT page_id, page_num, length(x)::BIGINT n FROM (SELECT page_id, page_num, {_clean('text')} x FROM doc_pages) WHERE x <> ''",
     "page_offsets": f"WITH {_LAYOUT} SELECT source_path, page_num, start, n::BIGINT n FROM p",
     "alpha_ratio": r"SELECT chunk_ord, round(CASE WHEN length(content) > 0 THEN length(regexp_replace(content, '[^\p{L}]', '', 'g'))::DOUBLE / length(content) ELSE 0 END, 9) ratio FROM chunks WHERE content IS NOT NULL",
-    "quality_filter": rf"""WITH w AS (SELECT chunk_ord, CASE WHEN length(content) > 0 THEN length(regexp_replace(content, '[^\p{{L}}]', '', 'g'))::DOUBLE / length(content) ELSE 0 END r,
- regexp_matches(content, '(?:^|[^\p{{L}}\p{{N}}_])(?:LS|BRS)[\s]+[0-9]{{2,3}}-[0-9]{{2,3}}(?:[^\p{{L}}\p{{N}}_]|$)') table_row,
- regexp_matches(content, '(?m)^[\s]*[0-9]{{1,2}}(?:er|e)?[\s]+.{{0,40}}?(?:[Rr]ue|[Aa]venue|[Bb]oulevard|[Pp]lace|[Ii]mpasse|[Qq]uai|[Aa]llée|[Ss]quare|[Vv]illa|[Vv]oie|[Cc]ité|[Pp]assage)(?:[^\p{{L}}\p{{N}}_]|$)') address_row
- FROM chunks WHERE content IS NOT NULL) SELECT chunk_ord, table_row, address_row FROM w WHERE r >= 0.55 OR table_row OR address_row""",
+    "quality_filter": f"""WITH w AS (SELECT chunk_ord, CASE WHEN length(content) > 0 THEN length(regexp_replace(content, '[^\\p{{L}}]', '', 'g'))::DOUBLE / length(content) ELSE 0 END r,
+ {_TABLE_ROW} table_row, {_ADDRESS_ROW} address_row FROM chunks WHERE content IS NOT NULL) SELECT chunk_ord, table_row, address_row FROM w WHERE r >= 0.55 OR table_row OR address_row""",
     "chunk_ids": f"SELECT chunk_ord, {_STEM} || '-' || (row_number() OVER (PARTITION BY source_path ORDER BY chunk_ord) - 1) chunk_id FROM chunks WHERE source_path IS NOT NULL",
     "inspect_chunks": f"SELECT chunk_ord, chunk_id, substring(content, 1, 300) head FROM chunks WHERE {_BASE} = 'reglement_general_valmorane.pdf'",
     "window_chunks": f"""WITH {_LAYOUT}, w AS (SELECT source_path, t, unnest(range(0, greatest(0, ceil((length(t) - 1200) / 1000.0))::BIGINT * 1000 + 1, 1000)) s FROM f),
@@ -135,9 +171,13 @@ a AS (SELECT source_path, pos, piece, code FROM hs UNION ALL SELECT source_path,
 w AS (SELECT source_path, code, pos + s AS s, substring(piece, s + 1, 1200) raw FROM (SELECT *, unnest(range(0, length(piece), 1200)) s FROM a)),
 c AS (SELECT source_path, code, s + {_lead('raw')} off, {_strip('raw')} x FROM w)
 SELECT c.source_path, c.off, code, md5(x) h, page_num::INT page FROM c ASOF JOIN p ON c.source_path = p.source_path AND c.off >= p.start WHERE x <> ''""",
+    "annexe_headers": f"WITH cp AS (SELECT source_path, page_num, {_PUT_ANNEXES} AS text FROM doc_pages WHERE text <> ''), {_LAYOUT.replace('FROM doc_pages', 'FROM cp')}, {_ANNEXES} SELECT source_path, pos, title FROM an",
+    "corpus_chunks": _corpus("text"),
+    "annexe_chunks": _corpus(_PUT_ANNEXES),
     "dedup_chunks": "SELECT chunk_ord FROM (SELECT chunk_ord, row_number() OVER (PARTITION BY content ORDER BY source_path, chunk_ord) r FROM chunks) WHERE r = 1",
     "corpus_ordinal": "SELECT source_path, chunk_id, row_number() OVER (ORDER BY source_path COLLATE C, chunk_id COLLATE C) - 1 ordinal FROM (SELECT DISTINCT source_path, chunk_id FROM chunks WHERE source_path IS NOT NULL)".replace(" COLLATE C", ""),
-    "section_prefix": "WITH s AS (SELECT chunk_ord, content, CASE WHEN length(section) > 8 THEN substring(section, 1, 5) || '...' ELSE section END short FROM chunks WHERE section IS NOT NULL AND content IS NOT NULL) SELECT chunk_ord, short, md5('[Section: ' || short || ']' || chr(10) || content) h FROM s",
+    "section_prefix": """WITH t AS (SELECT chunk_ord, content, CASE WHEN chunk_ord % 2 = 0 THEN section || ' : ' || repeat(section, 20) ELSE section END t FROM chunks WHERE section IS NOT NULL AND content IS NOT NULL),
+s AS (SELECT chunk_ord, content, CASE WHEN length(t) > 100 THEN substring(t, 1, 97) || '...' ELSE t END short FROM t) SELECT chunk_ord, short, md5('[Section: ' || short || ']' || chr(10) || content) h FROM s""",
     "cache_plan": f"WITH {_PLAN} SELECT source_path, stored_chunks, false AS forced, coalesce(same, false) AS cached FROM pl",
     "rebuild_plan": f"WITH {_PLAN}, g AS (SELECT *, {_FAMILY} = 'annexes' AS forced FROM pl) SELECT source_path, stored_chunks, forced, NOT forced AND coalesce(same, false) AS cached FROM g",
     "files_to_process": f"WITH {_LAST} SELECT source_path FROM ls WHERE NOT EXISTS (SELECT 1 FROM manifest m WHERE m.source_path = ls.source_path AND m.size_bytes = ls.size_bytes AND m.modified_time = ls.modified_time)",

@@ -14,6 +14,7 @@ from lutrin.config import Settings
 from lutrin.functions import text as X
 from lutrin.operators import chunking, dense, families, lexical, reports, spans
 from lutrin.plans.build import cache_plan
+from lutrin.plans.scale import written
 from lutrin.plans.search import Searcher
 
 DEFAULT = Settings()
@@ -107,31 +108,53 @@ def window_chunks(spark, sf):
 
 
 def fixed_chunks(spark, sf):
-    """Fixed-size pieces without overlap of all documents."""
-    docs = _t(spark, sf, "documents").where("length(text) > 0")
-    k = F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(DEFAULT.chunk_size)))
-    pieces = docs.select("doc_id", "text", k.alias("s")).withColumn("raw", F.expr(f"substring(text, s + 1, {DEFAULT.chunk_size})"))
-    return pieces.select("doc_id", (F.col("s") + X.leading(F.col("raw"))).cast("long").alias("off"), X.strip(F.col("raw")).alias("t")).where("t <> ''").select("doc_id", "off", F.md5("t").alias("h"))
+    """Fixed-size pieces without overlap of all documents, each a file of one page."""
+    pages = _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("source_path"), F.lit(1).alias("page_num"), "text")
+    placed = spans.layout(pages)
+    cut = spans.cut(placed, spans.windows(placed, DEFAULT.chunk_size, 0))
+    return cut.select(F.col("source_path").cast("long").alias("doc_id"), F.col("off").cast("long").alias("off"), F.md5("content").alias("h"))
 
 
 def article_codes(spark, sf):
-    heads = spans.headers(spans.layout(_pages(spark, sf)), spans.ARTICLE, 1, False)
+    heads = spans.headers(spans.layout(_pages(spark, sf), headed=True)).where("article")
     return heads.select("source_path", F.col("pos").cast("long").alias("pos"), F.col("title").alias("code"))
 
 
+def _annexed(spark, sf):
+    """The pages with annexe headers, some of them over a page's end, and references in brackets put in."""
+    n = F.col("page_num")
+    end = F.when(n % 5 == 1, " (voir (").when(n % 3 == 0, "\nA NNEXE IV :").when(n % 7 == 4, "\nANNEXE X : " + "Liste des terrains " * 9).otherwise("")
+    return _pages(spark, sf).where("text <> ''").withColumn("text", F.concat(F.when(n % 5 == 2, "Annexe VI des lieux ").otherwise(""), "text", end))
+
+
+def annexe_headers(spark, sf):
+    """Annexe headers of the joined pages, without references in brackets."""
+    heads = spans.headers(spans.layout(_annexed(spark, sf), headed=True)).where("NOT article")
+    return heads.select("source_path", F.col("pos").cast("long").alias("pos"), "title")
+
+
 def article_chunks(spark, sf):
-    placed = spans.layout(_pages(spark, sf))
-    cut = spans.cut(placed, spans.articles(placed, DEFAULT.chunk_size))
+    placed = spans.layout(_pages(spark, sf), headed=True)
+    cut = spans.cut(placed, spans.articles(placed, written(spans.headers(placed), "heads"), DEFAULT.chunk_size))
     return cut.select("source_path", F.col("off").cast("long").alias("off"), "code", F.md5("content").alias("h"), F.col("page").cast("int").alias("page"))
 
 
-def corpus_chunks(spark, sf):
-    """GEN-10: all pages to chunks with id, family, page and section, without their duplicates."""
-    cleaned = _pages(spark, sf).withColumn("text", X.page_text(F.col("text"))).where("text <> ''")
+def _corpus(pages):
+    cleaned = pages.withColumn("text", X.page_text(F.col("text"))).where("text <> ''")
     made = chunking.distinct_contents(chunking.chunks(cleaned))
     return chunking.with_ordinal(made).select("chunk_ord", "chunk_id", "source_path", "doc_family", "page", "section", F.md5("content").alias("h"))
 
 
+def corpus_chunks(spark, sf):
+    """GEN-10: all pages to chunks with id, family, page and section, without their duplicates."""
+    return _corpus(_pages(spark, sf))
+
+
+def annexe_chunks(spark, sf):
+    """GEN-10 with annexes: sections and prefixes of chunks under articles and annexes."""
+    return _corpus(_annexed(spark, sf))
+
+
 def dedup_chunks(spark, sf):
     rows = _chunks(spark, sf).select("source_path", "chunk_ord", "content")
     return chunking.distinct_contents(rows, ("source_path", "chunk_ord")).select("chunk_ord")
@@ -143,8 +166,11 @@ def corpus_ordinal(spark, sf):
 
 
 def section_prefix(spark, sf):
-    s = X.shortened(F.col("section"), 8)
-    return _chunks(spark, sf).where("section IS NOT NULL AND content IS NOT NULL").select("chunk_ord", s.alias("short"), F.md5(F.concat(F.lit("[Section: "), s, F.lit("]\n"), F.col("content"))).alias("h"))
+    """Section line of chunks under an annexe; titles of over 100 characters are cut."""
+    title = F.concat("section", F.lit(" : "), F.repeat(F.col("section"), 20))
+    rows = _chunks(spark, sf).where("section IS NOT NULL AND content IS NOT NULL").select(
+        "chunk_ord", "content", F.lit(-1).alias("article_pos"), F.lit(None).cast("string").alias("code"), F.struct(F.lit(0).alias("pos"), F.when(F.col("chunk_ord") % 2 == 0, title).otherwise(F.col("section")).alias("title")).alias("annexe"))
+    return chunking.under_section(rows).select("chunk_ord", F.col("section").alias("short"), F.md5("content").alias("h"))
 
 
 # --- catalogue ----------------------------------------------------------------------------------------
@@ -336,7 +362,7 @@ def prefix_sizes(spark, sf):
 QUERIES = {
     "bm25_topk": bm25_topk, "family_inference": family_inference, "family_counts": family_counts, "listing_limit": listing_limit, "text_normalize": text_normalize,
     "page_drop": page_drop, "page_offsets": page_offsets, "alpha_ratio": alpha_ratio, "quality_filter": quality_filter, "chunk_ids": chunk_ids, "inspect_chunks": inspect_chunks,
-    "window_chunks": window_chunks, "fixed_chunks": fixed_chunks, "article_codes": article_codes, "article_chunks": article_chunks, "corpus_chunks": corpus_chunks,
+    "window_chunks": window_chunks, "fixed_chunks": fixed_chunks, "article_codes": article_codes, "annexe_headers": annexe_headers, "article_chunks": article_chunks, "corpus_chunks": corpus_chunks, "annexe_chunks": annexe_chunks,
     "dedup_chunks": dedup_chunks, "corpus_ordinal": corpus_ordinal, "section_prefix": section_prefix, "cache_plan": cache_plan_, "rebuild_plan": rebuild_plan,
     "files_to_process": files_to_process, "chunk_counts": chunk_counts, "union_cached_processed": union_cached_processed, "term_frequency": term_frequency,
     "document_frequency": document_frequency, "doc_length": doc_length, "corpus_stats": corpus_stats, "bm25_scores": bm25_scores, "vector_normalize": vector_normalize,

@@ -120,25 +120,40 @@ def rank_in_key(df: DataFrame, key: str, value: str, out: str, ties: str, hot: d
     return plain.unionByName(left.select("l.*", f"r.{out}", f"r.{ties}"))
 
 
-def running_sum(df: DataFrame, key: str, order: str, value: str, out: str, hot: dict, buckets: int | None = None) -> DataFrame:
-    """Inclusive running sum of value inside key by the numeric column `order` (unique inside a key).
-
-    Hot keys are summed range by range, as in rank_in_key.
+def running(
+    df: DataFrame, key: str, order: str, hot: dict, sums: dict[str, str] | None = None, lasts: dict[str, str] | None = None,
+    descending: bool = False, buckets: int | None = None,
+) -> DataFrame:
+    """df with running values inside key by the column `order` (unique inside a key), by output name.
+
+    sums: inclusive running sum of a column; lasts: the last value of a column that is not null, before the
+    row. Hot keys are worked range by range, as in rank_in_key: each range begins after the values that
+    the ranges before it end with.
     """
+    sums, lasts = sums or {}, lasts or {}
     buckets, hot = buckets or buckets_for(sum(hot.values())), list(hot)
 
-    def inside(*part: str) -> W:
-        return W.partitionBy(*part).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    def worked(rows: DataFrame, *part: str) -> DataFrame:
+        w = W.partitionBy(*part).orderBy(F.col(order).desc() if descending else F.col(order))
+        so_far, before = w.rowsBetween(W.unboundedPreceding, W.currentRow), w.rowsBetween(W.unboundedPreceding, -1)
+        return rows.select("*", *[F.sum(v).over(so_far).alias(o) for o, v in sums.items()], *[F.last(v, ignorenulls=True).over(before).alias(o) for o, v in lasts.items()])
 
     plain = df.where(~F.col(key).isin(hot) | F.col(key).isNull()) if hot else df
-    plain = plain.withColumn(out, F.sum(value).over(inside(key)))
+    plain = worked(plain, key)
     if not hot:
         return plain
     ranged = _with_range(df.where(F.col(key).isin(hot)), key, order, buckets)
-    totals = ranged.groupBy(key, "__range").agg(F.sum(value).alias("__total"))
-    before = W.partitionBy(key).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(key, "__range", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__before"))
-    done = ranged.join(F.broadcast(totals), [key, "__range"]).withColumn(  # a row a range, a key more in few of them
-        out, F.col("__before") + F.sum(value).over(inside(key, "__range"))
-    )
-    return plain.unionByName(done.select(*df.columns, out))
+    final = F.min_by if descending else F.max_by
+    ends = ranged.groupBy(key, "__range").agg(
+        *[F.sum(v).alias(f"__{o}") for o, v in sums.items()], *[final(F.col(v), F.when(F.col(v).isNotNull(), F.col(order))).alias(f"__{o}") for o, v in lasts.items()])
+    w = W.partitionBy(key).orderBy(F.col("__range").desc() if descending else F.col("__range")).rowsBetween(W.unboundedPreceding, -1)
+    ahead = ends.select(key, "__range", *[F.sum(f"__{o}").over(w).alias(f"__{o}") for o in sums], *[F.last(f"__{o}", ignorenulls=True).over(w).alias(f"__{o}") for o in lasts])
+    inside = worked(ranged, key, "__range").join(F.broadcast(ahead), [key, "__range"])  # a row a range
+    done = inside.select(
+        *df.columns, *[(F.coalesce(F.col(f"__{o}"), F.lit(0)) + F.col(o)).alias(o) for o in sums], *[F.coalesce(o, f"__{o}").alias(o) for o in lasts])
+    return plain.unionByName(done)
+
+
+def running_sum(df: DataFrame, key: str, order: str, value: str, out: str, hot: dict, buckets: int | None = None) -> DataFrame:
+    """Inclusive running sum of value inside key by the column `order` (unique inside a key)."""
+    return running(df, key, order, hot, sums={out: value}, buckets=buckets)

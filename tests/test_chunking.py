@@ -47,7 +47,7 @@ def test_articles_annexes_and_sections(spark):
     rows = chunking.raw_chunks(spark.createDataFrame(pages, PAGES), Settings(chunk_size=40, chunk_overlap=5)).orderBy("source_path", "s").collect()
     a = [r for r in rows if r["source_path"] == REG]
     text = pages[0][3] + "\n" + pages[1][3]
-    heads = [m.start() for m in re.finditer(spans.ARTICLE.removeprefix("(?U)"), text)]
+    heads = [m.start() for m in re.finditer(spans.ARTICLE, text)]
     assert min(r["s"] for r in a) == heads[0] and {r["section"] for r in a if not r["content"].startswith("[")} == {"UG.3.1", "UGSU.1.2", "N.1"}
     assert all(text[r["off"] :].startswith(r["content"]) for r in a if not r["content"].startswith("["))
     tail = [r for r in a if r["content"].startswith("[Section: A NNEXE V : LISTE des lieux]\n")]
@@ -55,6 +55,18 @@ def test_articles_annexes_and_sections(spark):
     assert [(r["content"], r["section"]) for r in rows if r["source_path"].endswith("b.pdf")] == [("no header here at all", None)]
 
 
+def test_headers_over_pages_without_a_reach(spark):
+    """Headers that begin on one page and end far into the next, brackets on the page before, blank pages between."""
+    texts = ["UG.1.1 Première règle (voir", "  \n ", "Annexe IV des lieux) puis\nA", " " * 900 + "NNEXE V : Liste", "fin du texte UG.2.1", "\n" * 700 + "Toiture plate (", "Annexe II est citée\nANNEXE VII :", "Titre"]
+    rows = [(i, REG, i + 1, t) for i, t in enumerate(texts)]
+    whole = "\n".join(texts)
+    want = {(m.start(), m.group(1)) for m in re.finditer(spans.ARTICLE, whole)}
+    want |= {(m.start(), m.group(0).strip()) for m in re.finditer(spans.ANNEXE, whole, re.I) if not whole[: m.start()].rstrip().endswith("(")}
+    for hot_rows in (2_000_000, 1):
+        got = {(r["pos"], r["title"]) for r in spans.headers(spans.layout(spark.createDataFrame(rows, PAGES), hot_rows, headed=True)).collect()}
+        assert got == want and len(got) == 5
+
+
 def test_overlap_must_be_smaller(spark):
     with pytest.raises(ValueError):
         Settings(chunk_size=10, chunk_overlap=10)

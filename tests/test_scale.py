@@ -1,7 +1,7 @@
 import os
 import random
 
-from lutrin.plans.scale import buckets_for, rank_in_key, release, running_sum, scratch, written
+from lutrin.plans.scale import buckets_for, rank_in_key, release, running, running_sum, scratch, written
 
 
 def test_hot_keys_rank_like_plain_ones(spark):
@@ -25,6 +25,18 @@ def test_hot_running_sum(spark):
     assert ("a", 99, 1, sum(i % 7 for i in range(100))) in plain
 
 
+def test_hot_last_values(spark):
+    rng = random.Random(4)
+    rows = [("ab"[i % 5 == 0], i, rng.choice([None, None, None, i])) for i in range(120)]
+    df = spark.createDataFrame(rows, "k string, o long, v long")
+    for down in (False, True):
+        want = {tuple(r) for r in running(df, "k", "o", {}, lasts={"l": "v"}, descending=down).collect()}
+        assert want == {tuple(r) for r in running(df, "k", "o", {"a": 96}, lasts={"l": "v"}, descending=down, buckets=6).collect()}
+        for k, o, _, last in want:
+            mine = [x[1:] for x in sorted(rows, key=lambda x: -x[1] if down else x[1]) if x[0] == k and (x[1] > o if down else x[1] < o)]
+            assert last == next((v for _, v in reversed(mine) if v is not None), None)
+
+
 def test_written_tables_have_an_owner(spark):
     kept = written(spark.range(3).toDF("i"), "kept")
     with scratch(spark):
