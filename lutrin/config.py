@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Mapping
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, field, fields, replace
 
 
 @dataclass(frozen=True)
@@ -21,8 +21,14 @@ class Settings:
     alpha: float = 0.5
     embedding_model: str = "hashed-words"
     llm_backend: str = "none"
-    llm_model: str = ""
-    llm_host: str = ""
+    llm_model: str = "gemma3:4b"
+    llm_host: str = "http://localhost:11434"
+    openai_model: str = "gpt-4.1-mini"
+    openai_host: str = "https://api.openai.com"
+    openai_key: str = field(default="", repr=False)
+    claude_model: str = "claude-sonnet-4-5"
+    claude_host: str = "https://api.anthropic.com"
+    claude_key: str = field(default="", repr=False)
 
     def __post_init__(self):
         if self.chunk_overlap >= self.chunk_size:
@@ -33,6 +39,8 @@ class Settings:
 ENVIRONMENT = {
     "LUTRIN_MAX_FILES": "max_files", "LUTRIN_MIN_ALPHA_RATIO": "min_alpha_ratio", "LUTRIN_EMBEDDING_MODEL": "embedding_model",
     "LUTRIN_LLM_BACKEND": "llm_backend", "LUTRIN_LLM_MODEL": "llm_model", "LUTRIN_LLM_HOST": "llm_host",
+    "OPENAI_API_KEY": "openai_key", "LUTRIN_OPENAI_MODEL": "openai_model", "LUTRIN_OPENAI_HOST": "openai_host",
+    "ANTHROPIC_API_KEY": "claude_key", "LUTRIN_CLAUDE_MODEL": "claude_model", "LUTRIN_CLAUDE_HOST": "claude_host",
 }
 
 

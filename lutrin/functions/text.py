@@ -85,6 +85,7 @@ def bar(score: Column, width: int = 8) -> Column:
 
 def plain_markdown(c: Column) -> Column:
     """Text without bold and italic marks, with list marks as bullets and Windows paths as file names."""
+    # The four patterns.
     c = F.regexp_replace(c, r"(?d)\*\*(.*?)\*\*", "$1")
     c = F.regexp_replace(c, r"(?d)\*(.*?)\*", "$1")
     c = F.regexp_replace(c, r"(?md)^[ \t]*[*\-][ \t]+", "• ")
@@ -93,7 +94,7 @@ def plain_markdown(c: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def excerpt(c: pd.Series) -> pd.Series:
-    """At most 500 characters of whole words, blanks collapsed; only ever applied to top-k rows."""
+    """At most 500 characters of whole words, blanks collapsed; Spark's functions cannot say where it cuts."""
     return c.map(lambda t: None if t is None else textwrap.shorten(t, 500, placeholder="..."))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import json
 
 import pandas as pd
@@ -81,6 +82,43 @@ def bracketed_strings(raw: Column) -> Column:
     return _strings(F.when((a > 0) & (F.locate("]", raw) > 0) & (b > a), F.substring(raw, a, b - a + 1)))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _listed(raw: pd.Series) -> pd.Series:
+    def parse(text: str | None) -> list[str]:
+        try:
+            items = ast.literal_eval(text or "")
+        except (ValueError, SyntaxError, MemoryError, RecursionError):
+            return []
+        return [str(x) for x in items] if isinstance(items, list) else []
+
+    return raw.map(parse)
+
+
+# Lines of a stored output, as the command line prints them.
+PASSAGES_MARK, ANSWER_MARK = "Retrieved passages:", "LLM answer:"
+CODES_MARK, EXPANSION_MARK = "[query expansion] articles inférés : ", "[query expansion] expansion query  : "
+
+
+def output_parts(raw: Column) -> Column:
+    """struct<passages, answer, expansion, codes> of a stored output.
+
+    Without the passages' mark all of it is passages; without the answer's mark there is no answer. Of
+    several expansion lines the last counts; codes that cannot be read are none.
+    """
+    at = F.locate(PASSAGES_MARK, raw)
+    rest = F.when(at > 0, F.substring(raw, at + len(PASSAGES_MARK), F.length(raw))).otherwise(raw)
+    cut = F.when(at > 0, F.locate(ANSWER_MARK, rest)).otherwise(F.lit(0))
+    lines = F.split(raw, r"\r\n|\r|\n", -1)
+    last = lambda mark: F.try_element_at(F.filter(lines, lambda x: F.startswith(x, F.lit(mark))), F.lit(-1))
+    after = lambda mark: X.strip(F.substring(last(mark), F.lit(len(mark) + 1), F.length(last(mark))))
+    return F.struct(
+        X.strip(F.when(cut > 0, F.substring(rest, F.lit(1), cut - 1)).otherwise(rest)).alias("passages"),
+        F.when(cut > 0, X.strip(F.substring(rest, cut + len(ANSWER_MARK), F.length(rest)))).otherwise("").alias("answer"),
+        F.coalesce(after(EXPANSION_MARK), F.lit("")).alias("expansion"),
+        F.coalesce(_listed(after(CODES_MARK)), F.array().cast("array<string>")).alias("codes"),
+    )
+
+
 def missing(expected: Column, found_in: Column) -> Column:
     """Expected strings that do not occur in a text, without regard to case, in order."""
     text = F.lower(F.coalesce(found_in, F.lit("")))

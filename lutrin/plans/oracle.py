@@ -89,23 +89,50 @@ SELECT query_id, chunk_ord, rank::INT rank, round(rrf, 9) score FROM z WHERE ran
 
 def _lead_hits(score: str, k: int = 5) -> str:
     return f"""
-one AS (SELECT DISTINCT ON (query_id, chunk_ord) * FROM hits WHERE {score} IS NOT NULL ORDER BY query_id, chunk_ord, hit_id),
-ld AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, chunk_ord) rank FROM one) WHERE rank <= {k})"""
+one AS (SELECT DISTINCT ON (query_id, chunk_ord) * EXCLUDE (content) FROM hits WHERE {score} IS NOT NULL ORDER BY query_id, chunk_ord, hit_id),
+l0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, chunk_ord) rank FROM one) WHERE rank <= {k}),
+ld AS (SELECT l0.*, coalesce(c.content, '') AS content FROM l0 JOIN chunks c USING (chunk_ord))"""
 
 
-_EXC = _strip(rf"regexp_replace(content, '[{_SPACE}]+', ' ', 'g')")
-_LINE = f"'[score=' || printf('%.3f', score) || '] [' || doc_family || '] ' || source_path || chr(10) || {_EXC}"
+def _excerpt(c: str) -> str:
+    """At most 500 characters, cut after a word or after a hyphen between letters."""
+    x = _strip(rf"regexp_replace({c}, '[{_SPACE}]+', ' ', 'g')")
+    letter, punct = r"[\p{L}_]", "[\\p{L}\\p{N}_!\"''&.,?]"
+    ends = (r"^(?s)(.{0,496}[^ ]) ", rf"^(?s)(.{{0,494}}{letter}{{2}}-){letter}-?{letter}", rf"^(?s)(.{{0,493}}{letter}-{punct}-){letter}-?{letter}")
+    cuts = [f"regexp_extract({x}, '{e}', 1)" for e in ends]
+    longest = f"list_reduce([{', '.join(cuts)}], lambda a, b: CASE WHEN length(b) > length(a) THEN b ELSE a END)"
+    return f"CASE WHEN length({x}) <= 500 THEN {x} ELSE {longest} || '...' END"
 
 
-def _cases(score: str = "score") -> str:
-    return f"""{_lead_hits(score)},
-ps AS (SELECT query_id, string_agg({_LINE}, chr(10) || chr(10) ORDER BY rank) AS passages FROM ld GROUP BY 1),
-gc AS (SELECT golden.*, lower(coalesce(passages, '')) lp, lower(coalesce(expected_answer_summary, '')) la FROM golden LEFT JOIN ps ON query_id = id),
-gm AS (SELECT *, list_filter(expected_articles, lambda x: NOT contains(lp, lower(x))) ma, list_filter(expected_keywords, lambda x: NOT contains(la, lower(x))) mk FROM gc),
-gs AS (SELECT *, CASE WHEN len(expected_articles) > 0 THEN round_even((len(expected_articles) - len(ma))::DOUBLE / len(expected_articles), 4) ELSE 1.0 END rs,
-  CASE WHEN len(expected_keywords) > 0 THEN round_even((len(expected_keywords) - len(mk))::DOUBLE / len(expected_keywords), 4) ELSE 1.0 END ans FROM gm)"""
+_LINE = f"'[score=' || printf('%.3f', score) || '] [' || doc_family || '] ' || source_path || chr(10) || {_excerpt('content')}"
+_PASSAGES = f"ps AS (SELECT query_id, string_agg({_LINE}, chr(10) || chr(10) ORDER BY rank) AS passages FROM ld GROUP BY 1)"
+_FULL = "doc_family, source_path, coalesce(content, '') AS content"
 
 
+def _scored(t: str = "") -> str:
+    return f"""gc{t} AS (SELECT g.*, lower(coalesce(passages, '')) lp, lower(coalesce(expected_answer_summary, '')) la FROM (SELECT * FROM golden WHERE id IN (SELECT query_id FROM q)) g LEFT JOIN ps{t} ON query_id = id),
+gm{t} AS (SELECT *, list_filter(expected_articles, lambda x: NOT contains(lp, lower(x))) ma, list_filter(expected_keywords, lambda x: NOT contains(la, lower(x))) mk FROM gc{t}),
+gs{t} AS (SELECT *, CASE WHEN len(expected_articles) > 0 THEN round_even((len(expected_articles) - len(ma))::DOUBLE / len(expected_articles), 4) ELSE 1.0 END rs,
+  CASE WHEN len(expected_keywords) > 0 THEN round_even((len(expected_keywords) - len(mk))::DOUBLE / len(expected_keywords), 4) ELSE 1.0 END ans FROM gm{t})"""
+
+
+_PLAIN = "ld AS (SELECT * FROM (SELECT query_id, chunk_ord, rrf AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, dr NULLS LAST, br NULLS LAST, chunk_ord) AS rank FROM x) JOIN (SELECT chunk_ord, " + _FULL + " FROM chunks) USING (chunk_ord) WHERE rank <= 5)"
+_CASES = f"{_INDEX},{_ASKED},{_legs('q', 'num', 5)},{_PLAIN},{_PASSAGES},{_scored()}"
+
+
+def _weighted(alpha: float, t: str) -> str:
+    """ps{t}: passages of the weighted search, from xa, xb and xc."""
+    return f"""u{t} AS (SELECT query_id, chunk_ord, sum(p) s FROM (SELECT query_id, chunk_ord, {alpha}::DOUBLE * rrf p FROM xa UNION ALL SELECT query_id, chunk_ord, (1 - {alpha}::DOUBLE) * rrf FROM xb) GROUP BY ALL),
+z{t} AS (SELECT query_id, chunk_ord, s, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, chunk_ord) rank FROM u{t}
+ UNION ALL SELECT query_id, chunk_ord, rrf, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, dr NULLS LAST, br NULLS LAST, chunk_ord) FROM xc),
+ld{t} AS (SELECT z.*, s AS score, {_FULL} FROM z{t} z JOIN chunks USING (chunk_ord) WHERE rank <= 5),
+{_PASSAGES.replace('ps AS', f'ps{t} AS').replace('FROM ld', f'FROM ld{t}')}"""
+
+
+_PARTED = f"""
+q1 AS (SELECT * FROM q WHERE len(expected_keywords) > 0), q2 AS (SELECT query_id, array_to_string(expected_keywords, ' ') AS text, num FROM q1), q3 AS (SELECT * FROM q WHERE coalesce(len(expected_keywords), 0) = 0),
+{_legs('q1', 'num', 5, '', 'a')},{_legs('q2', 'num', 5, '', 'b')},{_legs('q3', 'num', 5, '', 'c')}"""
+
 _LAST = "ls AS (SELECT source_path, max(size_bytes) size_bytes, max(modified_time) modified_time FROM listing WHERE run_id = (SELECT max(run_id) FROM listing) GROUP BY 1)"
 _PLAN = _LAST + """, cc AS (SELECT source_path, count(*) n FROM chunks GROUP BY 1),
 pl AS (SELECT ls.source_path, coalesce(n, 0)::BIGINT stored_chunks, ls.size_bytes = m.size_bytes AND ls.modified_time = m.modified_time AND coalesce(n, 0) = m.chunk_count AS same
@@ -200,25 +227,28 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d DESC, chunk_
     "hybrid_search": f"WITH {_INDEX},{_ASKED},{_legs('q', 'num', 5)},{_BEST}",
     "hybrid_search_family": f"WITH {_INDEX},{_ASKED},{_legs('q', 'num', 5, chr(39) + 'annexes' + chr(39) + ',' + chr(39) + 'padd' + chr(39))},{_BEST}",
     "hybrid_search_debug": f"WITH {_INDEX},{_ASKED},{_legs('q', 'num', 5)},{_BEST}".replace("SELECT query_id, chunk_ord, rank::INT rank, round(rrf, 9) score FROM z", "SELECT query_id, rank::INT rank, coalesce(round(ds, 6), -1) dense_score, coalesce(round(bs, 6), -1) bm25_score, coalesce(dr, -1)::INT dense_rank, coalesce(br, -1)::INT bm25_rank FROM z"),
-    "weighted_search": f"""WITH {_INDEX},{_ASKED},
-q1 AS (SELECT * FROM q WHERE len(expected_keywords) > 0), q2 AS (SELECT query_id, array_to_string(expected_keywords, ' ') AS text, num FROM q1), q3 AS (SELECT * FROM q WHERE coalesce(len(expected_keywords), 0) = 0),
-{_legs('q1', 'num', 5, '', 'a')},{_legs('q2', 'num', 5, '', 'b')},{_legs('q3', 'num', 5, '', 'c')},
+    "weighted_search": f"""WITH {_INDEX},{_ASKED},{_PARTED},
 u AS (SELECT query_id, chunk_ord, sum(p) s FROM (SELECT query_id, chunk_ord, 0.7::DOUBLE * rrf p FROM xa UNION ALL SELECT query_id, chunk_ord, (1 - 0.7::DOUBLE) * rrf FROM xb) GROUP BY ALL),
 z AS (SELECT query_id, chunk_ord, s, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, chunk_ord) rank FROM u
  UNION ALL SELECT query_id, chunk_ord, rrf, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, dr NULLS LAST, br NULLS LAST, chunk_ord) FROM xc)
 SELECT query_id, chunk_ord, rank::INT rank, round(s, 9) score FROM z WHERE rank <= 5""",
-    "hit_passages": f"WITH {_lead_hits('score')} SELECT query_id, string_agg({_LINE}, chr(10) || chr(10) ORDER BY rank) AS passages FROM ld GROUP BY 1",
+    "hit_passages": f"WITH {_lead_hits('score')},{_PASSAGES} SELECT query_id, md5(passages) h FROM ps",
     "prompt_context": f"WITH {_lead_hits('score')} SELECT query_id, md5('Question: ' || any_value(question) || chr(10) || chr(10) || 'Context:' || chr(10) || string_agg('Source: ' || {_BASE} || chr(10) || 'Content: ' || substring(content, 1, 3000), chr(10) || chr(10) ORDER BY rank)) h FROM ld JOIN golden ON id = query_id GROUP BY 1",
-    "citation_rows": f"WITH {_lead_hits('score')} SELECT query_id, rank::INT rank, {_BASE} AS source, doc_family AS family, coalesce(page, -1) AS page, section FROM ld",
+    "citation_rows": f"WITH {_lead_hits('score')} SELECT query_id, rank::INT rank, {_BASE} AS source, source_path AS full_path, doc_family AS family, md5({_excerpt('content')}) AS excerpt, coalesce(page, -1) AS page, section FROM ld",
     "debug_rows": f"WITH {_lead_hits('score')} SELECT query_id, rank::INT rank, concat_ws(' | ', {_BASE}, doc_family, coalesce(printf('%.4f', faiss_score), 'n/a'), coalesce(printf('%.4f', bm25_score), 'n/a'), printf('%.5f', score), coalesce(page::VARCHAR, 'n/a'), coalesce(section, 'n/a'), substring(content, 1, 200)) line FROM ld",
+    "excerpts": f"SELECT doc_id, {_excerpt('text')} AS excerpt FROM documents WHERE text IS NOT NULL",
+    "output_parts": f"""WITH {_lead_hits('score')},{_PASSAGES}
+SELECT id, md5({_strip('passages')}) AS passages, CASE WHEN length(question) % 4 IN (0, 1) THEN {_strip("coalesce(expected_answer_summary, '')")} ELSE '' END AS answer,
+ CASE WHEN length(question) % 4 = 1 THEN {_strip("coalesce(array_to_string(expected_keywords, ' '), '')")} ELSE '' END AS expansion,
+ CASE WHEN length(question) % 4 = 1 THEN coalesce(array_to_string(list_filter(expected_keywords, lambda x: trim(x) <> ''), '|'), '') ELSE '' END AS codes FROM golden JOIN ps ON query_id = id""",
     "markdown_strip": r"""WITH d AS (SELECT doc_id, '**' || lang || '** *x*' || chr(10) || ' - ' || text || chr(10) || '* C:\docs\plu\REG1.pdf *fin' t FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL)
 SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\*\*(.*?)\*\*', '\1', 'g'), '\*(.*?)\*', '\1', 'g'), '(?m)^[ \t]*[*\-][ \t]+', '• ', 'g'), '[A-Za-z]:\\(?:[^\\<>:"/|?*\n]+\\)+([^\\<>:"/|?*\n]+)', '\1', 'g')) h FROM d""",
     "expansion_parse": "SELECT id, CASE WHEN length(question) % 3 = 0 THEN '' ELSE array_to_string(list_filter(expected_articles, lambda x: trim(x) <> ''), '|') END codes FROM golden",
-    "golden_scores": f"WITH {_cases()} SELECT id, rs retrieval_score, ans answer_score, array_to_string(ma, '|') missing_articles, array_to_string(mk, '|') missing_keywords FROM gs",
-    "eval_summary": f"WITH {_cases()} SELECT lower(complexity) complexity, count(*) n, round(avg(rs), 6) retrieval, round(avg(ans), 6) answer FROM gs GROUP BY 1",
-    "eval_compare": f"""WITH a AS (WITH {_cases()} SELECT id, rs FROM gs), b AS (WITH {_cases('bm25_score')} SELECT id, rs FROM gs), c AS (WITH {_cases('faiss_score')} SELECT id, rs FROM gs),
-u AS (SELECT 'score' run, id, 0.0::DOUBLE d FROM a UNION ALL SELECT 'bm25_score', id, round(b.rs - a.rs, 6) FROM a JOIN b USING (id) UNION ALL SELECT 'faiss_score', id, round(c.rs - a.rs, 6) FROM a JOIN c USING (id))
-SELECT run, id, d AS delta, CASE WHEN d > 0 THEN '↑' WHEN d < 0 THEN '↓' ELSE '=' END arrow FROM u""",
-    "score_bands": f"WITH {_cases()} SELECT id, CASE WHEN ans >= 0.8 THEN 'green' WHEN ans >= 0.5 THEN 'yellow' ELSE 'red' END band, repeat('█', round_even(ans * 8, 0)::INT) || repeat('░', 8 - round_even(ans * 8, 0)::INT) bar, CASE WHEN length(question) > 51 THEN substring(question, 1, 50) || '…' ELSE question END short FROM gs",
+    "golden_scores": f"WITH {_CASES} SELECT id, rs retrieval_score, ans answer_score, array_to_string(ma, '|') missing_articles, array_to_string(mk, '|') missing_keywords FROM gs",
+    "eval_summary": f"WITH {_CASES} SELECT lower(complexity) complexity, count(*) n, round(avg(rs), 6) retrieval, round(avg(ans), 6) answer FROM gs GROUP BY 1",
+    "eval_compare": f"""WITH {_CASES},{_PARTED},{_weighted(0.7, '7')},{_scored('7')},{_weighted(0.5, '5')},{_scored('5')},
+u AS (SELECT 'plain' run, id, rs, 0.0::DOUBLE d FROM gs UNION ALL SELECT 'alpha=0.7', id, gs7.rs, round(gs7.rs - gs.rs, 6) FROM gs JOIN gs7 USING (id) UNION ALL SELECT 'alpha=0.5', id, gs5.rs, round(gs5.rs - gs.rs, 6) FROM gs JOIN gs5 USING (id))
+SELECT run, id, rs AS retrieval_score, d AS delta, CASE WHEN d > 0 THEN '↑' WHEN d < 0 THEN '↓' ELSE '=' END arrow FROM u""",
+    "score_bands": f"WITH {_CASES} SELECT id, CASE WHEN ans >= 0.8 THEN 'green' WHEN ans >= 0.5 THEN 'yellow' ELSE 'red' END band, repeat('█', round_even(ans * 8, 0)::INT) || repeat('░', 8 - round_even(ans * 8, 0)::INT) bar, CASE WHEN length(question) > 51 THEN substring(question, 1, 50) || '…' ELSE question END short FROM gs",
     "prefix_sizes": "SELECT hit_id, coalesce(sum(length(content)) OVER (PARTITION BY query_id ORDER BY hit_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM hits",
 }

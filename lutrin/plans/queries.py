@@ -287,11 +287,13 @@ def weighted_search(spark, sf):
 # --- reports -------------------------------------------------------------------------------------------
 
 def _lead(spark, sf, score="score", k=5):
-    return reports.leading_hits(_t(spark, sf, "hits"), score, k)
+    """The k best logged hits of each query, with the whole contents of their chunks."""
+    texts = _chunks(spark, sf).select("chunk_ord", F.coalesce("content", F.lit("")).alias("content"))
+    return reports.leading_hits(_t(spark, sf, "hits"), score, k).drop("content").join(texts, "chunk_ord")
 
 
 def hit_passages(spark, sf):
-    return reports.passages(_lead(spark, sf))
+    return reports.passages(_lead(spark, sf)).select("query_id", F.md5("passages").alias("h"))
 
 
 def prompt_context(spark, sf):
@@ -301,7 +303,8 @@ def prompt_context(spark, sf):
 
 def citation_rows(spark, sf):
     c = reports.citations(_lead(spark, sf))
-    return c.select("query_id", F.explode("citations").alias("c")).select("query_id", "c.rank", "c.source", "c.family", F.coalesce("c.page", F.lit(-1)).alias("page"), "c.section")
+    c = c.select("query_id", F.explode("citations").alias("c"))
+    return c.select("query_id", "c.rank", "c.source", "c.full_path", "c.family", F.md5("c.excerpt").alias("excerpt"), F.coalesce("c.page", F.lit(-1)).alias("page"), "c.section")
 
 
 def debug_rows(spark, sf):
@@ -310,6 +313,7 @@ def debug_rows(spark, sf):
 
 
 def excerpts(spark, sf):
+    """At most 500 characters of whole words of every document."""
     return _t(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", X.excerpted(F.col("text")).alias("excerpt"))
 
 
@@ -323,33 +327,56 @@ def expansion_parse(spark, sf):
     return _t(spark, sf, "golden").select("id", F.array_join(reports.bracketed_strings(raw), "|").alias("codes"))
 
 
-def _cases(spark, sf, score="score"):
-    shown = reports.passages(_lead(spark, sf, score))
-    g = _t(spark, sf, "golden").join(shown, F.col("id") == F.col("query_id"), "left").drop("query_id")
+def output_parts(spark, sf):
+    """EVL-3: stored outputs taken apart again into passages, answer, expansion and codes."""
+    g = _t(spark, sf, "golden").join(reports.passages(_lead(spark, sf)), F.col("id") == F.col("query_id")).drop("query_id")
+    n = F.length("question") % 4
+    head = F.when(n == 1, F.concat(F.lit(reports.CODES_MARK), F.to_json("expected_keywords"), F.lit("\n"), F.lit(reports.EXPANSION_MARK), F.array_join("expected_keywords", " "), F.lit("\n\n"))).otherwise("")
+    tail = F.when(n != 2, F.concat(F.lit("\n\n" + reports.ANSWER_MARK + "\n\n"), F.coalesce("expected_answer_summary", F.lit("")), F.lit("\n"))).otherwise("")
+    raw = F.when(n == 3, F.col("passages")).otherwise(F.concat(head, F.lit(reports.PASSAGES_MARK + "\n\n"), "passages", tail))
+    p = reports.output_parts(raw)
+    return g.select("id", p.alias("p")).select("id", F.md5("p.passages").alias("passages"), "p.answer", "p.expansion", F.array_join("p.codes", "|").alias("codes"))
+
+
+def _golden(spark, sf):
+    """Cases whose questions are searched."""
+    return _t(spark, sf, "golden").where(_number(F.col("id")) % 20 == 0)
+
+
+def _cases(spark, sf, hits):
+    shown = reports.passages(hits.withColumn("content", F.coalesce("content", F.lit(""))))
+    g = _golden(spark, sf).join(shown, F.col("id") == F.col("query_id"), "left").drop("query_id")
     return reports.scored(g.withColumn("answer", F.col("expected_answer_summary")).withColumn("error", F.lit(None).cast("string")))
 
 
+def _searched_cases(spark, sf):
+    return _cases(spark, sf, _searcher(spark, sf).search(_questions(spark, sf), 5))
+
+
 def golden_scores(spark, sf):
-    c = _cases(spark, sf)
+    """Scores of the golden questions' searches and of their reference answers."""
+    c = _searched_cases(spark, sf)
     return c.select("id", "retrieval_score", "answer_score", F.array_join("missing_articles", "|").alias("missing_articles"), F.array_join("missing_keywords", "|").alias("missing_keywords"))
 
 
 def eval_summary(spark, sf):
-    c = _cases(spark, sf).withColumn("complexity", F.lower("complexity"))
+    c = _searched_cases(spark, sf).withColumn("complexity", F.lower("complexity"))
     return c.groupBy("complexity").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("retrieval_score"), 6).alias("retrieval"), F.round(F.avg("answer_score"), 6).alias("answer"))
 
 
 def eval_compare(spark, sf):
-    """Retrieval by fused score against each leg alone."""
+    """Retrieval with expanded questions at two weights against the plain search."""
+    searcher, asked = _searcher(spark, sf), _expanded(spark, sf)
+    found = {"plain": searcher.search(_questions(spark, sf), 5), "alpha=0.7": searcher.search_weighted(asked, 5, 0.7), "alpha=0.5": searcher.search_weighted(asked, 5, 0.5)}
     runs = None
-    for s in ("score", "bm25_score", "faiss_score"):
-        r = _cases(spark, sf, s).select(F.lit(s).alias("run"), "id", "retrieval_score")
+    for name, hits in found.items():
+        r = _cases(spark, sf, hits).select(F.lit(name).alias("run"), "id", "retrieval_score")
         runs = r if runs is None else runs.unionByName(r)
-    return reports.compared(runs, "score").select("run", "id", "delta", "arrow")
+    return reports.compared(runs, "plain").select("run", "id", "retrieval_score", "delta", "arrow")
 
 
 def score_bands(spark, sf):
-    c = _cases(spark, sf)
+    c = _searched_cases(spark, sf)
     return c.select("id", X.band(F.col("answer_score")).alias("band"), X.bar(F.col("answer_score")).alias("bar"), X.abbreviated(F.col("question"), 52).alias("short"))
 
 
@@ -369,5 +396,5 @@ QUERIES = {
     "dense_topk": dense_topk, "hybrid_search": hybrid_search, "hybrid_search_family": hybrid_search_family, "hybrid_search_debug": hybrid_search_debug,
     "weighted_search": weighted_search, "hit_passages": hit_passages, "prompt_context": prompt_context, "citation_rows": citation_rows, "debug_rows": debug_rows,
     "excerpts": excerpts, "markdown_strip": markdown_strip, "expansion_parse": expansion_parse, "golden_scores": golden_scores, "eval_summary": eval_summary,
-    "eval_compare": eval_compare, "score_bands": score_bands, "prefix_sizes": prefix_sizes,
+    "eval_compare": eval_compare, "score_bands": score_bands, "output_parts": output_parts, "prefix_sizes": prefix_sizes,
 }

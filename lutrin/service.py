@@ -13,19 +13,20 @@ from lutrin.operators import reports
 
 
 def reply(engine, request: dict) -> tuple[int, dict]:
-    """Status and body for an /ask request: question, and optionally expansion and backend."""
+    """Status and body for an /ask request: question, and optionally backend and expand_query."""
     question = request.get("question")
     if not isinstance(question, str):
         return 422, {"detail": "question is missing"}
-    hits = engine.hits(question, expansion=request.get("expansion", "")).persist()
+    settings = engine.settings
+    backend = request.get("backend") or settings.llm_backend
+    expansion = engine.expansions([("q", question)], backend)["q"] if request.get("expand_query") else []
+    hits = engine.hits(question, expansion=" ".join(expansion)).persist()
     cited = reports.citations(hits).collect()
     if not cited:
         return 404, {"detail": "no passage found"}
     q = engine.spark.createDataFrame([("q", question)], "query_id string, text string")
     try:
-        settings = engine.settings
-        say = answers.answerer(request.get("backend", settings.llm_backend), settings.llm_host, settings.llm_model)
-        said = say("", reports.prompts(hits, q).first()["user"])
+        said = answers.answerer(backend, settings)(answers.SYSTEM, reports.prompts(hits, q).first()["user"])
     except RuntimeError as e:
         return 502, {"detail": str(e)}
     answer = engine.spark.createDataFrame([(said,)], "t string").select(plain_markdown(F.col("t"))).first()[0]

@@ -38,14 +38,17 @@ def listing(spark: SparkSession, root: str, pattern: str = "*.pdf", max_files: i
     return out.orderBy("source_path").limit(max_files) if max_files else out
 
 
-def pages(spark: SparkSession, root: str, wanted: DataFrame | None = None, extractor: Callable[[bytes], list[str]] = pdf_pages, pattern: str = "*.pdf") -> DataFrame:
+def pages(spark: SparkSession, root: str, wanted: DataFrame | None = None, extractor: Callable[[bytes], list[str]] = pdf_pages, pattern: str = "*.pdf", workers: int | None = None) -> DataFrame:
     """(source_path, page_num, text, error): cleaned pages, numbered from 1 before blank ones are dropped.
 
     A file that cannot be read gives one row with its error and no text. wanted: only these source_paths.
+    workers: files are read by so many tasks at a time; by as many as Spark finds fit without it.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select(F.col("path").alias("source_path"), "content")
     if wanted is not None:
         files = files.join(wanted.select("source_path"), "source_path", "left_semi")
+    if workers:
+        files = files.repartition(workers, "source_path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
