@@ -2,11 +2,13 @@
 
 Scores are replaced by their ranks inside a query, which no range, outlier or unit can distort. The
 correlation matrix of the rank-transformed scores is one distributed aggregation over all rows; its
-first principal component weighs the scores, its signs follow the declared directions.
+first principal component weighs the scores, turned so that it follows the declared directions.
 """
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +16,16 @@ from pyspark.sql import Window as W
 
 from lutrin.plans.scale import HOT_ROWS, hot_keys, rank_in_key
 
+logger = logging.getLogger(__name__)
 SCORES = {"faiss_score": 1, "bm25_score": 1, "score": 1}
 
 
 def rank_scores(hits: DataFrame, scores: dict[str, int], query: str = "query_id", item: str = "chunk_ord", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """One row per (query, item), as `_ranked` says."""
+    return _ranked(hits, scores, query, item, hot_rows)[0]
+
+
+def _ranked(hits: DataFrame, scores: dict[str, int], query: str, item: str, hot_rows: int) -> tuple[DataFrame, dict]:
     """One row per (query, item) with each score, its `<score>_rank` (1 is best) and `<score>_unit` in 0..1.
 
     Repeated rows of an item fold to one with its best value. Ties share the mean unit; a null score (and
@@ -41,14 +49,16 @@ def rank_scores(hits: DataFrame, scores: dict[str, int], query: str = "query_id"
         mean_rank = F.col(f"{s}_rank") + (F.col("__ties") - 1) / 2
         unit = F.when(F.col("__n") > 1, 1 - (mean_rank - 1) / (F.col("__n") - 1)).otherwise(F.lit(0.5))
         rows = rows.withColumn(f"{s}_unit", F.when(F.col(s).isNull(), F.lit(0.0)).otherwise(unit)).drop("__ties", "__n")
-    return rows
+    return rows, hot
 
 
 def loadings(ranked: DataFrame, scores: dict[str, int]) -> list[float]:
     """First principal component of the units' correlation matrix: one row of sums reaches the driver.
 
-    Each score was flipped to its declared direction before ranking, so every loading is turned to a
-    non-negative sign; a matrix without variance gives equal loadings.
+    A component has no sign of its own: the whole vector is turned so that its loadings add up to a positive
+    number, as every score was flipped to its declared direction before ranking. A single loading that stays
+    negative says that its score runs against the others; it is kept and logged, for without it this would
+    be no principal component. A matrix without variance gives equal loadings.
     """
     u = [F.col(f"{s}_unit") for s in scores]
     sums = [F.count(F.lit(1))] + [F.sum(a) for a in u] + [F.sum(a * b) for a in u for b in u]
@@ -63,29 +73,52 @@ def loadings(ranked: DataFrame, scores: dict[str, int]) -> list[float]:
         return [k**-0.5] * k
     scale = np.where(sd > 1e-12, sd, 1)
     values, vectors = np.linalg.eigh(cov / np.outer(scale, scale))
-    return [round(float(x), 9) for x in np.abs(vectors[:, int(np.argmax(values))])]
+    first = vectors[:, int(np.argmax(values))]
+    # Opposite loadings may cancel out: then the largest one, the first of equals, points the way.
+    turn = first.sum() if abs(first.sum()) > 1e-9 else first[int(np.argmax(np.round(np.abs(first), 9)))]
+    out = [round(float(x), 9) for x in (first if turn >= 0 else -first)]
+    for name, x in zip(scores, out):
+        if x < -1e-9:
+            logger.warning("score %s runs against the component of the others (loading %s)", name, x)
+    return out
 
 
 def fuse(hits: DataFrame, scores: dict[str, int] = SCORES, query: str = "query_id", item: str = "chunk_ord", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rows of rank_scores with `projection` on the first component: the fused score."""
-    ranked = rank_scores(hits, scores, query, item, hot_rows)
+    return _fused(hits, scores, query, item, hot_rows)[0]
+
+
+def _fused(hits: DataFrame, scores: dict[str, int], query: str, item: str, hot_rows: int) -> tuple[DataFrame, list[float], dict]:
+    ranked, hot = _ranked(hits, scores, query, item, hot_rows)
     weights = loadings(ranked, scores)
     total = sum((F.lit(w) * F.col(f"{s}_unit") for w, s in zip(weights, scores)), F.lit(0.0))
-    return ranked.withColumn("projection", F.round(total, 9))
+    return ranked.withColumn("projection", F.round(total, 9)), weights, hot
 
 
-def leaders(fused: DataFrame, scores: dict[str, int] = SCORES, depth: int = 3) -> DataFrame:
-    """Items that are among the best `depth` of their query on every score."""
-    lead = F.lit(True)
+def leaders(hits: DataFrame, scores: dict[str, int] = SCORES, depth: int = 3, query: str = "query_id", item: str = "chunk_ord", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Rows of `fuse` for items that are among the best `depth` of their query on every score.
+
+    They are taken from the fused ranking: no item can lead on every score whose projection is below the
+    one of an item that is last of the best `depth` everywhere (for a negative loading: best). The ranks of
+    what is left are then checked.
+    """
+    fused, weights, hot = _fused(hits, scores, query, item, hot_rows)
+    bounds = [(F.min if w >= 0 else F.max)(F.when(F.col(f"{s}_rank") <= depth, F.col(f"{s}_unit"))) for w, s in zip(weights, scores)]
+    if hot:
+        least = fused.groupBy(query).agg(*[b.alias(f"__b{i}") for i, b in enumerate(bounds)])
+        fused = fused.join(least, query)
+    else:
+        fused = fused.select("*", *[b.over(W.partitionBy(query)).alias(f"__b{i}") for i, b in enumerate(bounds)])
+    floor = sum((F.lit(w) * F.col(f"__b{i}") for i, w in enumerate(weights)), F.lit(0.0))
+    near = fused.where(F.col("projection") >= floor - 1e-8).drop(*[f"__b{i}" for i in range(len(weights))])
     for s in scores:
-        lead = lead & (F.col(f"{s}_rank") <= depth)
-    return fused.where(lead)
+        near = near.where(F.col(f"{s}_rank") <= depth)
+    return near
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks that lead their query on all scores at once, of the fused ranking."""
-    fused = fuse(spark.read.parquet(f"{sf}/hits.parquet"))
-    return leaders(fused).select("query_id", "chunk_ord")
+    """Chunks that lead their query on all scores at once, taken from the fused ranking."""
+    return leaders(spark.read.parquet(f"{sf}/hits.parquet")).select("query_id", "chunk_ord")
 
 
 def p2_ranking(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,4 +138,20 @@ r AS (SELECT *, rank() OVER (PARTITION BY query_id ORDER BY f DESC NULLS LAST) r
              rank() OVER (PARTITION BY query_id ORDER BY s DESC NULLS LAST) rs FROM one)
 SELECT query_id, chunk_ord FROM r
 WHERE f IS NOT NULL AND b IS NOT NULL AND s IS NOT NULL AND rf <= 3 AND rb <= 3 AND rs <= 3""",
+    # The component by power iteration on the SQL's own correlations.
+    "p2_ranking": """
+WITH RECURSIVE one AS (SELECT query_id, chunk_ord, max(faiss_score) f, max(bm25_score) b, max(score) s FROM hits
+             WHERE query_id IS NOT NULL AND chunk_ord IS NOT NULL GROUP BY ALL),
+long AS (UNPIVOT one ON f, b, s INTO NAME k VALUE v),
+r AS (SELECT query_id, chunk_ord, k, rank() OVER (PARTITION BY query_id, k ORDER BY v DESC) + (count(*) OVER (PARTITION BY query_id, k, v) - 1) / 2 AS m, count(*) OVER (PARTITION BY query_id, k) AS n FROM long),
+u AS (SELECT query_id, chunk_ord, k, CASE WHEN n > 1 THEN 1 - (m - 1) / (n - 1) ELSE 0.5 END AS u FROM r),
+x AS (SELECT one.query_id, one.chunk_ord, coalesce(max(u) FILTER (k = 'f'), 0.0) f, coalesce(max(u) FILTER (k = 'b'), 0.0) b, coalesce(max(u) FILTER (k = 's'), 0.0) s
+  FROM one LEFT JOIN u USING (query_id, chunk_ord) GROUP BY ALL),
+c AS (SELECT corr(f, b) fb, corr(f, s) fs, corr(b, s) bs FROM x),
+it AS (SELECT 0 AS i, 0.5::DOUBLE AS wf, 0.6::DOUBLE AS wb, 0.7::DOUBLE AS ws
+  UNION ALL SELECT i + 1, yf / len, yb / len, ys / len FROM (SELECT *, sqrt(yf * yf + yb * yb + ys * ys) AS len FROM
+    (SELECT i, wf + fb * wb + fs * ws AS yf, fb * wf + wb + bs * ws AS yb, fs * wf + bs * wb + ws AS ys FROM it, c WHERE i < 400))),
+w AS (SELECT round(wf * sign(wf + wb + ws), 9) wf, round(wb * sign(wf + wb + ws), 9) wb, round(ws * sign(wf + wb + ws), 9) ws FROM it WHERE i = 400),
+p AS (SELECT query_id, chunk_ord, round(wf * f + wb * b + ws * s, 9) AS projection FROM x, w)
+SELECT query_id, chunk_ord, projection, row_number() OVER (PARTITION BY query_id ORDER BY projection DESC, chunk_ord)::INT AS place FROM p""",
 }

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -12,27 +18,26 @@ from lutrin.plans.scale import written
 LEAST_LETTERS = 5
 
 
-def bag(text: Column, least: int = LEAST_LETTERS) -> Column:
-    """array<struct<term, tf>> of a text without any shuffle.
-
-    The row's sorted terms are joined by spaces; in that string each term with its repetitions is one
-    match of a back-reference, and the match's length gives the count.
-    """
-    letters = F.regexp_extract_all(text, F.lit(r"(?<!\p{L})\p{L}{%d,}" % least), F.lit(0))
-    ordered = F.array_join(F.array_sort(F.transform(letters, F.lower)), " ")
-    runs = F.regexp_extract_all(ordered, F.lit(r"(?<![^ ])([^ ]++)(?: \1(?![^ ]))*+"), F.lit(0))
-    term = lambda r: F.substring_index(r, " ", 1)
-    count = lambda r: ((F.length(r) + 1) / (F.length(term(r)) + 1)).cast("int")
-    return F.coalesce(F.transform(runs, lambda r: F.struct(term(r).alias("term"), count(r).alias("tf"))), F.array().cast("array<struct<term:string,tf:int>>"))
+def bags(rows: DataFrame, record: str, text: str, least: int = LEAST_LETTERS) -> DataFrame:
+    """(record, here, terms, tfs): the terms of each text in lower case with their counts, and their sum."""
+    find = regex.compile(r"\p{L}{%d,}" % least).findall
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = [Counter(w.lower() for w in find(t)) if t else Counter() for t in b.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, counts)]).astype(np.int32)
+            terms = pa.ListArray.from_arrays(ends, pa.array([w for c in counts for w in c], pa.string()))
+            tfs = pa.ListArray.from_arrays(ends, pa.array([n for c in counts for n in c.values()], pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sum(c.values()) for c in counts], pa.int64()), terms, tfs], ["id", "here", "terms", "tfs"])
 
-def _terms(rows: DataFrame, record: str, text: str) -> DataFrame:
-    return rows.select(F.col(record), F.explode(bag(F.col(text))).alias("t")).select(record, "t.term", "t.tf")
+    kind = rows.schema[record].dataType.simpleString()
+    return rows.select(record, text).mapInArrow(run, f"id {kind}, here long, terms array<string>, tfs array<int>").withColumnRenamed("id", record)
 
 
-def collection(rows: DataFrame, record: str, text: str) -> DataFrame:
+def collection(counted: DataFrame) -> DataFrame:
     """term, df (records that hold it), cf (occurrences): counts over every record, combined before the shuffle."""
-    return _terms(rows, record, text).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    each = counted.select(F.explode(F.arrays_zip("terms", "tfs")).alias("t"))
+    return each.groupBy(F.col("t.terms").alias("term")).agg(F.count(F.lit(1)).alias("df"), F.sum("t.tfs").alias("cf"))
 
 
 def _part(k: Column, total: Column, share: Column) -> Column:
@@ -47,15 +52,12 @@ def keyness(rows: DataFrame, record: str = "chunk_ord", text: str = "content", l
     df_range choose which scored rows are returned; counts always cover the whole collection. Null and
     empty texts have no terms; records sharing an id each give their rows; other columns are not carried.
     """
-    rows = rows.select(F.col(record), F.col(text))
-    stats = written(collection(rows, record, text), "terms")
+    # Texts are read once: their counted terms are written, and read for the collection and for the records.
+    counted = written(bags(rows, record, text), "bags")
+    stats = written(collection(counted), "terms")
     n = stats.agg(F.sum("cf")).first()[0] or 0  # one number
-    terms = (
-        rows.select(F.col(record), bag(F.col(text)).alias("b"))
-        .withColumn("here", F.aggregate("b", F.lit(0).cast("long"), lambda a, x: a + x.tf))
-        .withColumn("b", F.filter("b", lambda x: x.tf >= least_tf))
-        .select(record, "here", F.explode("b").alias("t")).select(record, "here", "t.term", "t.tf")
-    )
+    each = counted.select(record, "here", F.explode(F.arrays_zip("terms", "tfs")).alias("t"))
+    terms = each.select(record, "here", F.col("t.terms").alias("term"), F.col("t.tfs").alias("tf")).where(F.col("tf") >= least_tf)
     if df_range:
         stats = stats.where(F.col("df").between(*df_range))
     a, b = F.col("tf").cast("double"), (F.col("cf") - F.col("tf")).cast("double")
@@ -67,8 +69,10 @@ def keyness(rows: DataFrame, record: str = "chunk_ord", text: str = "content", l
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Terms that occur at least three times in a chunk and in 2 to 8 chunks at all."""
-    return keyness(spark.read.parquet(f"{sf}/chunks.parquet"), least_tf=3, df_range=(2, 8)).select("chunk_ord", "term")
+    """Terms that occur at least three times in a chunk and in 2 to 8 chunks at all, of the terms that have a
+    likelihood ratio. What a case is is said in counts, so the ratio's size, and its sign, exclude none."""
+    scored = keyness(spark.read.parquet(f"{sf}/chunks.parquet"), least_tf=3, df_range=(2, 8))
+    return scored.where(~F.isnan("weight")).select("chunk_ord", "term")
 
 
 def p3_top_terms(spark: SparkSession, sf: str, k: int = 5) -> DataFrame:

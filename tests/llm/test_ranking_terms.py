@@ -22,7 +22,8 @@ def hits(seed=0, n=120):
 @pytest.mark.parametrize("hot_rows", [2_000_000, 20])
 def test_leaders_are_brute_force(spark, hot_rows):
     rows = hits() + [("lone", 1, 1.0, 1.0, 1.0, "x"), (None, 1, 1.0, 1.0, 1.0, "x"), ("nan", 1, float("nan"), 1.0, 1.0, "x")]
-    fused = consensus.fuse(spark.createDataFrame(rows, HITS), hot_rows=hot_rows)
+    df = spark.createDataFrame(rows, HITS)
+    fused = consensus.fuse(df, hot_rows=hot_rows)
     one = {(r[0], r[1]): r[2:5] for r in rows if r[0]}
     want = set()
     for (q, i), s in one.items():
@@ -30,7 +31,7 @@ def test_leaders_are_brute_force(spark, hot_rows):
         ok = all(s[k] is not None and not math.isnan(s[k]) and sum(v[k] is not None and v[k] > s[k] for v in mine) < 3 for k in range(3))
         if ok:
             want.add((q, i))
-    assert {(r["query_id"], r["chunk_ord"]) for r in consensus.leaders(fused).collect()} == want
+    assert {(r["query_id"], r["chunk_ord"]) for r in consensus.leaders(df, hot_rows=hot_rows).collect()} == want
     assert fused.count() == len(one)
 
 
@@ -38,7 +39,8 @@ def test_weights_are_the_first_component(spark):
     ranked = consensus.rank_scores(spark.createDataFrame(hits(1), HITS), consensus.SCORES)
     units = np.array([[r[f"{s}_unit"] for s in consensus.SCORES] for r in ranked.collect()])
     values, vectors = np.linalg.eigh(np.corrcoef(units.T))
-    assert np.allclose(consensus.loadings(ranked, consensus.SCORES), np.abs(vectors[:, -1]), atol=1e-6)
+    first = vectors[:, -1] * np.sign(vectors[:, -1].sum())
+    assert np.allclose(consensus.loadings(ranked, consensus.SCORES), first, atol=1e-6)
     assert units.min() >= 0 and units.max() <= 1
 
 
@@ -49,6 +51,26 @@ def test_direction_scale_and_empty_tables(spark):
     assert consensus.fuse(spark.createDataFrame([], HITS)).count() == 0
 
 
+@pytest.mark.parametrize("third", [1, -1])
+def test_a_score_against_the_others_keeps_its_sign(spark, third, caplog):
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        x = rng.random()
+        rows.append((f"q{i % 4}", i, x + rng.random() / 4, x + rng.random() / 4, third * x + rng.random() / 4, "x"))
+    df = spark.createDataFrame(rows, HITS)
+    weights = consensus.loadings(consensus.rank_scores(df, consensus.SCORES), consensus.SCORES)
+    assert [w > 0 for w in weights] == [True, True, third > 0] and abs(sum(w * w for w in weights) - 1) < 1e-6
+    assert ("runs against" in caplog.text) == (third < 0)
+    got = {(r["query_id"], r["chunk_ord"]) for r in consensus.leaders(df, depth=8).collect()}
+    want = set()
+    for q, i, *s, _ in rows:
+        mine = [r[2:5] for r in rows if r[0] == q]
+        if all(sum(m[k] > s[k] for m in mine) < 8 for k in range(3)):
+            want.add((q, i))
+    assert got == want and want
+
+
 def brute_keyness(texts):
     bags = {i: Counter(w.lower() for w in __import__("regex").findall(r"\p{L}+", t or "") if len(w) >= 5) for i, t in texts.items()}
     total = sum((b for b in bags.values()), Counter())
