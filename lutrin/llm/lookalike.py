@@ -6,11 +6,20 @@ collation form a class, and the class's most frequent clean member is written fo
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lutrin.plans.scale import written
+
+#: Distinct words that a worker counts before it hands them on.
+FLUSH = 200_000
+
 # Letters of other scripts and the Latin letters they pass for.
 CYRILLIC = dict(zip("асԁеһіјӏоԛрѕԝхуѵАВЕЅІЈКМНОРСТХУԌԚԜ", "acdehijloqpswxyvABESIJKMHOPCTXYGQW"))
 GREEK = dict(zip("αινορυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aivopuABEZHIKMNOPTYX"))
@@ -81,37 +90,47 @@ def fold(value: Column) -> Column:
     return F.when(plain.rlike(mark), F.regexp_replace(composed, mark, "")).otherwise(plain)
 
 
-def classes(values: DataFrame) -> DataFrame:
-    """(value, canonical) of distinct values with their counts `n` (columns value, n).
+def classes(values: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(value, canonical, members) of distinct values with their counts `n` (columns value, n).
 
     Values whose folds are equal under the accent-sensitive, case-sensitive UNICODE collation are one
-    class. Its canonical member is the most frequent value that needs no mapping, the smallest in code
-    point order among equals; a class without a clean value gets its smallest fold.
+    class; characters that the collation ignores, such as soft hyphens, thus make no difference. Its
+    canonical member is the most frequent value that needs no mapping, the smallest in code point order
+    among equals; a class without a clean value gets its smallest fold. only: a table of values whose
+    classes are wanted; their members are still all values.
     """
-    folded = values.withColumn("fold", F.when(suspect(F.col("value")), fold(F.col("value"))).otherwise(F.col("value")))
-    key = F.expr("fold COLLATE UNICODE").alias("key")
-    clean = F.col("value") == F.col("fold")
-    grouped = folded.withColumn("clean", clean).select("*", key)
-    picked = grouped.groupBy("key").agg(
+    keyed = _keyed(values)
+    if only is not None:
+        keyed = keyed.join(_keyed(only).select("key").distinct(), "key", "left_semi")
+    picked = keyed.groupBy("key").agg(
         F.min_by(F.when(F.col("clean"), F.col("value")), F.struct((~F.col("clean")).alias("a"), (-F.col("n")).alias("n"), F.col("value").alias("v"))).alias("member"),
         F.min("fold").alias("least"), F.count(F.lit(1)).alias("members"),
     )
-    return grouped.join(picked, "key").select("value", F.coalesce("member", "least").alias("canonical"), "members")
+    wanted = keyed if only is None else keyed.join(only.select("value"), "value", "left_semi")
+    return wanted.join(picked, "key").select("value", F.coalesce("member", "least").alias("canonical"), "members")
+
+
+def _keyed(values: DataFrame) -> DataFrame:
+    """values with fold, clean and key: the fold's collation key, by which Spark's aggregation and joins group."""
+    folded = values.withColumn("fold", F.when(suspect(F.col("value")), fold(F.col("value"))).otherwise(F.col("value")))
+    return folded.withColumns({"clean": F.col("value") == F.col("fold"), "key": F.expr("fold COLLATE UNICODE")})
 
 
 def canonical(rows: DataFrame, record: str, columns: list[str], text: str | None = None) -> DataFrame:
-    """(record, field, canonical) of every value that holds a character to be replaced.
+    """(record, field, canonical) of every value that holds a character to be replaced and differs from the
+    canonical member of its class.
 
     A column of names is compared as a whole. The text column is compared word by word, so that no full
-    text is shuffled for grouping: its suspect rows are cut at spaces, and each word takes the canonical
-    member of its class over the words of the whole collection that share a class with a suspect word.
-    Null values and values in plain characters give no row; empty tables give an empty result.
+    text is shuffled for grouping: words are counted over all rows, each suspect word takes the canonical
+    member of its class over the words of the whole collection, and is put back in its place. Null values
+    and values in plain characters give no row; empty tables give an empty result. Rows that share a record
+    give their rows each.
     """
     out = None
     for c in columns:
         counted = rows.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-        mapped = classes(counted)
-        part = rows.where(suspect(F.col(c))).select(F.col(record), F.col(c).alias("value")).join(mapped, "value").select(record, F.lit(c).alias("field"), "canonical")
+        mapped = classes(counted, counted.where(suspect(F.col("value"))))
+        part = rows.where(suspect(F.col(c))).select(F.col(record), F.col(c).alias("value")).join(mapped, "value").where("canonical <> value").select(record, F.lit(c).alias("field"), "canonical")
         out = part if out is None else out.unionByName(part)
     if text:
         part = _by_word(rows, record, text)
@@ -119,26 +138,39 @@ def canonical(rows: DataFrame, record: str, columns: list[str], text: str | None
     return out
 
 
+def word_counts(rows: DataFrame, text: str) -> DataFrame:
+    """(value, n): the words of all texts, cut at any space and at line feeds, counted before the shuffle."""
+    spaces, table = re.compile(f"[{SPACES}]"), dict.fromkeys(map(ord, SPACES), " ")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(counts: Counter) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["value", "n"])
+
+        counts: Counter = Counter()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                counts.update((t.translate(table) if spaces.search(t) else t).replace("\n", " ").split(" "))
+            if len(counts) > FLUSH:
+                yield batch(counts)
+                counts = Counter()
+        yield batch(counts)
+
+    partial = rows.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "value string, n long")
+    return partial.where("value <> ''").groupBy("value").agg(F.sum("n").alias("n"))
+
+
 def _by_word(rows: DataFrame, record: str, text: str) -> DataFrame:
     # Spaces become U+0020 before the text is cut, so a word never holds one; line feeds stay words' ends.
-    spaced = F.translate(F.col(text), SPACES, " " * len(SPACES))
-    words = F.regexp_extract_all(spaced, F.lit(r"[^ \n]+|[ \n]+"), F.lit(0))
-    dirty = rows.where(suspect(F.col(text))).select(F.col(record), F.monotonically_increasing_id().alias("row"), words.alias("w"))
-    dirty = dirty.select(record, "row", F.posexplode("w").alias("pos", "value"))
-    odd = dirty.where(suspect(F.col("value"))).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    odd = odd.withColumn("fold", fold(F.col("value")))
-    # Clean members are looked up among the words of clean texts, counted before the shuffle.
-    wanted = odd.select("fold").distinct()
-    clean = (
-        rows.where(~suspect(F.col(text))).select(F.explode(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " ")).alias("value"))
-        .groupBy("value").agg(F.count(F.lit(1)).alias("n")).join(wanted, F.col("value") == F.col("fold"), "left_semi")
-    )
-    mapped = classes(odd.select("value", "n").unionByName(clean))
-    joined = dirty.join(mapped, "value", "left")
-    return (
-        joined.groupBy("row").agg(F.first(record).alias(record), F.array_sort(F.collect_list(F.struct("pos", F.coalesce("canonical", "value").alias("v")))).alias("ws"))
-        .select(record, F.lit(text).alias("field"), F.array_join(F.transform("ws", lambda x: x.v), "").alias("canonical"))
-    )
+    spaced = F.translate(F.col("t"), SPACES, " " * len(SPACES))
+    pieces = F.regexp_extract_all(spaced, F.lit(r"[^ \n]+|[ \n]+"), F.lit(0))
+    dirty = rows.where(suspect(F.col(text))).select(F.col(record), F.col(text).alias("t"), F.monotonically_increasing_id().alias("row"))
+    dirty = written(dirty, "dirty")
+    odd = dirty.select("row", F.explode(F.array_distinct(F.filter(pieces, suspect))).alias("value"))
+    mapped = classes(word_counts(rows, text), odd.select("value").distinct())
+    fixes = odd.join(mapped, "value").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("value", "canonical"))).alias("fixes"))
+    fixed = F.array_join(F.transform(pieces, lambda w: F.coalesce(F.try_element_at(F.col("fixes"), w), w)), "")
+    new = dirty.join(fixes, "row", "left").select(record, "t", F.lit(text).alias("field"), F.when(F.col("fixes").isNull(), spaced).otherwise(fixed).alias("canonical"))
+    return new.where("canonical <> t").select(record, "field", "canonical")
 
 
 def p5_canonical(spark: SparkSession, sf: str) -> DataFrame:
@@ -150,8 +182,7 @@ def p5_canonical(spark: SparkSession, sf: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Paths and contents whose stored characters differ from their canonical spelling."""
     chunks = spark.read.parquet(f"{sf}/chunks.parquet")
-    fixed = canonical(chunks, "chunk_ord", ["source_path"], "content")
-    return fixed.select("chunk_ord", "field").distinct()
+    return canonical(chunks, "chunk_ord", ["source_path"], "content").select("chunk_ord", "field").distinct()
 
 
 def p5_path_members(spark: SparkSession, sf: str) -> DataFrame:
@@ -167,8 +198,51 @@ def _class(chars: str) -> str:
     return "".join(f"\\x{{{ord(c):X}}}" for c in chars)
 
 
+def _sql_fold(x: str) -> str:
+    """The mapping in SQL: single characters, characters without width, ligatures and numerals, accents."""
+    plain = "".join(ONE.values()).replace("'", "''")
+    one = f"translate({x}, '{''.join(ONE)}', '{plain}')"
+    one = f"regexp_replace({one}, '[{_class(ZERO_WIDTH)}]', '', 'g')"
+    for a, b in MANY.items():
+        one = f"replace({one}, '{a}', '{b}')"
+    return f"regexp_replace(CASE WHEN regexp_matches({one}, '[\\x{{300}}-\\x{{36F}}]') THEN nfc_normalize({one}) ELSE {one} END, '[\\x{{300}}-\\x{{36F}}]', '', 'g')"
+
+
+def _sql_suspect(x: str) -> str:
+    return f"regexp_matches({x}, '[{_class(''.join((*ONE, *MANY)) + ZERO_WIDTH)}\\x{{300}}-\\x{{36F}}]')"
+
+
+# Characters that the collation passes over.
+_KEY = r"regexp_replace(f, '[\x{1}-\x{8}\x{E}-\x{1F}\x{7F}-\x{84}\x{86}-\x{9F}\x{AD}\x{FE00}-\x{FE0F}]', '', 'g')"
+
+
+def _sql_classes(counts: str) -> str:
+    """cl(value, canonical, members) of a table of values and counts n."""
+    return f"""
+fo AS (SELECT value, n, CASE WHEN {_sql_suspect('value')} THEN {_sql_fold('value')} ELSE value END AS f FROM {counts}),
+ke AS (SELECT *, {_KEY} AS k, value = f AS clean FROM fo),
+be AS (SELECT k, count(*) AS members, min(f) AS least FROM ke GROUP BY k),
+me AS (SELECT DISTINCT ON (k) k, value AS member FROM ke WHERE clean ORDER BY k, n DESC, value),
+cl AS (SELECT value, coalesce(member, least) AS canonical, members FROM ke JOIN be USING (k) LEFT JOIN me USING (k))"""
+
+
+_SPACED = f"translate(content, '{SPACES}', '{' ' * len(SPACES)}')"
 ORACLE = {
+    "p5_canonical": f"""
+WITH pc AS (SELECT source_path AS value, count(*) AS n FROM chunks WHERE source_path IS NOT NULL GROUP BY 1),
+{_sql_classes('pc')},
+paths AS (SELECT chunk_ord, 'source_path' AS field, canonical FROM chunks JOIN cl ON value = source_path WHERE {_sql_suspect('source_path')}),
+wc AS (SELECT value, count(*) AS n FROM (SELECT unnest(regexp_extract_all({_SPACED}, '[^ \\n]+')) AS value FROM chunks) GROUP BY 1),
+{_sql_classes('wc').replace('fo ', 'fo2 ').replace('ke ', 'ke2 ').replace('be ', 'be2 ').replace('me ', 'me2 ').replace('cl ', 'cl2 ').replace('FROM fo)', 'FROM fo2)').replace('be USING', 'be2 USING').replace('me USING', 'me2 USING')},
+pi AS (SELECT chunk_ord, regexp_extract_all({_SPACED}, '[^ \\n]+|[ \\n]+') AS ps FROM chunks WHERE {_sql_suspect('content')}),
+ex AS (SELECT chunk_ord, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM pi),
+texts AS (SELECT chunk_ord, 'content' AS field, string_agg(CASE WHEN {_sql_suspect('p')} THEN canonical ELSE p END, '' ORDER BY i) AS canonical FROM ex LEFT JOIN cl2 ON value = p GROUP BY chunk_ord)
+SELECT * FROM paths UNION ALL SELECT * FROM texts""",
+    "p5_path_members": f"""
+WITH pc AS (SELECT source_path AS value, count(*) AS n FROM chunks WHERE source_path IS NOT NULL GROUP BY 1),
+{_sql_classes('pc')}
+SELECT value AS source_path, canonical, members FROM cl""",
     "p5_found": f"""
 WITH v AS (SELECT chunk_ord, 'source_path' AS field, source_path AS x FROM chunks UNION ALL SELECT chunk_ord, 'content', content FROM chunks)
-SELECT DISTINCT chunk_ord, field FROM v WHERE regexp_matches(x, '[{_class(''.join((*ONE, *MANY)) + ZERO_WIDTH)}\\x{{300}}-\\x{{36F}}]')""",
+SELECT DISTINCT chunk_ord, field FROM v WHERE {_sql_suspect('x')}""",
 }

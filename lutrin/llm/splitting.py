@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lutrin.plans.scale import written
+from lutrin.plans.scale import buckets_for, written
 
 LIMIT, OVERLAP = 1200, 200
 #: Characters of one text that a single window task sees at most (besides one step of the next block).
 BLOCK = 1_000_000
+#: Characters of texts whose boundaries one task works on.
+PER_TASK = 4_000_000
 
 
 def segments(text: Column, step: int) -> Column:
@@ -35,25 +37,26 @@ def boundaries(texts: DataFrame, row: str, text: str, step: int) -> DataFrame:
     return parts.select(row, F.sum("n").over(ends).alias("pos")).where("pos > 0")
 
 
-def successors(points: DataFrame, row: str, step: int) -> DataFrame:
+def successors(points: DataFrame, row: str, step: int, parts: int) -> DataFrame:
     """(row, pos, nxt): the farthest boundary at most `step` beyond each boundary.
 
-    Windows run over blocks of a text; each block also holds the boundaries one step into the next.
+    Windows run over blocks of a text; each block also holds the boundaries one step into the next. The
+    blocks go to `parts` tasks, a number made from the size of all texts, so that a task's share does not grow.
     """
     own = F.floor(F.col("pos") / BLOCK)
     near = (F.col("pos") % BLOCK <= step) & (F.col("pos") >= BLOCK)
     homes = F.when(near, F.array(own, own - 1)).otherwise(F.array(own))
-    spread = points.select(row, "pos", own.alias("own"), F.explode(homes).alias("block"))
+    spread = points.select(row, "pos", own.alias("own"), F.explode(homes).alias("block")).repartition(parts, row, "block")
     ahead = W.partitionBy(row, "block").orderBy("pos").rangeBetween(0, step)
     return spread.withColumn("nxt", F.max("pos").over(ahead)).where("own = block").select(row, "pos", "nxt")
 
 
-def cuts(points: DataFrame, row: str, step: int, overlap: int, longest: int) -> DataFrame:
+def cuts(points: DataFrame, row: str, step: int, overlap: int, longest: int, parts: int = 8) -> DataFrame:
     """(row, pos): the greedy cuts. The walk starts `overlap` characters into the text, where a
     piece before the first would have ended."""
     start = points.select(row).distinct().select(row, F.lit(overlap).cast("long").alias("pos"))
     all_points = points.select(row, F.col("pos").cast("long").alias("pos")).unionByName(start).distinct()
-    jump = written(successors(all_points, row, step), "jump")
+    jump = written(successors(all_points, row, step, parts), "jump")
     reached = start
     # Two greedy steps together advance more than `step`, which bounds the pieces.
     for _ in range(max(1, math.ceil(math.log2(2 * longest / step + 2)))):
@@ -78,12 +81,12 @@ def split(rows: DataFrame, text: str = "content", keep: tuple[str, ...] = ("chun
     kept = [F.col(k) for k in keep]
     fits = rows.where(F.length(text) <= limit).select(*kept, F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start_pos"), F.length(text).cast("long").alias("end_pos"), F.col(text).alias("piece_text"))
     large = written(rows.where(F.length(text) > limit).select(*kept, F.col(text).alias("__text"), F.monotonically_increasing_id().alias("__row")), "large")
-    longest = large.agg(F.max(F.length("__text"))).first()[0]
+    longest, total = large.agg(F.max(F.length("__text")), F.sum(F.length("__text"))).first()
     if not longest:
         return fits
     points = boundaries(large, "__row", "__text", step).where(F.col("pos") > overlap)
     # The stretch between the start and the first boundary past the overlap may exceed a step.
-    found = cuts(_filled(points, overlap, step), "__row", step, overlap, longest)
+    found = cuts(_filled(points, overlap, step), "__row", step, overlap, longest, buckets_for(total, per=PER_TASK))
     order = W.partitionBy("__row").orderBy("pos")
     pieces = found.select("__row", (F.row_number().over(order) - 1).alias("piece"), F.col("pos").alias("end_pos"),
                           F.coalesce(F.lag("pos").over(order) - overlap, F.lit(0).cast("long")).alias("start_pos"))
@@ -112,4 +115,22 @@ def p7_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p7_found": p7_found, "p7_pieces": p7_pieces}
-ORACLE = {"p7_found": "SELECT DISTINCT chunk_ord FROM chunks WHERE length(content) > 1200"}
+ORACLE = {
+    "p7_found": "SELECT DISTINCT chunk_ord FROM chunks WHERE length(content) > 1200",
+    # Boundaries by marks put into the text, then the greedy walk one cut at a time.
+    "p7_pieces": r"""
+WITH RECURSIVE l AS (SELECT chunk_ord, section, page, content, length(content) AS n FROM chunks WHERE length(content) > 1200),
+m AS (SELECT chunk_ord, string_split(regexp_replace(regexp_replace(content, '([.!?…;:])([\s\x{B}])', '\1' || chr(1) || '\2', 'g'), '\n', chr(10) || chr(1), 'g'), chr(1)) AS ss FROM l),
+s AS (SELECT chunk_ord, i, unnest(CASE WHEN length(x) > 1000 THEN string_split(regexp_replace(x, '([\s\x{B}])([^\s\x{B}])', '\1' || chr(1) || '\2', 'g'), chr(1)) ELSE [x] END) AS w, x
+  FROM (SELECT chunk_ord, unnest(ss) AS x, generate_subscripts(ss, 1) AS i FROM m)),
+w AS (SELECT chunk_ord, i, row_number() OVER (PARTITION BY chunk_ord, i) AS j, w FROM s),
+h AS (SELECT chunk_ord, i, j, k, CASE WHEN length(w) > 1000 THEN substring(w, k::INT + 1, 1000) ELSE w END AS p FROM (SELECT *, unnest(range(0, CASE WHEN length(w) > 1000 THEN length(w) ELSE 1 END, 1000)) AS k FROM w)),
+b0 AS (SELECT chunk_ord, sum(length(p)) OVER (PARTITION BY chunk_ord ORDER BY i, j, k)::BIGINT AS pos FROM h),
+b1 AS (SELECT DISTINCT chunk_ord, pos FROM b0 WHERE pos > 200),
+b AS (SELECT * FROM b1 UNION SELECT chunk_ord, 1200 FROM b1 GROUP BY chunk_ord HAVING min(pos) > 1200),
+g AS (SELECT chunk_ord, 200::BIGINT AS pos FROM l
+  UNION ALL SELECT g.chunk_ord, (SELECT max(b.pos) FROM b WHERE b.chunk_ord = g.chunk_ord AND b.pos > g.pos AND b.pos <= g.pos + 1000) FROM g JOIN l USING (chunk_ord) WHERE g.pos < l.n),
+e AS (SELECT chunk_ord, pos AS end_pos, row_number() OVER (PARTITION BY chunk_ord ORDER BY pos) - 1 AS piece, coalesce(lag(pos) OVER (PARTITION BY chunk_ord ORDER BY pos) - 200, 0) AS start_pos FROM g WHERE pos <> 200)
+SELECT chunk_ord, section, page, piece::INT AS piece, start_pos, end_pos, substring(content, start_pos::INT + 1, (end_pos - start_pos)::INT) AS piece_text FROM e JOIN l USING (chunk_ord)
+UNION ALL SELECT chunk_ord, section, page, 0, 0, length(content), content FROM chunks WHERE length(content) <= 1200""",
+}
