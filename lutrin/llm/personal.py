@@ -1,22 +1,43 @@
 """Personal information inside free text (problem 10): find it and replace it by typed pseudonyms.
 
-Numbers are validated (French phone plan, key of the social security number) and permuted inside their
-own format by a keyed Feistel network, so equal values get equal pseudonyms in every document and
-different values never meet. Names, e-mail and postal addresses get a keyed number in their placeholder.
+Numbers are validated (French phone plan, key of the social security number) and, like birth dates, permuted
+inside their own format by a keyed Feistel network, so equal values get equal pseudonyms in every document
+and different values never meet. Names, e-mail and postal addresses get a keyed number in their placeholder.
+
+Names are told by their context: after a title, as initial and surname, and beside a word that the
+collection shows to be a given name or a surname. That evidence is counted over all texts (`evidence`,
+`lexicon`): surnames stand alone after titles and initials, given names beside several surnames, and what
+is also written in small letters or after an article is no name. A list of French given names only helps
+where a collection is too small to show them.
 """
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import hmac
+import logging
+import os
 import re
+import secrets
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_left, insort
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lutrin.plans.scale import written
+
+logger = logging.getLogger(__name__)
+#: Words of the lexicon handed to every worker (some 100 bytes each); a larger one is joined to the rows.
+MOST_WORDS = 1_000_000
+#: Distinct words that a worker counts before it hands them on.
+FLUSH = 200_000
+
 # Words before a name, street types, words that open a sentence or line after a detail.
 TITLES = "M. Mme Mlle Mr Mrs Ms Dr Me Monsieur Madame Mademoiselle Maître Docteur Messieurs Mesdames".split()
 STREETS = (
@@ -85,7 +106,8 @@ S = r"[^\S\n]+|[^\S\n]*\n[^\S\n]*"  # white space with at most one line feed
 
 # Patterns begin with a set of characters and look behind it, so that the scan skips to candidates.
 _MARK = re.compile(r"@\s*|[\[({<]\s*(?:a|at|arobase|arobas|chez)\s*[\])}>]\s*|a(?:robase|robas|t(?=\s+\S+\s+dot\s))(?=\s)\s+", re.I)
-_LOCAL = re.compile(r"[\w.+%-]+(?:\s*[\[(]\s*(?:point|dot)\s*[\])]\s*[\w+%-]+)*\s*\Z")
+# Patterns with REV are matched on the text read backwards, so that what stands before a place has no bound.
+_LOCAL_REV = re.compile(r"\s*(?:[\w+%-]+\s*[\])]\s*(?:tniop|tod)\s*[\[(]\s*)*[\w.+%-]+")
 _DOMAIN = re.compile(r"[\w-]+(?:(?:\.|\s*[\[({<]\s*(?:point|dot)\s*[\])}>]\s*|\s+(?:point|dot)\s+)[\w-]+)+", re.I)
 _DIGIT = re.compile(r"[\d+(](?<![\w+.,/-].)")  # where a phone number may begin
 _PHONE = re.compile(
@@ -99,26 +121,45 @@ _CARD = re.compile(
 _PASSPORT = re.compile(r"[A-Z](?<=(?<!\w)\d\d[A-Z])[A-Z]\d{5}(?!\w)")
 _TYPES = "|".join(sorted(map(re.escape, STREETS), key=len, reverse=True))
 _HOUSE = re.compile(rf"\d(?<![\w.,/-]\d)\d{{0,3}}(?:(?:{S})?(?:[Bb]is|[Tt]er|[Qq]uater|BIS|TER|[A-Ha-h])(?![\w’']))?,?(?:{S})([A-Za-zéÉ-]+\.?)")
+_ENGLISH = re.compile(rf"\d(?<![\w.,/-]\d)\d{{0,4}}[A-Za-z]?(?:{S})(?:[{U}][{L}]+(?:['’]s)?(?:{S}))+?(?:{'|'.join(ENGLISH_STREETS)})(?!\w)")
 _TYPE = {t.lower() for t in STREETS} | {t.rstrip(".").lower() for t in STREETS}
 _TAIL = re.compile(rf"(?:(?:{S})?[,–-]?(?:{S}))(\d{{5}})(?:{S})({CAP}(?:-(?:sur|sous|en|lès|le|la|les|de|du|des|d['’]|{CAP})+)*(?:-{CAP})*)")
 _STEP = re.compile(rf"(?:{S})(?:((?:d[eu]s?|la|les?|aux?|à|et|sur|en)(?=\s)|[ldLD]['’](?=[{U}]))|({CAP}|{ALL}|\d{{1,2}}(?=\s+[a-zà-ÿ]{{3,9}}\s+\d{{4}})))")
 _LOWER = re.compile(rf"(?:{S})(?:(de(?:{S})la(?:{S})|de(?:{S})l['’]|du(?:{S})|des(?:{S}))|de(?:{S})|d['’])[{L}]{{3,}}(?:['’-][{L}]+)*(?![{U}\w])")
 _LOWER_MORE = re.compile(rf"(?:{S})[{L}]+(?:['’-][{L}]+)*(?![{U}\w])")
 _ELISION = re.compile(rf"({CAP}|{ALL})")
-_STREET_BEFORE = re.compile(rf"(?:{_TYPES}|école|collège|lycée|stade|salle|parc|gymnase|groupe\s+scolaire|fondation|société|hôtel|théâtre|square)(?:\s+(?:de|du|des|d['’]|la|le))*\s*\Z", re.I)
+# What besides a street is called by a person's name.
+NAMED = "école collège lycée stade salle parc gymnase fondation société hôtel théâtre square groupe\u00a0scolaire".split(" ")
+_NAMED_REV = "|".join(sorted((re.escape(t[::-1]).replace("\u00a0", r"\s+") for t in [*STREETS, *NAMED]), key=len, reverse=True))
+_STREET_REV = re.compile(rf"\s*(?:(?:(?:ed|ud|sed|al|el)\s+|['’]d\s*))*(?:{_NAMED_REV})(?!\w)", re.I)
+_DETERMINER_REV = re.compile(r"(?:\s+(?:ud|sed|el|al|sel|ua|xua|eht)(?!\w)|['’]l(?!\w))", re.I)
 _TITLE = re.compile(rf"[MD](?<!\w[MD])(?:{'|'.join(re.escape(t[1:]) for t in sorted(TITLES, key=len, reverse=True))})(?!\w)(?:{S})")
 _GIVEN = {x for g in GIVEN + MORE_GIVEN for x in (g.lower(), "".join(c for c in unicodedata.normalize("NFD", g.lower()) if not unicodedata.combining(c)))}
 _INITIAL = re.compile(rf"[{U}](?<![\w.][{U}])\.(?:{S})(?:de\s)?({WORD})")
 _CAPITAL = re.compile(rf"[{U}][\w-]+")
+_PAIR = re.compile(rf"(?<![\w.’'@-])({WORD})[^\S\n]+((?:de[^\S\n]+|d['’])?)({WORD})(?![\w@]|['’-]\w)")
+# A word of the running text: nothing inside an e-mail address, a link or a code.
+_ANY_WORD = re.compile(r"(?<![\w.@+/-])[^\W\d_]+(?:['’-][^\W\d_]+)*(?![\w@+/-]|\.\w|\s*[\[({<])")
 _TOKEN = re.compile(rf"(?<![\w.’'@-])({WORD})(?![\w@])")
 _NEXT = re.compile(rf"(?:{S})((?:de(?:{S})|d['’])?)({WORD})(?![\w@])")
 _TITLED_INITIAL = re.compile(rf"[{U}]\.(?:{S})((?:de(?:{S})|d['’])?){WORD}")
 _TITLED = re.compile(rf"((?:de(?:{S})|d['’])?)({WORD})(?![\w@])")
-_BEFORE = re.compile(rf"(?<![\w.’'@-])({WORD})(?:{S})\Z")
+_WHOLE = re.compile(WORD)
 _OPEN = {w.lower() for w in OPENERS}
 _SAINT = {"saint", "sainte", "st", "ste"}  # begin the names of places
 
 
+@dataclass(frozen=True)
+class Lexicon:
+    """What a collection shows about words in small letters: given names, surnames, and words that are no names;
+    and pairs of words, joined by a space, that stand after an article."""
+
+    given: frozenset[str] = frozenset()
+    surnames: frozenset[str] = frozenset()
+    common: frozenset[str] = frozenset()
+    places: frozenset[str] = frozenset()
+
+
 def _nir_ok(g: tuple[str, ...]) -> bool:
     body = "".join(g[:6]).replace("2A", "19").replace("2B", "18")
     return 97 - int(body) % 97 == int(g[6])
@@ -128,9 +169,10 @@ def _opener(word: str) -> bool:
     return word.lower() in _OPEN or word.split("'")[0].split("’")[0].lower() in ("l", "d", "j", "qu", "n", "s") and "'" in word.replace("’", "'")
 
 
-def _given(word: str) -> bool:
-    """A given name of the lists, with or without its accents, or a compound of them."""
-    return (w := word.lower()) in _GIVEN or "-" in w and all(part in _GIVEN for part in w.split("-"))
+def _given(word: str, lex: Lexicon) -> bool:
+    """A given name of the collection or the list, with or without its accents, or a compound of them."""
+    w = word.lower()
+    return w in lex.given or w in _GIVEN or "-" in w and all(part in _GIVEN or part in lex.given for part in w.split("-"))
 
 
 def _street_end(text: str, at: int) -> int:
@@ -174,10 +216,12 @@ def _lower_end(text: str, at: int) -> int:
 def emails(text: str) -> Iterator[tuple[int, int]]:
     if "@" not in text and not any(x in text for x in (")", "]", "}", ">", "arobas", "AROBAS", " dot ")):
         return
+    rev = None
     for m in _MARK.finditer(text):
-        a, d = _LOCAL.search(text[max(0, m.start() - 120) : m.start()]), _DOMAIN.match(text, m.end())
-        if a and d and re.search(r"[A-Za-z]{2,}\Z", d.group(0)):
-            yield m.start() - len(a.group(0)), d.end()
+        if (d := _DOMAIN.match(text, m.end())) and re.search(r"[A-Za-z]{2,}\Z", d.group(0)):
+            rev = text[::-1] if rev is None else rev
+            if a := _LOCAL_REV.match(rev, len(text) - m.start()):
+                yield len(text) - a.end(), d.end()
 
 
 def phones(text: str) -> Iterator[tuple[int, int]]:
@@ -204,21 +248,63 @@ def addresses(text: str) -> Iterator[tuple[int, int]]:
             continue
         tail = _TAIL.match(text, end)
         yield m.start(), tail.end() if tail else end
-
-
-def names(text: str) -> Iterator[tuple[int, int]]:
-    """Names after a title; given name and surname in either order; initial and surname."""
-    taken = -1
-    spans = []
+    if any(x in text for x in ENGLISH_STREETS):
+        for m in _ENGLISH.finditer(text):
+            tail = _TAIL.match(text, m.end())
+            yield m.start(), tail.end() if tail else m.end()
+
+
+class _Reader:
+    """A text with what its lexicon knows; the text backwards is made when first asked for."""
+
+    def __init__(self, text: str, lex: Lexicon):
+        self.text, self.lex, self._rev = text, lex, None
+
+    def before(self, pattern: re.Pattern, at: int) -> bool:
+        if self._rev is None:
+            self._rev = self.text[::-1]
+        return bool(pattern.match(self._rev, len(self.text) - at))
+
+    def given(self, word: str) -> bool:
+        return _given(word, self.lex)
+
+    def no_name(self, word: str) -> bool:
+        return _opener(word) or word.lower() in self.lex.common
+
+    def word_before(self, at: int) -> tuple[int, str, str] | None:
+        """(start, word, space): the capitalised word before a place, with at most one line feed between."""
+        end = at
+        while end and self.text[end - 1].isspace():
+            end -= 1
+        space = self.text[end:at]
+        start = end
+        while start and (self.text[start - 1].isalpha() or self.text[start - 1] in "'’-"):
+            start -= 1
+        if not space or space.count("\n") > 1 or start and (self.text[start - 1].isalnum() or self.text[start - 1] in "._@"):
+            return None
+        return (start, self.text[start:end], space) if _WHOLE.fullmatch(self.text, start, end) else None
+
+
+def names(text: str, lex: Lexicon = Lexicon()) -> Iterator[tuple[int, int]]:
+    """Names after a title; initial and surname; given name and surname in either order; and two words side by
+    side that are names by the lexicon's word, or that nothing speaks against."""
+    t, spans = _Reader(text, lex), []
     for m in _TITLE.finditer(text):
-        if span := _after_title(text, m.end()):
+        if span := _after_title(t, m.end()):
             spans.append(span)
     for m in _INITIAL.finditer(text):
         if text[m.start()] != "M" and not _opener(m.group(1)):
             spans.append(m.span())
     for c in _CAPITAL.finditer(text):
-        if _given(c.group(0)) and (m := _TOKEN.match(text, c.start())):
-            spans.extend(_around_given(text, m))
+        word = c.group(0).lower()
+        if word in lex.common and word not in _GIVEN:
+            continue
+        if t.given(word):
+            if m := _TOKEN.match(text, c.start()):
+                spans.extend(_around_given(t, m))
+        elif m := _PAIR.match(text, c.start()):
+            spans.extend(_side_by_side(t, m))
+    taken = -1
     for a, b in sorted(spans, key=lambda s: (s[0], -s[1])):
         if a >= taken:
             taken = b
@@ -229,48 +315,240 @@ def _next_word(text: str, at: int) -> re.Match | None:
     return _NEXT.match(text, at)
 
 
-def _after_title(text: str, at: int) -> tuple[int, int] | None:
+def _after_title(t: _Reader, at: int) -> tuple[int, int] | None:
+    """The name after a title: a surname alone, or all words of a fuller name, never half of one."""
+    text = t.text
     if m := _TITLED_INITIAL.match(text, at):
         return m.span()
     m = _TITLED.match(text, at)
     if not m or _opener(m.group(2)):
         return None
-    nxt = _next_word(text, m.end())
-    if nxt and "\n" not in text[m.end() : nxt.end()] and not _opener(nxt.group(2)) and text[nxt.end() : nxt.end() + 1] != "'":
-        given = _given(m.group(2))
-        if given or _given(nxt.group(2)) and not nxt.group(1):
-            return m.start(), nxt.end()
-    return m.span()
+    end, word, known = m.end(), m.group(2), m.group(2).lower() in t.lex.surnames
+    while nxt := _next_word(text, end):
+        if "\n" in text[end : nxt.end()] or _opener(nxt.group(2)) or text[nxt.end() : nxt.end() + 1] == "'":
+            break
+        given = t.given(word) or t.given(nxt.group(2)) and not nxt.group(1)
+        # Beside a surname that stands alone elsewhere, the next word must itself be a given name.
+        if not given and (known or t.no_name(nxt.group(2))):
+            break
+        more, end, word = t.given(word) and t.given(nxt.group(2)), nxt.end(), nxt.group(2)
+        if not more:
+            break
+    return m.start(), end
 
 
-def _around_given(text: str, m: re.Match) -> Iterator[tuple[int, int]]:
-    if _STREET_BEFORE.search(text[max(0, m.start() - 40) : m.start()]):
+def _around_given(t: _Reader, m: re.Match) -> Iterator[tuple[int, int]]:
+    text = t.text
+    if t.before(_STREET_REV, m.start()):
         return
-    nxt = _next_word(text, m.end())
-    before = _BEFORE.search(text[max(0, m.start() - 50) : m.start()])
+    nxt, before = _next_word(text, m.end()), t.word_before(m.start())
     # A given name may be the surname of one before it; then the next line does not belong to it.
-    ends = before and _given(before.group(1)) and "\n" not in before.group(0) and nxt and "\n" in text[m.end() : nxt.end()]
-    if nxt and not ends and not _opener(nxt.group(2)) and not _given(nxt.group(2)):
-        yield m.start(), nxt.end()
+    ends = before and t.given(before[1]) and "\n" not in before[2] and nxt and "\n" in text[m.end() : nxt.end()]
+    last = nxt
+    while last and t.given(last.group(2)) and "\n" not in text[m.end() : last.end()]:  # several given names
+        last = _next_word(text, last.end())
+        if last and ("\n" in text[m.end() : last.end()] or t.no_name(last.group(2))):
+            last = None
+    if last and not ends and not _opener(last.group(2)) and not t.given(last.group(2)):
+        yield m.start(), last.end()
+        return
+    if before and before[1].lower() not in _SAINT and not _opener(before[1]) and not re.match(r"\s*['’-]", text[m.end() : m.end() + 1]):
+        if not t.before(_STREET_REV, before[0]):
+            yield before[0], m.end()
+
+
+def _side_by_side(t: _Reader, m: re.Match) -> Iterator[tuple[int, int]]:
+    """Two capitalised words of which none is a given name so far known. One that is known as a surname makes the
+    other its given name. Two unknown ones are a name if they are just two, not both in capitals, and no
+    article, street or the like stands before them."""
+    a, b = m.group(1), m.group(3)
+    if t.no_name(a) or t.no_name(b) or a.lower() in _SAINT or t.given(b):
+        return
+    if t.before(_STREET_REV, m.start()) or f"{a} {b}".lower() in t.lex.places:
+        return
+    if a.lower() in t.lex.surnames or b.lower() in t.lex.surnames:
+        yield m.span()
         return
-    if before and before.group(1).lower() not in _SAINT and not _opener(before.group(1)) and not re.match(r"\s*['’-]", text[m.end() : m.end() + 1]):
-        start = m.start() - len(before.group(0))
-        if not _STREET_BEFORE.search(text[max(0, start - 40) : start]):
-            yield start, m.end()
+    alone = not (w := t.word_before(m.start())) or t.no_name(w[1]) or "\n" in w[2]
+    after = _PAIR.match(t.text, m.start(3))
+    if alone and not m.group(2) and not (after and not t.no_name(after.group(3))) and not (a.isupper() and b.isupper()) and not t.before(_DETERMINER_REV, m.start()):
+        yield m.span()
+
+
+# Words before a birth date, and the names of months.
+_BORN = r"(?:\b[Nn]ée?s?\s+le|\b[Dd]ate\s+de\s+naissance|\b[Bb]orn(?:\s+on)?|\b[Dd]ate\s+of\s+birth)[\s:]*(?:le\s+|the\s+)?"
+MONTHS = (
+    "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "January February March April May June July August September October November December".split(),
+)
+_BIRTH = re.compile(rf"{_BORN}(\d{{1,2}}[./-]\d{{1,2}}[./-]\d{{4}}|\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}(?:er)?\s+(?:{'|'.join(MONTHS[0] + MONTHS[1])})\s+\d{{4}})(?!\d)")
+
+
+def births(text: str) -> Iterator[tuple[int, int]]:
+    if any(x in text for x in ("née", "né ", "nés", "Né", "naissance", "orn ", "birth")):
+        yield from (m.span(1) for m in _BIRTH.finditer(text) if _day(m.group(1)))
 
 
 #: Earlier kinds win where two details overlap.
-KINDS = (("email", emails), ("id_number", identities), ("phone", phones), ("address", addresses), ("name", names))
+KINDS = (("email", emails), ("id_number", identities), ("phone", phones), ("address", addresses), ("birth_date", births))
+
 
+def details(text: str | None, lex: Lexicon | None = None) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of every detail in text order, without overlaps. lex: what the collection shows about
+    words; without it, what the text itself shows."""
+    text = text or ""
+    lex = _lexicon_of(text) if lex is None else lex
+    starts: list[int] = []
+    found: dict[int, tuple[str, int, int]] = {}
+
+    def take(kind: str, a: int, b: int) -> None:
+        i = bisect_left(starts, a)
+        if (i == len(starts) or starts[i] >= b) and (not i or found[starts[i - 1]][2] <= a):
+            insort(starts, a)
+            found[a] = (kind, a, b)
 
-def details(text: str | None) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of every detail in text order, without overlaps."""
-    found: list[tuple[str, int, int]] = []
     for kind, find in KINDS:
-        for a, b in find(text or ""):
-            if not any(x < b and a < y for _, x, y in found):
-                found.append((kind, a, b))
-    return sorted(found, key=lambda f: f[1])
+        for a, b in find(text):
+            take(kind, a, b)
+    for a, b in names(text, lex):
+        take("name", a, b)
+    return [found[a] for a in starts]
+
+
+# --- evidence of the collection ------------------------------------------------------------------------
+
+def _evidence(texts: Iterable[str | None]) -> Iterator[tuple[str, str, str, int]]:
+    """Partial (kind, a, b, n): c, l: a word with and without a capital; s: a name alone after a title or an
+    initial; p: two capitalised words side by side; d: the same after an article."""
+    raw: Counter = Counter()
+    seen: Counter = Counter()
+
+    def flush():
+        yield from (("l" if w[0].islower() else "c", w.lower(), "", n) for w, n in raw.items())
+        yield from ((*k, n) for k, n in seen.items())
+        raw.clear(), seen.clear()
+
+    for text in texts:
+        if not text:
+            continue
+        t = _Reader(text, Lexicon())
+        raw.update(_ANY_WORD.findall(text))
+        for m in _TITLE.finditer(text):
+            if (w := _TITLED.match(text, m.end())) and not _opener(w.group(2)):
+                nxt = _next_word(text, w.end())
+                if not nxt or "\n" in text[w.end() : nxt.end()] or _opener(nxt.group(2)):
+                    seen["s", w.group(2).lower(), ""] += 1
+        for m in _INITIAL.finditer(text):
+            if text[m.start()] != "M" and not _opener(m.group(1)):
+                seen["s", m.group(1).lower(), ""] += 1
+        at = 0
+        while m := _PAIR.search(text, at):
+            at = m.start(3)
+            if not _opener(m.group(1)) and not _opener(m.group(3)) and not t.before(_STREET_REV, m.start()):
+                kind = "d" if t.before(_DETERMINER_REV, m.start()) else "p"
+                seen[kind, m.group(1).lower(), m.group(3).lower()] += 1
+        if len(raw) + len(seen) > FLUSH:
+            yield from flush()
+    yield from flush()
+
+
+def evidence(rows: DataFrame, text: str) -> DataFrame:
+    """(kind, a, b, n) over all texts, as `_evidence` says, combined before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(part: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*part)) if part else [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int64()))], ["kind", "a", "b", "n"])
+
+        block: list[tuple] = []
+        for row in _evidence(t for b in batches for t in b.column(0).to_pylist()):
+            block.append(row)
+            if len(block) >= 50_000:
+                yield out(block)
+                block = []
+        yield out(block)
+
+    partial = rows.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "kind string, a string, b string, n long")
+    return partial.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+
+
+#: A word is none of a name if more than this share of it is written in small letters.
+SMALL_SHARE = 0.15
+#: A given name stands beside so many different surnames, and alone after titles at most in this share of its places.
+PARTNERS, ALONE_SHARE = 2, 0.1
+
+
+def lexicon(seen: DataFrame) -> DataFrame:
+    """(word, kind): given, surname, common and place, by the rules of SMALL_SHARE, PARTNERS and ALONE_SHARE, from the
+    evidence; only words that stand in a pair or alone after a title or an initial, and pairs of such words."""
+    seen = written(seen, "evidence")
+    pairs = seen.where("kind IN ('p', 'd')")
+    sides = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("other")), F.struct(F.col("b").alias("word"), F.col("a").alias("other")))).alias("x"), "n", "kind").select("x.*", "n", "kind")
+    single = seen.where("kind = 's'").select(F.col("a").alias("word"), F.col("n").alias("alone"))
+    named = sides.select("word").union(single.select("word")).distinct()
+    letters = seen.where("kind IN ('c', 'l')").groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("all"), F.sum(F.when(F.col("kind") == "l", F.col("n")).otherwise(0)).alias("small"))
+    common = letters.join(named, "word", "left_semi").where(F.col("small") > SMALL_SHARE * F.col("all")).select("word")
+    surname = single.join(common, "word", "left_anti")
+    beside = sides.where("kind = 'p'").join(surname.select(F.col("word").alias("other")), "other", "left_semi").groupBy("word").agg(F.count_distinct("other").alias("partners"))
+    total = sides.where("kind = 'p'").groupBy("word").agg(F.sum("n").alias("paired"))
+    given = (
+        beside.where(F.col("partners") >= PARTNERS).join(total, "word").join(single, "word", "left").na.fill(0, ["alone"])
+        .where(F.col("alone") <= ALONE_SHARE * (F.col("alone") + F.col("paired"))).join(common, "word", "left_anti").select("word")
+    )
+    # A given name may by chance have stood alone once; it is no surname then.
+    surname = surname.join(given, "word", "left_anti").select("word")
+    place = pairs.where("kind = 'd'").select(F.concat_ws(" ", "a", "b").alias("word"))
+    parts = {"given": given, "surname": surname, "common": common, "place": place}
+    out = None
+    for kind, df in parts.items():
+        df = df.select("word", F.lit(kind).alias("kind"))
+        out = df if out is None else out.unionByName(df)
+    return written(out, "lexicon")
+
+
+def _lexicon_of(text: str) -> Lexicon:
+    """The lexicon of a single text, by the same rules as far as one text can show them."""
+    counts: Counter = Counter()
+    for kind, a, b, n in _evidence([text]):
+        counts[kind, a, b] += n
+    words = {w for k, a, b in counts if k in "pds" for w in (a, b) if w}
+    common = {w for w in words if counts["l", w, ""] > SMALL_SHARE * (counts["l", w, ""] + counts["c", w, ""])}
+    surnames = {a for k, a, _ in counts if k == "s"} - common
+    return Lexicon(frozenset(), frozenset(surnames), frozenset(common), frozenset(f"{a} {b}" for k, a, b in counts if k == "d"))
+
+
+def _as_lexicon(rows: Iterable[tuple[str, str]]) -> Lexicon:
+    kinds: dict[str, set[str]] = {"given": set(), "surname": set(), "common": set(), "place": set()}
+    for word, kind in rows:
+        kinds[kind].add(word)
+    return Lexicon(*(frozenset(kinds[k]) for k in ("given", "surname", "common", "place")))
+
+
+def known(rows: DataFrame, record: str, text: str, most_words: int | None = None) -> tuple[DataFrame, Lexicon | None]:
+    """(rows of record and text, lexicon) with what all texts show about words. A lexicon beyond `most_words` stays a
+    table: then it is None, and each row has its own share as `lex`, joined by the words of the row."""
+    words = lexicon(evidence(rows, text))
+    rows = rows.select(record, text)
+    if words.count() <= (MOST_WORDS if most_words is None else most_words):
+        return rows, _as_lexicon((r["word"], r["kind"]) for r in words.collect())
+    kind = rows.schema[record].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, mine = [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                found = {w.lower() for w in _CAPITAL.findall(t or "")} | {w.lower() for w in _ANY_WORD.findall(t or "") if w[0].isupper()}
+                at = 0
+                while m := _PAIR.search(t or "", at):
+                    at = m.start(3)
+                    found |= {m.group(1).lower(), m.group(3).lower(), f"{m.group(1)} {m.group(3)}".lower()}
+                ids += [i] * len(found)
+                mine += found
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(mine, pa.string())], ["id", "word"])
+
+    of_rows = rows.where(F.col(text).isNotNull()).mapInArrow(run, f"id {kind}, word string").distinct().join(words, "word")
+    share = of_rows.groupBy("id").agg(F.collect_list(F.struct("word", "kind")).alias("lex"))
+    return rows.join(share, F.col(record).eqNullSafe(F.col("id")), "left").drop("id"), None
 
 
 def as_value(text: str) -> str:
@@ -286,7 +564,7 @@ def feistel(key: bytes, label: str, digits: str, rounds: int = 10) -> str:
     """Keyed permutation of the strings of len(digits) decimal digits (alternating Feistel network)."""
     n = len(digits)
     if n < 2:
-        return str((int(digits) + _round(key, label, 0, "")) % 10) if n else ""
+        return str(within(key, label, int(digits), 10)) if n else ""
     u = n // 2
     a, b = digits[:u], digits[u:]
     for i in range(rounds):
@@ -295,10 +573,11 @@ def feistel(key: bytes, label: str, digits: str, rounds: int = 10) -> str:
     return a + b
 
 
-def _within(key: bytes, label: str, value: int, size: int) -> int:
-    """Keyed permutation of 0..size-1 (size at most 100) by cycle walking."""
+def within(key: bytes, label: str, value: int, size: int) -> int:
+    """Keyed permutation of 0..size-1: the network on as many digits, walked until it is back inside."""
+    width = max(2, len(str(size - 1)))
     while True:
-        value = int(feistel(key, label, f"{value:02d}"))
+        value = int(feistel(key, label, f"{value:0{width}d}"))
         if value < size:
             return value
 
@@ -308,9 +587,37 @@ def _refill(shape: str, chars: str) -> str:
     return "".join(next(it) if c.isalnum() else c for c in shape)
 
 
+_FIRST, _DAYS = datetime.date(1900, 1, 1), (datetime.date(2100, 1, 1) - datetime.date(1900, 1, 1)).days
+
+
+def _day(value: str) -> datetime.date | None:
+    """A written date between 1900 and 2099."""
+    words = re.findall(r"\d+|[^\W\d_]+", re.sub(r"(?<=\d)er\b", "", value))
+    try:
+        a, b, c = (int(w) if w.isdigit() else next(m.index(w) + 1 for m in MONTHS if w in m) for w in words)
+        found = datetime.date(a, b, c) if a > 31 else datetime.date(c, b, a)
+    except (ValueError, StopIteration):
+        return None
+    return found if 1900 <= found.year <= 2099 else None
+
+
+def _redated(key: bytes, value: str) -> str:
+    """Another date of the years 1900 to 2099, written the same way."""
+    new = _FIRST + datetime.timedelta(days=within(key, "day", (_day(value) - _FIRST).days, _DAYS))
+    if m := re.fullmatch(r"(\d+)(?:er)?(\s+)(\w+)(\s+)(\d+)", value):
+        names_ = next(n for n in MONTHS if m.group(3) in n)
+        first = "er" if new.day == 1 and names_ is MONTHS[0] else ""
+        return f"{new.day}{first}{m.group(2)}{names_[new.month - 1]}{m.group(4)}{new.year}"
+    parts = re.split(r"([./-])", value)
+    digits = (new.year, new.month, new.day) if len(parts[0]) == 4 else (new.day, new.month, new.year)
+    return "".join(x if i % 2 else f"{digits[i // 2]:0{len(x)}d}" for i, x in enumerate(parts))
+
+
 def pseudonym(key: bytes, kind: str, value: str) -> str:
-    """A value of the same format for numbers; a keyed code for the other kinds."""
+    """A value of the same format for numbers and dates; a keyed code of 64 bits for the other kinds."""
     bare = "".join(c for c in value if c.isalnum())
+    if kind == "birth_date":
+        return _redated(key, value)
     if kind == "phone":
         french = bare.startswith(("33", "0033")) or len(bare) == 10 and bare[0] == "0"
         keep = (len(bare) - 8) if french else max(len(bare) - 7, 0)
@@ -318,24 +625,31 @@ def pseudonym(key: bytes, kind: str, value: str) -> str:
         return _refill(value, bare[:keep] + feistel(key, "phone", bare[keep:]))
     if kind == "id_number" and (m := _NIR.fullmatch(value)):
         g = m.groups()
-        year = f"{_within(key, 'year', int(g[1]), 100):02d}"
-        month = f"{_within(key, 'month', int(g[2]) - 1, 12) + 1:02d}" if 1 <= int(g[2]) <= 12 else g[2]
+        year = f"{within(key, 'year', int(g[1]), 100):02d}"
+        month = f"{within(key, 'month', int(g[2]) - 1, 12) + 1:02d}" if 1 <= int(g[2]) <= 12 else g[2]
         serial = feistel(key, "nir", g[4] + g[5])
         body = g[0] + year + month + g[3] + serial
         check = 97 - int(body.replace("2A", "19").replace("2B", "18")) % 97
         return _refill(value, f"{body}{check:02d}")
     if kind == "id_number":
-        digits = feistel(key, "id", "".join(c for c in bare if c.isdigit()))
-        it = iter(digits)
-        return "".join(next(it) if c.isdigit() else c if not c.isalpha() else chr(65 + (ord(c.upper()) - 65 + _round(key, "letter", i, str(i))) % 26) for i, c in enumerate(value))
-    return hmac.new(key, f"{kind}|{bare.lower()}".encode(), hashlib.sha256).hexdigest()[:10]
-
-
-def replaced(text: str | None, key: bytes) -> str | None:
+        digits = iter(feistel(key, "id", "".join(c for c in bare if c.isdigit())))
+        letters = [ord(c.upper()) - 65 for c in bare if c.isascii() and c.isalpha()]
+        n = 0
+        for x in letters:
+            n = n * 26 + x
+        n, spelt = within(key, "letters", n, 26 ** len(letters)) if letters else 0, []
+        for _ in letters:
+            n, x = divmod(n, 26)
+            spelt.append(chr(65 + x))
+        return "".join(next(digits) if c.isdigit() else spelt.pop() if c.isascii() and c.isalpha() else c for c in value)
+    return hmac.new(key, f"{kind}|{bare.lower()}".encode(), hashlib.sha256).hexdigest()[:16]
+
+
+def replaced(text: str | None, key: bytes, lex: Lexicon | None = None) -> str | None:
     if text is None:
         return None
     out, at = [], 0
-    for kind, a, b in details(text):
+    for kind, a, b in details(text, lex):
         value = as_value(text[a:b])
         trail = len(text[a:b]) - len(text[a:b].rstrip(" .,\n"))
         out += [text[at:a], f"[{kind.upper()} {pseudonym(key, kind, value)}]"]
@@ -343,45 +657,59 @@ def replaced(text: str | None, key: bytes) -> str | None:
     return "".join(out) + text[at:]
 
 
-def find(rows: DataFrame, record: str = "doc_id", text: str = "text") -> DataFrame:
-    """(record, kind, value, start_pos): one row per occurrence; null and empty texts give none."""
+def find(rows: DataFrame, record: str = "doc_id", text: str = "text", most_words: int | None = None) -> DataFrame:
+    """(record, kind, value, start_pos): one row per occurrence; null and empty texts give none.
+
+    The texts are read twice: for what they show about words, and for their details.
+    """
+    rows, lex = known(rows, record, text, most_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, kinds, values, starts = [], [], [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for kind, a, b in details(t):
+            own = [None] * len(batch) if lex is not None else batch.column(2).to_pylist()
+            for i, t, mine in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), own):
+                for kind, a, b in details(t, lex if lex is not None else _as_lexicon((x["word"], x["kind"]) for x in mine or ())):
                     ids.append(i), kinds.append(kind), values.append(as_value(t[a:b])), starts.append(a)
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(kinds, pa.string()), pa.array(values, pa.string()), pa.array(starts, pa.int32())], ["id", "kind", "value", "start_pos"])
 
     kind = rows.schema[record].dataType.simpleString()
-    return rows.where(F.col(text).isNotNull()).select(record, text).mapInArrow(run, f"id {kind}, kind string, value string, start_pos int").withColumnRenamed("id", record)
+    return rows.where(F.col(text).isNotNull()).mapInArrow(run, f"id {kind}, kind string, value string, start_pos int").withColumnRenamed("id", record)
 
 
-def replace(rows: DataFrame, key: str, record: str = "doc_id", text: str = "text") -> DataFrame:
+def replace(rows: DataFrame, key: str, record: str = "doc_id", text: str = "text", most_words: int | None = None) -> DataFrame:
     """(record, text) with every detail replaced by `[KIND pseudonym]`; null texts stay null.
 
     key is a secret of the caller: with the same key, equal values get equal pseudonyms everywhere.
     """
+    if not key:
+        raise ValueError("a key is needed")
     secret = key.encode()
+    rows, lex = known(rows, record, text, most_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = [replaced(t, secret) for t in batch.column(1).to_pylist()]
+            own = [None] * len(batch) if lex is not None else batch.column(2).to_pylist()
+            new = [replaced(t, secret, lex if lex is not None else _as_lexicon((x["word"], x["kind"]) for x in mine or ())) for t, mine in zip(batch.column(1).to_pylist(), own)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string())], [record, text])
 
     kind = rows.schema[record].dataType.simpleString()
-    return rows.select(record, text).mapInArrow(run, f"{record} {kind}, {text} string")
+    return rows.mapInArrow(run, f"{record} {kind}, {text} string")
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Every personal detail of every document, once per document."""
-    return find(spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id", "kind", "value").distinct()
+    """Every personal detail of the five kinds of every document, once per document."""
+    found = find(spark.read.parquet(f"{sf}/documents.parquet")).where("kind <> 'birth_date'")
+    return found.select("doc_id", "kind", "value").distinct()
 
 
 def p10_replaced(spark: SparkSession, sf: str) -> DataFrame:
-    """All documents with their personal details replaced."""
-    return replace(spark.read.parquet(f"{sf}/documents.parquet"), key="lutrin")
+    """All documents with their personal details replaced, under the key of LUTRIN_PSEUDONYM_KEY."""
+    key = os.environ.get("LUTRIN_PSEUDONYM_KEY")
+    if not key:
+        logger.warning("LUTRIN_PSEUDONYM_KEY is not set: a key is drawn, pseudonyms of this run match no other's")
+        key = secrets.token_hex(32)
+    return replace(spark.read.parquet(f"{sf}/documents.parquet"), key)
 
 
 QUERIES = {"p10_found": p10_found, "p10_replaced": p10_replaced}

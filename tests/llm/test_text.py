@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -136,15 +137,50 @@ def test_streets_without_a_town():
     assert found("Une règle : 4 place de stationnement par logement.", "address") == []
 
 
+@pytest.mark.parametrize("text,name", [
+    ("Mme Zbigniewa Kowalczyk a écrit.", "Zbigniewa Kowalczyk"), ("Observation de Fatoumata Diallo au registre.", "Fatoumata Diallo"), ("Vu par Ngozi Okafor hier.", "Ngozi Okafor"),
+    ("Aleksander Nowak, riverain, demande un report.", "Aleksander Nowak"), ("Submitted by John Smith.", "John Smith"), ("Marie Anne Durand est venue.", "Marie Anne Durand"), ("Mme Oumou de Sarr conteste.", "Oumou de Sarr"),
+])
+def test_names_without_a_list(monkeypatch, text, name):
+    assert found(text, "name") == [name]
+    if "Anne" not in name:
+        monkeypatch.setattr(personal, "_GIVEN", set())
+        assert found(text, "name") == [name]
+
+
+def test_english_addresses_and_numbers():
+    assert found("I live at 221 Baker Street. Or 13 Tanner's Court, 99123 Mirvaux, call 212-555-0100.", "address") == ["221 Baker Street", "13 Tanner's Court, 99123 Mirvaux"]
+    assert found("call 212-555-0100 or +1 212 555 0100.", "phone") == ["212-555-0100", "+1 212 555 0100"]
+
+
+def test_nothing_looked_back_at_is_bounded():
+    local = "a" * 300 + " [point] " + "b" * 40
+    assert found(f"Ecrire à {local} [arobase] poste [point] example.", "email") == [f"{local} [arobase] poste [point] example"]
+    assert found("Il habite 12 rue du Grand Chemin Vert Neuf Saint Martin Haut depuis mai.", "address") == ["12 rue du Grand Chemin Vert Neuf Saint Martin Haut"]
+    long = "Jean" + "-Anne" * 20
+    assert found(f"Vu la rue de la{' ' * 60}Jean Vilmorin et {long} Vilmorin.", "name") == [f"{long} Vilmorin"]
+
+
+def test_birth_dates():
+    text = "Née le 12 mars 1980, date de naissance : 01/02/1975, born on 1980-03-12, né le 31 février 1980. Délibération du 12 mars 1980."
+    assert found(text, "birth_date") == ["12 mars 1980", "01/02/1975", "1980-03-12"]
+    new = {v: personal.pseudonym(b"k", "birth_date", v) for v in ("12 mars 1980", "12/03/1980", "1980-03-12", "12 March 1980")}
+    assert len({personal._day(x) for x in new.values()}) == 1 and personal._day(new["12 mars 1980"]) != personal._day("12 mars 1980")
+    assert re.fullmatch(r"\d+(er)? \w+ \d{4}", new["12 mars 1980"]) and re.fullmatch(r"\d{4}-\d\d-\d\d", new["1980-03-12"]) and re.fullmatch(r"\d\d/\d\d/\d{4}", new["12/03/1980"])
+
+
 def test_pseudonyms_keep_format_and_links():
     key = b"k"
     f = [personal.feistel(key, "x", f"{i:03d}") for i in range(1000)]
     assert sorted(f) == [f"{i:03d}" for i in range(1000)] and f != sorted(f)
+    assert sorted(personal.within(key, "y", i, 26) for i in range(26)) == list(range(26)) and sorted(personal.feistel(key, "z", str(i)) for i in range(10)) == list("0123456789")
     a, b = personal.pseudonym(key, "phone", "06 39 98 12 34"), personal.pseudonym(key, "phone", "+33 6.39.98.12.34")
     assert len(a) == 14 and a[:2] == "06" and "".join(c for c in a if c.isdigit())[-8:] == "".join(c for c in b if c.isdigit())[-8:]
     n = personal.pseudonym(key, "id_number", "1 84 03 99 995 655 49")
     assert personal._nir_ok(personal._NIR.fullmatch(n).groups()) and n != "1 84 03 99 995 655 49"
-    assert personal.pseudonym(key, "name", "A B") == personal.pseudonym(key, "name", "A  B".replace("  ", " "))
+    passports = {personal.pseudonym(key, "id_number", f"17{chr(65 + i)}{chr(65 + j)}20242") for i in range(26) for j in range(26)}
+    assert len(passports) == 676 and all(re.fullmatch(r"\d\d[A-Z]{2}\d{5}", x) for x in passports)
+    assert personal.pseudonym(key, "name", "A B") == personal.pseudonym(key, "name", "A B") and len(personal.pseudonym(key, "name", "A B")) == 16
 
 
 def test_find_and_replace_tables(spark):
@@ -156,6 +192,21 @@ def test_find_and_replace_tables(spark):
     new = rows[0]["text"]
     assert "Vilpelquier" not in new and "[NAME " in new and "habite [ADDRESS" in new and "La rue Camille Durand" in new
     assert personal.find(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        personal.replace(df, "")
+
+
+def test_names_the_collection_shows(spark, monkeypatch):
+    """Given names without a list, by the surnames they stand beside; the same when the lexicon is a joined table."""
+    monkeypatch.setattr(personal, "_GIVEN", set())
+    rows = [(1, "M. Kowal conteste. Mme Brisson aussi. Vu A. Tarlet."), (2, "Oulya Kowal signe."), (3, "BRISSON Oulya\nle reste"), (4, "le hameau Vieux Canal, le Vieux Canal et l'avis de Vieux Canal"),
+            (5, "Zorbin Tarlet, Oulya Marchetti : la rue Oulya Perrin"), (6, "Le maire et le Maire Kowal, un maire"), (None, "Oulya\nGarcin vient"), (7, None), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(1, "Kowal"), (1, "Brisson"), (1, "A. Tarlet"), (2, "Oulya Kowal"), (3, "BRISSON Oulya"), (5, "Zorbin Tarlet"), (5, "Oulya Marchetti"), (None, "Oulya Garcin")}
+    for most in (None, 0):
+        got = {(r["doc_id"], r["value"]) for r in personal.find(df, most_words=most).where("kind = 'name'").collect()}
+        assert got == want
+        assert not any(x in r["text"] for r in personal.replace(df, "k", most_words=most).where("text IS NOT NULL").collect() for x in ("Marchetti", "Tarlet", "Garcin"))
 
 
 def body(i):
