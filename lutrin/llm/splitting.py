@@ -7,7 +7,10 @@ so all greedy cuts of all texts come out in a number of rounds that is the logar
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,11 +33,34 @@ def segments(text: Column, step: int) -> Column:
     return F.flatten(F.transform(sentences, lambda s: F.when(F.length(s) > step, by_word(s)).otherwise(F.array(s))))
 
 
-def boundaries(texts: DataFrame, row: str, text: str, step: int) -> DataFrame:
-    """(row, pos): lengths of the prefixes at which the text may be cut, its end included."""
-    parts = texts.select(row, F.posexplode(F.transform(segments(F.col(text), step), lambda s: F.length(s))).alias("i", "n"))
-    ends = W.partitionBy(row).orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return parts.select(row, F.sum("n").over(ends).alias("pos")).where("pos > 0")
+def boundaries(texts: DataFrame, row: str, text: str, step: int, overlap: int) -> DataFrame:
+    """(row, pos): the place where each text's walk starts (`overlap` characters in, where a piece before the first
+    would have ended) and the lengths of the prefixes beyond it at which the text may be cut, its end included.
+
+    Where the first of them is more than a step away there is a hard cut one step in. The segments are
+    lengths in their text's row and are added up there: no shuffle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, column = b.column(0).to_numpy(), b.column(1)
+            counts = np.diff(column.offsets.to_numpy())
+            ends = np.cumsum(column.flatten().to_numpy().astype(np.int64))
+            first = np.cumsum(counts) - counts
+            before = np.where(first > 0, ends[np.maximum(first - 1, 0)], 0) if len(ends) else np.zeros(len(ids), np.int64)
+            who = np.repeat(np.arange(len(ids)), counts)
+            pos = ends - before[who]
+            keep = pos > overlap
+            who, pos = who[keep], pos[keep]
+            nearest = np.full(len(ids), np.iinfo(np.int64).max)
+            np.minimum.at(nearest, who, pos)
+            far = np.flatnonzero((nearest > overlap + step) & (nearest < np.iinfo(np.int64).max))
+            who = np.concatenate([who, far, np.arange(len(ids))])
+            pos = np.concatenate([pos, np.full(len(far), overlap + step), np.full(len(ids), overlap)])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(pos)], [row, "pos"])
+
+    lengths = F.transform(segments(F.col(text), step), lambda s: F.length(s))
+    return texts.select(row, F.filter(lengths, lambda n: n > 0).alias("n")).mapInArrow(run, f"{row} long, pos long")
 
 
 def successors(points: DataFrame, row: str, step: int, parts: int) -> DataFrame:
@@ -51,13 +77,10 @@ def successors(points: DataFrame, row: str, step: int, parts: int) -> DataFrame:
     return spread.withColumn("nxt", F.max("pos").over(ahead)).where("own = block").select(row, "pos", "nxt")
 
 
-def cuts(points: DataFrame, row: str, step: int, overlap: int, longest: int, parts: int = 8) -> DataFrame:
-    """(row, pos): the greedy cuts. The walk starts `overlap` characters into the text, where a
-    piece before the first would have ended."""
-    start = points.select(row).distinct().select(row, F.lit(overlap).cast("long").alias("pos"))
-    all_points = points.select(row, F.col("pos").cast("long").alias("pos")).unionByName(start).distinct()
-    jump = written(successors(all_points, row, step, parts), "jump")
-    reached = start
+def cuts(points: DataFrame, row: str, step: int, overlap: int, longest: int, parts: int) -> DataFrame:
+    """(row, pos): the greedy cuts of texts with these boundaries."""
+    jump = written(successors(points, row, step, parts), "jump")
+    reached = jump.where(F.col("pos") == overlap).select(row, "pos")
     # Two greedy steps together advance more than `step`, which bounds the pieces.
     for _ in range(max(1, math.ceil(math.log2(2 * longest / step + 2)))):
         there = reached.join(jump, [row, "pos"]).select(row, F.col("nxt").alias("pos"))
@@ -84,9 +107,8 @@ def split(rows: DataFrame, text: str = "content", keep: tuple[str, ...] = ("chun
     longest, total = large.agg(F.max(F.length("__text")), F.sum(F.length("__text"))).first()
     if not longest:
         return fits
-    points = boundaries(large, "__row", "__text", step).where(F.col("pos") > overlap)
-    # The stretch between the start and the first boundary past the overlap may exceed a step.
-    found = cuts(_filled(points, overlap, step), "__row", step, overlap, longest, buckets_for(total, per=PER_TASK))
+    points = boundaries(large, "__row", "__text", step, overlap)
+    found = cuts(points, "__row", step, overlap, longest, buckets_for(total, per=PER_TASK))
     order = W.partitionBy("__row").orderBy("pos")
     pieces = found.select("__row", (F.row_number().over(order) - 1).alias("piece"), F.col("pos").alias("end_pos"),
                           F.coalesce(F.lag("pos").over(order) - overlap, F.lit(0).cast("long")).alias("start_pos"))
@@ -97,12 +119,6 @@ def split(rows: DataFrame, text: str = "content", keep: tuple[str, ...] = ("chun
     return fits.unionByName(cut)
 
 
-def _filled(points: DataFrame, overlap: int, step: int) -> DataFrame:
-    """points and, where the first one lies beyond the first step, a hard cut one step in."""
-    first = points.groupBy("__row").agg(F.min("pos").alias("m")).where(F.col("m") > overlap + step)
-    return points.unionByName(first.select("__row", F.lit(overlap + step).cast("long").alias("pos")))
-
-
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks that the splitter had to cut."""
     pieces = split(spark.read.parquet(f"{sf}/chunks.parquet"))
