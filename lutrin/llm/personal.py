@@ -139,7 +139,7 @@ _INITIAL = re.compile(rf"[{U}](?<![\w.][{U}])\.(?:{S})(?:de\s)?({WORD})")
 _CAPITAL = re.compile(rf"[{U}][\w-]+")
 _PAIR = re.compile(rf"(?<![\w.’'@-])({WORD})[^\S\n]+((?:de[^\S\n]+|d['’])?)({WORD})(?![\w@]|['’-]\w)")
 # A word of the running text: nothing inside an e-mail address, a link or a code.
-_ANY_WORD = re.compile(r"(?<![\w.@+/-])[^\W\d_]+(?:['’-][^\W\d_]+)*(?![\w@+/-]|\.\w|\s*[\[({<])")
+_ANY_WORD = re.compile(r"(?<![\w.@+/-])[^\W\d_]+(?:['’-][^\W\d_]+)*(?![\w@+/-]|\.\w)")
 _TOKEN = re.compile(rf"(?<![\w.’'@-])({WORD})(?![\w@])")
 _NEXT = re.compile(rf"(?:{S})((?:de(?:{S})|d['’])?)({WORD})(?![\w@])")
 _TITLED_INITIAL = re.compile(rf"[{U}]\.(?:{S})((?:de(?:{S})|d['’])?){WORD}")
@@ -297,7 +297,7 @@ def names(text: str, lex: Lexicon = Lexicon()) -> Iterator[tuple[int, int]]:
             spans.append(m.span())
     for c in _CAPITAL.finditer(text):
         word = c.group(0).lower()
-        if word in lex.common and word not in _GIVEN:
+        if word in _OPEN or word in lex.common and word not in _GIVEN:
             continue
         if t.given(word):
             if m := _TOKEN.match(text, c.start()):
@@ -424,7 +424,11 @@ def _evidence(texts: Iterable[str | None]) -> Iterator[tuple[str, str, str, int]
     seen: Counter = Counter()
 
     def flush():
-        yield from (("l" if w[0].islower() else "c", w.lower(), "", n) for w, n in raw.items())
+        words: Counter = Counter()
+        for token, n in raw.items():  # what a word is, is asked once for each different piece between spaces
+            for w in _ANY_WORD.findall(token):
+                words["l" if w[0].islower() else "c", w.lower(), ""] += n
+        yield from ((*k, n) for k, n in words.items())
         yield from ((*k, n) for k, n in seen.items())
         raw.clear(), seen.clear()
 
@@ -432,7 +436,7 @@ def _evidence(texts: Iterable[str | None]) -> Iterator[tuple[str, str, str, int]
         if not text:
             continue
         t = _Reader(text, Lexicon())
-        raw.update(_ANY_WORD.findall(text))
+        raw.update(text.split())
         for m in _TITLE.finditer(text):
             if (w := _TITLED.match(text, m.end())) and not _opener(w.group(2)):
                 nxt = _next_word(text, w.end())
@@ -441,9 +445,9 @@ def _evidence(texts: Iterable[str | None]) -> Iterator[tuple[str, str, str, int]
         for m in _INITIAL.finditer(text):
             if text[m.start()] != "M" and not _opener(m.group(1)):
                 seen["s", m.group(1).lower(), ""] += 1
-        at = 0
-        while m := _PAIR.search(text, at):
-            at = m.start(3)
+        for c in _CAPITAL.finditer(text):
+            if c.group(0).lower() in _OPEN or not (m := _PAIR.match(text, c.start())):
+                continue
             if not _opener(m.group(1)) and not _opener(m.group(3)) and not t.before(_STREET_REV, m.start()):
                 kind = "d" if t.before(_DETERMINER_REV, m.start()) else "p"
                 seen[kind, m.group(1).lower(), m.group(3).lower()] += 1
@@ -538,9 +542,7 @@ def known(rows: DataFrame, record: str, text: str, most_words: int | None = None
             ids, mine = [], []
             for i, t in enumerate(b.column(1).to_pylist()):
                 found = {w.lower() for w in _CAPITAL.findall(t or "")} | {w.lower() for w in _ANY_WORD.findall(t or "") if w[0].isupper()}
-                at = 0
-                while m := _PAIR.search(t or "", at):
-                    at = m.start(3)
+                for m in filter(None, (_PAIR.match(t, c.start()) for c in _CAPITAL.finditer(t or ""))):
                     found |= {m.group(1).lower(), m.group(3).lower(), f"{m.group(1)} {m.group(3)}".lower()}
                 ids += [i] * len(found)
                 mine += found
