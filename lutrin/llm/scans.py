@@ -16,8 +16,6 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from lutrin.plans.scale import hot_keys, running_sum, written
 
@@ -36,6 +34,8 @@ KNOWN_WORDS = 20_000
 #: Headers handed to the Python workers; beyond it they are found by a join.
 MOST_HEADERS = 100_000
 FLUSH = 200_000
+#: How many times as frequent a form must be to stand for another one of letters only, whatever is beside it.
+FREQUENT = 8
 
 _WORD = re.compile(r"[\w@(]+(?:(?<=\bi)\)\w+)?")
 _NUM = r"[\dOlSZIB]*\d[\dOlSZIB]*"
@@ -60,34 +60,73 @@ def mask(line: str) -> str:
     return re.sub(r"[^\w#]", "", skeleton(_NUMBER.sub("#", line.replace("I)", "D"))))
 
 
-def misread(read: str, true: str) -> list[int] | None:
-    """Positions in `read` at which listed confusions turn `true` into it; None if they cannot."""
+def aligned(read: str, true: str) -> tuple[tuple[int, str, str], ...] | None:
+    """(position in `read`, what stands there, what stood there) of the listed confusions that turn `true` into
+    `read`; None if none do."""
     stack, seen = [(0, 0, ())], set()
     while stack:
         i, j, at = stack.pop()
         if i == len(read) and j == len(true):
-            return list(at) or None
+            return at or None
         if (i, j) in seen:
             continue
         seen.add((i, j))
         for a, b in PAIRS:
             if read.startswith(a, i) and true.startswith(b, j):
-                stack.append((i + len(a), j + len(b), (*at, i)))
+                stack.append((i + len(a), j + len(b), (*at, (i, a, b))))
         if i < len(read) and j < len(true) and read[i] == true[j]:
             stack.append((i + 1, j + 1, at))
     return None
 
 
+def misread(read: str, true: str) -> list[int] | None:
+    """Positions in `read` at which listed confusions turn `true` into it; None if they cannot."""
+    parts = aligned(read, true)
+    return None if parts is None else [i for i, _, _ in parts]
+
+
+def restored(shown: str, true: str) -> str:
+    """The word as it stands in the text with its misread characters put right; all others keep their case."""
+    capitals = shown.upper() == shown and sum(c.isalpha() for c in shown) > 1
+    parts = aligned(shown.lower(), true) if len(shown.lower()) == len(shown) else None
+    if parts is None:
+        return true.upper() if capitals else true[0].upper() + true[1:] if shown[0].isupper() else true
+    out, at = [], 0
+    for i, a, b in parts:
+        first = i == 0 and shown[0].isupper()
+        out += [shown[at:i], b.upper() if capitals else b[0].upper() + b[1:] if first else b]
+        at = i + len(a)
+    return "".join([*out, shown[at:]])
+
+
+#: What a digit or sign between letters most likely was, where no word of the collection tells: the first in the list.
+_LIKELY = {a: b for a, b in reversed(PAIRS) if len(a) == 1 and not a.isalpha()} | {"_": ""}
+
+
+def likely(shown: str) -> str:
+    """The word with digits and signs between letters as the letters they are most often read for."""
+    inside = {m.start() for m in _INSIDE.finditer(shown.lower())} if len(shown.lower()) == len(shown) else set()
+    capitals = shown.upper() == shown
+    return "".join((_LIKELY[c].upper() if capitals else _LIKELY[c]) if i in inside else c for i, c in enumerate(shown))
+
+
 def numeric(text: str) -> str:
     """A misread number as digits."""
     return text.translate(str.maketrans("OlSZIB", "015218"))
 
 
-def _page_number(lines: list[str], body: list[int], k: int, page: int | None, is_header) -> bool:
-    """Whether body line k is a page number standing alone."""
+def _printed(line: str) -> re.Match | None:
+    """A page number in one of the forms that are nothing else."""
+    m = _PAGE.fullmatch(line)
+    return m if m and (any(c.isdigit() for c in line) or m.group(5) is not None or m.group(2) is not None) else None
+
+
+def _page_number(lines: list[str], body: list[int], k: int, page: int | None, is_header, offsets: set[int]) -> bool:
+    """Whether body line k is a page number standing alone. offsets: how far printed numbers of the collection lie
+    above the number of their page."""
     line = lines[body[k]]
-    if m := _PAGE.fullmatch(line):
-        return any(c.isdigit() for c in line) or m.group(5) is not None or m.group(2) is not None
+    if _printed(line):
+        return True
     m = _BARE.fullmatch(line)
     if not m:
         return False
@@ -102,7 +141,7 @@ def _page_number(lines: list[str], body: list[int], k: int, page: int | None, is
         if k not in (0, 1, len(body) - 1):
             return False
         if table or _BARE.fullmatch(before):
-            return 0 <= int(numeric(m.group(1))) - page <= 12
+            return int(numeric(m.group(1))) - page in offsets
         return k == len(body) - 1 or k == 0 and not _TABLE.match(after)
     if table or _BARE.fullmatch(before) or k == 0:
         return k == 0 and bool(after) and not _TABLE.match(after)
@@ -110,17 +149,21 @@ def _page_number(lines: list[str], body: list[int], k: int, page: int | None, is
 
 
 def _may_be_header(line: str) -> bool:
-    """Headers are short, begin with a capital or a number and do not end like a sentence."""
-    return len(line) <= 70 and (line[0].isupper() or line[0].isdigit() or line[0] == " " or line[:1] in "([l") and line[-1] not in ".,;"
+    """Headers begin with a capital or a number and do not end like a sentence."""
+    return (line[0].isupper() or line[0].isdigit() or line[0] == " " or line[:1] in "([l") and line[-1] not in ".,;"
+
 
+#: How a line with a page number ends, white space aside.
+_NUMBER_END = frozenset("0123456789OlSZIBo]-–—")
 
-def furniture(lines: list[str], page: int | None, is_header) -> set[int]:
+
+def furniture(lines: list[str], page: int | None, is_header, offsets: set[int] = frozenset()) -> set[int]:
     """Numbers (from 0) of the lines that are a running header, a page number or both."""
     body = [i for i, x in enumerate(lines) if x and not x.isspace()]
     out = set()
     for k, i in enumerate(body):
         line = lines[i]
-        if _may_be_header(line) and is_header(line) or len(line) <= 24 and _page_number(lines, body, k, page, is_header):
+        if _may_be_header(line) and is_header(line) or line.rstrip()[-1] in _NUMBER_END and _page_number(lines, body, k, page, is_header, offsets):
             out.add(i)
     return out
 
@@ -142,9 +185,15 @@ def header_test(masks) -> object:
     return test
 
 
+_PLAIN_BREAK = re.compile(r"([\w@(]+)-[^\S\n]*\n\s*([\w@(]+)")
+_MARK_BREAK = re.compile(rf"[{MARKS}]\s*\n\s*")
+_COMPOUND = re.compile(r"(?<![\w-])[^\W\d_]+(?:-[^\W\d_]+)+")
+
+
 def _counts(texts: Iterable[tuple[str | None, int | None]]) -> Iterator[tuple[str, str, int, int]]:
-    """Partial (kind, key, n, edge): words, hyphenated compounds, masked lines and how often at a page's top."""
-    words, compounds, total, edge = Counter(), Counter(), Counter(), Counter()
+    """Partial (kind, key, n, edge): words (w), words joined over a plain hyphen at a line's end (j), hyphenated
+    compounds (c), masked lines and how often at a page's top (h), offsets of printed page numbers (o)."""
+    words, joined, compounds, total, edge, offsets = (Counter() for _ in range(6))
     of: dict[str, str] = {}
 
     def masked(line: str) -> str:
@@ -156,26 +205,34 @@ def _counts(texts: Iterable[tuple[str | None, int | None]]) -> Iterator[tuple[st
         return x
 
     def flush():
-        yield from (("w", k, n, 0) for k, n in words.items())
-        yield from (("c", k, n, 0) for k, n in compounds.items())
+        for kind, c in (("w", words), ("j", joined), ("c", compounds), ("o", offsets)):
+            yield from ((kind, k, n, 0) for k, n in c.items() if n)
         yield from (("h", k, n, edge[k]) for k, n in total.items())
-        for c in (words, compounds, total, edge):
+        for c in (words, joined, compounds, total, edge, offsets):
             c.clear()
 
     for text, page in texts:
         if not text:
             continue
-        whole = re.sub(rf"[{MARKS}]\s*\n\s*", "", text) if any(c in text for c in MARKS) else text
-        words.update(_WORD.findall(whole.lower()))
+        whole = (_MARK_BREAK.sub("", text) if any(c in text for c in MARKS) else text).lower()
+        words.update(_WORD.findall(whole))
         if "-" in whole:
-            compounds.update(re.findall(r"(?<![\w-])[^\W\d_]+(?:-[^\W\d_]+)+", whole.lower()))
+            compounds.update(_COMPOUND.findall(whole))
+            for a, b in _PLAIN_BREAK.findall(whole):
+                # The halves are no words; what the whole is, compounds and words elsewhere will tell.
+                words[a] -= 1
+                words[b] -= 1
+                joined[a + b] += 1
         body = [x for x in text.split("\n") if x and not x.isspace()]
-        # A line of the text is as likely on the first line of a page as on any other: four more lines
-        # of each page tell how often it stands elsewhere. A file's first page may begin with a title.
+        # Every row's top is counted, and the four lines after it are its control group: a line of the text is
+        # as likely to be the first of a page as any of the others.
         if page is None:
-            tops = [k for k in range(1, len(body)) if len(body[k - 1]) <= 24 and _PAGE.fullmatch(body[k - 1])]
+            tops = [k for k in range(1, len(body)) if body[k - 1].rstrip()[-1] in _NUMBER_END and _PAGE.fullmatch(body[k - 1])]
         else:
-            tops = [0] if page != 1 else []
+            tops = [0]
+            for line in {x for x in (*body[:2], *body[-1:]) if x.rstrip()[-1] in _NUMBER_END}:
+                if (m := _printed(line)) and (g := next((x for x in m.groups() if x), "")) and (n := numeric(g)).isdigit():
+                    offsets[str(int(n) - page)] += 1
         for top in tops:
             skip = 1 if page is None else 2
             for k in (top, *range(top + skip, top + skip + 4)):
@@ -223,12 +280,13 @@ def readings(stats: DataFrame) -> DataFrame:
     most frequent is taken (then the smallest). A form with a digit or sign among its letters yields
     to any form as frequent; one of letters only to a form eight times as frequent.
     """
-    words = stats.where("kind = 'w' AND NOT key RLIKE '^[0-9]+$'").select(F.col("key").alias("word"), "n")
-    words = words.withColumn("skeleton", _skeleton_sql(F.col("word"))).where(F.length("word") > 1)
+    counted = stats.where("kind IN ('w', 'j') AND NOT key RLIKE '^[0-9]+$'").groupBy(F.col("key").alias("word")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("kind") == "w", F.col("n")).otherwise(0)).alias("alone"))
+    words = counted.withColumn("skeleton", _skeleton_sql(F.col("word"))).where((F.length("word") > 1) & (F.col("n") > 0))
     odd = F.col("word").rlike("[0-9@(_)]")
-    letters = words.where(~odd & (F.length("word") > 2)).select("skeleton", F.col("word").alias("true"), F.col("n").alias("true_n"))
+    # Words joined over a line's end may be misread ones, but are no proof of how a word is spelt.
+    letters = words.where(~odd & (F.length("word") > 2) & (F.col("alone") > 0)).select("skeleton", F.col("word").alias("true"), F.col("alone").alias("true_n"))
     pairs = words.select("skeleton", F.col("word").alias("read"), "n", odd.alias("odd")).join(letters, "skeleton").where(
-        (F.col("read") != F.col("true")) & F.when(F.col("odd"), F.col("true_n") >= F.col("n")).otherwise((F.col("true_n") >= 8 * F.col("n")) & (F.col("true_n") >= 8))
+        (F.col("read") != F.col("true")) & F.when(F.col("odd"), F.col("true_n") >= F.col("n")).otherwise((F.col("true_n") >= FREQUENT * F.col("n")) & (F.col("true_n") >= FREQUENT))
     )
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,14 +324,25 @@ def headers(stats: DataFrame) -> DataFrame:
     return lines.where((2 * e >= n) & (ratio >= math.log(max(candidates, 1) / 0.05))).select("key")
 
 
-def _scan(texts: Iterable[tuple], known: set[str], is_header) -> Iterator[tuple]:
+#: A difference between printed and stored page number counts if it makes up this share of all that are certain.
+OFFSET_SHARE = 0.005
+
+
+def page_offsets(stats: DataFrame) -> set[int]:
+    """How far printed page numbers lie above the stored ones; at most 1 / OFFSET_SHARE differences."""
+    o = stats.where("kind = 'o'")
+    whole = o.agg(F.sum("n").alias("whole"))
+    return {int(r["key"]) for r in o.crossJoin(F.broadcast(whole)).where(F.col("n") >= OFFSET_SHARE * F.col("whole")).select("key").collect()}  # whole: one row
+
+
+def _scan(texts: Iterable[tuple], known: set[str], is_header, offsets: set[int] = frozenset()) -> Iterator[tuple]:
     """(origin, row_id, path, page, what, line_no, next_line, cut, word, rest) of each row's noise and doubtful words."""
     for origin, row, path, page, text in texts:
         if not text:
             continue
         lines = text.split("\n")
         is_page = origin == "doc_pages"
-        fur = furniture(lines, page if is_page else None, is_header)
+        fur = furniture(lines, page if is_page else None, is_header, offsets)
         for i in sorted(fur):
             yield origin, row, path, page, "furniture", i + 1, None, None, None, None
         ends = [i for i, x in enumerate(lines) if x and (x[-1] in ENDS or x.rstrip()[-1:] in ENDS)]
@@ -350,7 +419,7 @@ def with_headers(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(mine, ["origin", "row_id"], "left")
 
 
-def scan(rows: DataFrame, known: list[str], masks: list[str] | None) -> DataFrame:
+def scan(rows: DataFrame, known: list[str], masks: list[str] | None, offsets: set[int] = frozenset()) -> DataFrame:
     """Noise and doubtful words of rows. masks: all headers, or None where each row has its own."""
     known_set, mask_set = set(known), set(masks or ())
 
@@ -360,7 +429,7 @@ def scan(rows: DataFrame, known: list[str], masks: list[str] | None) -> DataFram
         def found():
             for b in batches:
                 for row in zip(*(c.to_pylist() for c in b.columns)):
-                    yield from _scan([row[:5]], known_set, shared if masks is not None else header_test(set(row[5] or ())))
+                    yield from _scan([row[:5]], known_set, shared if masks is not None else header_test(set(row[5] or ())), offsets)
 
         block: list[tuple] = []
         for row in found():
@@ -390,7 +459,7 @@ class Noise:
         few = len(head) <= MOST_HEADERS
         certain = self.stats.where("kind = 'w'").join(self.readings, F.col("key") == F.col("read"), "left_anti")
         known = [r[0] for r in certain.orderBy(F.col("n").desc(), "key").limit(KNOWN_WORDS).select("key").collect()]
-        self.marks = written(scan(rows if few else with_headers(rows, found), known, head if few else None), "scan")
+        self.marks = written(scan(rows if few else with_headers(rows, found), known, head if few else None, page_offsets(self.stats)), "scan")
 
     def breaks(self) -> DataFrame:
         """(origin, row_id, line_no, next_line): lines that end inside a word broken to fit the line.
@@ -405,12 +474,15 @@ class Noise:
         cand = joined.select("e.origin", "e.row_id", "e.line_no", "e.next_line", F.col("e.word").alias("head"), F.coalesce("e.rest", "t.top").alias("rest"))
         count = self.stats
         # Each lookup is by skeleton, so that misread parts find their word.
-        words = count.where("kind = 'w'").groupBy(_skeleton_sql(F.col("key")).alias("k")).agg(F.sum("n").alias("n_word"))
+        words = count.where("kind = 'w' AND n > 0").groupBy(_skeleton_sql(F.col("key")).alias("k")).agg(F.sum("n").alias("n_word"))
         comp = count.where("kind = 'c'").select(F.split("key", "-").alias("p"), "n")
         comp = comp.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.struct(F.element_at("p", i).alias("a"), F.element_at("p", i + 1).alias("b")))).alias("x"), "n")
         both = comp.groupBy(F.concat_ws("-", _skeleton_sql(F.col("x.a")), _skeleton_sql(F.col("x.b"))).alias("k")).agg(F.sum("n").alias("n_comp"))
         lefts = comp.groupBy(_skeleton_sql(F.col("x.a")).alias("k")).agg(F.sum("n").alias("n_left"))
-        pre = count.where("kind = 'w' AND length(key) > 2").select("key", "n", F.explode(F.sequence(F.lit(2), F.least(F.length("key") - 1, F.lit(20)))).alias("i"))
+        # Only beginnings as long as one that is asked for are counted: a few lengths, of any size.
+        lengths = [r[0] for r in cand.where("rest IS NULL").select(F.length("head").alias("i")).distinct().collect()]
+        of_length = F.explode(F.filter(F.array(*[F.lit(i) for i in sorted(lengths)]).cast("array<int>"), lambda i: i < F.length("key")))
+        pre = count.where("kind = 'w'").select("key", "n", of_length.alias("i"))
         pre = pre.groupBy(F.expr("substring(key, 1, i)").alias("k")).agg(F.sum("n").alias("n_pre"))
         known = cand.where("rest IS NOT NULL").withColumn("kw", _skeleton_sql(F.concat("head", "rest"))).withColumn("kc", F.concat_ws("-", _skeleton_sql(F.col("head")), _skeleton_sql(F.col("rest"))))
         known = known.join(words, F.col("kw") == F.col("k"), "left").drop("k").join(both, F.col("kc") == F.col("k"), "left").drop("k")
@@ -429,6 +501,10 @@ class Noise:
         words = words.select("origin", "row_id", F.explode(lines).alias("line_no"), "read", "true")
         return words.unionByName(self.marks.where("what = 'glyph'").select("origin", "row_id", "line_no", F.col("word").alias("read"), F.lit(None).cast("string").alias("true")))
 
+    def fixes(self) -> DataFrame:
+        """(origin, row_id, line_no, next_line, read, true): misread words; next_line where one goes over a line's end."""
+        return self.marks.where("what = 'word'").join(self.readings, F.col("word") == F.col("read")).select("origin", "row_id", "line_no", "next_line", "read", "true")
+
     def found(self) -> DataFrame:
         """(origin, row_id, line_no, kind)."""
         fur = self.marks.where("what = 'furniture'").select("origin", "row_id", "line_no", F.lit("furniture").alias("kind"))
@@ -436,52 +512,126 @@ class Noise:
         gly = self.glyphs().select("origin", "row_id", "line_no", F.lit("glyph").alias("kind"))
         return fur.unionByName(hyp).unionByName(gly).distinct()
 
-    def lines(self) -> DataFrame:
-        """(origin, row_id, path, page, line_no, line): body lines with misread words replaced; blank lines stay."""
-        fixes = self.glyphs().groupBy("origin", "row_id", "line_no").agg(F.collect_set(F.struct("read", "true")).alias("fixes"))
-        cut = self.breaks().select("origin", "row_id", "line_no", F.lit(True).alias("broken")).distinct()
-        fur = self.marks.where("what = 'furniture'").select("origin", "row_id", "line_no")
-        all_lines = self.rows.select("origin", "row_id", "path", "page", F.posexplode(F.split("text", "\n")).alias("i", "line")).select("origin", "row_id", "path", "page", (F.col("i") + 1).alias("line_no"), "line")
-        key = ["origin", "row_id", "line_no"]
-        x = all_lines.join(fur, key, "left_anti").join(fixes, key, "left").join(cut, key, "left")
-        digits = lambda s: F.translate(s, "OlSZIB", "015218")
-        word = lambda f: F.concat(F.lit(r"(?iu)(?<![\w@(])"), F.regexp_replace(f.read, r"([(@)_])", r"\\$1"), F.lit(r"(?![\w@(])"))
-        mend = lambda acc, f: F.when(f.true.isNotNull(), F.regexp_replace(acc, word(f), f.true)).when(f.read.rlike(r"^[\dOlSZIB.,/-]+$"), F.replace(acc, f.read, digits(f.read))).otherwise(acc)
-        return x.select("origin", "row_id", "path", "page", "line_no", F.when(F.col("fixes").isNotNull(), F.aggregate("fixes", F.col("line"), mend)).otherwise(F.col("line")).alias("line"), F.coalesce("broken", F.lit(False)).alias("broken"))
+    def edits(self) -> DataFrame:
+        """(origin, row_id, edits): all that is to be done to a row, one row for each that needs anything."""
+        ids, none = ["origin", "row_id"], lambda t: F.lit(None).cast(t)
+        one = lambda kind, line=None, nxt=None, read=None, true=None: F.struct(
+            F.lit(kind).alias("kind"), (line if line is not None else none("int")).cast("int").alias("line_no"), (nxt if nxt is not None else none("int")).cast("int").alias("next_line"),
+            (read if read is not None else none("string")).alias("read"), (true if true is not None else none("string")).alias("true")).alias("e")
+        c = F.col
+        parts = self.marks.where("what = 'furniture'").select(*ids, one("furniture", c("line_no")))
+        parts = parts.unionByName(self.breaks().select(*ids, one("hyphen", c("line_no"), c("next_line"))))
+        parts = parts.unionByName(self.fixes().select(*ids, one("word", c("line_no"), c("next_line"), c("read"), c("true"))))
+        pages = self.rows.where("page IS NOT NULL AND path IS NOT NULL").select(*ids, "path", "page")
+        again = pages.groupBy("origin", "path", "page").agg(F.min("row_id").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        twice = pages.join(again, ["origin", "path", "page"]).where("row_id > kept").select(*ids, one("twice"))
+        return parts.unionByName(twice).groupBy(*ids).agg(F.collect_list("e").alias("edits"))
 
     def paragraphs(self) -> DataFrame:
-        """(origin, path, row_id, page, paragraph, text): continuous paragraphs, reflowed by windows.
+        """(origin, path, row_id, page, paragraph, text): continuous paragraphs.
 
-        Lines of a row are joined by a space, or by nothing after a hyphen; blank lines part
-        paragraphs. A page's first paragraph is added to the last of the page before (same path,
-        number one less) if that ends without a closing sign; row_id and page are those of its start.
-        Of a page delivered twice, the row with the smallest row_id is kept.
+        A row's edits meet its text once, and it is mended and reflowed on its own (`reflowed`). A page's first
+        paragraph is then added to the last of the page before (same path, number one less) if that ends without a
+        closing sign; row_id and page are those of its start. Only the edges of pages take part in that, found
+        by windows. Rows of a table stand alone. Of a page delivered twice, the row with the smallest row_id is kept.
         """
-        by_line = W.partitionBy("origin", "row_id").orderBy("line_no")
-        lines = self.lines().withColumn("line", F.trim(F.regexp_replace("line", r"[\s ]+", " ")))
-        lines = lines.withColumn("para", F.sum((F.col("line") == "").cast("int")).over(by_line.rowsBetween(W.unboundedPreceding, W.currentRow))).where("line <> ''")
-        # A word that has a hyphen of its own keeps it, without a space.
-        text = F.when(F.col("broken"), F.regexp_replace("line", rf"[-{MARKS}]$", "")).when(F.col("line").rlike(r"\p{L}-$"), F.col("line")).otherwise(F.concat("line", F.lit(" ")))
-        paras = lines.withColumn("text", text).groupBy("origin", "row_id", "path", "page", "para").agg(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda s: s.text), "").alias("text"), F.max_by("broken", "line_no").alias("open"))
-        paras = paras.withColumn("text", F.when(F.col("open"), F.col("text")).otherwise(F.rtrim("text")))
-        alone = paras.where("page IS NULL OR path IS NULL").select("origin", "path", "row_id", "page", F.col("para").alias("paragraph"), "text")
-        pages = paras.where("page IS NOT NULL AND path IS NOT NULL")
-        first = self.rows.where("page IS NOT NULL AND path IS NOT NULL").groupBy("origin", "path", "page").agg(F.min("row_id").alias("row_id"))
-        pages = pages.join(first.select("origin", "row_id"), ["origin", "row_id"], "left_semi")
-        # Only each page's edge matters to the page after it: one row a page meets its predecessor by a join.
-        edge = pages.groupBy("origin", "path", "page").agg(F.max_by(F.struct("text", "open"), "para").alias("last"), F.min("para").alias("first_para"))
-        prev = edge.select("origin", "path", (F.col("page") + 1).alias("page"), "last")
-        starts = edge.select("origin", "path", "page", "first_para").join(prev, ["origin", "path", "page"], "left")
-        runs_on = F.col("last.text").isNotNull() & (F.col("last.open") | ~F.col("last.text").rlike(r"[.!?:…]\s*$"))
-        pages = pages.join(starts.select("origin", "path", "page", "first_para", runs_on.alias("runs_on")), ["origin", "path", "page"])
-        opens = ~((F.col("para") == F.col("first_para")) & F.col("runs_on") & ~F.col("text").rlike(r"^(Article|ANNEXE) "))
-        pages = pages.withColumn("starts", opens.cast("int")).withColumn("file", F.concat_ws("\u0001", "origin", "path")).withColumn("at", F.col("page").cast("long") * 1_000_000 + F.col("para"))
-        chained = running_sum(pages, "file", "at", "starts", "chain", hot_keys(pages, "file"))
-        whole = chained.groupBy("file", "chain").agg(
-            F.min(F.struct("at", "origin", "path", "row_id", "page", "para")).alias("s"), F.array_sort(F.collect_list(F.struct("at", "text", "open"))).alias("t"))
+        rows = self.rows.select("origin", "row_id", "path", "page", "text").where("text IS NOT NULL")
+        mine = rows.join(self.edits(), ["origin", "row_id"], "left").select("origin", "row_id", "path", "page", "text", "edits")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                block = []
+                for origin, row, path, page, text, edits in zip(*(c.to_pylist() for c in b.columns)):
+                    paras = reflowed(text, edits or ())
+                    for k, (t, open_, closed) in enumerate(paras):
+                        block.append((origin, row, path, page, k, t, open_, closed, k == 0, k == len(paras) - 1))
+                yield _batch(block, _PARAGRAPH)
+
+        schema = "origin string, row_id long, path string, page int, para int, text string, open boolean, closed boolean, first boolean, last boolean"
+        paras = written(mine.mapInArrow(run, schema), "paragraphs")
+        edge = F.col("page").isNotNull() & F.col("path").isNotNull() & (F.col("first") | F.col("last"))
+        out = ["origin", "path", "row_id", "page", "paragraph", "text"]
+        inner = paras.where(~edge).select("origin", "path", "row_id", "page", F.col("para").alias("paragraph"), "text")
+        key = ["origin", "path", "page"]
+        edges = paras.where(edge)
+        before = edges.where("last").select("origin", "path", (F.col("page") + 1).alias("page"), F.col("closed").alias("ended"))
+        goes_on = F.col("first") & ~F.coalesce("ended", F.lit(True)) & ~F.col("text").rlike(r"^(Article|ANNEXE) ")
+        edges = edges.join(before, key, "left").select(
+            F.concat_ws("\u0001", "origin", "path").alias("file"), (F.col("page").cast("long") * 2**24 + F.col("para")).alias("at"), (~goes_on).cast("int").alias("starts"), "origin", "path", "row_id", "page", "para", "text", "open")
+        chained = running_sum(edges, "file", "at", "starts", "chain", hot_keys(paras.where(edge).select(F.concat_ws("\u0001", "origin", "path").alias("file")), "file"))
+        whole = chained.groupBy("file", "chain").agg(F.min(F.struct("at", "origin", "path", "row_id", "page", "para")).alias("s"), F.array_sort(F.collect_list(F.struct("at", "text", "open"))).alias("t"))
         glued = F.aggregate("t", F.lit(""), lambda acc, p: F.concat(acc, p.text, F.when(p.open, F.lit("")).otherwise(F.lit(" "))))
-        return alone.unionByName(whole.select("s.origin", "s.path", "s.row_id", "s.page", F.col("s.para").alias("paragraph"), F.rtrim(glued).alias("text")))
+        return inner.unionByName(whole.select("s.origin", "s.path", "s.row_id", "s.page", F.col("s.para").alias("paragraph"), F.rtrim(glued).alias("text")).select(*out))
+
+
+_PARAGRAPH = "origin row_id path page para text open closed first last"
+_TYPES |= {"para": pa.int32(), "open": pa.bool_(), "closed": pa.bool_(), "first": pa.bool_(), "last": pa.bool_()}
+_SPACES = re.compile(r"\s+")
+_OWN_HYPHEN = re.compile(r"[^\W\d_]-\Z")
+_CLOSED = re.compile(r"[.!?:…][»\"”)\]]*\s*\Z")
+
+
+def reflowed(text: str, edits: Iterable[dict]) -> list[tuple[str, bool, bool]]:
+    """(paragraph, open, closed) of a row: without furniture, with misread characters put right, words joined that were
+    broken at a line's end, and lines joined to paragraphs at blank lines. open: it ends inside a broken word;
+    closed: nothing can follow it, because it ends like a sentence or is a row of a table."""
+    lines = text.split("\n")
+    drop, broken, words, joined = set(), {}, {}, {}
+    for e in edits:
+        at = (e["line_no"] or 0) - 1
+        if e["kind"] == "twice":
+            return []
+        if e["kind"] == "furniture":
+            drop.add(at)
+        elif e["kind"] == "hyphen":
+            broken[at] = None if e["next_line"] is None else e["next_line"] - 1
+        else:
+            (words if e["next_line"] is None else joined).setdefault(at, {})[e["read"]] = e["true"]
+
+    def right(part: str, known: dict[str, str]) -> str:
+        def word(m: re.Match) -> str:
+            w = m.group(0)
+            true = known.get(w.lower())
+            return restored(w, true) if true else likely(w) if _INSIDE.search(w.lower()) else w
+
+        part = _WORD.sub(word, part) if known or _INSIDE.search(part.lower()) else part
+        number = lambda m: numeric(m.group(0)) if any(c.isdigit() for c in m.group(0)) else m.group(0)
+        return _MIXED.sub(number, part) if _DIGIT_BESIDE.search(part) else part
+
+    out: list[list] = [["", False, False]]
+    eaten: dict[int, int] = {}
+    for i, line in enumerate(lines):
+        if i in drop:
+            continue
+        if not line or line.isspace():
+            out.append(["", False, False])
+            continue
+        start = eaten.get(i, 0)
+        if start and not line[start:].strip():
+            continue  # all of it belongs to the word of the line before
+        row_of_table = bool(_TABLE.match(line)) or bool(_BARE.fullmatch(line))
+        if row_of_table:
+            out.append([_SPACES.sub(" ", right(line, words.get(i, {}))).strip(), False, True])
+            out.append(["", False, False])
+            continue
+        tail, open_ = "", False
+        body = line[start:]
+        if i in broken and (m := _BREAK.search(body)):
+            body, open_ = body[: m.start(2)], True
+            head = re.search(r"[\w@(]+\Z", body)
+            nxt = broken[i]
+            rest = re.match(r"\s*(\S+)", lines[nxt]) if nxt is not None else None
+            if head and rest:
+                core = re.match(r"[\w@(]+", rest.group(1))
+                whole = head.group(0) + (core.group(0) if core else "")
+                tail = right(whole, joined.get(i, {})) + rest.group(1)[core.end() if core else 0 :]
+                body, open_ = body[: head.start()], False
+                eaten[nxt] = rest.end()
+        body = _SPACES.sub(" ", right(body, words.get(i, {}))).strip() + (" " if tail and body.rstrip() and body[-1:].isspace() else "") + tail
+        last = out[-1]
+        glue = "" if not last[0] or last[1] or _OWN_HYPHEN.search(last[0]) else " "
+        last[0], last[1] = last[0] + glue + body, open_
+    return [(t, o, c or not o and bool(_CLOSED.search(t))) for t, o, c in out if t]
 
 
 def project_rows(spark: SparkSession, sf: str) -> DataFrame:
