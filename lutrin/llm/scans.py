@@ -185,7 +185,7 @@ def header_test(masks) -> object:
     return test
 
 
-_PLAIN_BREAK = re.compile(r"([\w@(]+)-[^\S\n]*\n\s*([\w@(]+)")
+_PLAIN_BREAK = re.compile(r"-[^\S\n]*\n\s*([\w@(]+)")
 _MARK_BREAK = re.compile(rf"[{MARKS}]\s*\n\s*")
 _COMPOUND = re.compile(r"(?<![\w-])[^\W\d_]+(?:-[^\W\d_]+)+")
 
@@ -193,7 +193,7 @@ _COMPOUND = re.compile(r"(?<![\w-])[^\W\d_]+(?:-[^\W\d_]+)+")
 def _counts(texts: Iterable[tuple[str | None, int | None]]) -> Iterator[tuple[str, str, int, int]]:
     """Partial (kind, key, n, edge): words (w), words joined over a plain hyphen at a line's end (j), hyphenated
     compounds (c), masked lines and how often at a page's top (h), offsets of printed page numbers (o)."""
-    words, joined, compounds, total, edge, offsets = (Counter() for _ in range(6))
+    pieces, halves, joined, compounds, total, edge, offsets = (Counter() for _ in range(7))
     of: dict[str, str] = {}
 
     def masked(line: str) -> str:
@@ -205,31 +205,41 @@ def _counts(texts: Iterable[tuple[str | None, int | None]]) -> Iterator[tuple[st
         return x
 
     def flush():
+        words = Counter(halves)
+        for piece, n in pieces.items():  # words never hold a space: each different piece is taken apart once
+            for w in _WORD.findall(piece):
+                words[w] += n
         for kind, c in (("w", words), ("j", joined), ("c", compounds), ("o", offsets)):
             yield from ((kind, k, n, 0) for k, n in c.items() if n)
         yield from (("h", k, n, edge[k]) for k, n in total.items())
-        for c in (words, joined, compounds, total, edge, offsets):
+        for c in (pieces, halves, joined, compounds, total, edge, offsets):
             c.clear()
 
     for text, page in texts:
         if not text:
             continue
         whole = (_MARK_BREAK.sub("", text) if any(c in text for c in MARKS) else text).lower()
-        words.update(_WORD.findall(whole))
+        pieces.update(whole.split())
         if "-" in whole:
             compounds.update(_COMPOUND.findall(whole))
-            for a, b in _PLAIN_BREAK.findall(whole):
-                # The halves are no words; what the whole is, compounds and words elsewhere will tell.
-                words[a] -= 1
-                words[b] -= 1
-                joined[a + b] += 1
+            for m in _PLAIN_BREAK.finditer(whole):
+                end = start = m.start()
+                while start and (whole[start - 1].isalnum() or whole[start - 1] in "_@("):
+                    start -= 1
+                if a := whole[start:end]:
+                    # The halves are no words; what the whole is, compounds and words elsewhere will tell.
+                    b = m.group(1)
+                    halves[a] -= 1
+                    halves[b] -= 1
+                    joined[a + b] += 1
         body = [x for x in text.split("\n") if x and not x.isspace()]
-        # Every row's top is counted, and the four lines after it are its control group: a line of the text is
-        # as likely to be the first of a page as any of the others.
+        # The four lines after a page's top are its control group: a line of the text is as likely to be the first
+        # of a page as any of the others. That does not hold for a file's first page, which begins with its title
+        # or first heading and so says nothing about headers; headers known from other pages are found on it.
         if page is None:
             tops = [k for k in range(1, len(body)) if body[k - 1].rstrip()[-1] in _NUMBER_END and _PAGE.fullmatch(body[k - 1])]
         else:
-            tops = [0]
+            tops = [0] if page != 1 else []
             for line in {x for x in (*body[:2], *body[-1:]) if x.rstrip()[-1] in _NUMBER_END}:
                 if (m := _printed(line)) and (g := next((x for x in m.groups() if x), "")) and (n := numeric(g)).isdigit():
                     offsets[str(int(n) - page)] += 1
@@ -240,7 +250,7 @@ def _counts(texts: Iterable[tuple[str | None, int | None]]) -> Iterator[tuple[st
                     key = masked(body[k])
                     total[key] += 1
                     edge[key] += k == top
-        if len(words) + len(total) > FLUSH:
+        if len(pieces) + len(total) > FLUSH:
             yield from flush()
     yield from flush()
 
@@ -335,7 +345,25 @@ def page_offsets(stats: DataFrame) -> set[int]:
     return {int(r["key"]) for r in o.crossJoin(F.broadcast(whole)).where(F.col("n") >= OFFSET_SHARE * F.col("whole")).select("key").collect()}  # whole: one row
 
 
-def _scan(texts: Iterable[tuple], known: set[str], is_header, offsets: set[int] = frozenset()) -> Iterator[tuple]:
+def doubts_of(known: set[str]):
+    """The words of a text that are neither certain nor numbers, by a memory of the pieces that have none."""
+    clean: set[str] = set()
+
+    def doubtful(text: str) -> set[str]:
+        if len(clean) > FLUSH:
+            clean.clear()
+        out: set[str] = set()
+        for piece in set(text.split()).difference(clean):
+            words = [w for w in _WORD.findall(piece) if w not in known and not w.isdigit()]
+            out.update(words)
+            if not words:
+                clean.add(piece)
+        return out
+
+    return doubtful
+
+
+def _scan(texts: Iterable[tuple], known: set[str], is_header, doubtful_words, offsets: set[int] = frozenset()) -> Iterator[tuple]:
     """(origin, row_id, path, page, what, line_no, next_line, cut, word, rest) of each row's noise and doubtful words."""
     for origin, row, path, page, text in texts:
         if not text:
@@ -348,7 +376,7 @@ def _scan(texts: Iterable[tuple], known: set[str], is_header, offsets: set[int]
         ends = [i for i, x in enumerate(lines) if x and (x[-1] in ENDS or x.rstrip()[-1:] in ENDS)]
         low = text.lower()
         joined = _JOIN.sub("", low) if ends else low
-        doubtful = {w for w in set(_WORD.findall(joined)).difference(known) if not w.isdigit()}
+        doubtful = doubtful_words(joined)
         if _DIGIT_BESIDE.search(text) or _INSIDE.search(low):
             yield from ((origin, row, path, page, "glyph", i + 1, None, None, t, None) for i, t in _plain_glyphs(lines, fur))
         body = [i for i, x in enumerate(lines) if i not in fur and x and not x.isspace()]
@@ -424,12 +452,12 @@ def scan(rows: DataFrame, known: list[str], masks: list[str] | None, offsets: se
     known_set, mask_set = set(known), set(masks or ())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared = header_test(mask_set)
+        shared, doubtful = header_test(mask_set), doubts_of(known_set)
 
         def found():
             for b in batches:
                 for row in zip(*(c.to_pylist() for c in b.columns)):
-                    yield from _scan([row[:5]], known_set, shared if masks is not None else header_test(set(row[5] or ())), offsets)
+                    yield from _scan([row[:5]], known_set, shared if masks is not None else header_test(set(row[5] or ())), doubtful, offsets)
 
         block: list[tuple] = []
         for row in found():
