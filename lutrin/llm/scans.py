@@ -36,6 +36,8 @@ MOST_HEADERS = 100_000
 FLUSH = 200_000
 #: How many times as frequent a form must be to stand for another one of letters only, whatever is beside it.
 FREQUENT = 8
+#: Neighbours that must speak for a form before a word is taken for misread that frequency alone would leave.
+LEAST_SUPPORT = 2
 
 _WORD = re.compile(r"[\w@(]+(?:(?<=\bi)\)\w+)?")
 _NUM = r"[\dOlSZIB]*\d[\dOlSZIB]*"
@@ -283,30 +285,43 @@ def _batch(block: list[tuple], names: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, _TYPES.get(n, pa.string())) for n, c in zip(names.split(), columns)], names.split())
 
 
-def readings(stats: DataFrame) -> DataFrame:
-    """(read, true, at): misread words with the word that stood there and the misread positions.
-
-    Of the frequent forms with the same skeleton from which a listed confusion leads to the rare one, the
-    most frequent is taken (then the smallest). A form with a digit or sign among its letters yields
-    to any form as frequent; one of letters only to a form eight times as frequent.
+def candidates(stats: DataFrame) -> DataFrame:
+    """(read, true, n, true_n, at, firm): words of the same skeleton, the second at least as frequent, from which listed
+    confusions lead to the first. firm: the frequencies alone say that it was misread; a form with a digit or sign
+    among its letters yields to any form as frequent, one of letters only to a form FREQUENT times as frequent.
     """
     counted = stats.where("kind IN ('w', 'j') AND NOT key RLIKE '^[0-9]+$'").groupBy(F.col("key").alias("word")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("kind") == "w", F.col("n")).otherwise(0)).alias("alone"))
     words = counted.withColumn("skeleton", _skeleton_sql(F.col("word"))).where((F.length("word") > 1) & (F.col("n") > 0))
     odd = F.col("word").rlike("[0-9@(_)]")
     # Words joined over a line's end may be misread ones, but are no proof of how a word is spelt.
     letters = words.where(~odd & (F.length("word") > 2) & (F.col("alone") > 0)).select("skeleton", F.col("word").alias("true"), F.col("alone").alias("true_n"))
-    pairs = words.select("skeleton", F.col("word").alias("read"), "n", odd.alias("odd")).join(letters, "skeleton").where(
-        (F.col("read") != F.col("true")) & F.when(F.col("odd"), F.col("true_n") >= F.col("n")).otherwise((F.col("true_n") >= FREQUENT * F.col("n")) & (F.col("true_n") >= FREQUENT))
-    )
+    firm = F.when(F.col("odd"), F.lit(True)).otherwise((F.col("true_n") >= FREQUENT * F.col("n")) & (F.col("true_n") >= FREQUENT))
+    pairs = words.select("skeleton", F.col("word").alias("read"), "n", odd.alias("odd")).join(letters, "skeleton").where((F.col("read") != F.col("true")) & (F.col("true_n") >= F.col("n"))).withColumn("firm", firm)
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["read", "true", "n", "true_n", "at", "firm"], (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.bool_())
         for b in batches:
-            rows = [(r, t, n, misread(r, t)) for r, t, n in zip(*(c.to_pylist() for c in b.columns))]
-            rows = [x for x in rows if x[3]]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate((pa.string(), pa.string(), pa.int64(), pa.list_(pa.int32())))], ["read", "true", "true_n", "at"])
+            rows = [(r, t, n, m, misread(r, t), f) for r, t, n, m, f in zip(*(c.to_pylist() for c in b.columns))]
+            rows = [x for x in rows if x[4]]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names)
+
+    return pairs.select("read", "true", "n", "true_n", "firm").mapInArrow(positions, "read string, true string, n long, true_n long, at array<int>, firm boolean")
+
 
-    checked = pairs.select("read", "true", "true_n").mapInArrow(positions, "read string, true string, true_n long, at array<int>")
-    return checked.groupBy("read").agg(F.min_by(F.struct("true", "at"), F.struct((-F.col("true_n")).alias("n"), "true")).alias("b")).select("read", "b.true", "b.at")
+def readings(found: DataFrame) -> DataFrame:
+    """(read, true, at): of the firm candidates of a word the most frequent, then the smallest."""
+    return found.where("firm").groupBy("read").agg(F.min_by(F.struct("true", "at"), F.struct((-F.col("true_n")).alias("n"), "true")).alias("b")).select("read", "b.true", "b.at")
+
+
+def open_readings(found: DataFrame, sure: DataFrame) -> DataFrame:
+    """(read, true, at, firm): words whose neighbours have to decide. Either several candidates are about as frequent,
+    or one is more frequent, but not so much that frequency alone would do. Candidates that are misread
+    themselves do not count."""
+    best = found.where("firm").groupBy("read").agg(F.max("true_n").alias("best"))
+    sound = found.join(sure.select(F.col("read").alias("true")), "true", "left_anti").join(best, "read", "left")
+    near = sound.where((F.col("firm") & (F.col("true_n") * FREQUENT >= F.col("best"))) | (F.col("best").isNull() & (F.col("true_n") > LEAST_SUPPORT)))
+    several = near.groupBy("read").agg(F.count(F.lit(1)).alias("several"))
+    return near.join(several, "read").where("several > 1 OR NOT firm").select("read", "true", "at", "firm")
 
 
 def _skeleton_sql(word):
@@ -423,8 +438,11 @@ def _doubts(lines: list[str], body: list[int], ends: set[int], doubtful: set[str
                     eaten = rest.end() if rest else 0
         if doubtful:
             part = line[start:end] if start or end < len(line) else line
-            for w in doubtful.intersection(_WORD.findall(part.lower())):
-                yield "word", i + 1, None, None, w, None
+            words = _WORD.findall(part.lower())
+            for w in doubtful.intersection(words):
+                at = words.index(w)
+                # With the words beside it: words hold no spaces.
+                yield "word", i + 1, None, None, w, f"{words[at - 1] if at else ''} {words[at + 1] if at + 1 < len(words) else ''}"
 
 
 _SCAN = "origin row_id path page what line_no next_line cut word rest"
@@ -481,11 +499,15 @@ class Noise:
     def __init__(self, rows: DataFrame):
         self.rows = rows
         self.stats = written(statistics(rows), "scan-stats")
-        self.readings = written(readings(self.stats), "readings")
+        found_words = written(candidates(self.stats), "candidates")
+        self.readings = written(readings(found_words), "readings")
+        self.open = written(open_readings(found_words, self.readings), "open")
         found = headers(self.stats)
         head = [r[0] for r in found.limit(MOST_HEADERS + 1).collect()]
         few = len(head) <= MOST_HEADERS
-        certain = self.stats.where("kind = 'w'").join(self.readings, F.col("key") == F.col("read"), "left_anti")
+        # Words that neighbours decide on are looked up on both sides, the misread and the true ones.
+        asked = self.readings.select("read").union(self.open.select("read")).union(self.open.select("true")).distinct()
+        certain = self.stats.where("kind = 'w'").join(asked, F.col("key") == F.col("read"), "left_anti")
         known = [r[0] for r in certain.orderBy(F.col("n").desc(), "key").limit(KNOWN_WORDS).select("key").collect()]
         self.marks = written(scan(rows if few else with_headers(rows, found), known, head if few else None, page_offsets(self.stats)), "scan")
 
@@ -522,16 +544,38 @@ class Noise:
         cols = ["origin", "row_id", "line_no", "next_line"]
         return sure.select(*cols).unionByName(known.where(yes).select(*cols)).unionByName(open_.where(unsure).select(*cols))
 
+    def fixes(self) -> DataFrame:
+        """(origin, row_id, line_no, next_line, cut, read, true, at): misread words with what stood there; next_line
+        where one goes over a line's end.
+
+        Most are told by frequency alone. Of an open reading the candidate is taken that most often has the
+        same word before or after it elsewhere: among firm candidates always one (the most frequent, if the
+        neighbours do not tell), else only if it has LEAST_SUPPORT and more than the word as it stands.
+        """
+        key = ["origin", "row_id", "line_no", "next_line", "cut"]
+        marks = self.marks.where("what = 'word'")
+        plain = marks.join(self.readings, F.col("word") == F.col("read")).select(*key, "read", "true", "at")
+        words = self.open.select(F.col("read").alias("w")).union(self.open.select(F.col("true").alias("w"))).distinct()
+        sides = F.split(F.coalesce("rest", F.lit(" ")), " ", -1)
+        seen = marks.join(words, F.col("word") == F.col("w"), "left_semi").select(F.col("word").alias("w"), F.posexplode(sides).alias("side", "beside")).where("beside <> ''")
+        seen = seen.groupBy("w", "side", "beside").agg(F.count(F.lit(1)).alias("times"))
+        of = lambda w, name: seen.select(F.col("w").alias(w), "side", "beside", F.col("times").alias(name))
+        each = marks.join(self.open, F.col("word") == F.col("read")).select(*key, "read", "true", "at", "firm", F.posexplode(sides).alias("side", "beside"))
+        each = each.join(of("true", "for_it"), ["true", "side", "beside"], "left").join(of("read", "against"), ["read", "side", "beside"], "left")
+        # A word's own place speaks neither way.
+        told = each.groupBy(*key, "read", "true", "firm").agg(F.first("at").alias("at"), F.sum(F.coalesce("for_it", F.lit(0))).alias("support"), F.sum(F.greatest(F.coalesce("against", F.lit(0)) - 1, F.lit(0))).alias("own"))
+        chosen = told.where((F.col("firm") & (F.col("support") > 0)) | ((F.col("support") >= LEAST_SUPPORT) & (F.col("support") > F.col("own"))))
+        best = chosen.groupBy(*key, "read").agg(F.min_by(F.struct("true", "at"), F.struct((-F.col("support")).alias("s"), "true")).alias("b"))
+        same = [F.col(f"p.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ("next_line", "cut")] + [F.col(f"p.{c}") == F.col(f"c.{c}") for c in ("origin", "row_id", "line_no", "read")]
+        rest = plain.alias("p").join(best.alias("c"), same, "left_anti").select(*key, "read", "true", "at")
+        return rest.unionByName(best.select(*key, "read", "b.true", "b.at"))
+
     def glyphs(self) -> DataFrame:
-        """(origin, row_id, line_no, read, true): misread words on the line of the misread character."""
-        words = self.marks.where("what = 'word'").join(self.readings, F.col("word") == F.col("read"))
+        """(origin, row_id, line_no, read): misread words on the line of the misread character."""
+        words = self.fixes()
         lines = F.array_distinct(F.transform("at", lambda p: F.when(F.col("next_line").isNotNull() & (p >= F.col("cut")), F.col("next_line")).otherwise(F.col("line_no"))))
-        words = words.select("origin", "row_id", F.explode(lines).alias("line_no"), "read", "true")
-        return words.unionByName(self.marks.where("what = 'glyph'").select("origin", "row_id", "line_no", F.col("word").alias("read"), F.lit(None).cast("string").alias("true")))
-
-    def fixes(self) -> DataFrame:
-        """(origin, row_id, line_no, next_line, read, true): misread words; next_line where one goes over a line's end."""
-        return self.marks.where("what = 'word'").join(self.readings, F.col("word") == F.col("read")).select("origin", "row_id", "line_no", "next_line", "read", "true")
+        words = words.select("origin", "row_id", F.explode(lines).alias("line_no"), "read")
+        return words.unionByName(self.marks.where("what = 'glyph'").select("origin", "row_id", "line_no", F.col("word").alias("read")))
 
     def found(self) -> DataFrame:
         """(origin, row_id, line_no, kind)."""

@@ -306,6 +306,21 @@ def test_caps_are_gone(spark):
     assert scans._page_number(["LS 12-345 AB 0123", "131"], [0, 1], 1, 100, lambda x: False, {31}) and not scans._page_number(["LS 12-345 AB 0123", "131"], [0, 1], 1, 100, lambda x: False, {5})
 
 
+def test_neighbours_choose_between_readings(spark):
+    """Two true words that one misread form may stand for, and one that is no eighth as frequent as its true form."""
+    rows = [("chunks", i, None, None, "la fosse est comblée puis la casse arrive\nle mur de clôture et le bois coupé") for i in range(30)]
+    rows += [("chunks", 100 + i, None, None, "le bon foin sec et le bon coin sec") for i in range(9)]
+    rows += [("chunks", 200 + i, None, None, "un toit rouge en tuile") for i in range(5)] + [("chunks", 300 + i, None, None, "un tolt rouge en tuile") for i in range(3)]
+    rows += [("chunks", 400 + i, None, None, "la mare verte dort") for i in range(5)] + [("chunks", 500 + i, None, None, "son maro tlent") for i in range(3)]
+    rows += [("chunks", 900, None, None, "on dit que la fo5se est comblée"), ("chunks", 901, None, None, "le mois pont\nle bon mols pluvieux"), ("chunks", 902, None, None, "les mots vus"), ("chunks", 903, None, None, "un m0ts pluvieux")]
+    rows += [("chunks", 1000 + i, None, None, "un mois pluvieux") for i in range(9)] + [("chunks", 1100 + i, None, None, "les mots vus hier") for i in range(9)]
+    noise = scans.Noise(spark.createDataFrame(rows, ROWS))
+    fixes = {(r["row_id"], r["read"]): r["true"] for r in noise.fixes().collect()}
+    assert fixes[900, "fo5se"] == "fosse" and fixes[903, "m0ts"] in ("mots", "mois")
+    assert fixes[901, "mols"] == "mois"  # before "pluvieux" stands mois, not mots
+    assert all(fixes[300 + i, "tolt"] == "toit" for i in range(3)) and not any(k[1] in ("mots", "mois", "toit", "maro") for k in fixes)
+
+
 def test_words_keep_their_case():
     assert [scans.restored(*x) for x in (("Règ1ement", "règlement"), ("RÈG1EMENT", "règlement"), ("rnarge", "marge"), ("RNARGE", "marge"), ("com1e", "comte"))] == ["Règlement", "RÈGLEMENT", "marge", "MARGE", "comte"]
     assert scans.likely("p1an") == "plan" and scans.likely("R0UTE") == "ROUTE" and scans.likely("A1") == "A1"
