@@ -638,7 +638,8 @@ class Noise:
 
 _PARAGRAPH = "origin row_id path page para text open closed first last"
 _TYPES |= {"para": pa.int32(), "open": pa.bool_(), "closed": pa.bool_(), "first": pa.bool_(), "last": pa.bool_()}
-_SPACES = re.compile(r"\s+")
+#: What the first two characters of a table's row may be.
+_TABLE_BEGINS = frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZl")
 _OWN_HYPHEN = re.compile(r"[^\W\d_]-\Z")
 _CLOSED = re.compile(r"[.!?:…][»\"”)\]]*\s*\Z")
 
@@ -660,15 +661,21 @@ def reflowed(text: str, edits: Iterable[dict]) -> list[tuple[str, bool, bool]]:
         else:
             (words if e["next_line"] is None else joined).setdefault(at, {})[e["read"]] = e["true"]
 
+    # Most texts have no digit or sign where none can stand: one look tells.
+    signs, mixed = bool(_INSIDE.search(text.lower())), bool(_DIGIT_BESIDE.search(text))
+
     def right(part: str, known: dict[str, str]) -> str:
+        if not known and not signs and not mixed:
+            return part
+
         def word(m: re.Match) -> str:
             w = m.group(0)
             true = known.get(w.lower())
             return restored(w, true) if true else likely(w) if _INSIDE.search(w.lower()) else w
 
-        part = _WORD.sub(word, part) if known or _INSIDE.search(part.lower()) else part
+        part = _WORD.sub(word, part) if known or signs and _INSIDE.search(part.lower()) else part
         number = lambda m: numeric(m.group(0)) if any(c.isdigit() for c in m.group(0)) else m.group(0)
-        return _MIXED.sub(number, part) if _DIGIT_BESIDE.search(part) else part
+        return _MIXED.sub(number, part) if mixed and _DIGIT_BESIDE.search(part) else part
 
     out: list[list] = [["", False, False]]
     eaten: dict[int, int] = {}
@@ -681,9 +688,9 @@ def reflowed(text: str, edits: Iterable[dict]) -> list[tuple[str, bool, bool]]:
         start = eaten.get(i, 0)
         if start and not line[start:].strip():
             continue  # all of it belongs to the word of the line before
-        row_of_table = bool(_TABLE.match(line)) or bool(_BARE.fullmatch(line))
-        if row_of_table:
-            out.append([_SPACES.sub(" ", right(line, words.get(i, {}))).strip(), False, True])
+        begins = line.lstrip()[:2]
+        if (begins[0] in _TABLE_BEGINS and (len(begins) < 2 or begins[1] in _TABLE_BEGINS or begins[1].isspace() or begins[1] in "er")) and (_TABLE.match(line) or _BARE.fullmatch(line)):
+            out.append([" ".join(right(line, words.get(i, {})).split()), False, True])
             out.append(["", False, False])
             continue
         tail, open_ = "", False
@@ -699,7 +706,8 @@ def reflowed(text: str, edits: Iterable[dict]) -> list[tuple[str, bool, bool]]:
                 tail = right(whole, joined.get(i, {})) + rest.group(1)[core.end() if core else 0 :]
                 body, open_ = body[: head.start()], False
                 eaten[nxt] = rest.end()
-        body = _SPACES.sub(" ", right(body, words.get(i, {}))).strip() + (" " if tail and body.rstrip() and body[-1:].isspace() else "") + tail
+        spaced = " " if tail and body[-1:].isspace() and not body.isspace() else ""
+        body = " ".join(right(body, words.get(i, {})).split()) + spaced + tail
         last = out[-1]
         glue = "" if not last[0] or last[1] or _OWN_HYPHEN.search(last[0]) else " "
         last[0], last[1] = last[0] + glue + body, open_
