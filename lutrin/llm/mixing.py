@@ -38,7 +38,7 @@ def mix(docs: DataFrame, targets: DataFrame, record: str, seed: int = 1, total:
     its cap, so the scarcest source decides its size. Source names are compared in lower case without surrounding blanks; documents of no
     target source, or without tokens, are unused; targets without documents are reported with 0. The last
     document of a sample is taken if more than half of it fits. Repeated target rows add up their
-    shares; equal keys are kept in one order by a hash of the record.
+    shares; documents with equal keys are taken in the order of their records.
     """
     goal = targets.where("source IS NOT NULL").groupBy(_name(F.col("source")).alias("source")).agg(F.sum(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(record)), 11).cast("double") + 0.5) / F.lit(float(2**53))
@@ -56,7 +56,8 @@ def mix(docs: DataFrame, targets: DataFrame, record: str, seed: int = 1, total:
     need = supply.withColumn("budget", F.when(usable, budget).otherwise(F.lit(0.0)))
     need = need.withColumn("epochs", F.when(F.col("available") > 0, F.least(F.floor(F.col("budget") / F.col("available") + F.lit(1e-9)), F.col("max_repeats").cast("long"))).otherwise(F.lit(0).cast("long")))
     need = need.withColumn("fraction", F.when(F.col("epochs") < F.col("max_repeats"), F.greatest(F.col("budget") - F.col("epochs") * F.col("available"), F.lit(0.0))).otherwise(F.lit(0.0)))
-    ordered = running_sum(pool, "source", "draw", "tokens", "filled", hot_keys(pool, "source", hot_rows))
+    # The record tells equal keys apart.
+    ordered = running_sum(pool.withColumn("place", F.struct("draw", record)), "source", "place", "tokens", "filled", hot_keys(pool, "source", hot_rows))
     picked = ordered.join(need.select("source", "epochs", "fraction"), "source")
     half = F.col("filled") - F.col("tokens") / 2 <= F.col("fraction")
     copies = F.col("epochs") + F.when((F.col("fraction") > 0) & half, 1).otherwise(0)

@@ -33,6 +33,8 @@ MISS = 1e-3
 PAIR_COST = 0.2
 #: Texts of one probe value that are compared in one place; larger sets are compared block by block.
 BLOCK = 1000
+#: Texts of one probe value beyond which they are dealt to several tasks, and the share that is counted to find such.
+HOT_TEXTS, SAMPLE = 200_000, 32
 #: Bits of the cheap check before the exact one, and the standard deviations it allows.
 BITS, SIGMAS = 128, 4
 LEAST_WORDS = 20
@@ -43,7 +45,7 @@ MOST_IDS = 1_000_000
 @functools.cache
 def _hashes() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240229)
-    return rng.integers(1, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
+    return rng.integers(1, 2**31, SYMBOLS, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, SYMBOLS, dtype=np.uint32)
 
 
 class Shingler:
@@ -76,16 +78,22 @@ class Shingler:
 
 
 def _symbols(runs: np.ndarray) -> bytes:
+    """The minwise symbols of a set: of every linear hash of its runs the least value, mixed down to 8 bits."""
     a, b = _hashes()
-    least = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(runs), 2048):  # a long text never becomes one large matrix
-        np.minimum(least, (runs[at : at + 2048, None] * a + b).min(axis=0), out=least)
-    least ^= least >> np.uint64(32)
-    return ((least * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(56)).astype(np.uint8).tobytes()
+    low = (runs >> np.uint64(32)).astype(np.uint32)  # the runs are well-mixed numbers: half of one will do
+    least = np.full(SYMBOLS, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(low), 2048):  # a long text never becomes one large matrix
+        np.minimum(least, (low[at : at + 2048, None] * a + b).min(axis=0), out=least)
+    least ^= least >> np.uint32(16)
+    least *= np.uint32(0x85EBCA6B)
+    least ^= least >> np.uint32(13)
+    least *= np.uint32(0xC2B2AE35)
+    return (least >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
 def copies(rows: DataFrame, record: str, text: str) -> DataFrame:
-    """(id, rep): every text and the smallest id with exactly the same characters."""
+    """(id, rep): every text and the smallest id with exactly the same characters. Only texts that occur more than
+    once are gathered, as ids; each task adds its own up first."""
     keyed = rows.where(F.col(text).isNotNull() & F.col(record).isNotNull()).select(F.col(record).alias("id"), F.unhex(F.md5(text)).alias("same"))
     reps = keyed.groupBy("same").agg(F.min("id").alias("rep"))
     return keyed.join(reps, "same").select("id", "rep").distinct()
@@ -240,33 +248,60 @@ def similar(rows: DataFrame, threshold: float = 0.8, run: int = 5, least_words:
     return verified(rows, near, threshold, run, record, text), members.join(sketch.select("id").withColumnRenamed("id", "rep"), "rep", "left_semi").select("id", "rep")
 
 
+def _hot_probes(each: DataFrame, texts: int) -> DataFrame | None:
+    """(probe, parts): probe values of so many texts that one task should not have them all, and the parts they are dealt
+    to. Their sizes are estimated from every SAMPLE-th text, which decides where texts meet, never whether."""
+    if texts <= HOT_TEXTS:
+        return None
+    some = each.where(F.pmod(F.xxhash64("t.rep"), F.lit(SAMPLE)) == 0).groupBy("probe").agg((F.count(F.lit(1)) * SAMPLE).alias("size"))
+    return written(some.where(F.col("size") > HOT_TEXTS / 2).select("probe", F.ceil(F.col("size") / BLOCK).cast("long").alias("parts")), "hot")
+
+
 def candidates(sketch: DataFrame, probes: list[list[int]], threshold: float) -> DataFrame:
     """(rep_a, rep_b): different texts that agree on a probe and pass the cheap check.
 
-    One exchange by probe value serves everything: inside it the texts of a value are numbered and
-    gathered in blocks of bounded size; only values of several blocks meet again in a join.
+    One exchange by probe value, and for hot values by part of it, serves everything: inside it the texts are
+    numbered and gathered in blocks of bounded size. The blocks of one value then meet in pairs, each pair by
+    itself, so that no task has a whole value and none has all of its pairs.
     """
     each = sketch.select(F.struct(F.col("id").alias("rep"), "runs", "b0", "b1").alias("t"), F.explode(F.array(*[_probe(i, p) for i, p in enumerate(probes)])).alias("probe"))
-    place = F.row_number().over(W.partitionBy("probe").orderBy("t.rep")) - 1
-    blocks = each.withColumn("block", F.floor(place / BLOCK)).groupBy("probe", "block").agg(F.collect_list("t").alias("ts"))
-    blocks = blocks.where("size(ts) > 1 OR block > 0").withColumn("long", (F.size("ts") >= BLOCK) | (F.col("block") > 0))
+    hot = _hot_probes(each, sketch.count())
+    if hot is None:
+        each = each.withColumn("part", F.lit(0).cast("long"))
+    else:
+        dealt = F.pmod(F.xxhash64("t.rep", "probe"), F.col("parts"))
+        each = each.join(hot, "probe", "left").withColumn("part", F.coalesce(dealt, F.lit(0).cast("long"))).drop("parts")
+    place = F.row_number().over(W.partitionBy("probe", "part").orderBy("t.rep")) - 1
+    # Parts and places make one number: a part holds fewer than 2**20 blocks.
+    number = F.col("part") * 2**20 + F.floor(place / BLOCK)
+    blocks = each.withColumn("block", number).groupBy("probe", "part", "block").agg(F.collect_list("t").alias("ts"))
+    dealt_out = F.lit(False) if hot is None else F.col("hot").isNotNull()
+    if hot is not None:
+        blocks = blocks.join(hot.select("probe", F.lit(True).alias("hot")), "probe", "left")
+    blocks = blocks.withColumn("long", dealt_out | (F.size("ts") >= BLOCK) | (F.col("block") != F.col("part") * 2**20))
+    blocks = blocks.where("size(ts) > 1 OR long").select("probe", "block", "long", "ts")
     # One-bit check: differing low bits at the threshold are binomial with (1 - t) / 2.
     p = (1 - threshold) / 2
     most = BITS * p + SIGMAS * math.sqrt(BITS * p * (1 - p))
     apart = F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0"))) + F.bit_count(F.col("x.b1").bitwiseXOR(F.col("y.b1")))
     fits = F.least("x.runs", "y.runs") >= threshold * F.greatest("x.runs", "y.runs")
-    close = (F.col("x.rep") < F.col("y.rep")) & (apart <= most) & fits
-    ends = [F.col("x.rep").alias("rep_a"), F.col("y.rep").alias("rep_b")]
+    close = (F.col("x.rep") != F.col("y.rep")) & (apart <= most) & fits
+    ends = [F.least("x.rep", "y.rep").alias("rep_a"), F.greatest("x.rep", "y.rep").alias("rep_b")]
     # One pass gives the pairs inside blocks and, as pairs of a text with itself, the texts of long sets.
     met = blocks.select("probe", "block", "long", F.explode("ts").alias("x"), "ts").select("probe", "block", "long", "x", F.explode("ts").alias("y"))
     itself = F.col("long") & (F.col("x.rep") == F.col("y.rep"))
-    met = written(met.where(close | itself).select(*ends, *[F.when(itself, F.col(c)).alias(c) for c in ("probe", "block", "x")]), "met")
+    once = close & (F.col("x.rep") < F.col("y.rep"))
+    met = written(met.where(once | itself).select(*ends, *[F.when(itself, F.col(c)).alias(c) for c in ("probe", "block", "x")]), "met")
     inside, rest = met.where("x IS NULL").select("rep_a", "rep_b"), met.where("x IS NOT NULL").select("probe", "block", "x")
     if rest.isEmpty():
         return inside.distinct()
-    sets = rest.groupBy("probe", "block").agg(F.collect_list("x").alias("ts"))
-    a, b = sets.select("probe", F.col("block").alias("ba"), F.col("ts").alias("xs")), sets.select("probe", F.col("block").alias("bb"), F.col("ts").alias("ys"))
-    across = a.join(b, "probe").where("ba < bb").select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y")).where(close).select(*ends)
+    sets = written(rest.groupBy("probe", "block").agg(F.collect_list("x").alias("ts")), "sets")
+    # Each block goes to every pair of blocks it is in; a pair is one row, wherever its value's others are.
+    others = sets.groupBy("probe").agg(F.collect_set("block").alias("all"))
+    paired = sets.join(others, "probe").select("probe", "block", "ts", F.explode("all").alias("other")).where("block <> other")
+    paired = paired.select("probe", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.when(F.col("block") < F.col("other"), F.col("ts")).alias("xs"), F.when(F.col("block") > F.col("other"), F.col("ts")).alias("ys"))
+    both = paired.groupBy("probe", "lo", "hi").agg(F.first("xs", ignorenulls=True).alias("xs"), F.first("ys", ignorenulls=True).alias("ys"))
+    across = both.select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y")).where(close).select(*ends)
     return inside.unionByName(across).distinct()
 
 
@@ -338,4 +373,31 @@ def p6_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found, "p6_classes": p6_classes, "p6_documents": p6_documents}
-ORACLE: dict[str, str] = {}
+
+
+def _sql(table: str, record: str, text: str, run: int, least_words: int, tenths: int) -> str:
+    """pairs(a, b) of all texts by their shared runs, each met with each other that has it: for small tables."""
+    words = " || ' ' || ".join(f"ws[i + {k}]" for k in range(run))
+    return f"""WITH RECURSIVE ids AS (SELECT {record} AS id, {text} AS t, min({record}) OVER (PARTITION BY {text}) AS rep FROM {table} WHERE {text} IS NOT NULL),
+ws AS (SELECT id, rep, list_filter(string_split(replace(lower(t), chr(10), ' '), ' '), lambda x: x <> '') AS ws FROM ids),
+mem AS (SELECT id, rep FROM ws WHERE len(ws) >= {max(least_words, run)}),
+runs AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(ws) - {run} + 2), lambda i: {words})) AS run FROM ws WHERE id = rep AND len(ws) >= {max(least_words, run)}),
+size AS (SELECT id, count(*) AS n FROM runs GROUP BY id),
+shared AS (SELECT x.id AS a, y.id AS b, count(*) AS n FROM runs x JOIN runs y ON x.run = y.run AND x.id < y.id GROUP BY ALL),
+pairs AS (SELECT a, b FROM shared JOIN size p ON p.id = a JOIN size q ON q.id = b WHERE 10 * shared.n >= {tenths} * (p.n + q.n - shared.n))"""
+
+
+_SQL_CLASSES = """,
+edges AS (SELECT a AS x, b AS y FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT DISTINCT x, x AS l FROM edges UNION SELECT edges.y, reach.l FROM reach JOIN edges ON edges.x = reach.x),
+label AS (SELECT x, min(l) AS l FROM reach GROUP BY x),
+degree AS (SELECT x, count(*) AS links FROM edges GROUP BY x)
+SELECT mem.id AS {record}, coalesce(l, rep) AS class_id, coalesce(links, 0) AS links FROM mem LEFT JOIN label ON label.x = rep LEFT JOIN degree ON degree.x = rep"""
+ORACLE = {
+    "p6_found": _sql("chunks", "chunk_ord", "content", 3, LEAST_WORDS, 6) + """,
+twins AS (SELECT x.id AS a, y.id AS b FROM mem x JOIN mem y ON x.rep = y.rep AND x.id < y.id),
+across AS (SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b FROM pairs JOIN mem x ON x.rep = pairs.a JOIN mem y ON y.rep = pairs.b)
+SELECT a AS chunk_ord_a, b AS chunk_ord_b FROM twins UNION ALL SELECT a, b FROM across""",
+    "p6_classes": _sql("chunks", "chunk_ord", "content", 3, LEAST_WORDS, 6) + _SQL_CLASSES.format(record="chunk_ord"),
+    "p6_documents": _sql("documents", "doc_id", "text", 5, 5, 8) + _SQL_CLASSES.format(record="doc_id"),
+}
