@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import json
 import sys
+import threading
 from datetime import datetime
 from pathlib import Path
 
@@ -146,6 +148,25 @@ def comparison(runs: list[tuple[str, DataFrame]]) -> list[str]:
     return ["  ".join(["id", *[n for n, _ in runs]]), *["  ".join([i, *[cells[i][n] for n, _ in runs]]) for i in sorted(cells)]]
 
 
+@contextlib.contextmanager
+def heartbeat(spark: SparkSession, seconds: float = 15.0):
+    """Tell every so often how many tasks of the running stages are done."""
+    stop, tracker = threading.Event(), spark.sparkContext.statusTracker()
+
+    def beat() -> None:
+        while not stop.wait(seconds):
+            stages = [s for i in tracker.getActiveStageIds() if (s := tracker.getStageInfo(i))]
+            print(f"{datetime.now():%H:%M:%S} working: {sum(s.numCompletedTasks for s in stages)} of {sum(s.numTasks for s in stages)} tasks", flush=True)
+
+    thread = threading.Thread(target=beat, daemon=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        stop.set()
+        thread.join()
+
+
 def ingest(spark: SparkSession, args, settings: config.Settings, store: Store) -> None:
     listed = files.listing(spark, args.docs, f"*{args.kind}", settings.max_files)
     failed: list[tuple[str, str]] = []
@@ -160,7 +181,8 @@ def ingest(spark: SparkSession, args, settings: config.Settings, store: Store) -
         return got.where("error IS NULL")
 
     encoder = lambda chunks: encoders.encode(chunks, "chunk_ord", "content", encoders.encoder(settings.embedding_model))
-    n, m = build(store, listed, read, settings, args.rebuild, args.family, encoder, lambda part, size: print(f"{datetime.now():%H:%M:%S} {part}: {size}", flush=True))
+    with heartbeat(spark):
+        n, m = build(store, listed, read, settings, args.rebuild, args.family, encoder, lambda part, size: print(f"{datetime.now():%H:%M:%S} {part}: {size}", flush=True))
     for path, error in failed:  # at most 1,000 are named, all are counted
         print(f"skipped {path}: {error}", file=sys.stderr)
     print(f"{n} files, {m} chunks")

@@ -84,7 +84,7 @@ x{tag} AS (SELECT coalesce(d.query_id, b.query_id) query_id, coalesce(d.chunk_or
 
 _BEST = """
 z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, dr NULLS LAST, br NULLS LAST, chunk_ord) rank FROM x)
-SELECT query_id, chunk_ord, rank::INT rank, round(rrf, 9) score FROM z WHERE rank <= 5"""
+SELECT query_id, chunk_ord, rank::INT rank, round(rrf, 9) score, source_path, md5(coalesce(content, '')) h, coalesce(page, -1) page FROM z JOIN chunks USING (chunk_ord) WHERE rank <= 5"""
 
 
 def _lead_hits(score: str, k: int = 5) -> str:
@@ -155,7 +155,8 @@ _ADDRESS_ROW = r"regexp_matches(content, '(?m)^[\s]*[0-9]{1,2}(?:er|e)?[\s]+.{0,
 _PUT_ANNEXES = """(CASE WHEN page_num % 5 = 2 THEN 'Annexe VI des lieux ' ELSE '' END || text || CASE WHEN page_num % 5 = 1 THEN ' (voir (' WHEN page_num % 3 = 0 THEN chr(10) || 'A NNEXE IV :' WHEN page_num % 7 = 4 THEN chr(10) || 'ANNEXE X : ' || repeat('Liste des terrains ', 9) ELSE '' END)"""
 
 
-def _corpus(text: str) -> str:
+def _made(text: str) -> str:
+    """q: chunks with idx, page, section and content after the quality filter; d: the first of each content."""
     return f"""WITH cp AS (SELECT source_path, page_num, text FROM (SELECT source_path, page_num, {_clean(text)} AS text FROM doc_pages) WHERE text <> ''),
 {_LAYOUT.replace('FROM doc_pages', 'FROM cp')}, fa AS (SELECT source_path, t, {_FAMILY} AS fam FROM f),
 {_HEADS.replace(_LAYOUT, '').lstrip().lstrip(',').replace('FROM f)', "FROM fa WHERE fam = 'reglement_ecrit')")},
@@ -170,7 +171,11 @@ g AS (SELECT n.*, page_num, an.pos AS npos, CASE WHEN length(title) > 100 THEN s
 k AS (SELECT source_path, idx, page_num, CASE WHEN npos > coalesce(CASE WHEN code IS NULL THEN -1 ELSE ap END, -1) AND ap IS NOT NULL THEN nt ELSE code END AS section,
  CASE WHEN npos > coalesce(CASE WHEN code IS NULL THEN -1 ELSE ap END, -1) AND ap IS NOT NULL THEN '[Section: ' || nt || ']' || chr(10) || x ELSE x END AS content FROM g),
 q AS (SELECT * FROM k WHERE CASE WHEN length(content) > 0 THEN length(regexp_replace(content, '[^\\p{{L}}]', '', 'g'))::DOUBLE / length(content) ELSE 0 END >= 0.55 OR {_TABLE_ROW} OR {_ADDRESS_ROW}),
-d AS (SELECT *, {_STEM} || '-' || idx AS chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY source_path, idx) AS r FROM q) WHERE r = 1)
+d AS (SELECT *, {_STEM} || '-' || idx AS chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY source_path, idx) AS r FROM q) WHERE r = 1)"""
+
+
+def _corpus(text: str) -> str:
+    return _made(text) + f"""
 SELECT (row_number() OVER (ORDER BY source_path, chunk_id) - 1)::BIGINT AS chunk_ord, chunk_id, source_path, {_FAMILY} AS doc_family, page_num AS page, section, md5(content) AS h FROM d"""
 
 
@@ -201,6 +206,15 @@ SELECT c.source_path, c.off, code, md5(x) h, page_num::INT page FROM c ASOF JOIN
     "annexe_headers": f"WITH cp AS (SELECT source_path, page_num, {_PUT_ANNEXES} AS text FROM doc_pages WHERE text <> ''), {_LAYOUT.replace('FROM doc_pages', 'FROM cp')}, {_ANNEXES} SELECT source_path, pos, title FROM an",
     "corpus_chunks": _corpus("text"),
     "annexe_chunks": _corpus(_PUT_ANNEXES),
+    "build_chunks": _corpus("text"),
+    "build_manifest": _made("text") + """
+SELECT p0.source_path, p0.size_bytes::BIGINT AS size_bytes, 1.0::DOUBLE AS modified_time, coalesce(n, 0)::BIGINT AS chunk_count
+FROM (SELECT source_path, sum(length(text)) AS size_bytes FROM cp WHERE source_path IS NOT NULL GROUP BY 1) p0 LEFT JOIN (SELECT source_path, count(*) AS n FROM q GROUP BY 1) c USING (source_path)""",
+    "build_ledger": f"SELECT source_path, 'done' AS state, sum(length(x))::BIGINT AS done_size FROM (SELECT source_path, {_clean('text')} x FROM doc_pages WHERE source_path IS NOT NULL) WHERE x <> '' GROUP BY 1",
+    "stored_search": f"WITH {_INDEX},{_ASKED},{_legs('q', 'num', 5)},{_BEST}",
+    "patched_families": """WITH n AS (SELECT doc_family AS before, CASE WHEN contains(nfc_normalize(source_path), 'Annexes') THEN 'annexes' WHEN contains(nfc_normalize(source_path), 'pdf') THEN 'files' ELSE 'other' END AS after FROM chunks WHERE source_path IS NOT NULL),
+f AS (SELECT before AS doc_family FROM n UNION SELECT after FROM n)
+SELECT doc_family, (SELECT count(*) FROM n WHERE before = doc_family) AS before, (SELECT count(*) FROM n WHERE after = doc_family) AS after FROM f""",
     "dedup_chunks": "SELECT chunk_ord FROM (SELECT chunk_ord, row_number() OVER (PARTITION BY content ORDER BY source_path, chunk_ord) r FROM chunks) WHERE r = 1",
     "corpus_ordinal": "SELECT source_path, chunk_id, row_number() OVER (ORDER BY source_path COLLATE C, chunk_id COLLATE C) - 1 ordinal FROM (SELECT DISTINCT source_path, chunk_id FROM chunks WHERE source_path IS NOT NULL)".replace(" COLLATE C", ""),
     "section_prefix": """WITH t AS (SELECT chunk_ord, content, CASE WHEN chunk_ord % 2 = 0 THEN section || ' : ' || repeat(section, 20) ELSE section END t FROM chunks WHERE section IS NOT NULL AND content IS NOT NULL),
@@ -226,12 +240,12 @@ SELECT query_id, chunk_ord, round(s, 6) bm25_score, br::INT bm25_rank FROM r WHE
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d DESC, chunk_ord) k FROM s) SELECT query_id, chunk_ord, round(d, 6) dense_score, k::INT dense_rank FROM r WHERE k <= 10""",
     "hybrid_search": f"WITH {_INDEX},{_ASKED},{_legs('q', 'num', 5)},{_BEST}",
     "hybrid_search_family": f"WITH {_INDEX},{_ASKED},{_legs('q', 'num', 5, chr(39) + 'annexes' + chr(39) + ',' + chr(39) + 'padd' + chr(39))},{_BEST}",
-    "hybrid_search_debug": f"WITH {_INDEX},{_ASKED},{_legs('q', 'num', 5)},{_BEST}".replace("SELECT query_id, chunk_ord, rank::INT rank, round(rrf, 9) score FROM z", "SELECT query_id, rank::INT rank, coalesce(round(ds, 6), -1) dense_score, coalesce(round(bs, 6), -1) bm25_score, coalesce(dr, -1)::INT dense_rank, coalesce(br, -1)::INT bm25_rank FROM z"),
+    "hybrid_search_debug": f"WITH {_INDEX},{_ASKED},{_legs('q', 'num', 5)},{_BEST}".replace("SELECT query_id, chunk_ord, rank::INT rank, round(rrf, 9) score, source_path, md5(coalesce(content, '')) h, coalesce(page, -1) page FROM z", "SELECT query_id, rank::INT rank, coalesce(round(ds, 6), -1) dense_score, coalesce(round(bs, 6), -1) bm25_score, coalesce(dr, -1)::INT dense_rank, coalesce(br, -1)::INT bm25_rank FROM z"),
     "weighted_search": f"""WITH {_INDEX},{_ASKED},{_PARTED},
 u AS (SELECT query_id, chunk_ord, sum(p) s FROM (SELECT query_id, chunk_ord, 0.7::DOUBLE * rrf p FROM xa UNION ALL SELECT query_id, chunk_ord, (1 - 0.7::DOUBLE) * rrf FROM xb) GROUP BY ALL),
 z AS (SELECT query_id, chunk_ord, s, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, chunk_ord) rank FROM u
  UNION ALL SELECT query_id, chunk_ord, rrf, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, dr NULLS LAST, br NULLS LAST, chunk_ord) FROM xc)
-SELECT query_id, chunk_ord, rank::INT rank, round(s, 9) score FROM z WHERE rank <= 5""",
+SELECT query_id, chunk_ord, rank::INT rank, round(s, 9) score, source_path, md5(coalesce(content, '')) h, coalesce(page, -1) page FROM z JOIN chunks USING (chunk_ord) WHERE rank <= 5""",
     "hit_passages": f"WITH {_lead_hits('score')},{_PASSAGES} SELECT query_id, md5(passages) h FROM ps",
     "prompt_context": f"WITH {_lead_hits('score')} SELECT query_id, md5('Question: ' || any_value(question) || chr(10) || chr(10) || 'Context:' || chr(10) || string_agg('Source: ' || {_BASE} || chr(10) || 'Content: ' || substring(content, 1, 3000), chr(10) || chr(10) ORDER BY rank)) h FROM ld JOIN golden ON id = query_id GROUP BY 1",
     "citation_rows": f"WITH {_lead_hits('score')} SELECT query_id, rank::INT rank, {_BASE} AS source, source_path AS full_path, doc_family AS family, md5({_excerpt('content')}) AS excerpt, coalesce(page, -1) AS page, section FROM ld",

@@ -13,9 +13,11 @@ from pyspark.sql import Window as W
 from lutrin.config import Settings
 from lutrin.functions import text as X
 from lutrin.operators import chunking, dense, families, lexical, reports, spans
-from lutrin.plans.build import cache_plan
-from lutrin.plans.scale import written
+from lutrin.operators.ledger import Ledger
+from lutrin.plans.build import build, cache_plan, patch_families, stored_index
+from lutrin.plans.scale import own_folder, written
 from lutrin.plans.search import Searcher
+from lutrin.sources.store import Store
 
 DEFAULT = Settings()
 
@@ -215,6 +217,53 @@ def union_cached_processed(spark, sf):
     return a.unionByName(b).groupBy("origin").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source_path").alias("files"))
 
 
+# --- the stored index ----------------------------------------------------------------------------------
+
+def _built(spark, sf) -> Store:
+    """An index of all pages, built in two steps: half of the files, then all, of which that half is cached."""
+    pages = written(_pages(spark, sf).withColumn("text", X.page_text(F.col("text"))).where("text <> '' AND source_path IS NOT NULL"), "build-pages")
+    listed = pages.groupBy("source_path").agg(F.sum(F.length("text")).alias("size_bytes"), F.lit(1.0).alias("modified_time"))
+    store = Store(spark, own_folder(spark, "index"))
+    read = lambda wanted: pages.join(wanted, "source_path", "left_semi")
+    half = listed.where(F.pmod(F.crc32("source_path"), F.lit(2)) == 0)
+    if not half.isEmpty():
+        build(store, half, read)
+    build(store, listed, read)
+    return store
+
+
+def build_chunks(spark, sf):
+    """BLD-1, SNK-1: chunks of an index that was built in two steps."""
+    return _built(spark, sf).table("chunks", True).select("chunk_ord", "chunk_id", "source_path", "doc_family", "page", "section", F.md5("content").alias("h"))
+
+
+def build_manifest(spark, sf):
+    """SNK-2: the manifest of that index; chunks are counted before duplicates are dropped."""
+    return _built(spark, sf).table("manifest", True).select("source_path", "size_bytes", "modified_time", F.col("chunk_count").cast("long").alias("chunk_count"))
+
+
+def build_ledger(spark, sf):
+    """Work items of that index: every file done at its size."""
+    return Ledger(_built(spark, sf)).items().select("source_path", "state", F.col("done.size_bytes").alias("done_size"))
+
+
+def stored_search(spark, sf):
+    """SRC-7, SNK-3, SNK-4: hybrid search on an index that was written and read again."""
+    chunks = _chunks(spark, sf).select("chunk_ord", "chunk_id", "source_path", "doc_family", "content", "page", "section")
+    ix, store = lexical.index(chunks), Store(spark, own_folder(spark, "index"))
+    vectors = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_ord"), dense.normalized(F.col("embedding")).alias("embedding"))
+    store.write({"chunks": chunks, "docs": ix.docs, "terms": ix.terms, "stats": ix.stats, "vectors": vectors.join(chunks.select("chunk_ord"), "chunk_ord", "left_semi")})
+    searcher = Searcher(store.table("chunks", True), store.table("vectors", True), DEFAULT, stored_index(store))
+    return _shown(searcher.search(_questions(spark, sf), 5))
+
+
+def patched_families(spark, sf):
+    """BLD-2, SNK-5, AGG-6: chunks of each family before and after a patch to other rules."""
+    store = Store(spark, own_folder(spark, "index"))
+    store.write({"chunks": _chunks(spark, sf).where("source_path IS NOT NULL").select("chunk_ord", "source_path", "doc_family", "content")})
+    return patch_families(store, (("Annexes", "annexes"), ("pdf", "files")))
+
+
 # --- lexical and dense legs ----------------------------------------------------------------------------
 
 def term_frequency(spark, sf):
@@ -256,7 +305,7 @@ def dense_topk(spark, sf):
 # --- search --------------------------------------------------------------------------------------------
 
 def _shown(hits: DataFrame) -> DataFrame:
-    return hits.select("query_id", "chunk_ord", "rank", F.round("score", 9).alias("score"))
+    return hits.select("query_id", "chunk_ord", "rank", F.round("score", 9).alias("score"), "source_path", F.md5(F.coalesce("content", F.lit(""))).alias("h"), F.coalesce("page", F.lit(-1)).alias("page"))
 
 
 def hybrid_search(spark, sf):
@@ -390,6 +439,7 @@ QUERIES = {
     "bm25_topk": bm25_topk, "family_inference": family_inference, "family_counts": family_counts, "listing_limit": listing_limit, "text_normalize": text_normalize,
     "page_drop": page_drop, "page_offsets": page_offsets, "alpha_ratio": alpha_ratio, "quality_filter": quality_filter, "chunk_ids": chunk_ids, "inspect_chunks": inspect_chunks,
     "window_chunks": window_chunks, "fixed_chunks": fixed_chunks, "article_codes": article_codes, "annexe_headers": annexe_headers, "article_chunks": article_chunks, "corpus_chunks": corpus_chunks, "annexe_chunks": annexe_chunks,
+    "build_chunks": build_chunks, "build_manifest": build_manifest, "build_ledger": build_ledger, "stored_search": stored_search, "patched_families": patched_families,
     "dedup_chunks": dedup_chunks, "corpus_ordinal": corpus_ordinal, "section_prefix": section_prefix, "cache_plan": cache_plan_, "rebuild_plan": rebuild_plan,
     "files_to_process": files_to_process, "chunk_counts": chunk_counts, "union_cached_processed": union_cached_processed, "term_frequency": term_frequency,
     "document_frequency": document_frequency, "doc_length": doc_length, "corpus_stats": corpus_stats, "bm25_scores": bm25_scores, "vector_normalize": vector_normalize,

@@ -53,6 +53,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path.toString())
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder among the application's own, deleted with them."""
+    return _owned(spark, f"{name}-{uuid.uuid4().hex}")[1].toString()
+
+
 _OPEN: list[list[str]] = []
 
 

@@ -1,11 +1,14 @@
 import json
+import sys
 import threading
+import time
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 
 from lutrin import answers, cli, config, service
 from lutrin.operators import reports
+from lutrin.sources import files
 from lutrin.sources.store import Store
 from pyspark.sql import functions as F
 
@@ -65,6 +68,20 @@ def test_keys_and_names(stub):
     assert "k1" not in repr(settings(""))
 
 
+def test_pdf_pages_and_heartbeat(spark, monkeypatch, capsys):
+    class Reader:
+        def __init__(self, stream):
+            words = stream.read().decode().split("|")
+            self.pages = [type("Page", (), {"extract_text": lambda self, w=w: w or None})() for w in words]
+
+    monkeypatch.setitem(sys.modules, "pypdf", type(sys)("pypdf"))
+    sys.modules["pypdf"].PdfReader = Reader
+    assert files.pdf_pages(b"one||three") == ["one", "", "three"]
+    with cli.heartbeat(spark, 0.05):
+        time.sleep(0.3)
+    assert "working:" in capsys.readouterr().out
+
+
 def test_expansion(spark, stub):
     q = spark.createDataFrame([("a", "mur ?"), ("b", "panne"), ("c", "vide")], "query_id string, text string")
     got = {r["query_id"]: (r["codes"], r["expansion"]) for r in answers.expanded(q, answers.expander("ollama", settings(stub[0]), 5)).collect()}
