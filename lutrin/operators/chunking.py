@@ -10,7 +10,7 @@ from lutrin.config import Settings
 from lutrin.functions.text import alpha_ratio, shortened, stem
 from lutrin.operators import spans
 from lutrin.operators.families import RULES, family
-from lutrin.plans.scale import HOT_ROWS, buckets_for, hot_keys, running_sum, written
+from lutrin.plans.scale import buckets_for, hot_keys, running_sum, written
 
 # Rows of reservation tables and of address lists, which are few letters but wanted.
 TABLE_ROW = r"(?U)\b(?:LS|BRS)\s+\d{2,3}-\d{2,3}\b"
@@ -53,15 +53,12 @@ def raw_chunks(pages: DataFrame, settings: Settings = Settings(), rules=RULES) -
     placed = spans.layout(pages, headed=True).withColumn("doc_family", family(F.col("source_path"), rules))
     structured, other = placed.where(F.col("doc_family") == STRUCTURED), placed.where(F.col("doc_family") != STRUCTURED)
     heads = written(spans.headers(structured), "heads")
-    by_article = spans.cut(structured, spans.articles(structured, heads, settings.chunk_size))
+    hot = spans.hot_files(placed, heads, settings.chunk_size - settings.chunk_overlap)
+    by_article = spans.cut(structured, spans.articles(structured, heads, settings.chunk_size, hot))
     # Between a span's start and its first letter there are only blanks: no annexe, unless one begins there.
     by_article = by_article.withColumn("annexe", F.when(F.col("after.pos") <= F.col("off"), F.col("after")).otherwise(F.col("before")))
     by_article = under_section(by_article).select("source_path", "s", "off", "page", "section", "content")
     by_window = spans.cut(other, spans.windows(other, settings.chunk_size, settings.chunk_overlap)).select("source_path", "s", "off", "page", F.lit(None).cast("string").alias("section"), "content")
-    # No file has more chunks than spans: files whose characters or headers could make too many are the hot ones.
-    most = placed.groupBy("source_path").agg((F.sum("n") / (settings.chunk_size - settings.chunk_overlap) + F.count(F.lit(1))).alias("n")).unionByName(
-        heads.groupBy("source_path").agg(F.count(F.lit(1)).cast("double").alias("n"))).groupBy("source_path").agg(F.sum("n").cast("long").alias("n"))
-    hot = {r[0]: r[1] for r in most.where(F.col("n") > HOT_ROWS).collect()}  # at most all spans / HOT_ROWS files
     return numbered(by_article.unionByName(by_window), "s", hot).withColumn("doc_family", family(F.col("source_path"), rules))
 
 

@@ -115,7 +115,15 @@ def headers(placed: DataFrame) -> DataFrame:
     return placed.select("source_path", "text", "n", "start", "follow", "bracket").mapInArrow(run, "source_path string, pos long, title string, article boolean")
 
 
-def articles(placed: DataFrame, heads: DataFrame, size: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+def hot_files(placed: DataFrame, heads: DataFrame, step: int, hot_rows: int = HOT_ROWS) -> dict:
+    """Files that may have more than hot_rows spans of at least `step` characters or headers, and a bound of their number;
+    there are at most all spans / hot_rows of them."""
+    spans = placed.groupBy("source_path").agg((F.sum("n") / step + F.count(F.lit(1))).alias("n"))
+    both = spans.unionByName(heads.groupBy("source_path").agg((F.lit(2.0) * F.count(F.lit(1))).alias("n"))).groupBy("source_path").agg(F.sum("n").cast("long").alias("n"))
+    return {r[0]: r[1] for r in both.where(F.col("n") > hot_rows).collect()}
+
+
+def articles(placed: DataFrame, heads: DataFrame, size: int, hot: dict | None = None) -> DataFrame:
     """(source_path, s, e, article_pos, code, before, after): text from each article header to the next, in spans
     of at most `size`, with the last annexe (pos, title) at or before their start and the first one after it.
 
@@ -123,7 +131,7 @@ def articles(placed: DataFrame, heads: DataFrame, size: int, hot_rows: int = HOT
     spans are one sequence of positions per file, worked by running values; no text takes part.
     """
     own = heads.where("article").select("source_path", "pos", F.col("title").alias("code"))
-    hot = hot_keys(heads, "source_path", hot_rows)
+    hot = hot_files(placed, heads, size) if hot is None else hot
     t = totals(placed)
     follow = running(own, "source_path", "pos", hot, lasts={"end": "pos"}, descending=True).join(t, "source_path")
     spans = follow.select("source_path", F.col("pos").alias("article_pos"), "code", F.coalesce("end", "total").alias("stop"))
@@ -133,7 +141,6 @@ def articles(placed: DataFrame, heads: DataFrame, size: int, hot_rows: int = HOT
         "source_path", "s", F.least(F.col("s") + size, F.col("stop")).alias("e"), F.when(F.col("code").isNotNull(), F.col("article_pos")).otherwise(-1).alias("article_pos"), "code"
     )
     annexes = heads.where("NOT article").select("source_path", (F.col("pos") * 2).alias("o"), F.struct("pos", "title").alias("mark"))
-    events = written(pieces.withColumn("o", F.col("s") * 2 + 1).unionByName(annexes, allowMissingColumns=True), "events")
-    hot = hot_keys(events, "source_path", hot_rows)
+    events = pieces.withColumn("o", F.col("s") * 2 + 1).unionByName(annexes, allowMissingColumns=True)
     both = running(running(events, "source_path", "o", hot, lasts={"before": "mark"}), "source_path", "o", hot, lasts={"after": "mark"}, descending=True)
     return both.where("mark IS NULL").select(*pieces.columns, "before", "after")
