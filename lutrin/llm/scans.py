@@ -171,10 +171,21 @@ def furniture(lines: list[str], page: int | None, is_header, offsets: set[int] =
 
 
 def header_test(masks) -> object:
-    """Whether a line is one of the headers, alone or beside a page number."""
+    """Whether a line is one of the headers, alone or beside a page number. Lines whose first word begins no header are
+    told by that word."""
     kept: dict[str, bool] = {}
+    firsts: dict[str, bool] = {}
+    begins = {m[:k] for m in masks for k in range(1, 9)}
 
     def test(line: str) -> bool:
+        first = line.split(None, 1)[0]
+        if (may := firsts.get(first)) is None:
+            if len(firsts) > FLUSH:
+                firsts.clear()
+            word = mask(first)[:8]
+            may = firsts[first] = not word or word[0] == "#" or word in begins
+        if not may:
+            return False
         known = kept.get(line)
         if known is None:
             m = _WITH_NUMBER.fullmatch(line)
@@ -437,9 +448,13 @@ def _doubts(lines: list[str], body: list[int], ends: set[int], doubtful: set[str
                         yield "word", i + 1, nxt + 1, len(head), word, None
                     eaten = rest.end() if rest else 0
         if doubtful:
-            part = line[start:end] if start or end < len(line) else line
-            words = _WORD.findall(part.lower())
-            for w in doubtful.intersection(words):
+            part = (line[start:end] if start or end < len(line) else line).lower()
+            if not (here := [w for w in doubtful if w in part]):
+                continue
+            words = _WORD.findall(part)
+            for w in here:
+                if w not in words:
+                    continue
                 at = words.index(w)
                 # With the words beside it: words hold no spaces.
                 yield "word", i + 1, None, None, w, f"{words[at - 1] if at else ''} {words[at + 1] if at + 1 < len(words) else ''}"
@@ -640,8 +655,6 @@ _PARAGRAPH = "origin row_id path page para text open closed first last"
 _TYPES |= {"para": pa.int32(), "open": pa.bool_(), "closed": pa.bool_(), "first": pa.bool_(), "last": pa.bool_()}
 #: What the first two characters of a table's row may be.
 _TABLE_BEGINS = frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZl")
-_OWN_HYPHEN = re.compile(r"[^\W\d_]-\Z")
-_CLOSED = re.compile(r"[.!?:…][»\"”)\]]*\s*\Z")
 
 
 def reflowed(text: str, edits: Iterable[dict]) -> list[tuple[str, bool, bool]]:
@@ -709,9 +722,9 @@ def reflowed(text: str, edits: Iterable[dict]) -> list[tuple[str, bool, bool]]:
         spaced = " " if tail and body[-1:].isspace() and not body.isspace() else ""
         body = " ".join(right(body, words.get(i, {})).split()) + spaced + tail
         last = out[-1]
-        glue = "" if not last[0] or last[1] or _OWN_HYPHEN.search(last[0]) else " "
+        glue = "" if not last[0] or last[1] or last[0][-1] == "-" and last[0][-2:-1].isalpha() else " "
         last[0], last[1] = last[0] + glue + body, open_
-    return [(t, o, c or not o and bool(_CLOSED.search(t))) for t, o, c in out if t]
+    return [(t, o, c or not o and t.rstrip('»"”)] ')[-1:] in (".", "!", "?", ":", "…")) for t, o, c in out if t]
 
 
 def project_rows(spark: SparkSession, sf: str) -> DataFrame:
