@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lutrin.plans import scale
 from lutrin.plans.scale import written
 
 SYMBOLS = 200
@@ -92,11 +93,20 @@ def _symbols(runs: np.ndarray) -> bytes:
 
 
 def copies(rows: DataFrame, record: str, text: str) -> DataFrame:
-    """(id, rep): every text and the smallest id with exactly the same characters. Only texts that occur more than
-    once are gathered, as ids; each task adds its own up first."""
+    """(id, rep): every text and the smallest id with exactly the same characters.
+
+    A text that stands in very many rows is no join key of theirs: there are at most rows / HOT_ROWS such
+    texts, and their ids are told by a broadcast of them.
+    """
     keyed = rows.where(F.col(text).isNotNull() & F.col(record).isNotNull()).select(F.col(record).alias("id"), F.unhex(F.md5(text)).alias("same"))
-    reps = keyed.groupBy("same").agg(F.min("id").alias("rep"))
-    return keyed.join(reps, "same").select("id", "rep").distinct()
+    reps = keyed.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    hot = [(r["same"], r["rep"]) for r in reps.where(F.col("n") > scale.HOT_ROWS).select("same", "rep").collect()]
+    if not hot:
+        return keyed.join(reps, "same").select("id", "rep").distinct()
+    few = rows.sparkSession.createDataFrame(hot, f"same binary, hot {rows.schema[record].dataType.simpleString()}")
+    told = keyed.join(F.broadcast(few), "same", "left")
+    cold = told.where("hot IS NULL").join(reps, "same").select("id", "rep")
+    return cold.unionByName(told.where("hot IS NOT NULL").select("id", F.col("hot").alias("rep"))).distinct()
 
 
 def _listed(ids: DataFrame) -> DataFrame:

@@ -80,6 +80,15 @@ def test_a_probe_shared_by_many_texts(spark, monkeypatch, hot):
     assert near <= true and len(true - near) <= 0.01 * len(true)
 
 
+def test_copies_of_a_text_in_very_many_rows(spark, monkeypatch):
+    rows = [(i, "même texte" if i % 3 == 0 else f"texte {i % 7}", "x") for i in range(60, 0, -1)] + [(3, "même texte", "x"), (None, "même texte", "x"), (99, None, "x")]
+    df = spark.createDataFrame(rows, CHUNKS)
+    want = {tuple(r) for r in neardup.copies(df, "chunk_ord", "content").collect()}
+    monkeypatch.setattr(neardup.scale, "HOT_ROWS", 10)
+    assert {tuple(r) for r in neardup.copies(df, "chunk_ord", "content").collect()} == want
+    assert {r for i, r in want if i % 3 == 0} == {3} and len(want) == 60
+
+
 def test_classes_are_components(spark):
     pairs = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.9), (3, 4, 0.9), (7, 8, 0.9)], "rep_a long, rep_b long, similarity double")
     members = spark.createDataFrame([(i, i) for i in (1, 2, 3, 4, 5, 7, 8)] + [(9, 5)], "id long, rep long")
