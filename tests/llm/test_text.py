@@ -27,7 +27,7 @@ def test_classes_take_the_clean_member(spark):
 
 def test_members_come_from_all_rows_and_by_collation(spark):
     # The clean word stands only in a row that is itself suspect; the collation passes over a soft hyphen.
-    rows = [(1, None, "mu\u0433 \u043cur se\u00adcteur se\u00adcteur"), (2, None, "r\u0435st\u0435 s\u0435cteur \u0441our"), (3, None, "secteur"), (4, None, "cour cour"), (5, "p", "\u043cur")]
+    rows = [(1, None, "mu\u0433 \u043eur se\u00adcteur se\u00adcteur"), (2, None, "r\u0435st\u0435 s\u0435cteur \u0441our"), (3, None, "secteur"), (4, None, "cour cour"), (5, "p", "\u043eur")]
     df = spark.createDataFrame(rows, "chunk_ord long, source_path string, content string")
     got = {r["chunk_ord"]: r["canonical"] for r in lookalike.canonical(df, "chunk_ord", ["source_path"], "content").collect()}
     assert got == {1: "mu\u0433 our se\u00adcteur se\u00adcteur", 2: "reste se\u00adcteur cour", 5: "our"}
