@@ -222,6 +222,9 @@ def _counts(texts: Iterable[tuple[str | None, int | None]]) -> Iterator[tuple[st
         for piece, n in pieces.items():  # words never hold a space: each different piece is taken apart once
             for w in _WORD.findall(piece):
                 words[w] += n
+            if "-" in piece:
+                for w in _COMPOUND.findall(piece):
+                    compounds[w] += n
         for kind, c in (("w", words), ("j", joined), ("c", compounds), ("o", offsets)):
             yield from ((kind, k, n, 0) for k, n in c.items() if n)
         yield from (("h", k, n, edge[k]) for k, n in total.items())
@@ -234,7 +237,6 @@ def _counts(texts: Iterable[tuple[str | None, int | None]]) -> Iterator[tuple[st
         whole = (_MARK_BREAK.sub("", text) if any(c in text for c in MARKS) else text).lower()
         pieces.update(whole.split())
         if "-" in whole:
-            compounds.update(_COMPOUND.findall(whole))
             for m in _PLAIN_BREAK.finditer(whole):
                 end = start = m.start()
                 while start and (whole[start - 1].isalnum() or whole[start - 1] in "_@("):
