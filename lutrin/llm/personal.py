@@ -112,7 +112,7 @@ _DOMAIN = re.compile(r"[\w-]+(?:(?:\.|\s*[\[({<]\s*(?:point|dot)\s*[\])}>]\s*|\s
 _DIGIT = re.compile(r"[\d+(](?<![\w+.,/-].)")  # where a phone number may begin
 _PHONE = re.compile(
     r"(?<![\w+.,/-])(?:(?:\+|00)\s?33[\s.\-/]*(?:\(0\)[\s.\-/]*)?[1-9](?:[\s.\-/]*\d\d){4}|0[1-9](?:([\s.\-/]*)\d\d)(?:\1\d\d){3}"
-    r"|\+(?!33)\d{1,3}[\s.-]?(?:\(\d{1,4}\)[\s.-]?)?\d{2,4}(?:[\s.-]?\d{2,4}){2,4}|\(\d{3}\)\s?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\d]|[.,/-]\d)"
+    r"|\+(?!33)\d{1,3}[\s.-]?(?:\(\d{1,4}\)[\s.-]?)?\d{2,4}(?:[\s.-]?\d{2,4}){2,4}|\(\d{3}\)\s?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|[2-9]\d\d\.[2-9]\d\d\.\d{4})(?![\d]|[.,/-]\d)"
 )
 _NIR = re.compile(r"([12])(?<![\w+.,/-].)\s?(\d\d)\s?(\d\d)\s?(\d\d|2[AB])\s?(\d{3})\s?(\d{3})\s?(\d\d)(?!\w)")
 _CARD = re.compile(
@@ -136,6 +136,7 @@ _DETERMINER_REV = re.compile(r"(?:\s+(?:ud|sed|el|al|sel|ua|xua|eht)(?!\w)|['’
 _TITLE = re.compile(rf"[MD](?<!\w[MD])(?:{'|'.join(re.escape(t[1:]) for t in sorted(TITLES, key=len, reverse=True))})(?!\w)(?:{S})")
 _GIVEN = {x for g in GIVEN + MORE_GIVEN for x in (g.lower(), "".join(c for c in unicodedata.normalize("NFD", g.lower()) if not unicodedata.combining(c)))}
 _INITIAL = re.compile(rf"[{U}](?<![\w.][{U}])\.(?:{S})(?:de\s)?({WORD})")
+_SURNAME_INITIAL = re.compile(rf"({WORD})[^\S\n]+[{U}]\.(?!\w)")
 _CAPITAL = re.compile(rf"[{U}][\w-]+")
 _PAIR = re.compile(rf"(?<![\w.’'@-])({WORD})[^\S\n]+((?:de[^\S\n]+|d['’])?)({WORD})(?![\w@]|['’-]\w)")
 # A word of the running text: nothing inside an e-mail address, a link or a code.
@@ -304,6 +305,8 @@ def names(text: str, lex: Lexicon = Lexicon()) -> Iterator[tuple[int, int]]:
                 spans.extend(_around_given(t, m))
         elif m := _PAIR.match(text, c.start()):
             spans.extend(_side_by_side(t, m))
+        elif word in lex.surnames and (m := _SURNAME_INITIAL.match(text, c.start())):
+            spans.append(m.span())
     taken = -1
     for a, b in sorted(spans, key=lambda s: (s[0], -s[1])):
         if a >= taken:
@@ -530,7 +533,7 @@ def _as_lexicon(rows: Iterable[tuple[str, str]]) -> Lexicon:
 
 def known(rows: DataFrame, record: str, text: str, most_words: int | None = None) -> tuple[DataFrame, Lexicon | None]:
     """(rows of record and text, lexicon) with what all texts show about words. A lexicon beyond `most_words` stays a
-    table: then it is None, and each row has its own share as `lex`, joined by the words of the row."""
+    table: then it is None, and each row has its own share as `__lex`, joined by the words of the row."""
     words = lexicon(evidence(rows, text))
     rows = rows.select(record, text)
     if words.count() <= (MOST_WORDS if most_words is None else most_words):
@@ -546,11 +549,11 @@ def known(rows: DataFrame, record: str, text: str, most_words: int | None = None
                     found |= {m.group(1).lower(), m.group(3).lower(), f"{m.group(1)} {m.group(3)}".lower()}
                 ids += [i] * len(found)
                 mine += found
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(mine, pa.string())], ["id", "word"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(mine, pa.string())], ["__id", "word"])
 
-    of_rows = rows.where(F.col(text).isNotNull()).mapInArrow(run, f"id {kind}, word string").distinct().join(words, "word")
-    share = of_rows.groupBy("id").agg(F.collect_list(F.struct("word", "kind")).alias("lex"))
-    return rows.join(share, F.col(record).eqNullSafe(F.col("id")), "left").drop("id"), None
+    of_rows = rows.where(F.col(text).isNotNull()).mapInArrow(run, f"__id {kind}, word string").distinct().join(words, "word")
+    share = of_rows.groupBy("__id").agg(F.collect_list(F.struct("word", "kind")).alias("__lex"))
+    return rows.join(share, F.col(record).eqNullSafe(F.col("__id")), "left").drop("__id"), None
 
 
 def as_value(text: str) -> str:

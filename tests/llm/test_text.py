@@ -151,6 +151,8 @@ def test_names_without_a_list(monkeypatch, text, name):
 def test_english_addresses_and_numbers():
     assert found("I live at 221 Baker Street. Or 13 Tanner's Court, 99123 Mirvaux, call 212-555-0100.", "address") == ["221 Baker Street", "13 Tanner's Court, 99123 Mirvaux"]
     assert found("call 212-555-0100 or +1 212 555 0100.", "phone") == ["212-555-0100", "+1 212 555 0100"]
+    assert found("Call me on 202.555.0116. Le lot 12-075-443, le permis 099 340 67 00086, 1.202.555.0116.", "phone") == ["202.555.0116"]
+    assert found("M. Lanserquier est absent. Lanserquier A. reviendra. Plan A.", "name") == ["Lanserquier", "Lanserquier A."[:-1]]
 
 
 def test_nothing_looked_back_at_is_bounded():
@@ -194,6 +196,9 @@ def test_find_and_replace_tables(spark):
     assert personal.find(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         personal.replace(df, "")
+    clash = df.select(F.col("doc_id").alias("id"), F.col("text").alias("word"), F.lit(1).alias("lex"), "kind")
+    for most in (None, 0):
+        assert personal.find(clash, "id", "word", most).count() == 16 and personal.replace(clash, "k", "id", "word", most).count() == 4
 
 
 def test_names_the_collection_shows(spark, monkeypatch):
