@@ -1,7 +1,6 @@
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from lutrin import cli, config, service
 from lutrin.operators import encoders
