@@ -140,6 +140,27 @@ def scored(cases: DataFrame) -> DataFrame:
     return x.withColumn("retrieval_score", score("expected_articles", "missing_articles")).withColumn("answer_score", score("expected_keywords", "missing_keywords"))
 
 
+def retrieval_scores(cases: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(run, id, retrieval_score) of cases (id, expected_articles) in each run of hits (run, query_id, carried, rank,
+    chunk_ord, shown), as `passages` and `scored` have it; carried are the expected articles.
+
+    Each hit's line is searched for them where it meets its chunk, so no passages are put together, except
+    for cases with an article that could go over the end of a line.
+    """
+    empty = F.array().cast("array<string>")
+    texts = chunks.join(hits.select("chunk_ord").distinct(), "chunk_ord", "left_semi").select(
+        "chunk_ord", F.lower(F.concat(F.lit("] ["), F.col("doc_family"), F.lit("] "), F.col("source_path"), F.lit("\n"), X.excerpted(F.coalesce("content", F.lit(""))))).alias("tail"))
+    line = F.concat(F.lit("[score="), F.col("shown"), F.col("tail"))
+    over = F.coalesce(F.exists("carried", lambda e: F.contains(e, F.lit("\n"))), F.lit(False))
+    lines = hits.join(texts, "chunk_ord").select(
+        "run", "query_id", "rank", F.filter(F.coalesce("carried", empty), lambda e: F.contains(line, F.lower(e))).alias("found"), F.when(over, line).alias("line"))
+    seen = lines.groupBy("run", "query_id").agg(F.flatten(F.collect_set("found")).alias("found"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("rank", "line")))), lambda x: x.line), "\n\n").alias("text"))
+    each = cases.select("id", F.coalesce("expected_articles", empty).alias("expected")).crossJoin(F.broadcast(hits.select("run").distinct()))  # a handful of runs
+    x = each.join(seen.withColumnRenamed("query_id", "id"), ["run", "id"], "left")
+    lost = F.filter("expected", lambda e: ~(F.contains(F.coalesce("text", F.lit("")), F.lower(e)) | F.array_contains(F.coalesce("found", empty), e)))
+    return x.select("run", "id", F.bround(share_found(F.col("expected"), lost), 4).alias("retrieval_score"))
+
+
 def compared(runs: DataFrame, base: str) -> DataFrame:
     """runs (run, id, retrieval_score) against the run `base`, whose cases drive: score, delta and arrow."""
     first = runs.where(F.col("run") == base).select("id", F.col("retrieval_score").alias("base_score"))

@@ -48,6 +48,8 @@ an AS (SELECT source_path, pos, {_strip(f"regexp_extract(piece, '^{_ANNEXE}')")}
 _ASKED = """
 q AS (SELECT id AS query_id, question AS text, expected_keywords, regexp_extract(id, '(\\d+)$', 1)::BIGINT AS num FROM golden WHERE regexp_extract(id, '(\\d+)$', 1)::BIGINT % 20 = 0)"""
 
+_ALL_ASKED = _ASKED.split(" WHERE ")[0] + ")"
+
 
 def _bm25(queries: str, name: str = "sc") -> str:
     return rf"""
@@ -260,7 +262,7 @@ SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t
     "expansion_parse": "SELECT id, CASE WHEN length(question) % 3 = 0 THEN '' ELSE array_to_string(list_filter(expected_articles, lambda x: trim(x) <> ''), '|') END codes FROM golden",
     "golden_scores": f"WITH {_CASES} SELECT id, rs retrieval_score, ans answer_score, array_to_string(ma, '|') missing_articles, array_to_string(mk, '|') missing_keywords FROM gs",
     "eval_summary": f"WITH {_CASES} SELECT lower(complexity) complexity, count(*) n, round(avg(rs), 6) retrieval, round(avg(ans), 6) answer FROM gs GROUP BY 1",
-    "eval_compare": f"""WITH {_CASES},{_PARTED},{_weighted(0.7, '7')},{_scored('7')},{_weighted(0.5, '5')},{_scored('5')},
+    "eval_compare": f"""WITH {_CASES.replace(_ASKED, _ALL_ASKED)},{_PARTED},{_weighted(0.7, '7')},{_scored('7')},{_weighted(0.5, '5')},{_scored('5')},
 u AS (SELECT 'plain' run, id, rs, 0.0::DOUBLE d FROM gs UNION ALL SELECT 'alpha=0.7', id, gs7.rs, round(gs7.rs - gs.rs, 6) FROM gs JOIN gs7 USING (id) UNION ALL SELECT 'alpha=0.5', id, gs5.rs, round(gs5.rs - gs.rs, 6) FROM gs JOIN gs5 USING (id))
 SELECT run, id, rs AS retrieval_score, d AS delta, CASE WHEN d > 0 THEN '↑' WHEN d < 0 THEN '↓' ELSE '=' END arrow FROM u""",
     "score_bands": f"WITH {_CASES} SELECT id, CASE WHEN ans >= 0.8 THEN 'green' WHEN ans >= 0.5 THEN 'yellow' ELSE 'red' END band, repeat('█', round_even(ans * 8, 0)::INT) || repeat('░', 8 - round_even(ans * 8, 0)::INT) bar, CASE WHEN length(question) > 51 THEN substring(question, 1, 50) || '…' ELSE question END short FROM gs",

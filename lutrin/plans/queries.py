@@ -414,13 +414,15 @@ def eval_summary(spark, sf):
 
 
 def eval_compare(spark, sf):
-    """Retrieval with expanded questions at two weights against the plain search."""
-    searcher, asked = _searcher(spark, sf), _expanded(spark, sf)
-    found = {"plain": searcher.search(_questions(spark, sf), 5), "alpha=0.7": searcher.search_weighted(asked, 5, 0.7), "alpha=0.5": searcher.search_weighted(asked, 5, 0.5)}
-    runs = None
-    for name, hits in found.items():
-        r = _cases(spark, sf, hits).select(F.lit(name).alias("run"), "id", "retrieval_score")
-        runs = r if runs is None else runs.unionByName(r)
+    """Retrieval with expanded questions at two weights against the plain search, for all golden questions."""
+    golden = _t(spark, sf, "golden").where("id IS NOT NULL")
+    vectors = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("v"), "embedding")
+    number = F.regexp_extract("id", r"(\d+)$", 1).try_cast("long")
+    asked = golden.join(vectors, number == F.col("v"), "left").select(
+        F.col("id").alias("query_id"), F.col("expected_articles").alias("carried"), F.col("question").alias("text"), F.array_join("expected_keywords", " ").alias("expansion"), "embedding")
+    searcher = _searcher(spark, sf)
+    hits = written(searcher.runs(asked, 5, {"plain": None, "alpha=0.7": 0.7, "alpha=0.5": 0.5}), "run-hits")
+    runs = written(reports.retrieval_scores(golden, hits, searcher.chunks), "runs")
     return reports.compared(runs, "plain").select("run", "id", "retrieval_score", "delta", "arrow")
 
 
