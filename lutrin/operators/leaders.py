@@ -1,15 +1,16 @@
 """BM25 leaders of very many texts at once: the best chunks of every distinct bag of words, exactly.
 
-`lexical.top` meets every chunk with every query. Here the bags are one tree, the most frequent words at its
-root, which is walked once over every block of chunks: bags that share words share their sums, and since no
-word takes from a score, the best k of a node are among the best k of its parent and the chunks that hold the
-words added since.
+`lexical.top` meets every chunk with every query. Here the bags are one tree, the words of most bags at its root,
+which is walked over one part of a task's chunks after the other: bags that share words share their sums, and
+on the way down only those chunks are kept that can still reach the k-th best so far of some bag below, by
+what the words left can give at most. Nothing is left out that could come in.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -19,12 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lutrin.functions.text import tokens
-from lutrin.operators import lexical
 from lutrin.operators.lexical import K1, B, LexicalIndex
 from lutrin.plans.scale import written
 
-#: Chunks, and their words that any bag holds, that a worker works on at once.
-DOCS_HELD, POSTINGS_HELD = 400_000, 16_000_000
+#: Chunks that a task begins with, chunks x words that it holds at once, and words of chunks that it gathers before.
+FIRST, CELLS, POSTINGS_HELD = 1000, 12_000_000, 8_000_000
+#: Chunks that one task works on, unless there are more tasks than that needs.
+DOCS_A_TASK = 400_000
 #: Distinct bags carried by one pass over the index; more take more passes.
 BAGS = 400_000
 #: Above what sums in another order may differ by, and half a unit of the ninth digit.
@@ -36,72 +38,117 @@ def bag(text: Column) -> Column:
     return F.array_join(F.array_sort(tokens(F.coalesce(text, F.lit("")))), " ")
 
 
-def _tree(bags: list[tuple[int, str]], frequency: dict[str, int]) -> tuple[list[tuple[str, int]], np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(items (word, times), items of all distinct bags in the tree's order, their offsets, the items that each shares
-    with the bag before, the numbers of the texts that each stands for). Words of no chunk are left out."""
-    counted = [Counter(w for w in text.split(" ") if w in frequency) for _, text in bags]
-    items = sorted({x for c in counted for x in c.items()}, key=lambda x: (-frequency[x[0]], x))
+@dataclass(frozen=True)
+class _Tree:
+    """Distinct bags as a tree without nodes of one child, in depth-first order; words of no chunk are left out.
+
+    items (word, times); chains: runs of items; of each node but the root its parent, its chain and its bag (-1: none)."""
+
+    items: list[tuple[str, int]]
+    chains: list[tuple[int, ...]]
+    nodes: list[tuple[int, int, int]]
+    root_bag: int
+    stands_for: list[np.ndarray]
+
+
+def _tree(bags: list[str], known: set[str]) -> _Tree:
+    counted = [Counter(w for w in text.split(" ") if w in known) for text in bags]
+    often = Counter(x for c in counted for x in c.items())
+    items = sorted(often, key=lambda x: (-often[x], x))
     at = {x: i for i, x in enumerate(items)}
     of: dict[tuple[int, ...], list[int]] = {}
-    for (n, _), c in zip(bags, counted):
+    for n, c in enumerate(counted):
         of.setdefault(tuple(sorted(at[x] for x in c.items())), []).append(n)
     paths = sorted(of)
-    shared = [0]
-    for a, b in zip(paths, paths[1:]):
-        shared.append(next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))))
-    offsets = np.cumsum([0, *map(len, paths)])
-    return items, np.array([x for p in paths for x in p], np.int32), offsets, np.array([*shared, 0], np.int32), [np.array(of[p], np.int64) for p in paths]
-
-
-def _walk(n: int, k: int, lists: list[tuple[np.ndarray, np.ndarray]], flat: np.ndarray, offsets: np.ndarray, shared: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(chunks, scores) of the best k of n chunks for each bag; equal scores by rising number of the chunk.
-    lists: of each item, the chunks that hold it and what it gives them (never below 0)."""
-    score = np.zeros(n)
-    undo: list[tuple[np.ndarray, np.ndarray]] = []
-    best: list[tuple[np.ndarray, np.ndarray, float] | None] = [(np.arange(min(n, k), dtype=np.int32), np.zeros(min(n, k)), 0.0 if n >= k else -np.inf)]
-
-    def cut(who: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        if len(who) > 4 * k:
+    shared = [0] + [next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in zip(paths, paths[1:])]
+    # Depths at which later paths leave a path, at the first path that has the node.
+    opened: list[list[int]] = [[] for _ in paths]
+    open_ = [(0, 0)]
+    for i in range(1, len(paths)):
+        first = i - 1
+        while open_[-1][0] > shared[i]:
+            first = open_.pop()[1]
+        if open_[-1][0] < shared[i]:
+            open_.append((shared[i], first))
+            opened[first].append(shared[i])
+    number: dict[tuple[int, ...], int] = {}
+    nodes, above = [], [(0, -1)]
+    for i, path in enumerate(paths):
+        while above[-1][0] > shared[i]:
+            above.pop()
+        for depth in sorted({*opened[i], len(path)} - {0}):
+            chain = path[above[-1][0] : depth]
+            nodes.append((above[-1][1], number.setdefault(chain, len(number)), i if depth == len(path) else -1))
+            above.append((depth, len(nodes) - 1))
+    return _Tree(items, list(number), nodes, 0 if paths and not paths[0] else -1, [np.array(of[p], np.int64) for p in paths])
+
+
+class _Leaders:
+    """The best k chunks of each bag so far (ords, scores: a row a bag). `add` takes further chunks."""
+
+    def __init__(self, tree: _Tree, k: int):
+        self.tree, self.k = tree, k
+        self.ords, self.scores = np.full((len(tree.stands_for), k), -1, np.int64), np.full((len(tree.stands_for), k), -np.inf)
+        self.use = [n for n, _ in Counter(c for _, c, _ in tree.nodes).most_common()]
+
+    def _meet(self, bag: int, ords: np.ndarray, s: np.ndarray) -> None:
+        k = self.k
+        if len(s) > 4 * k:
             some = s >= np.partition(s, len(s) - k)[len(s) - k] - _NEAR
-            who, s = who[some], s[some]
-        order = np.lexsort((who, -np.round(s, 9)))[:k]
-        who, s = who[order], s[order]
-        return who, s, s[-1] - _NEAR if len(who) == k else -np.inf
-
-    def here() -> tuple[np.ndarray, np.ndarray, float]:
-        """The best at the current depth, from the nearest depth above where they are known."""
-        if best[-1] is None:
-            a = max(i for i, x in enumerate(best) if x is not None)
-            above, _, least = best[a]
-            found = [p[score[p] >= least] for p, _ in undo[a:]]
-            who = np.unique(np.concatenate([above, *found]))
-            best[-1] = cut(who, score[who])
-        return best[-1]
-
-    for i in range(len(offsets) - 1):
-        path, kept = flat[offsets[i] : offsets[i + 1]], shared[i]
-        while len(undo) > kept:
-            p, old = undo.pop()
-            score[p] = old
-            best.pop()
-        if kept == len(path) - 1 and shared[i + 1] < len(path):  # one word more, and no bag below it
-            above, had, least = here()
-            p, v = lists[path[-1]]
-            s = score[p] + v
-            some = np.flatnonzero(s >= least)
-            at = np.searchsorted(p, above)
-            apart = p.take(at, mode="clip") != above if len(p) else np.ones(len(above), bool)
-            who, s, _ = cut(np.concatenate([p[some], above[apart]]), np.concatenate([s[some], had[apart]]))
-        else:
-            here()
-            for x in path[kept:]:
-                p, v = lists[x]
-                old = score[p]
-                score[p] = old + v
-                undo.append((p, old))
-                best.append(None)
-            who, s, _ = here()
-        yield who, s
+            ords, s = ords[some], s[some]
+        if self.ords[bag, 0] >= 0:
+            had = np.isfinite(self.scores[bag])
+            ords, s = np.concatenate([ords, self.ords[bag][had]]), np.concatenate([s, self.scores[bag][had]])
+        order = np.lexsort((-ords, -np.round(s, 9)))[:k]
+        self.ords[bag, : len(order)], self.scores[bag, : len(order)] = ords[order], s[order]
+
+    def add(self, ords: np.ndarray, gives: np.ndarray, term: list[int]) -> None:
+        """gives: what each word (row) gives each chunk (column); term: the row of each item's word."""
+        tree, n = self.tree, len(ords)
+        times = [t for _, t in tree.items]
+
+        def of(chain: tuple[int, ...], who: np.ndarray | None) -> np.ndarray:
+            total = None
+            for x in chain:
+                row = gives[term[x]] if who is None else gives[term[x]].take(who)
+                row = row if times[x] == 1 else row * times[x]
+                total = row if total is None else total + row
+            return total
+
+        most = np.maximum(gives.max(axis=1), 0)
+        ready = {c: of(tree.chains[c], None) for c in self.use[: max(1, CELLS // n)]}
+        gain = [max(0.0, ready[c].max()) if c in ready else sum(most[term[x]] * times[x] for x in chain) for c, chain in enumerate(tree.chains)]
+        # Below its least a chunk is in no result under the node, whatever the words there give it.
+        enough = self.scores[:, -1].tolist()
+        least = [enough[bag] if bag >= 0 else np.inf for _, _, bag in tree.nodes]
+        for i in range(len(least) - 1, -1, -1):
+            above, chain, _ = tree.nodes[i]
+            if above >= 0 and least[i] - gain[chain] < least[above]:
+                least[above] = least[i] - gain[chain]
+        if tree.root_bag >= 0:
+            self._meet(tree.root_bag, ords, np.zeros(n))
+        path: list[tuple[int, np.ndarray | None, np.ndarray]] = [(-1, None, np.zeros(n))]
+        for i, (above, chain, bag) in enumerate(tree.nodes):
+            while path[-1][0] != above:
+                path.pop()
+            _, who, s = path[-1]
+            if not len(s):
+                path.append((i, who, s))
+                continue
+            row = ready.get(chain)
+            s = s + (of(tree.chains[chain], who) if row is None else row if who is None else row.take(who))
+            if least[i] > -np.inf:
+                some = np.flatnonzero(s >= least[i] - _NEAR)
+                if len(some) < len(s):
+                    who, s = some if who is None else who.take(some), s.take(some)
+            path.append((i, who, s))
+            if bag >= 0 and len(s):
+                some = slice(None)
+                if least[i] < enough[bag]:
+                    some = np.flatnonzero(s >= enough[bag] - _NEAR)
+                    if not len(some):
+                        continue
+                self._meet(bag, ords[some] if who is None else ords[who[some]], s[some])
 
 
 def _merged(k: int):
@@ -149,65 +196,56 @@ def top(ix: LexicalIndex, texts: DataFrame, k: int) -> DataFrame:
     if not passes or not k or not got or not got["n"]:
         return nothing
     avgdl = float(got["avgdl"] or 0.0) or 1.0
-    blocks = max(spark.sparkContext.defaultParallelism, -(-got["n"] // DOCS_HELD))
+    blocks = max(spark.sparkContext.defaultParallelism, -(-got["n"] // DOCS_A_TASK))
 
     def one(part: DataFrame) -> DataFrame:
         words = part.select(F.explode(F.split("bag", " ")).alias("term")).distinct().join(ix.terms, "term").select("term", "df", "idf").toArrow().to_pydict()
-        if any(x < 0 for x in words["idf"]):  # a word that takes from a score, in tables of a few chunks
-            ranked = lexical.top(ix, part.select(F.col("bag").alias("query_id"), F.col("bag").alias("text")), k)
-            return ranked.groupBy(F.col("query_id").alias("bag")).agg(F.array_sort(F.collect_list(F.struct("bm25_rank", "chunk_ord"))).alias("x")).select("bag", F.col("x.chunk_ord").alias("ords"))
-        bags = sorted(r for r in part.toArrow().column("bag").to_pylist())
-        items, flat, offsets, shared, stands_for = _tree(list(enumerate(bags)), dict(zip(words["term"], words["df"])))
-        vocabulary = pa.array(words["term"], pa.string())
-        number, idf = {w: i for i, w in enumerate(words["term"])}, words["idf"]
-        item_term, item_weight = [number[w] for w, _ in items], [idf[number[w]] * times for w, times in items]
-
-        def block(ords: np.ndarray, dl: np.ndarray, row: np.ndarray, term: np.ndarray, tf: np.ndarray) -> Iterator[pa.RecordBatch]:
-            newest = np.argsort(-ords, kind="stable")
-            place = np.empty(len(ords), np.int32)
-            place[newest] = np.arange(len(ords), dtype=np.int32)
-            value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[row] / avgdl))
-            order = np.lexsort((place[row], term))
-            ends = np.searchsorted(term[order], np.arange(len(vocabulary) + 1))
-            where, value, ords = place[row][order], value[order], ords[newest]
-            lists = [(where[ends[t] : ends[t + 1]], value[ends[t] : ends[t + 1]] * w) for t, w in zip(item_term, item_weight)]
-            texts, whose, scores = [], [], []
-
-            def batch() -> pa.RecordBatch:
-                times = [len(t) for t in texts]
-                out_ords, out_scores = [x for x, n in zip(whose, times) for _ in range(n)], [x for x, n in zip(scores, times) for _ in range(n)]
-                ends = pa.array(np.cumsum([0, *map(len, out_ords)]).astype(np.int32))
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(texts)), pa.ListArray.from_arrays(ends, pa.array(ords[np.concatenate(out_ords)])), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(out_scores)))], ["text", "ords", "scores"])
-
-            for of, (who, s) in zip(stands_for, _walk(len(ords), k, lists, flat, offsets, shared)):
-                texts.append(of)
-                whose.append(who)
-                scores.append(s)
-                if len(texts) == 2000:
-                    yield batch()
-                    texts, whose, scores = [], [], []
-            if texts:
-                yield batch()
+        bags = sorted(part.toArrow().column("bag").to_pylist())
+        tree = _tree(bags, set(words["term"]))
+        vocabulary, idf = pa.array(words["term"], pa.string()), np.array(words["idf"], np.float64)
+        number = {w: i for i, w in enumerate(words["term"])}
+        item_term = [number[w] for w, _ in tree.items]
+        most = max(1, CELLS // max(1, len(idf)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[tuple[np.ndarray, ...]] = []
+            leaders, held, step, any_ = _Leaders(tree, k), [], FIRST, False
 
-            def all_held() -> Iterator[pa.RecordBatch]:
-                if sum(len(x[0]) for x in held):
-                    yield from block(*(np.concatenate(x) for x in zip(*held)))
+            def work() -> None:
+                # The first chunks are few: what they reach is what later ones are measured by.
+                nonlocal step
+                ords, dl, row, term, tf = (np.concatenate(x) for x in zip(*held))
                 held.clear()
+                value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[row] / avgdl)) * idf[term]
+                at = 0
+                while at < len(ords):
+                    end = min(len(ords), at + min(step, most))
+                    a, b = np.searchsorted(row, (at, end))
+                    gives = np.zeros((max(1, len(idf)), end - at))
+                    gives[term[a:b], row[a:b] - at] = value[a:b]
+                    leaders.add(ords[at:end], gives, item_term)
+                    at, step = end, min(step * 5, most)
 
             for b in batches:
-                first = sum(len(x[0]) for x in held)
+                if not len(b):
+                    continue
+                any_, first = True, sum(len(x[0]) for x in held)
                 lengths = pc.list_value_length(b.column(2)).to_numpy()
                 term = pc.index_in(b.column(2).flatten(), value_set=vocabulary)
                 hit = np.flatnonzero(term.is_valid().to_numpy(zero_copy_only=False))
                 row = np.repeat(np.arange(len(b), dtype=np.int32), lengths)[hit] + np.int32(first)
                 held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), row, term.take(pa.array(hit)).to_numpy().astype(np.int32), b.column(3).flatten().to_numpy()[hit]))
-                if first + len(b) >= DOCS_HELD or sum(len(x[2]) for x in held) >= POSTINGS_HELD:
-                    yield from all_held()
-            yield from all_held()
+                if first + len(b) >= most + FIRST * 6 or sum(len(x[2]) for x in held) >= POSTINGS_HELD:
+                    work()
+            if held:
+                work()
+            for at in range(0, len(tree.stands_for) if any_ else 0, 2000):
+                of = tree.stands_for[at : at + 2000]
+                each = np.repeat(np.arange(at, at + len(of)), [len(x) for x in of])
+                ords, scores = leaders.ords[each], leaders.scores[each]
+                there = np.isfinite(scores)
+                ends = pa.array(np.cumsum(np.r_[0, there.sum(axis=1)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(of)), pa.ListArray.from_arrays(ends, pa.array(ords[there])), pa.ListArray.from_arrays(ends, pa.array(scores[there]))], ["text", "ords", "scores"])
 
         docs = ix.docs.select("chunk_ord", "dl", "terms", "tfs").coalesce(blocks)
         each = docs.mapInArrow(run, "text long, ords array<long>, scores array<double>")
