@@ -24,11 +24,11 @@ from lutrin.operators.lexical import K1, B, LexicalIndex
 from lutrin.plans.scale import written
 
 #: Chunks that a task begins with, chunks x words that it holds at once, and words of chunks that it gathers before.
-FIRST, CELLS, POSTINGS_HELD = 1000, 12_000_000, 8_000_000
+FIRST, CELLS, POSTINGS_HELD = 1000, 6_000_000, 8_000_000
 #: Chunks that one task works on, unless there are more tasks than that needs.
 DOCS_A_TASK = 400_000
 #: Distinct bags carried by one pass over the index; more take more passes.
-BAGS = 400_000
+BAGS = 120_000
 #: Above what sums in another order may differ by, and half a unit of the ninth digit.
 _NEAR = 2e-9
 
@@ -52,12 +52,12 @@ class _Tree:
 
 
 def _tree(bags: list[str], known: set[str]) -> _Tree:
-    counted = [Counter(w for w in text.split(" ") if w in known) for text in bags]
-    often = Counter(x for c in counted for x in c.items())
+    counted = lambda: (Counter(w for w in text.split(" ") if w in known) for text in bags)  # noqa: E731 (made twice: they are large)
+    often = Counter(x for c in counted() for x in c.items())
     items = sorted(often, key=lambda x: (-often[x], x))
     at = {x: i for i, x in enumerate(items)}
     of: dict[tuple[int, ...], list[int]] = {}
-    for n, c in enumerate(counted):
+    for n, c in enumerate(counted()):
         of.setdefault(tuple(sorted(at[x] for x in c.items())), []).append(n)
     paths = sorted(of)
     shared = [0] + [next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in zip(paths, paths[1:])]
@@ -249,7 +249,7 @@ def top(ix: LexicalIndex, texts: DataFrame, k: int) -> DataFrame:
 
         docs = ix.docs.select("chunk_ord", "dl", "terms", "tfs").coalesce(blocks)
         each = docs.mapInArrow(run, "text long, ords array<long>, scores array<double>")
-        joined = each.repartition(blocks, "text").sortWithinPartitions("text").mapInArrow(_merged(k), "text long, ords array<long>")
+        joined = each.repartition("text").sortWithinPartitions("text").mapInArrow(_merged(k), "text long, ords array<long>")
         names = spark.createDataFrame(pa.table({"text": pa.array(range(len(bags)), pa.int64()), "bag": pa.array(bags, pa.string())}))
         return written(joined.join(names, "text").select("bag", "ords"), "leaders")
 

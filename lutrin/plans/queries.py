@@ -1,6 +1,6 @@
 """The retrieval engine's operators as queries over the project tables, with the SQL that says the same.
 
-Searches take as queries every golden question whose number is divisible by 20, against all chunks; a
+Searches take as queries every golden question whose number is divisible by 20 (eval_compare all), against all chunks; a
 question's vector is the embedding of its number, a chunk's that of its ordinal.
 """
 

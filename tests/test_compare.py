@@ -36,10 +36,11 @@ def test_articles_are_found_in_lines_as_in_passages(spark):
     assert got == {("r", "1"): round(6 / 7, 4), ("s", "1"): round(2 / 7, 4), ("r", "2"): 1.0, ("s", "2"): 1.0, ("r", "3"): 0.0, ("s", "3"): 0.0}
 
 
-@pytest.mark.parametrize("first, cells", [(1000, 12_000_000), (9, 2000)])
-def test_leaders_are_lexical_top(spark, monkeypatch, first, cells):
+@pytest.mark.parametrize("first, cells, bags", [(1000, 6_000_000, 120_000), (9, 2000, 50)])
+def test_leaders_are_lexical_top(spark, monkeypatch, first, cells, bags):
     monkeypatch.setattr(leaders, "FIRST", first)
     monkeypatch.setattr(leaders, "CELLS", cells)
+    monkeypatch.setattr(leaders, "BAGS", bags)
     rng = random.Random(5)
     words = [f"w{i}" for i in range(40)]
     often = [1 / (i + 1) for i in range(40)]
