@@ -16,6 +16,7 @@ import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,12 @@ HOT_TEXTS, SAMPLE = 200_000, 32
 #: Bits of the cheap check before the exact one, and the standard deviations it allows.
 BITS, SIGMAS = 128, 4
 LEAST_WORDS = 20
+#: Words of the texts that are cut into runs together.
+GROUP = 30_000
 #: Rows up to which a list of ids is broadcast (8 bytes each); longer lists are joined by a shuffle.
 MOST_IDS = 1_000_000
+#: Texts with copies up to which they are broadcast (a hash and an id each).
+MOST_COPIED = 200_000
 
 
 @functools.cache
@@ -49,63 +54,93 @@ def _hashes() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, 2**31, SYMBOLS, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, SYMBOLS, dtype=np.uint32)
 
 
+class Numbers(dict):
+    """64-bit numbers of words, made when a word is first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return number
+
+
 class Shingler:
-    """Words to sets of runs: 64-bit numbers of the distinct runs of `run` words."""
+    """Texts to sets of runs: 64-bit numbers of the distinct runs of `run` words, for many texts at once."""
 
     def __init__(self, run: int):
-        self.run, self.of = run, {}
+        self.run, self.of = run, Numbers()
 
     def words(self, text: str) -> list[str]:
         """Pieces of the lower-case text between spaces and line feeds."""
         return [w for w in text.lower().replace("\n", " ").split(" ") if w]
 
-    def numbers(self, words: list[str]) -> np.ndarray:
-        of = self.of
-        if len(of) > 500_000:
-            of.clear()
-        for w in set(words).difference(of):
-            of[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        return np.fromiter(map(of.__getitem__, words), np.uint64, len(words))
-
-    def runs(self, words: list[str]) -> np.ndarray:
-        x, n = self.numbers(words), len(words) - self.run + 1
-        if n <= 0:
-            return np.empty(0, np.uint64)
-        h = np.zeros(n, np.uint64)
+    def groups(self, texts: list[str], least: int = 0) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        """Texts of at least `least` words in groups that end with GROUP words: places of a group's texts, their runs
+        one text after the other, and the places where each text's begin, with the end of the last."""
+        at, lists, n = [], [], 0
+        for i, t in enumerate(texts):
+            words = self.words(t)
+            if len(words) >= least:
+                at.append(i), lists.append(words)
+                n += len(words)
+            if n >= GROUP:
+                yield at, *self.runs(lists)
+                at, lists, n = [], [], 0
+        if at:
+            yield at, *self.runs(lists)
+
+    def runs(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.of) > 500_000:
+            self.of.clear()
+        long = np.fromiter(map(len, lists), np.int64, len(lists))
+        x = np.fromiter(map(self.of.__getitem__, chain.from_iterable(lists)), np.uint64, long.sum())
+        h = np.zeros(max(0, len(x) - self.run + 1), np.uint64)
         for i in range(self.run):
-            h = (h ^ x[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ x[i : i + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-        return np.unique(h)
-
-
-def _symbols(runs: np.ndarray) -> bytes:
-    """The minwise symbols of a set: of every linear hash of its runs the least value, mixed down to 8 bits."""
-    a, b = _hashes()
+        # Runs that begin in one text and end in another are none.
+        n = np.maximum(long - self.run + 1, 0)
+        place = np.arange(len(h)) - np.repeat(np.cumsum(long) - long, long)[: len(h)]
+        h = h[place < np.repeat(n, long)[: len(h)]]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        for a, b in pairwise(ends.tolist()):
+            h[a:b].sort()
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        new[ends[:-1][n > 0]] = True
+        return h[new], np.concatenate([[0], np.cumsum(new)])[ends]
+
+
+def _symbols(runs: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The minwise symbols of each set, a row a set: of every linear hash of its runs the least value, mixed down to
+    8 bits. No set is empty."""
     low = (runs >> np.uint64(32)).astype(np.uint32)  # the runs are well-mixed numbers: half of one will do
-    least = np.full(SYMBOLS, np.iinfo(np.uint32).max, np.uint32)
-    for at in range(0, len(low), 2048):  # a long text never becomes one large matrix
-        np.minimum(least, (low[at : at + 2048, None] * a + b).min(axis=0), out=least)
+    hashed, least = np.empty_like(low), np.empty((SYMBOLS, len(ends) - 1), np.uint32)
+    for a, b, row in zip(*_hashes(), least):
+        np.multiply(low, a, out=hashed)
+        np.add(hashed, b, out=hashed)
+        np.minimum.reduceat(hashed, ends[:-1], out=row)
     least ^= least >> np.uint32(16)
     least *= np.uint32(0x85EBCA6B)
     least ^= least >> np.uint32(13)
     least *= np.uint32(0xC2B2AE35)
-    return (least >> np.uint32(24)).astype(np.uint8).tobytes()
+    return np.ascontiguousarray((least >> np.uint32(24)).astype(np.uint8).T)
 
 
 def copies(rows: DataFrame, record: str, text: str) -> DataFrame:
     """(id, rep): every text and the smallest id with exactly the same characters.
 
-    A text that stands in very many rows is no join key of theirs: there are at most rows / HOT_ROWS such
-    texts, and their ids are told by a broadcast of them.
+    Only texts that stand in more than one row are looked up. If they are many, a text in very many rows is no join
+    key of theirs: there are at most rows / HOT_ROWS such texts, and their ids are told by a broadcast of them.
     """
     keyed = rows.where(F.col(text).isNotNull() & F.col(record).isNotNull()).select(F.col(record).alias("id"), F.unhex(F.md5(text)).alias("same"))
     reps = keyed.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    hot = [(r["same"], r["rep"]) for r in reps.where(F.col("n") > scale.HOT_ROWS).select("same", "rep").collect()]
-    if not hot:
-        return keyed.join(reps, "same").select("id", "rep").distinct()
+    again = written(reps.where("n > 1"), "again")
+    found = again.select("same", "rep")
+    if again.count() <= MOST_COPIED:
+        return keyed.join(F.broadcast(found), "same", "left").select("id", F.coalesce("rep", "id").alias("rep")).distinct()
+    hot = [(r["same"], r["rep"]) for r in again.where(F.col("n") > scale.HOT_ROWS).select("same", "rep").collect()]
     few = rows.sparkSession.createDataFrame(hot, f"same binary, hot {rows.schema[record].dataType.simpleString()}")
     told = keyed.join(F.broadcast(few), "same", "left")
-    cold = told.where("hot IS NULL").join(reps, "same").select("id", "rep")
+    cold = told.where("hot IS NULL").join(found, "same", "left").select("id", F.coalesce("rep", "id").alias("rep"))
     return cold.unionByName(told.where("hot IS NOT NULL").select("id", F.col("hot").alias("rep"))).distinct()
 
 
@@ -120,18 +155,11 @@ def sketches(rows: DataFrame, record: str, text: str, run: int, least_words: int
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Shingler(run)
         for batch in batches:
-            out: list[tuple] = []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = cut.words(t)
-                if len(words) < max(least_words, run):
-                    continue
-                s = cut.runs(words)
-                sym = _symbols(s)
-                low = np.packbits(np.frombuffer(sym, np.uint8)[:BITS] & 1).tobytes()
-                out.append((i, len(s), sym, int.from_bytes(low[:8], "big", signed=True), int.from_bytes(low[8:], "big", signed=True)))
-            cols = list(zip(*out)) if out else [()] * 5
-            kinds = (batch.schema.field(0).type, pa.int32(), pa.binary(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["id", "runs", "symbols", "b0", "b1"])
+            for at, runs, ends in cut.groups(batch.column(1).to_pylist(), max(least_words, run)):
+                sym = _symbols(runs, ends)
+                low = np.packbits(sym[:, :BITS] & 1, axis=1).view(">i8").astype(np.int64)
+                cols = [batch.column(0).take(pa.array(at)), pa.array(np.diff(ends), pa.int32()), pa.array([x.tobytes() for x in sym], pa.binary()), pa.array(low[:, 0]), pa.array(low[:, 1])]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "runs", "symbols", "b0", "b1"])
 
     kind = rows.schema[record].dataType.simpleString()
     return rows.where(F.col(text).isNotNull() & F.col(record).isNotNull()).select(record, text).mapInArrow(make, f"id {kind}, runs int, symbols binary, b0 long, b1 long")
@@ -267,6 +295,14 @@ def _hot_probes(each: DataFrame, texts: int) -> DataFrame | None:
     return written(some.where(F.col("size") > HOT_TEXTS / 2).select("probe", F.ceil(F.col("size") / BLOCK).cast("long").alias("parts")), "hot")
 
 
+def _together(each: DataFrame, dealt: Column) -> DataFrame:
+    """each with the place of every text in its part of a probe value, without the texts that are alone with a value:
+    most are, and leave before anything is gathered. A value that was dealt may have others in other parts."""
+    w = W.partitionBy("probe", "part").orderBy("t.rep")
+    placed = each.withColumn("place", F.row_number().over(w) - 1).withColumn("next", F.lead("probe").over(w))
+    return placed.where((F.col("place") > 0) | F.col("next").isNotNull() | dealt).drop("next")
+
+
 def candidates(sketch: DataFrame, probes: list[list[int]], threshold: float) -> DataFrame:
     """(rep_a, rep_b): different texts that agree on a probe and pass the cheap check.
 
@@ -280,10 +316,10 @@ def candidates(sketch: DataFrame, probes: list[list[int]], threshold: float) ->
         each = each.withColumn("part", F.lit(0).cast("long"))
     else:
         dealt = F.pmod(F.xxhash64("t.rep", "probe"), F.col("parts"))
-        each = each.join(hot, "probe", "left").withColumn("part", F.coalesce(dealt, F.lit(0).cast("long"))).drop("parts")
-    place = F.row_number().over(W.partitionBy("probe", "part").orderBy("t.rep")) - 1
+        each = each.join(hot, "probe", "left").withColumn("part", F.coalesce(dealt, F.lit(0).cast("long")))
+    each = _together(each, F.lit(False) if hot is None else F.col("parts").isNotNull())
     # Parts and places make one number: a part holds fewer than 2**20 blocks.
-    number = F.col("part") * 2**20 + F.floor(place / BLOCK)
+    number = F.col("part") * 2**20 + F.floor(F.col("place") / BLOCK)
     blocks = each.withColumn("block", number).groupBy("probe", "part", "block").agg(F.collect_list("t").alias("ts"))
     dealt_out = F.lit(False) if hot is None else F.col("hot").isNotNull()
     if hot is not None:
@@ -322,8 +358,9 @@ def verified(rows: DataFrame, pairs: DataFrame, threshold: float, run: int, reco
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Shingler(run)
         for batch in batches:
-            sets = [cut.runs(cut.words(t)).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "runs"])
+            for at, runs, ends in cut.groups(batch.column(1).to_pylist()):
+                sets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(runs.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), sets], ["id", "runs"])
 
     wanted = pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("w")).distinct()
     texts = rows.where(F.col(text).isNotNull()).select(F.col(record).alias("id"), F.col(text).alias("t")).join(_listed(wanted), F.col("id") == F.col("w"), "left_semi")

@@ -1,9 +1,11 @@
+import hashlib
 import math
 import random
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lutrin.llm import mixing, neardup, packing, tokens
 
@@ -89,6 +91,67 @@ def test_copies_of_a_text_in_very_many_rows(spark, monkeypatch):
     assert {r for i, r in want if i % 3 == 0} == {3} and len(want) == 60
 
 
+@pytest.mark.parametrize("hot_rows", [2_000_000, 10])
+def test_copies_of_many_texts_are_joined(spark, monkeypatch, hot_rows):
+    """More texts with copies than are broadcast: the same ids, and texts in one row stand for themselves."""
+    rows = [(i, f"texte {i % 40}" if i % 3 else f"seul {i}", "x") for i in range(200, 0, -1)] + [(4, "texte 5", "x"), (7, "texte 7", "x"), (None, "texte 1", "x"), (999, None, "x")]
+    df = spark.createDataFrame(rows, CHUNKS)
+    least = {}
+    for i, t, _ in rows:
+        if i is not None and t is not None:
+            least[t] = min(i, least.get(t, i))
+    want = sorted({(i, least[t]) for i, t, _ in rows if i is not None and t is not None})
+    assert sorted(tuple(r) for r in neardup.copies(df, "chunk_ord", "content").collect()) == want
+    monkeypatch.setattr(neardup, "MOST_COPIED", 0)
+    monkeypatch.setattr(neardup.scale, "HOT_ROWS", hot_rows)
+    assert sorted(tuple(r) for r in neardup.copies(df, "chunk_ord", "content").collect()) == want
+
+
+@pytest.mark.parametrize("group", [1, 40, 30_000])
+def test_runs_and_symbols_of_many_texts_at_once(monkeypatch, group):
+    """No run crosses from one text into the next, and every set and sketch is as if its text were alone."""
+    monkeypatch.setattr(neardup, "GROUP", group)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("abcdefgh", k=rng.randint(0, 30))) for _ in range(60)] + ["", "a", "a b", "a b c", "a a a a a", "  a\n\nb  c ", "A B C", "été \udc80 x y"]
+    number = lambda w: int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    a, b = (x.tolist() for x in neardup._hashes())
+
+    def mixed(h):
+        for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+            h = (h ^ (h >> shift)) * by % 2**32
+        return h >> 24
+
+    for least, run in ((0, 3), (5, 5), (20, 3)):
+        got = {}
+        for at, runs, ends in neardup.Shingler(run).groups(texts, least):
+            symbols = neardup._symbols(runs, ends).tolist() if least >= run else [None] * len(at)
+            got |= {i: (runs[p:q].tolist(), s) for i, p, q, s in zip(at, ends, ends[1:], symbols)}
+        want = {}
+        for i, t in enumerate(texts):
+            words = [w for w in t.lower().replace("\n", " ").split(" ") if w]
+            if len(words) < least:
+                continue
+            found = set()
+            for k in range(len(words) - run + 1):
+                h = 0
+                for w in words[k : k + run]:
+                    h = (h ^ number(w)) * 0x9E3779B97F4A7C15 % 2**64
+                    h ^= h >> 29
+                found.add(h)
+            want[i] = (sorted(found), [mixed(min((((h >> 32) * x + y) % 2**32) for h in found)) for x, y in zip(a, b)] if least >= run else None)
+        assert got == want and len(got) > 10
+
+
+def test_texts_alone_with_a_value_are_not_gathered(spark):
+    rows = [(1, 10, None), (2, 10, None), (3, 11, None), (4, 12, 2), (5, 12, 2), (6, 13, 9), (7, 14, None), (9, 14, None), (8, 14, None)]
+    each = spark.createDataFrame(rows, "rep long, probe long, parts long").selectExpr("struct(rep) AS t", "probe", "parts")
+    got = {(r["t"]["rep"], r["place"]) for r in neardup._together(each.withColumn("part", F.lit(0)), F.lit(False)).collect()}
+    assert got == {(1, 0), (2, 1), (4, 0), (5, 1), (7, 0), (8, 1), (9, 2)}
+    # Of a value that was dealt to parts, even a text alone in its part is kept.
+    got = {r["t"]["rep"] for r in neardup._together(each.withColumn("part", F.coalesce(F.col("t.rep") % F.col("parts"), F.lit(0))), F.col("parts").isNotNull()).collect()}
+    assert got == {1, 2, 4, 5, 6, 7, 8, 9}
+
+
 def test_classes_are_components(spark):
     pairs = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.9), (3, 4, 0.9), (7, 8, 0.9)], "rep_a long, rep_b long, similarity double")
     members = spark.createDataFrame([(i, i) for i in (1, 2, 3, 4, 5, 7, 8)] + [(9, 5)], "id long, rep long")
